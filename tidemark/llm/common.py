@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES
     size = 0
     for batch in batches:
         column = batch.column(text)
-        lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
         at = 0
         while at < batch.num_rows:

@@ -53,6 +53,10 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+def payload_of(doc_id: int | None, width: int, ids: bytes) -> bytes:
+    return _BODY.pack(width, doc_id is not None, doc_id or 0) + ids
+
+
 def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
     width, has, doc_id = _BODY.unpack_from(payload)
     return (doc_id if has else None), np.frombuffer(payload, dtype=f"<u{width}", offset=_BODY.size)
@@ -93,7 +97,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         for ids, texts, _ in blocks(batches, 1):
             out = out or fs.open_output_stream(f"{path}/.part-{part:05d}.{attempt}")
             for doc_id, got in zip(ids, enc.encode(texts), strict=True):
-                made = frame(_BODY.pack(enc.width, doc_id is not None, doc_id or 0) + got + end)
+                made = frame(payload_of(doc_id, enc.width, got + end))
                 out.write(made)
                 count = len(got) // enc.width + 1
                 index.append((at, len(made), before, count, 0))

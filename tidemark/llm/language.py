@@ -8,6 +8,7 @@ margin is how much smaller the best result is than the second best; a narrow mar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,11 +21,11 @@ from tidemark.llm.common import blocks, fold, table
 
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: texts and bytes a language.
-SAMPLE_TEXTS, SAMPLE_BYTES = 64, 96 << 10
+SAMPLE_TEXTS, SAMPLE_BYTES = 128, 128 << 10
 RUN = 4096
-LEVEL = 3
+LEVEL = 9
 #: A smaller relative margin is a rejection.
-MIN_MARGIN = 0.005
+MIN_MARGIN = 0.002
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -45,12 +46,26 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     for r in found.toLocalIterator():
         if (r.lang, r.h) in held:
             texts.setdefault(r.lang, []).append((r.h, r.text))
+    made = {lang: b"".join(letters(t + "\n") for _, t in sorted(some))[:SAMPLE_BYTES] for lang, some in sorted(texts.items())}
+    return without_shared(made)
+
+
+def without_shared(samples: dict[str, bytes], n: int = 3) -> dict[str, bytes]:
+    """The samples without the words of those n-word sequences that more than one language's sample has.
+
+    Quotations and notices that go round in every language would otherwise pull texts to whichever sample
+    happens to hold them.
+    """
+    words = {lang: raw.split() for lang, raw in samples.items()}
+    grams = {lang: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for lang, w in words.items()}
+    seen = Counter(g for own in grams.values() for g in own)
     made = {}
-    for lang, some in sorted(texts.items()):
-        raw = b""
-        for _, t in sorted(some):
-            raw += letters(t + "\n")[: SAMPLE_BYTES - len(raw)]
-        made[lang] = raw
+    for lang, w in words.items():
+        shared = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                shared[i : i + n] = [True] * n
+        made[lang] = b" ".join(x for x, s in zip(w, shared, strict=True) if not s)
     return made
 
 

@@ -2,7 +2,7 @@
 
 Both supported pre-tokenizers never let a pre-token cross a place where a non-space character is
 followed by white space, so a text falls into pieces there and equal pieces have equal ids. Only
-pieces that the cache lacks go through the library, a batch at a time.
+pieces that the cache lacks go through the library.
 """
 
 from __future__ import annotations
@@ -13,19 +13,19 @@ from functools import lru_cache
 
 import numpy as np
 
-#: A letter run of the Latin blocks and one comma or full stop: the pre-tokenizers part them there.
-_ENDED = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])").fullmatch
+#: A letter run and a run of punctuation: the pre-tokenizers part them there.
+_ENDED = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)").fullmatch
 #: A letter run that is one pre-token and that no normaliser changes but for its case.
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]{1,200}").fullmatch
 _RUN = re.compile(r"(?<=\S)(?=[ \n])")
 _TWO = re.compile(r"\s\s").search
 
 
-class Pieces:
-    """Token ids of texts as little-endian bytes, `width` bytes an id."""
+class Pieces(dict):
+    """Token ids by piece, as little-endian bytes of `width` bytes an id; `encode` gives those of texts."""
 
-    #: Pieces held; beyond it the older half goes.
-    LIMIT = 1_000_000
+    #: Pieces held in two generations: when the newer is full it replaces the older, and pieces still in use move up.
+    LIMIT = 800_000
 
     def __init__(self, path: str):
         import json
@@ -35,17 +35,18 @@ class Pieces:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.merge = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
             self.spaces_drop = json.load(f).get("normalizer") is not None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.pack = {n: struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(800)}
+        self.pack = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(800)]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256)}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         if self.spaces_drop:
@@ -54,69 +55,31 @@ class Pieces:
             return _RUN.split(text)  # a run of white space stays whole, before what follows it
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else [text]
 
-    def _parts(self, piece: str) -> list[str]:
-        """Smaller pieces with the same ids in a row."""
-        if m := _ENDED(piece):
-            return [m[1], m[2]]
-        if self.spaces_drop and not piece.islower() and _LETTERS(piece):
-            return [piece.lower()]  # as the normaliser would
-        if not self.spaces_drop and piece[:1] == "\n" and piece[1:2].isalpha():
-            return ["\n", piece[1:]]
-        return []
-
-    def _encode(self, pieces: list[str]) -> None:
-        tokenize, new, pack, spelled = self.tokenizer.model.tokenize, self.new, self.pack, self.spelled
-        other = []
-        for piece in pieces:
-            if len(piece) < 200 and _LETTERS(piece):  # one pre-token: the library's merges alone
-                ids = [t.id for t in tokenize(piece.translate(spelled))]
-                new[piece] = pack[len(ids)](*ids)
-            else:
-                other.append(piece)
-        pieces = other
-        for i in range(0, len(pieces), 4096):
-            some = pieces[i : i + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.new[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        new, old = self.new, self.old
-        parted: list[tuple[str, list[str]]] = []
-        todo: set[str] = set()
-        stack = [p for p in pieces if p not in new]
-        while stack:
-            p = stack.pop()
-            if p in new:
-                continue
-            if (known := old.get(p)) is not None:
-                new[p] = known
-            elif parts := self._parts(p):
-                parted.append((p, parts))
-                stack += parts
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is None:
+            if _LETTERS(piece):
+                if self.spaces_drop and not piece.islower():
+                    ids = self[piece.lower()]  # as the normaliser would
+                else:  # one pre-token: the library's merges alone
+                    got = [t.id for t in self.merge(piece.translate(self.spelled))]
+                    ids = self.pack[len(got)](*got)
+            elif m := _ENDED(piece):
+                ids = self[m[1]] + self[m[2]]
+            elif not self.spaces_drop and piece[:1] == "\n" and piece[1:2].isalpha():
+                ids = self["\n"] + self[piece[1:]]
             else:
-                todo.add(p)
-        self._encode(list(todo))
-        for p, parts in reversed(parted):  # parts were found after what they make up
-            new[p] = b"".join([new[x] for x in parts])
+                ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        if len(self.new) >= self.LIMIT // 2:
-            self.old, self.new = self.new, {}
-        at = 0
-        out: list[bytes] = []
-        while at < len(split):
-            pieces: set[str] = set()
-            to = at
-            while to < len(split) and len(pieces) < self.LIMIT // 4:
-                pieces.update(split[to])
-                to += 1
-            self._learn(pieces)
-            get = self.new.__getitem__
-            out += [b"".join(map(get, s)) for s in split[at:to]]
-            at = to
-            if len(self.new) >= self.LIMIT // 2:
-                self.old, self.new = self.new, {}
+        out = []
+        get = self.__getitem__
+        for t in texts:
+            out.append(b"".join(map(get, self.split(t))))
+            if len(self) >= self.LIMIT // 2:
+                self.old = dict(self)
+                self.clear()
         return out
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from tidemark.llm.fingerprints import op9_rare_features
 from tidemark.llm.language import op3_language
 from tidemark.llm.merges import op6_merge_replay
+from tidemark.llm.ngram_join import op4_ngram_join
 from tidemark.llm.packing import op7_curve_packing
 from tidemark.llm.records import op1_token_records
 from tidemark.llm.secrets import op5_secrets
+from tidemark.llm.suffix_tree import op8_suffix_tree
 from tidemark.llm.toolcalls import OP2_SQL, op2_tool_calls
 from tidemark.llm.topk import OP10_SQL, op10_ball_tree
 
@@ -15,9 +17,11 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_tool_calls": op2_tool_calls,
     "op3_language": op3_language,
+    "op4_ngram_join": op4_ngram_join,
     "op5_secrets": op5_secrets,
     "op6_merge_replay": op6_merge_replay,
     "op7_curve_packing": op7_curve_packing,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_rare_features": op9_rare_features,
     "op10_ball_tree": op10_ball_tree,
 }

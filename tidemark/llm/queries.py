@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from tidemark.llm.fingerprints import op9_rare_features
 from tidemark.llm.language import op3_language
 from tidemark.llm.merges import op6_merge_replay
@@ -13,7 +15,17 @@ from tidemark.llm.suffix_tree import op8_suffix_tree
 from tidemark.llm.toolcalls import OP2_SQL, op2_tool_calls
 from tidemark.llm.topk import OP10_SQL, op10_ball_tree
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_token_records": op1_token_records,
     "op2_tool_calls": op2_tool_calls,
     "op3_language": op3_language,

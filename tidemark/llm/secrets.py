@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator, Sequence
 from math import log2
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,7 +161,6 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(text: Column) -> Column:
     """Column of texts with their secrets replaced; null stays null."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

@@ -1,5 +1,6 @@
 """Registered queries, by area."""
 
+from tidemark.plans import scoring
 from tidemark.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["ORACLE", "QUERIES", "scoring"]

@@ -22,14 +22,14 @@ def alignment_rank(column: str = "alignment") -> Column:
     return F.coalesce(mapped(column, ALIGNMENT_RANK), F.lit(-1))
 
 
-def resolve_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+def resolve_groups(df: DataFrame, keys: list[str], ties: tuple[str, ...] = ("q", "polarity", "dimension", "flag")) -> DataFrame:
     """One winner a choice group (W12); the others become NOT_APPLICABLE and `lost` is true.
 
-    Order: status rank, higher alignment, ordinal (0 and null last), id. Rows with a null group are their own.
+    Order: status rank, higher alignment, ordinal (0 and null last), id, then the ties columns. Rows with a null group are their own.
     """
     ordinal = F.coalesce(F.when(F.col("ordinal") != 0, F.col("ordinal")), F.lit(NO_ORDINAL))
     own = [*keys, F.coalesce(F.col("grp"), -F.col("id"))]
-    w = Window.partitionBy(*own).orderBy(mapped("status", STATUS_RANK), -alignment_rank(), ordinal, "id")
+    w = Window.partitionBy(*own).orderBy(mapped("status", STATUS_RANK), -alignment_rank(), ordinal, "id", *ties)
     out = df.withColumn("lost", F.row_number().over(w) > 1)
     return out.withColumn("status", F.when(F.col("lost"), "NOT_APPLICABLE").otherwise(F.col("status")))
 

@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from tidemark.plans import scoring
+from tidemark.plans import intervals, ranking, scoring, text
 from tidemark.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "scoring"]
+__all__ = ["ORACLE", "QUERIES", "intervals", "ranking", "scoring", "text"]

@@ -13,7 +13,7 @@ RANK = "CASE status WHEN 'PASS' THEN 0 WHEN 'PARTIAL' THEN 1 WHEN 'UNCERTAIN' TH
 ALIGN = "CASE alignment WHEN 'none' THEN 0 WHEN 'weak' THEN 1 WHEN 'partial' THEN 2 WHEN 'strong' THEN 3 WHEN 'exact' THEN 4 ELSE -1 END"
 RESOLVED = f"""rs AS (
   SELECT * EXCLUDE (status, rn), rn > 1 AS lost, CASE WHEN rn > 1 THEN 'NOT_APPLICABLE' ELSE status END AS status
-  FROM (SELECT *, row_number() OVER (PARTITION BY video, grp ORDER BY {RANK}, -({ALIGN}), CASE WHEN ordinal <> 0 THEN ordinal ELSE 1000000 END, id) AS rn FROM un))"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY video, grp ORDER BY {RANK}, -({ALIGN}), CASE WHEN ordinal <> 0 THEN ordinal ELSE 1000000 END, id, q, polarity, dimension, flag) AS rn FROM un))"""
 SUMS = """CAST(sum(w2) AS BIGINT) AS tot,
     CAST(sum(CASE WHEN status IN ('PASS', 'PARTIAL', 'FAIL') THEN w2 ELSE 0 END) AS BIGINT) AS dec,
     CAST(sum(CASE status WHEN 'PASS' THEN 2 * w2 WHEN 'PARTIAL' THEN w2 ELSE 0 END) AS BIGINT) AS earned,

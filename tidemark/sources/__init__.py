@@ -1 +1,6 @@
+"""Sources, sinks and the content-addressed store."""
 
+from tidemark.sources.artifacts import Store
+from tidemark.sources.files import read_documents, read_json, read_wav, sniff, unzipped, write_html, write_json
+
+__all__ = ["Store", "read_documents", "read_json", "read_wav", "sniff", "unzipped", "write_html", "write_json"]

@@ -27,7 +27,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole text files: no BOM, line feeds only; HTML pages are rejected."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     clean = F.replace(F.replace(F.col("text"), F.lit("﻿"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     return raw.withColumn("text", clean).filter(~tx.looks_like_html(F.col("text")))
 

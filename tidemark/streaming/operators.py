@@ -6,6 +6,7 @@ Results in append mode hold closed windows only; what is still open comes with c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -52,10 +53,10 @@ def text_sessions(rows: DataFrame, gap_s: float) -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: list[list[float]] = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        held: list[list[float]] = json.loads(state.get[0]) if state.exists else []
         if not state.hasTimedOut:
             for pdf in batches:
-                held += [[t, t, 1] for t in (pdf["at"].astype("int64") / 1e9 if pdf["at"].dtype.kind == "M" else pdf["at"])]
+                held += [[t, t, 1] for t in pdf["t"].tolist()]
         merged: list[list[float]] = []
         for a, b, n in sorted(held):
             if merged and a - merged[-1][1] <= gap_s:
@@ -67,17 +68,16 @@ def text_sessions(rows: DataFrame, gap_s: float) -> DataFrame:
         closed = [m for m in merged if m[1] + gap_s < mark]
         left = [m for m in merged if m[1] + gap_s >= mark]
         if left:
-            state.update(tuple(map(list, zip(*left, strict=True))))
+            state.update((json.dumps(left),))
             state.setTimeoutTimestamp(int(max(mark, left[0][1] + gap_s) * 1000) + 1)
-        else:
+        elif state.exists:
             state.remove()
         if closed:
             yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "began": [m[0] for m in closed], "ended": [m[1] for m in closed], "n": [int(m[2]) for m in closed]})
 
     out = "user_id long, event_type string, began double, ended double, n long"
-    kept = "began array<double>, ended array<double>, n array<double>"
-    seconds = rows.select("user_id", "event_type", "at")
-    return seconds.groupBy("user_id", "event_type").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    seconds = rows.select("user_id", "event_type", "at", (F.unix_micros("at") / 1e6).alias("t"))
+    return seconds.groupBy("user_id", "event_type").applyInPandasWithState(step, out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

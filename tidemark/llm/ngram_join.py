@@ -9,7 +9,8 @@ doesn't bring its documents together, and a part that is empty brings nobody tog
 
 Sets that share a signature are candidates. Groups of up to SMALL sets give all their pairs; of a larger
 group first its star around one member is compared, and then, of groups whose members aren't yet in one
-component, the pairs across components. Every candidate pair is verified on the whole sets. Copies (equal
+component, those pairs across components that sizes and parity sketches can't rule out. Every candidate
+pair is verified on the whole sets. Copies (equal
 sets) count once throughout.
 """
 
@@ -207,55 +208,75 @@ def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int, id_col: str
     return rows.mapInArrow(sign, "bucket long, sig binary, node binary").groupBy("bucket").applyInArrow(meet, "grp long, a long, b long")
 
 
-class Verifier:
-    """Keeps the pairs whose whole sets are similar. Sets are made of the texts of one document for each name."""
-
-    def __init__(self, spark: SparkSession, docs: DataFrame, names: DataFrame, id_col: str, text_col: str):
-        self.spark, self.names = spark, names  # names: node, rep (the least id of its documents)
-        self.rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """node, rep, s (sorted hashes, 8 bytes each) of all names in the pairs."""
-        spark = self.spark
-        wanted = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.names, "node"), "wanted")
-        ids = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = words()
-            for reps, texts, nodes in blocks(batches, 1, 4 << 20):
-                made = [shingles(w.of(t)) for t in texts]
-                on = [i for i, s in enumerate(made) if len(s) and node_of(s) == nodes[i]]  # an id may have other texts
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in on], pa.int64()), pa.array([reps[i] for i in on], pa.int64()), pa.array([made[i].tobytes() for i in on], pa.binary())], names=["node", "rep", "s"])
-
-        made = self.rows.join(ids, "rep").select("rep", "text", "node").mapInArrow(make, "node long, rep long, s binary")
-        return written(spark, made.dropDuplicates(["node"]) if self.repeated else made, "sets")
-
-    repeated = False
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """a, b: ids of the documents of the similar pairs."""
-        pairs = written(self.spark, pairs.select("a", "b").distinct(), "pairs")
-        sets = self.sets(pairs)
-        left = sets.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("s").alias("s_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("s").alias("s_b"))
-        sized = sets.select("node", (F.octet_length("s") / 8).cast("long").alias("n"))
-        able = pairs.join(sized.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sized.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-        able = able.filter(F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER).select("a", "b")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b = [], []
-                for i, j, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    at = np.searchsorted(u, v)
-                    both = int((u[np.minimum(at, len(u) - 1)] == v).sum())
-                    if both * UNDER >= (len(u) + len(v) - both) * OVER:
-                        a.append(i)
-                        b.append(j)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        met = able.join(left, "a").join(right, "b").select("rep_a", "rep_b", "s_a", "s_b")
-        return met.mapInArrow(compare, "a long, b long")
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set: one bit flips for each element, in at least 8 bits an element.
+
+    The bits in which two sketches of one length differ are at most as many as the elements in which the
+    sets differ. A sketch is halved by xor of its halves.
+    """
+    size = 1 << max(6, int(8 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((mix(s) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def across(table: pa.Table) -> pa.Table:
+    """Pairs of a large group's members of different components that may be similar by their sizes and sketches."""
+    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+    raw = table.column("sketch").to_pylist()
+    least = min(map(len, raw))
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r, np.uint8).reshape(-1, least), axis=0) for r in raw]).view("<u8")
+    _, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((node, which, -sizes[which]))  # the members of the largest component first
+    node, root, n, bits = node[order], root[order], n[order], bits[order]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(int(sizes.max()), len(node)):
+        j = np.flatnonzero((root[:i] != root[i]) & (np.minimum(n[:i], n[i]) * UNDER >= np.maximum(n[:i], n[i]) * OVER))
+        if len(j):
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            j = j[apart * (UNDER + OVER) <= (n[j] + n[i]) * (UNDER - OVER)]
+            a.append(np.minimum(node[j], node[i]))
+            b.append(np.maximum(node[j], node[i]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, rep, s (sorted hashes, 8 bytes each), n, sketch of the wanted (node, rep): made of the text of the document rep."""
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(ids, "rep")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = words()
+        for reps, texts, nodes in blocks(batches, 1, 4 << 20):
+            made = [shingles(w.of(t)) for t in texts]
+            on = [i for i, s in enumerate(made) if len(s) and node_of(s) == nodes[i]]  # an id may have other texts
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i in on], pa.int64()), pa.array([reps[i] for i in on], pa.int64()), pa.array([made[i].tobytes() for i in on], pa.binary()), pa.array([len(made[i]) for i in on], pa.int64()), pa.array([sketch(made[i]) for i in on], pa.binary())],
+                names=["node", "rep", "s", "n", "sketch"],
+            )
+
+    return rows.select("rep", "text", "node").mapInArrow(make, "node long, rep long, s binary, n long, sketch binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: ids of the documents of those pairs (of names) whose whole sets are similar."""
+    sized = sets.select("node", "n")
+    able = pairs.join(sized.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sized.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
+    able = able.filter(F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER).select("a", "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for i, j, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                at = np.searchsorted(u, v)
+                both = int((u[np.minimum(at, len(u) - 1)] == v).sum())
+                if both * UNDER >= (len(u) + len(v) - both) * OVER:
+                    a.append(i)
+                    b.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    left = sets.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("s").alias("s_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("s").alias("s_b"))
+    return able.join(left, "a").join(right, "b").select("rep_a", "rep_b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,21 +295,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     total = own.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = written(spark, candidates(docs, frequent, max(4 * parts, int(total * 0.5) // BUCKET), id_col, text_col), "near")
-    verify = Verifier(spark, docs, names.filter("rep is not null").select("node", "rep"), id_col, text_col)
-    first = written(spark, verify(near.filter("grp is null")), "verified")
+    pairs = written(spark, near.filter("grp is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names.filter("rep is not null").select("node", "rep"), "node")
+    sets = sets_of(docs, written(spark, wanted, "wanted"), id_col, text_col)
+    sets = written(spark, sets.dropDuplicates(["node"]), "sets")  # an id may stand on several rows
+    first = written(spark, similar(pairs, sets), "verified")
     roots = components(spark, first)
     # large groups whose members aren't in one component yet: the pairs across components are compared too
     label = names.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
     members = near.filter("grp is not null").select("grp", F.col("a").alias("node")).join(written(spark, label, "label"), "node")
     members = written(spark, members, "members")
     mixed = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("grp")
-    open_ = written(spark, members.join(mixed, "grp"), "open")
+    open_ = written(spark, members.join(mixed, "grp").join(sets.select("node", "n", "sketch"), "node").select("grp", "node", "root", "n", "sketch"), "open")
     if not open_.isEmpty():
-        x, y = (open_.select("grp", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
-        more = x.join(y, "grp").filter("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = near.filter("grp is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        second = verify(more.join(tried, ["a", "b"], "left_anti"))
-        roots = components(spark, roots.unionByName(second))
+        more = open_.groupBy("grp").applyInArrow(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        roots = components(spark, roots.unionByName(similar(written(spark, more, "more"), sets)))
     named = names.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").filter("root is not null or copies > 1")
     named = written(spark, named.select("node", F.coalesce("root", "rep").alias("component")), "components")
     return own.join(named, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

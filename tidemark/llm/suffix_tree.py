@@ -34,6 +34,7 @@ MIN_GAIN = 0.01
 BUCKET = 1_000_000
 END = 0xE4D0F7E47E4D5EED
 _LOW = 14
+BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, codes binary, train long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -60,7 +61,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFra
                 names=["block", "ids", "held", "lengths", "vocab", "codes", "train"],
             )
 
-    return rows.mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, codes binary, train long")
+    return rows.mapInArrow(run, BLOCKS)
 
 
 @dataclass
@@ -205,7 +206,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     path = shared_dir(spark, "coded")
     coded(docs, id_col, text_col, held_out).write.option("compression", "zstd").parquet(path)
-    blocks_ = spark.read.parquet(path)
+    blocks_ = spark.read.schema(BLOCKS).parquet(path)
     sums = blocks_.agg(F.sum("train"), F.sum(F.octet_length("vocab"))).first()
     tokens = sums[0] or 0
     least = max(MIN_COUNT, int(np.ceil(tokens * P_MIN)))

@@ -266,3 +266,14 @@ def test_stateful_intervals_close(spark, tmp_path):
     rows = sm.text_sessions(events_stream(spark, str(tmp_path / "in"), df.schema, late="0 seconds", files_per_trigger=1), 3600.0)
     got = sm.run_available(rows, "state", "append", str(tmp_path / "c")).agg(F.sum("n")).first()[0]
     assert got is not None and 0 < got <= df.count()
+
+
+def test_replies_and_phrases():
+    from tidemark.functions import parsing
+
+    assert parsing.parsed('{"b": 1, "a": "}"}') == ('{"a":"}","b":1}', "direct")
+    assert parsing.parsed('text {"a": "{\\"x"} more') == ('{"a":"{\\"x"}', "extracted")
+    assert parsing.parsed("{'a': True,}") == ('{"a":true}', "repaired")
+    assert parsing.parsed("nothing") == (None, "failed")
+    assert parsing.parsed(None) == (None, "failed")
+    assert parsing.phrase_variants("25% off") == ["25 percent off", "25% off", "twenty five percent off", "twenty five% off"]

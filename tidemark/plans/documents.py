@@ -9,7 +9,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import ranking as rk
 from tidemark.plans.text import content, toks
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, load, timeline
+from tidemark.tables import TIMELINE, load, small, timeline
 
 LINES = "ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 
@@ -97,7 +97,7 @@ def r25(spark: SparkSession, d: str) -> DataFrame:
     """Topics at least half of whose tokens the corpus has."""
     v = load(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("t")).distinct().withColumn("there", F.lit(1))
     p = load(spark, d, "part").select(F.concat("p_name", F.lit(" the")).alias("p_name")).distinct().select("p_name", F.explode(F.split("p_name", " ")).alias("t"))
-    return F.broadcast(p).join(v, "t", "left").groupBy("p_name").agg((F.count("there") * 2 >= F.count("*")).alias("seen"))
+    return small(p).join(v, "t", "left").groupBy("p_name").agg((F.count("there") * 2 >= F.count("*")).alias("seen"))
 
 
 @query("r30_ungroup", f"WITH {LINES}, c AS (SELECT DISTINCT doc_id FROM ln WHERE regexp_matches(lower(line), 'rights reserved|license')) SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN source END AS grp FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id")
@@ -113,7 +113,7 @@ def r31(spark: SparkSession, d: str) -> DataFrame:
     b = load(spark, d, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("gram"))
     grams = F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))")
     t = load(spark, d, "documents").withColumn("w", F.split("text", " ")).select("text", F.explode(F.array_distinct(grams)).alias("gram"))
-    covered = t.join(F.broadcast(b), "gram").filter(F.contains("text", F.col("item"))).select("item_id").distinct()
+    covered = t.join(small(b), "gram").filter(F.contains("text", F.col("item"))).select("item_id").distinct()
     own = load(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("item_id"), F.lit("document").alias("origin"))
     return b.select("item_id").join(covered, "item_id", "left_anti").withColumn("origin", F.lit("claim")).unionByName(own)
 

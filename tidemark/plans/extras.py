@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import parsing
 from tidemark.operators import ranking as rk
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, UNITS, load, timeline, units
+from tidemark.tables import TIMELINE, UNITS, load, small, timeline, units
 
 
 @query("p15_scorable", "SELECT doc_id, regexp_matches(text, '[0-9]') AND lang <> 'es' AS scorable FROM documents")
@@ -46,7 +46,7 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     sizes = [r.p_size for r in load(spark, d, "part").select("p_size").distinct().filter("p_size < 100").collect()]
     rows = [(n, v) for n in sizes for v in parsing.phrase_variants(f"{n}% off")]
     variants = spark.createDataFrame(rows, "p_size int, variant string")
-    return load(spark, d, "part").join(F.broadcast(variants), "p_size").select("p_partkey", F.concat_ws(" ", "variant", "p_name").alias("variant"))
+    return load(spark, d, "part").join(small(variants), "p_size").select("p_partkey", F.concat_ws(" ", "variant", "p_name").alias("variant"))
 
 
 HINTS = ["the", "ring", "license", "que", "und"]

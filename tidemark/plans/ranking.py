@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import ranking as rk
 from tidemark.operators import verdicts as vd
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, UNITS, load, timeline, units
+from tidemark.tables import TIMELINE, UNITS, load, small, timeline, units
 
 
 @query("k1_rank_candidates", f"WITH {TIMELINE} SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY k DESC, t0, event_id) AS rank FROM tl")
@@ -83,7 +83,7 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
     """Of each label, the ten vectors most like its first one."""
     n = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("v"))
     q = n.groupBy("label").agg(F.min_by("v", "vec_id").alias("c"), F.min("vec_id").alias("own"))
-    s = n.join(F.broadcast(q), "label").filter("vec_id <> own")
+    s = n.join(small(q), "label").filter("vec_id <> own")
     s = s.withColumn("score", F.aggregate(F.zip_with("c", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).cast("long"))
     w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
     return s.select("label", "vec_id", "score", F.row_number().over(w).alias("rank")).filter("rank <= 10")
@@ -122,7 +122,7 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
 def s5(spark: SparkSession, d: str) -> DataFrame:
     """Rows of this job's inbox, or all of them if none is."""
     sup = load(spark, d, "supplier")
-    m = sup.join(F.broadcast(load(spark, d, "nation").filter("n_regionkey = 99").select(F.col("n_nationkey").alias("s_nationkey"))), "s_nationkey", "left_semi").select("s_suppkey")
+    m = sup.join(small(load(spark, d, "nation").filter("n_regionkey = 99").select(F.col("n_nationkey").alias("s_nationkey"))), "s_nationkey", "left_semi").select("s_suppkey")
     n = m.agg(F.count("*").alias("n"))
     return m.unionByName(sup.select("s_suppkey").crossJoin(F.broadcast(n)).filter("n = 0").drop("n"))
 
@@ -264,7 +264,7 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     b = load(spark, d, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("gram"))
     grams = F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))")
     t = load(spark, d, "documents").withColumn("w", F.split("text", " ")).select("text", "lang", F.explode(F.array_distinct(grams)).alias("gram"))
-    m = t.join(F.broadcast(b), "gram").filter(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
+    m = t.join(small(b), "gram").filter(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
     j = b.select("item_id").join(m, "item_id", "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     return j.select("item_id", n.alias("n"), F.when((n > 0) & (F.col("en") > 0) & (F.col("en") < n), "PASS").when(n > 0, "PARTIAL").otherwise("ESCALATE").alias("status"))

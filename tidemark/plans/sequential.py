@@ -14,7 +14,7 @@ from tidemark.functions import fuzzy, hashing
 from tidemark.functions import text as tx
 from tidemark.operators import sequential as sq
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, load, timeline
+from tidemark.tables import TIMELINE, load, small, timeline
 
 
 @query("p5_compression_ratio")
@@ -32,7 +32,7 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
 def f5(spark: SparkSession, d: str) -> DataFrame:
     """Brand names against each other: ratio, token set ratio and caption score, behind a native length filter."""
     n = load(spark, d, "part").select("p_name").distinct()
-    pairs = n.select(F.col("p_name").alias("a")).join(F.broadcast(n.select(F.col("p_name").alias("b"))), F.col("a") < F.col("b")).filter(fuzzy.may_reach(F.col("a"), F.col("b"), 60))
+    pairs = n.select(F.col("p_name").alias("a")).join(small(n.select(F.col("p_name").alias("b"))), F.col("a") < F.col("b")).filter(fuzzy.may_reach(F.col("a"), F.col("b"), 60))
     out = {"ratio": fuzzy.ratio, "robust": fuzzy.robust_ratio, "contains": fuzzy.contains_ratio, "token_set": fuzzy.token_set_ratio, "token_sort": fuzzy.token_sort_ratio, "recall": fuzzy.token_recall}
     return pairs.select("a", "b", *(fuzzy.column(f, F.col("a"), F.col("b")).alias(k) for k, f in out.items()))
 
@@ -47,9 +47,9 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     names = load(spark, d, "part").select("p_name").distinct()
     parts = names.select("p_name", F.size(F.array_distinct(F.split("p_name", " "))).alias("n"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
     said = load(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t"))
-    pairs = said.select("t").distinct().join(F.broadcast(parts.select("w").distinct())).filter(fuzzy.may_reach(F.col("t"), F.col("w"), 60))
+    pairs = said.select("t").distinct().join(small(parts.select("w").distinct())).filter(fuzzy.may_reach(F.col("t"), F.col("w"), 60))
     like = pairs.filter(fuzzy.column(fuzzy.same_word, F.col("w"), F.col("t")) == 1)
-    hits = said.join(like, "t").join(F.broadcast(parts), "w").groupBy("conv_id", "turn", "p_name", "n").agg(F.count_distinct("w").alias("hit"))
+    hits = said.join(like, "t").join(small(parts), "w").groupBy("conv_id", "turn", "p_name", "n").agg(F.count_distinct("w").alias("hit"))
     s = hits.withColumn("score", F.bround(F.col("hit") * 100.0 / F.col("n"), 4)).filter("score >= 50")
     return s.groupBy("conv_id", "turn").agg(F.max("score").alias("score"), F.min_by("p_name", F.struct(-F.col("score"), F.col("p_name"))).alias("p_name"))
 
@@ -68,7 +68,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 def j16(spark: SparkSession, d: str) -> DataFrame:
     """Part names in components of token_set_ratio from 88 on, by rounds of least labels."""
     n = load(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    e = n.join(F.broadcast(n.select(F.col("a").alias("b"))), F.col("a") != F.col("b")).filter(fuzzy.column(fuzzy.token_set_ratio, F.col("a"), F.col("b")) >= 88).select("a", "b").checkpoint()
+    e = n.join(small(n.select(F.col("a").alias("b"))), F.col("a") != F.col("b")).filter(fuzzy.column(fuzzy.token_set_ratio, F.col("a"), F.col("b")) >= 88).select("a", "b").checkpoint()
     label = n.withColumn("label", F.col("a"))
     while True:
         best = e.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
@@ -82,7 +82,7 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 def j17(spark: SparkSession, d: str) -> DataFrame:
     """The first part name that an off-topic name resembles from 82 on."""
     n = load(spark, d, "part").select("p_name", "p_type").distinct()
-    j = n.filter("p_type = 'ECONOMY'").select(F.col("p_name").alias("missing")).distinct().join(F.broadcast(n.filter("p_type <> 'ECONOMY'").select("p_name").distinct())).filter(F.col("missing") != F.col("p_name"))
+    j = n.filter("p_type = 'ECONOMY'").select(F.col("p_name").alias("missing")).distinct().join(small(n.filter("p_type <> 'ECONOMY'").select("p_name").distinct())).filter(F.col("missing") != F.col("p_name"))
     s = j.withColumn("score", fuzzy.column(fuzzy.token_set_ratio, F.col("missing"), F.col("p_name"))).filter("score >= 82")
     return s.groupBy("missing").agg(F.min("p_name").alias("passed"))
 
@@ -232,7 +232,7 @@ def f32(spark: SparkSession, d: str) -> DataFrame:
     """A misspelt name with the best known name from 85 on, the text itself kept."""
     p = load(spark, d, "part")
     vocabulary = p.select(F.col("p_name").alias("term")).distinct()
-    m = p.select("p_partkey", F.regexp_replace("p_name", "i", "1").alias("said")).join(F.broadcast(vocabulary)).filter(fuzzy.may_reach(F.col("said"), F.col("term"), 85))
+    m = p.select("p_partkey", F.regexp_replace("p_name", "i", "1").alias("said")).join(small(vocabulary)).filter(fuzzy.may_reach(F.col("said"), F.col("term"), 85))
     s = m.withColumn("score", fuzzy.column(fuzzy.ratio, F.col("said"), F.col("term"))).filter("score >= 85")
     return s.groupBy("p_partkey", "said").agg(F.max_by("term", F.struct("score", "term")).alias("term"), F.max("score").alias("score"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import ranking
 from tidemark.registry import query
-from tidemark.tables import load
+from tidemark.tables import load, small
 
 PUNCT = r"""[!"#''()*,./:;<=>?@\[\\\]^_`{|}~-]"""
 
@@ -260,7 +260,7 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.expr(f"transform(sequence(1, greatest(size({c}) - 2, 1)), i -> array_join(slice({c}, i, 3), ' '))")
     b = load(spark, d, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("gram"))
     t = docs(spark, d).withColumn("w", F.split("text", " ")).select("doc_id", "text", F.explode(F.array_distinct(words("w"))).alias("gram"))
-    m = t.join(F.broadcast(b), "gram").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    m = t.join(small(b), "gram").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
     return m.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("item_id", "doc_id")
 
 
@@ -286,7 +286,7 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard similarity of the brands' name sets."""
     s = load(spark, d, "part").groupBy("p_brand").agg(F.collect_set("p_name").alias("names"))
     x, y = s.select(F.col("p_brand").alias("a"), F.col("names").alias("na")), s.select(F.col("p_brand").alias("b"), F.col("names").alias("nb"))
-    j = x.join(F.broadcast(y), F.col("a") < F.col("b"))
+    j = x.join(small(y), F.col("a") < F.col("b"))
     return j.select("a", "b", F.bround(F.size(F.array_intersect("na", "nb")) / F.size(F.array_union("na", "nb")), 6).alias("jaccard"))
 
 

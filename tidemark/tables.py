@@ -13,6 +13,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which a side that the data determine is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df marked for a broadcast if it has at most `most` rows; else as it is, and Spark picks another join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as records: event_id, video, modality, t0 and t1 (ms since the video's first event), value, k."""
     e = load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))

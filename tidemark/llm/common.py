@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,28 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES
         yield held
 
 
+_held: list = []
+
+
+def worker_cache(make):
+    """Keeps what make(*arguments) gave last, for later tasks of the same Python worker.
+
+    A call drops what the other functions so marked hold: a worker serves one operator at a time, and a
+    reused one mustn't pile up the tables of all that it has served.
+    """
+    own = lru_cache(maxsize=1)(make)
+    _held.append(own)
+
+    @wraps(make)
+    def get(*arguments):
+        for other in _held:
+            if other is not own:
+                other.cache_clear()
+        return own(*arguments)
+
+    return get
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the word."""
     x = x.astype(np.uint64, copy=True)

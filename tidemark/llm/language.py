@@ -10,14 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import blocks, fold, table
+from tidemark.llm.common import blocks, fold, table, worker_cache
 
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: texts and bytes a language.
@@ -106,7 +106,7 @@ class Compressors:
         return self.langs[best], margin, margin >= MIN_MARGIN
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> Compressors:
     return Compressors(dictionaries)
 

@@ -16,7 +16,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, table
+from tidemark.llm.common import blocks, table, worker_cache
 
 
 class Merges:
@@ -169,7 +168,7 @@ class Merges:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def merges(path: str, pattern: str) -> Merges:
     return Merges(path, pattern)
 

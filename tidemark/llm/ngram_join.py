@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, blocks, mix, table, written
+from tidemark.llm.common import WordHashes, blocks, mix, table, worker_cache, written
 from tidemark.llm.graph import components
 
 WORDS = 5
@@ -35,6 +35,8 @@ BAND, PARTS = 1.8, 1.25
 SMALL = 8
 #: The most frequent shingles that only help to order projections; results don't depend on them.
 FREQUENT = 100_000
+#: Bytes of text that a task works on at once.
+TEXT = 8 << 20
 #: Signatures a bucket should hold.
 BUCKET = 500_000
 #: Candidate documents up to which their ids are broadcast (16 bytes each).
@@ -55,7 +57,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(mix(h))
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def words() -> WordHashes:
     return WordHashes()
 
@@ -123,7 +125,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words()
-        for ids, texts in blocks(batches, 1):
+        for ids, texts in blocks(batches, 1, TEXT):
             sets: dict[int, np.ndarray] = {}
             sizes, nodes = [], []
             for t in texts:
@@ -151,7 +153,7 @@ def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int, id_col: str
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words()
-        for (texts,) in blocks(batches, 0):
+        for (texts,) in blocks(batches, 0, TEXT):
             seen: set[int] = set()
             found, names = [], []
             for t in texts:
@@ -209,12 +211,12 @@ def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int, id_col: str
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set: one bit flips for each element, in at least 8 bits an element.
+    """Parity bits of a set: one bit flips for each element, in at least 4 bits an element.
 
     The bits in which two sketches of one length differ are at most as many as the elements in which the
     sets differ. A sketch is halved by xor of its halves.
     """
-    size = 1 << max(6, int(8 * len(s) - 1).bit_length())
+    size = 1 << max(6, int(4 * len(s) - 1).bit_length())
     return np.packbits((np.bincount((mix(s) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
 
 
@@ -238,35 +240,62 @@ def across(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids for a join: broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, rep, s (sorted hashes, 8 bytes each), n, sketch of the wanted (node, rep): made of the text of the document rep."""
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(ids, "rep")
+    """node, rep, s (sorted hashes, their lower 6 bytes), n, sketch of the wanted (node, rep): made of the text of the document rep."""
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(few(wanted), "rep")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words()
         for reps, texts, nodes in blocks(batches, 1, 4 << 20):
             made = [shingles(w.of(t)) for t in texts]
             on = [i for i, s in enumerate(made) if len(s) and node_of(s) == nodes[i]]  # an id may have other texts
+            low = [np.sort(made[i] & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in on]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in on], pa.int64()), pa.array([reps[i] for i in on], pa.int64()), pa.array([made[i].tobytes() for i in on], pa.binary()), pa.array([len(made[i]) for i in on], pa.int64()), pa.array([sketch(made[i]) for i in on], pa.binary())],
+                [pa.array([nodes[i] for i in on], pa.int64()), pa.array([reps[i] for i in on], pa.int64()), pa.array(low, pa.binary()), pa.array([len(made[i]) for i in on], pa.int64()), pa.array([sketch(made[i]) for i in on], pa.binary())],
                 names=["node", "rep", "s", "n", "sketch"],
             )
 
     return rows.select("rep", "text", "node").mapInArrow(make, "node long, rep long, s binary, n long, sketch binary")
 
 
+def _set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def able(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            on = []
+            for i in range(len(a)):
+                k = min(len(x[i]), len(y[i]))
+                u, v = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, k), axis=0) for z in (x[i], y[i]))
+                on.append(int(np.bitwise_count((u ^ v).view("<u8")).sum()) * (UNDER + OVER) <= (n[i] + m[i]) * (UNDER - OVER))
+            yield batch.select([0, 1]).filter(pa.array(on, pa.bool_()))
+
+    sized = sets.select("node", "n", "sketch")
+    two = pairs.join(sized.withColumnsRenamed({"node": "a", "n": "n_a", "sketch": "x"}), "a").join(sized.withColumnsRenamed({"node": "b", "n": "n_b", "sketch": "y"}), "b")
+    two = two.filter(F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER)
+    return two.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(look, "a long, b long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: ids of the documents of those pairs (of names) whose whole sets are similar."""
-    sized = sets.select("node", "n")
-    able = pairs.join(sized.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(sized.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-    able = able.filter(F.least("n_a", "n_b") * UNDER >= F.greatest("n_a", "n_b") * OVER).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for i, j, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                u, v = _set(x), _set(y)
                 at = np.searchsorted(u, v)
                 both = int((u[np.minimum(at, len(u) - 1)] == v).sum())
                 if both * UNDER >= (len(u) + len(v) - both) * OVER:
@@ -274,9 +303,10 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     b.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("s").alias("s_b"))
-    return able.join(left, "a").join(right, "b").select("rep_a", "rep_b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    on = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = sets.select("node", "rep", "s").join(few(on), "node", "left_semi")
+    left, right = (some.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("rep_a", "rep_b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,13 +327,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     near = written(spark, candidates(docs, frequent, max(4 * parts, int(total * 0.5) // BUCKET), id_col, text_col), "near")
     pairs = written(spark, near.filter("grp is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names.filter("rep is not null").select("node", "rep"), "node")
-    sets = sets_of(docs, written(spark, wanted, "wanted"), id_col, text_col)
-    sets = written(spark, sets.dropDuplicates(["node"]), "sets")  # an id may stand on several rows
-    first = written(spark, similar(pairs, sets), "verified")
-    roots = components(spark, first)
+    sets = written(spark, sets_of(docs, written(spark, wanted, "wanted"), id_col, text_col), "sets")
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # an id may stand on several rows
+        sets = written(spark, sets.dropDuplicates(["node"]), "sets")
+    able_ = written(spark, able(pairs, sets), "able")
+
+    def labels(roots: DataFrame) -> DataFrame:
+        label = names.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+        return written(spark, label, "label")
+
+    # one pair of each set first; then, of the other pairs, those that aren't in one component yet
+    forest = written(spark, able_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
+    roots = components(spark, similar(forest, sets))
+    label = labels(roots)
+    rest = able_.join(forest, ["a", "b"], "left_anti").join(label.withColumnsRenamed({"node": "a", "root": "root_a"}), "a").join(label.withColumnsRenamed({"node": "b", "root": "root_b"}), "b")
+    rest = written(spark, rest.filter("root_a <> root_b").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        roots = components(spark, roots.unionByName(similar(rest, sets)))
+        label = labels(roots)
     # large groups whose members aren't in one component yet: the pairs across components are compared too
-    label = names.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
-    members = near.filter("grp is not null").select("grp", F.col("a").alias("node")).join(written(spark, label, "label"), "node")
+    members = near.filter("grp is not null").select("grp", F.col("a").alias("node")).join(label, "node")
     members = written(spark, members, "members")
     mixed = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("grp")
     open_ = written(spark, members.join(mixed, "grp").join(sets.select("node", "n", "sketch"), "node").select("grp", "node", "root", "n", "sketch"), "open")

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, blocks, fold, shared_dir, table
+from tidemark.llm.common import WordHashes, blocks, fold, shared_dir, table, worker_cache
 
 DEPTH = 2
 P_MIN = 1e-4
@@ -38,7 +38,7 @@ BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<long>,
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def _words() -> WordHashes:
     return WordHashes()
 

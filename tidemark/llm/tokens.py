@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 
+from tidemark.llm.common import worker_cache
+
 #: A letter run and a run of punctuation: the pre-tokenizers part them there.
 _ENDED = re.compile(r"(\s?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)").fullmatch
 #: A letter run that is one pre-token and that no normaliser changes but for its case.
@@ -25,7 +26,7 @@ class Pieces(dict):
     """Token ids by piece, as little-endian bytes of `width` bytes an id; `encode` gives those of texts."""
 
     #: Pieces held in two generations: when the newer is full it replaces the older, and pieces still in use move up.
-    LIMIT = 800_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         import json
@@ -83,7 +84,7 @@ class Pieces(dict):
         return out
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def pieces(path: str) -> Pieces:
     """One for each file and Python worker, so that its cache serves later tasks as well."""
     return Pieces(path)

@@ -30,7 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the least id.
 
-    Documents without words are linked with nothing and stay. Equal rows of one id become one row.
+    Documents without words are linked with nothing and stay. Equal rows of one id become one row; rows
+    without an id can't be named and stay.
     """
     found = written(spark, ngram_join.join(docs), "near")
     drop = found.filter("doc_id <> component_id").select("doc_id").distinct()

@@ -62,12 +62,8 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1001, dtype=np.int64)
         for (texts,) in blocks(batches, 0, CHUNK):
-            for t in texts:
-                total += tile_histogram(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)) if len(t) > 1 << 15 else 0
-            # one more byte pads each text to whole tiles of its own
-            short = [t.encode("utf-8", "surrogatepass") for t in texts if len(t) <= 1 << 15]
-            whole = b"".join(b[: len(b) // WINDOW * WINDOW] for b in short)
-            total += tile_histogram(np.frombuffer(whole, dtype=np.uint8))
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            total += tile_histogram(np.frombuffer(b"".join(r[: len(r) // WINDOW * WINDOW] for r in raw), dtype=np.uint8))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["level", "n"])
 

@@ -11,7 +11,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ UNKNOWN = "und"
 SAMPLE_TEXTS, SAMPLE_BYTES = 128, 128 << 10
 RUN = 4096
 LEVEL = 9
+#: Texts of fewer bytes are compressed at a level that searches further: few of their matches decide.
+SHORT, SHORT_LEVEL = 256, 12
 #: A smaller relative margin is a rejection.
 MIN_MARGIN = 0.002
 
@@ -82,14 +83,19 @@ class Compressors:
         import zstandard as z
 
         self.langs = [lang for lang, _ in dictionaries]
-        self.compress = []
-        for _, raw in dictionaries:
+
+        def compressor(raw: bytes, level: int):
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.compress.append(z.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+            d.precompute_compress(level=level)
+            return z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+
+        self.compress = [compressor(raw, LEVEL) for _, raw in dictionaries]
+        self.further = [compressor(raw, SHORT_LEVEL) for _, raw in dictionaries]
 
     def sizes(self, text: str) -> list[int]:
         raw = letters(text)
+        if len(raw) < SHORT:
+            return [len(c(raw)) for c in self.further]
         runs = [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
         return [sum(len(c(r)) for r in runs) for c in self.compress]
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.registry import query
+from tidemark import streaming
+from tidemark.registry import ORACLE, query
+from tidemark.session import scratch
 from tidemark.tables import load, small
 
 
@@ -176,3 +178,20 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     g = e.groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n"))
     return g.select("user_id", F.unix_seconds("a").alias("began"), F.unix_seconds("b").alias("ended"), "n")
+
+
+def live(spark: SparkSession, d: str) -> DataFrame:
+    """The events file as a stream."""
+    return streaming.events_stream(spark, d, load(spark, d, "events").schema, only="events.parquet")
+
+
+@query("stream_live_tumbling", ORACLE["stream_tumbling"])
+def live_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """The tumbling windows as Structured Streaming computes them, in complete mode."""
+    return streaming.completed(streaming.tumbling_windows(live(spark, d)), scratch(spark, "out"), scratch(spark, "state"))
+
+
+@query("stream_live_sessions", ORACLE["stream_session"])
+def live_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions as Structured Streaming computes them, in complete mode."""
+    return streaming.completed(streaming.session_windows(live(spark, d)), scratch(spark, "out"), scratch(spark, "state"))

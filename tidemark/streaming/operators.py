@@ -18,9 +18,9 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1, late: str = "1 hour") -> DataFrame:
-    """Files of a folder as a stream with a watermark on `at`; files_per_trigger bounds each batch."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def events_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1, late: str = "1 hour", only: str = "*") -> DataFrame:
+    """Files of a folder (those whose names match `only`) as a stream with a watermark on `at`; files_per_trigger bounds each batch."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(folder)
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
@@ -87,6 +87,17 @@ def run_available(rows: DataFrame, name: str, mode: str, checkpoint: str) -> Dat
     return rows.sparkSession.table(name)
 
 
+def completed(rows: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Everything there now in complete mode: each micro-batch's whole result replaces the folder's Parquet files."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    q = rows.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def upserted(rows: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """foreachBatch into a Parquet folder of one subfolder a batch: a batch run again replaces its own subfolder."""
 

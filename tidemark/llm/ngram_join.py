@@ -39,6 +39,8 @@ FREQUENT = 100_000
 TEXT = 8 << 20
 #: Signatures a bucket should hold.
 BUCKET = 500_000
+#: Members of large groups that a task should look at together.
+MEMBERS = 20_000
 #: Candidate documents up to which their ids are broadcast (16 bytes each).
 BROADCAST = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -221,23 +223,30 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def across(table: pa.Table) -> pa.Table:
-    """Pairs of a large group's members of different components that may be similar by their sizes and sketches."""
-    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
-    raw = table.column("sketch").to_pylist()
-    least = min(map(len, raw))
-    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r, np.uint8).reshape(-1, least), axis=0) for r in raw]).view("<u8")
-    _, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    order = np.lexsort((node, which, -sizes[which]))  # the members of the largest component first
-    node, root, n, bits = node[order], root[order], n[order], bits[order]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(int(sizes.max()), len(node)):
-        j = np.flatnonzero((root[:i] != root[i]) & (np.minimum(n[:i], n[i]) * UNDER >= np.maximum(n[:i], n[i]) * OVER))
-        if len(j):
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            j = j[apart * (UNDER + OVER) <= (n[j] + n[i]) * (UNDER - OVER)]
-            a.append(np.minimum(node[j], node[i]))
-            b.append(np.maximum(node[j], node[i]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    """Pairs of members of one large group, but of different components, that may be similar by sizes and sketches.
+
+    The table holds many groups; a pair that several of them have comes once.
+    """
+    every, node_, root_, n_ = (table.column(c).to_numpy() for c in ("grp", "node", "root", "n"))
+    raw_ = table.column("sketch").to_pylist()
+    order = np.argsort(every, kind="stable")
+    found = [np.zeros((2, 0), np.int64)]
+    for rows in np.split(order, np.flatnonzero(np.diff(every[order])) + 1):
+        node, root, n = node_[rows], root_[rows], n_[rows]
+        raw = [raw_[i] for i in rows.tolist()]
+        least = min(map(len, raw))
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r, np.uint8).reshape(-1, least), axis=0) for r in raw]).view("<u8")
+        _, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        by = np.lexsort((node, which, -sizes[which]))  # the members of the largest component first
+        node, root, n, bits = node[by], root[by], n[by], bits[by]
+        for i in range(int(sizes.max()), len(node)):
+            j = np.flatnonzero((root[:i] != root[i]) & (np.minimum(n[:i], n[i]) * UNDER >= np.maximum(n[:i], n[i]) * OVER))
+            if len(j):
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                j = j[apart * (UNDER + OVER) <= (n[j] + n[i]) * (UNDER - OVER)]
+                found.append(np.stack((np.minimum(node[j], node[i]), np.maximum(node[j], node[i]))))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -350,8 +359,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = written(spark, members, "members")
     mixed = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("grp")
     open_ = written(spark, members.join(mixed, "grp").join(sets.select("node", "n", "sketch"), "node").select("grp", "node", "root", "n", "sketch"), "open")
-    if not open_.isEmpty():
-        more = open_.groupBy("grp").applyInArrow(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    n_open = open_.count()
+    if n_open:
+        some = open_.withColumn("bucket", F.pmod("grp", F.lit(-(-n_open // MEMBERS)))).groupBy("bucket")
+        more = some.applyInArrow(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         roots = components(spark, roots.unionByName(similar(written(spark, more, "more"), sets)))
     named = names.join(roots.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").filter("root is not null or copies > 1")
     named = written(spark, named.select("node", F.coalesce("root", "rep").alias("component")), "components")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -37,10 +38,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows for what runs inside: a batch of texts is held several times over on its way to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: the lineage is cut, and columns prune."""
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,6 +21,8 @@ from tidemark.llm.common import blocks, mix, table, written
 from tidemark.llm.tokens import pieces
 
 FEATURES, DIMENSIONS, BITS = 64, 3, 16
+#: Ids in a row on their way to their place on the curve, at most.
+CUT = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -72,7 +74,11 @@ def keys(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (a hash of the text, for ties), key (on the curve), ids (little-endian, with the end id)."""
+    """id, h (a hash of the text, for ties), key (on the curve), start, total, ids (little-endian, with the end id).
+
+    A long document gives a row for each CUT ids (start: those before), so that rows of one range are about
+    equal in size: long documents lie close together on the curve.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
 
@@ -80,12 +86,18 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         enc = pieces(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         size = enc.tokenizer.get_vocab_size()
-        for ids, texts, h in blocks(batches, 1):
+        for ids, texts, h in blocks(batches, 1, 4 << 20):
             got = enc.encode(texts)
             key = keys([np.frombuffer(x, enc.dtype) for x in got], size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array([x + end for x in got], pa.binary()), pa.array([enc.width] * len(ids), pa.int32())], names=["id", "h", "key", "ids", "width"])
+            got = [x + end for x in got]
+            size_ = [len(x) // enc.width for x in got]
+            parts = [(i, at) for i, n in enumerate(size_) for at in range(0, n, CUT)]
+            of = np.array([i for i, _ in parts])
+            take = lambda x: pa.array([x[i] for i, _ in parts], pa.int64())
+            cut = [got[i][at * enc.width : (at + CUT) * enc.width] for i, at in parts]
+            yield pa.RecordBatch.from_arrays([take(ids), take(h), pa.array(key[of]), pa.array([at for _, at in parts], pa.int64()), take(size_), pa.array(cut, pa.binary()), pa.array([enc.width] * len(parts), pa.int32())], names=["id", "h", "key", "start", "total", "ids", "width"])
 
-    return rows.select("id", "text", "h").mapInArrow(encode, "id long, h long, key long, ids binary, width int")
+    return rows.select("id", "text", "h").mapInArrow(encode, "id long, h long, key long, start long, total long, ids binary, width int")
 
 
 class Packer:
@@ -96,11 +108,11 @@ class Packer:
         self.open: list[list] = []
         self.out: list[list] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        at, total = 0, len(ids)
-        while at < total:
-            n = min(total - at, self.length - self.used)
-            self.open.append([doc_id, at, n, ids[at : at + n], total, self.sequence, self.used])
+    def add(self, doc_id: int | None, start: int, ids: np.ndarray, total: int) -> None:
+        at = 0
+        while at < len(ids):
+            n = min(len(ids) - at, self.length - self.used)
+            self.open.append([doc_id, start + at, n, ids[at : at + n], total, self.sequence, self.used])
             at += n
             self.used += n
             if self.used == self.length:
@@ -144,16 +156,16 @@ def pack(encoded_docs: DataFrame, length: int = 1024) -> DataFrame:
     A null id stays null; every document has its end id at least, so each gives a piece.
     """
     n = int(encoded_docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", F.asc_nulls_first("id"), "h"]
-    rows = encoded_docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "ids", "width")
+    order = ["key", F.asc_nulls_first("id"), "h", "start"]
+    rows = encoded_docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "start", "total", "ids", "width")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         packer = Packer(TaskContext.get().partitionId() << 40, length)
         for batch in batches:
-            for doc_id, ids, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                packer.add(doc_id, np.frombuffer(ids, f"<u{width}"))
+            for doc_id, start, total, ids, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                packer.add(doc_id, start, np.frombuffer(ids, f"<u{width}"), total)
                 if len(packer.out) >= 5000:
                     yield packer.taken()
         packer.done()

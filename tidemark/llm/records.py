@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, filesystem, shared_dir, table
+from tidemark.llm.common import blocks, filesystem, shared_dir, short_batches, table
 from tidemark.llm.tokens import pieces
 
 MAGIC = b"TMIDX001"
@@ -94,7 +94,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         fs.create_dir(path)
         out, index = None, []
         at = before = 0
-        for ids, texts, _ in blocks(batches, 1):
+        for ids, texts, _ in blocks(batches, 1, 4 << 20):
             out = out or fs.open_output_stream(f"{path}/.part-{part:05d}.{attempt}")
             for doc_id, got in zip(ids, enc.encode(texts), strict=True):
                 made = frame(payload_of(doc_id, enc.width, got + end))
@@ -112,7 +112,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         fs.move(f"{path}/.part-{part:05d}.{attempt}.i", f"{path}/part-{part:05d}.idx")
         yield pa.RecordBatch.from_pydict({"part": [part], "records": [len(index)], "ids": [before]})
 
-    made = rows.mapInArrow(save, "part long, records long, ids long").collect()  # a row for each file
+    with short_batches(spark):
+        made = rows.mapInArrow(save, "part long, records long, ids long").collect()  # a row for each file
     return Shards(folder, tuple(sorted((r.part, r.records, r.ids) for r in made)))
 
 

@@ -26,7 +26,7 @@ class Pieces(dict):
     """Token ids by piece, as little-endian bytes of `width` bytes an id; `encode` gives those of texts."""
 
     #: Pieces held in two generations: when the newer is full it replaces the older, and pieces still in use move up.
-    LIMIT = 600_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         import json

@@ -54,7 +54,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The pieces of all documents in sequences of 1024 tokens; see tidemark.llm.packing."""
     import public_tokenizers
 
-    return packing.pack_texts(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # the workers have served other stages before, so a smaller cache of pieces, at some cost of time
+    return packing.pack_texts(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), held=400_000)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

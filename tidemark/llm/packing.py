@@ -73,7 +73,7 @@ def keys(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", held: int | None = None) -> DataFrame:
     """id, h (a hash of the text, for ties), key (on the curve), start, total, ids (little-endian, with the end id).
 
     A long document gives a row for each CUT ids (start: those before), so that rows of one range are about
@@ -83,10 +83,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
     rows = rows.withColumn("h", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = pieces(tokenizer)
+        enc = pieces(tokenizer, held)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         size = enc.tokenizer.get_vocab_size()
-        for ids, texts, h in blocks(batches, 1, 4 << 20):
+        for ids, texts, h in blocks(batches, 1, 12 << 20):
             got = enc.encode(texts)
             key = keys([np.frombuffer(x, enc.dtype) for x in got], size)
             got = [x + end for x in got]
@@ -174,9 +174,9 @@ def pack(encoded_docs: DataFrame, length: int = 1024) -> DataFrame:
     return rows.mapInArrow(lay, PIECES)
 
 
-def pack_texts(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024) -> DataFrame:
-    """Pieces of all documents; see `pack`. A null text is empty."""
-    return pack(written(spark, encoded(docs, tokenizer, end_id), "encoded"), length)
+def pack_texts(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, held: int | None = None) -> DataFrame:
+    """Pieces of all documents; see `pack`. A null text is empty. `held`: text pieces whose ids a worker keeps, about 200 bytes each."""
+    return pack(written(spark, encoded(docs, tokenizer, end_id, held=held), "encoded"), length)
 
 
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         fs.create_dir(path)
         out, index = None, []
         at = before = 0
-        for ids, texts, _ in blocks(batches, 1, 4 << 20):
+        for ids, texts, _ in blocks(batches, 1, 12 << 20):
             out = out or fs.open_output_stream(f"{path}/.part-{part:05d}.{attempt}")
             for doc_id, got in zip(ids, enc.encode(texts), strict=True):
                 made = frame(payload_of(doc_id, enc.width, got + end))

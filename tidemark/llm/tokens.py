@@ -26,9 +26,9 @@ class Pieces(dict):
     """Token ids by piece, as little-endian bytes of `width` bytes an id; `encode` gives those of texts."""
 
     #: Pieces held in two generations: when the newer is full it replaces the older, and pieces still in use move up.
-    LIMIT = 400_000
+    LIMIT = 1_200_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int | None = None):
         import json
         import os
 
@@ -37,6 +37,7 @@ class Pieces(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        self.LIMIT = limit or self.LIMIT
         self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
@@ -85,6 +86,6 @@ class Pieces(dict):
 
 
 @worker_cache
-def pieces(path: str) -> Pieces:
+def pieces(path: str, limit: int | None = None) -> Pieces:
     """One for each file and Python worker, so that its cache serves later tasks as well."""
-    return Pieces(path)
+    return Pieces(path, limit)

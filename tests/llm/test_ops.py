@@ -362,6 +362,44 @@ def test_contexts_help(spark):
     assert all(r.score > 0.8 * r.base_score for r in got)
 
 
+def tree_scores(rows: list[tuple[int, str, bool]]) -> dict[int, float]:
+    """The model in plain Python."""
+    tok = [(i, [*t.encode().lower().split(), None], h) for i, t, h in rows]
+    c = Counter(tuple(ws[j - d : j + 1]) for _, ws, h in tok if not h for j in range(len(ws)) for d in range(min(j, suffix_tree.DEPTH) + 1))
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    after = defaultdict(dict)
+    for g, k in c.items():
+        if len(g) > 1:
+            after[g[:-1]][g[-1]] = k
+    after = {g: x for g, x in after.items() if c[g] >= suffix_tree.MIN_COUNT}
+
+    def p(g, w):
+        if not g:
+            return (c[w,] + 1) / (n + v + 1)
+        x = after[g]
+        return (x.get(w, 0) + len(x) * p(g[1:], w)) / (c[g] + len(x))
+
+    gain = lambda g, x: sum(k * math.log2((k - 1 + len(x) * p(g[1:], w)) / (c[g] - 1 + len(x)) / p(g[1:], w)) for w, k in x.items())
+    kept = {g for g, x in after.items() if gain(g, x) / c[g] > suffix_tree.MIN_GAIN} | {()}
+    longest = lambda ws, j: next(g for d in range(min(j, suffix_tree.DEPTH), -1, -1) if (g := tuple(ws[j - d : j])) in kept)
+    return {i: sum(math.log10(p(longest(ws, j), ws[j])) for j in range(len(ws))) for i, ws, _ in tok}
+
+
+@pytest.mark.parametrize("heavy", [20, 1 << 17])
+def test_contexts_are_gathered_by_absolute_counts(spark, monkeypatch, heavy):
+    """`rare` is under 1e-4 of the tokens; what follows `m n` is told by the word before them."""
+    monkeypatch.setattr(suffix_tree, "HEAVY", heavy)
+    r = random.Random(3)
+    some = lambda k: " ".join(r.choice("abcdefgh") for _ in range(k))
+    rows = [(i, f"{some(5000)} " + " ".join(f"{s} m n {e} {some(1)}" for s, e in [("p", "u"), ("q", "v")] * 20) + (" rare next" if i < 20 else ""), i == 20) for i in range(60)]
+    rows += [(100, "rare next", True), (101, "p m n u", True), (102, "", True)]
+    got = {x.doc_id: x for x in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3), "held").collect()}
+    want = tree_scores(rows)
+    assert {i: round(x.score, 5) for i, x in got.items()} == {i: round(x, 5) for i, x in want.items()}
+    assert got[100].score > got[100].base_score + 2
+    assert got[101].score > got[101].base_score + 4
+
+
 # --- op 9
 
 

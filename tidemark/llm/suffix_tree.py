@@ -1,19 +1,23 @@
 """Op 8: scoring by a probabilistic suffix tree over words.
 
-Contexts of 1 to DEPTH words are candidates if they make up a share P_MIN of the training tokens at least.
-A candidate is retained if coding what follows it by its own distribution saves bits over its suffix's, by
-leave-one-out counts: the divergence that would also hold for unseen text. Distributions are smoothed
-towards the next shorter context (Witten-Bell), at the root by adding one to each count and one unknown
-word. A token is scored in the longest retained suffix of what precedes it in its document.
+Contexts of 1 to DEPTH words are candidates if they occur MIN_COUNT times in the training tokens, however
+many those are. A candidate is retained if coding what follows it by its own distribution saves bits over
+its suffix's, by leave-one-out counts: the divergence that would also hold for unseen text. Distributions
+are smoothed towards the next shorter context (Witten-Bell), at the root by adding one to each count and one
+unknown word. A token is scored in the longest retained suffix of what precedes it in its document.
 
 The corpus is coded once, in blocks of documents: distinct words as hashes, tokens as indices. For each
-depth every block sends its distinct (context, word) keys with their counts to hash-range buckets, which
-add them up and send each block its totals back. No table of words or contexts is held whole anywhere,
-except the candidate contexts, of which there are at most 1 / P_MIN at each depth.
+depth every block sends its distinct (context, word) keys with their counts, and the probability one context
+shorter (single precision), to hash-range buckets. A context of up to HEAVY occurrences has all its keys in
+one bucket, which decides on it; of the others, at most a HEAVY-th of the tokens, the keys are spread and the
+buckets' sums are added. Blocks get back each key's total, the number of words seen after its context and
+whether that is retained. The total of n words is also the count of the context that they make for the next
+depth. No table of words or contexts is held whole anywhere.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,21 +27,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, blocks, fold, shared_dir, table, worker_cache
+from tidemark.llm.common import WordHashes, blocks, fold, mix, shared_dir, table, worker_cache
 
-DEPTH = 2
-P_MIN = 1e-4
+DEPTH = 4
 MIN_COUNT = 16
 #: Bits a token that a context must save to be retained.
 MIN_GAIN = 0.01
-#: Keys a bucket should hold.
-BUCKET = 1_000_000
+#: Occurrences beyond which a context's keys are spread over the buckets.
+HEAVY = 1 << 17
+#: Rounds in which the buckets of a depth are served, one third or half of them at a time: less disk at once.
+ROUNDS = {1: 3, 2: 2}
+#: Training and other tokens a bucket.
+BUCKET = 2_000_000
+#: Text bytes of a block.
+BYTES = 8 << 20
 END = 0xE4D0F7E47E4D5EED
-_LOW = 14
-BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, codes binary, train long"
+BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, codes binary, train long, tokens long"
+SENT = "bucket long, block long, n long, keys binary, counts binary, contexts binary, below binary, heavy binary"
+REPLIES = "kind int, block long, bucket long, n long, totals binary, kinds binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The array's bytes plane by plane, compressed."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
+    k = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * k, codec="zstd", asbytes=True), dtype=np.uint8).reshape(k, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 @worker_cache
 def _words() -> WordHashes:
     return WordHashes()
@@ -51,14 +72,14 @@ def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFra
         from pyspark import TaskContext
 
         w, end = _words(), np.array([END], dtype=np.uint64)
-        for i, (ids, held, texts) in enumerate(blocks(batches, 2)):
+        for i, (ids, held, texts) in enumerate(blocks(batches, 2, BYTES)):
             docs = [np.concatenate((w.of(t), end)) for t in texts]
             lengths = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
             vocab, codes = np.unique(np.concatenate(docs), return_inverse=True)
             train = int(lengths[~np.array(held, dtype=bool)].sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() << 24 | i], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([codes.astype("<u4").tobytes()], pa.binary()), pa.array([train], pa.int64())],
-                names=["block", "ids", "held", "lengths", "vocab", "codes", "train"],
+                [pa.array([TaskContext.get().partitionId() << 24 | i], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([packed(codes.astype("<u4"))], pa.binary()), pa.array([train], pa.int64()), pa.array([len(codes)], pa.int64())],
+                names=["block", "ids", "held", "lengths", "vocab", "codes", "train", "tokens"],
             )
 
     return rows.mapInArrow(run, BLOCKS)
@@ -66,136 +87,182 @@ def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFra
 
 @dataclass
 class Model:
-    """What every task gets: totals, and for each depth its candidate contexts (sorted keys), their counts, numbers of distinct followers, and whether they are retained."""
+    """What every task gets: totals, the least count of a context, and by depth the contexts of over `heavy` occurrences (sorted), their numbers of distinct followers, and whether they are retained."""
 
     tokens: int
     words: int
+    least: int
+    heavy: int
     contexts: list[np.ndarray]
-    counts: list[np.ndarray]
-    distinct: list[np.ndarray]
+    kinds: list[np.ndarray]
     retained: list[np.ndarray]
 
 
 class Block:
-    """A block's tokens, and by depth where its keys lie."""
+    """A block's tokens, walked depth by depth: deepen() finds the keys, take() gives them what the buckets replied."""
 
-    def __init__(self, row: dict, contexts: list[np.ndarray]):
-        self.ids, self.held = row["ids"], np.array(row["held"], dtype=bool)
+    def __init__(self, row: dict, m: Model):
+        self.m, self.ids, self.held = m, row["ids"], np.array(row["held"], dtype=bool)
         self.lengths = np.array(row["lengths"], dtype=np.int64)
-        vocab = np.frombuffer(row["vocab"], dtype="<u8")
-        self.codes = np.frombuffer(row["codes"], dtype="<u4")
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.keys = np.frombuffer(row["vocab"], dtype="<u8")
+        #: for the places of this depth, which of the distinct keys they have
+        self.which = unpacked(row["codes"], row["tokens"], "<u4").astype(np.int64)
+        self.at = np.arange(len(self.which))
+        self.word = self.hash = self.keys[self.which]
         self.train = np.repeat(~self.held, self.lengths)
-        starts = np.cumsum(self.lengths) - self.lengths
-        inner = np.ones(len(self.codes), dtype=bool)
-        inner[starts] = False
-        #: by depth: places that have a candidate context, its number there, the distinct keys, and which of them each place has
-        self.places: list[np.ndarray] = [np.arange(len(self.codes))]
-        self.context: list[np.ndarray] = [np.zeros(len(self.codes), dtype=np.int64)]
-        self.keys: list[np.ndarray] = [vocab]
-        self.which: list[np.ndarray] = [self.codes.astype(np.int64)]
-        key = vocab[self.codes]
-        upper = key >> np.uint64(_LOW) << np.uint64(_LOW)
-        at = np.arange(len(self.codes))
-        for own in contexts:
-            after = at[:-1] if len(at) and at[-1] == len(self.codes) - 1 else at
-            got = key[: len(after)]
-            n = np.minimum(np.searchsorted(own, got), max(0, len(own) - 1))
-            ok = (own[n] == got) & inner[after + 1] if len(own) else np.zeros(len(after), dtype=bool)
-            at, n = after[ok] + 1, n[ok]
-            key = upper[at] | n.astype(np.uint64)
-            keys, which = np.unique(key, return_inverse=True)
-            self.places.append(at)
-            self.context.append(n)
-            self.keys.append(keys)
-            self.which.append(which)
-
-    def counts(self, depth: int) -> np.ndarray:
-        """Training occurrences in this block of each distinct key."""
-        return np.bincount(self.which[depth][self.train[self.places[depth]]], minlength=len(self.keys[depth]))
-
-    def chain(self, m: Model, totals: list[np.ndarray], loo: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """By depth: each place's probability (for the places of that depth), and the same with `loo` own occurrences taken out."""
-        low = (totals[0][self.which[0]] + 1.0) / (m.tokens + m.words + 1)
-        yield low, low
-        full = np.empty(len(self.codes))
-        full[:] = low
-        for d in range(1, len(self.places)):
-            at, n = self.places[d], self.context[d]
-            c = totals[d][self.which[d]].astype(float)
-            size, kinds = m.counts[d - 1][n].astype(float), m.distinct[d - 1][n].astype(float)
-            below = full[at]
-            p = (c + kinds * below) / (size + kinds)
-            yield p, (np.maximum(c - loo, 0) + kinds * below) / np.maximum(size - loo + kinds, 1)
-            full[at] = p
-
-
-def _slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted keys change from bucket to bucket: equal ranges of their upper half."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        self.inner = np.ones(len(self.which), dtype=bool)
+        self.inner[self.starts] = False
+        self.depth, self.order, self.group = 0, np.arange(len(self.keys)), self.keys
+
+    def deepen(self) -> None:
+        """On to contexts of one word more: those before a place that occur often enough."""
+        self.at = np.flatnonzero((self.seen[:-1] >= self.m.least) & self.inner[1:]) + 1
+        with np.errstate(over="ignore"):
+            key = mix(self.hash[self.at - 1] * np.uint64(0x9E3779B97F4A7C15) ^ self.word[self.at])
+        self.keys, self.which = np.unique(key, return_inverse=True)
+        some = np.empty(len(self.keys), dtype=np.int64)  # a place of each key: all have the same context and shorter probability
+        some[self.which] = self.at
+        self.contexts, self.size, self.below = self.hash[some - 1], self.seen[some - 1], self.full[some]
+        self.spread = self.size > self.m.heavy
+        self.hash = np.zeros(len(self.word), dtype=np.uint64)
+        self.hash[self.at] = key
+        group = np.where(self.spread, self.keys, self.contexts)
+        self.order = np.argsort(group, kind="stable")
+        self.group = group[self.order]
+        self.depth += 1
+
+    def take(self, totals: np.ndarray, kinds: np.ndarray) -> None:
+        """Totals of the keys, and twice the followers of their contexts plus one if retained, both in the order sent."""
+        m, total = self.m, np.empty(len(self.keys), dtype=np.int64)
+        total[self.order] = totals
+        if self.depth:
+            both = np.empty(len(self.keys), dtype=np.int64)
+            both[self.order] = kinds
+            own = m.contexts[self.depth - 1]
+            if self.spread.any():
+                n = np.searchsorted(own, self.contexts[self.spread])
+                both[self.spread] = m.kinds[self.depth - 1][n] * 2 + m.retained[self.depth - 1][n]
+            k = (both >> 1).astype(float)
+            p = (total + k * self.below) / (self.size + k)
+            self.full[self.at] = p[self.which]
+            on = (both & 1).astype(bool)[self.which]
+            self.best[self.at[on]] = self.full[self.at[on]]
+        else:
+            self.full = ((total + 1.0) / (m.tokens + m.words + 1))[self.which]
+            self.base, self.best, self.known = self.full.copy(), self.full.copy(), total[self.which] > 0
+        self.seen = np.zeros(len(self.word), dtype=np.int64)
+        self.seen[self.at] = total[self.which]
 
+    def sent(self, block: int, buckets: int, served: int = 0, rounds: int = 1) -> pa.RecordBatch:
+        """A row for each bucket of a round that this depth's keys go to: equal ranges of the upper half of their groups."""
+        cuts = np.searchsorted((self.group >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        on = np.flatnonzero((cuts[1:] > cuts[:-1]) & (np.arange(buckets) % rounds == served))
+        cut = lambda x, f: pa.array([f(x[cuts[i] : cuts[i + 1]]) for i in on.tolist()], pa.binary())
+        counts = np.bincount(self.which[self.train[self.at]], minlength=len(self.keys)).astype("<u4")
+        more = [self.contexts, self.below.astype("<f4"), self.spread] if self.depth else []
+        columns = [cut(x[self.order], packed) for x in more] or [pa.nulls(len(on), pa.binary())] * 3
+        n = [pa.array(on), pa.array([block] * len(on), pa.int64()), pa.array((cuts[1:] - cuts[:-1])[on])]
+        return pa.RecordBatch.from_arrays([*n, cut(self.keys[self.order], np.ndarray.tobytes), cut(counts[self.order], packed), *columns], names=[c.split()[0] for c in SENT.split(", ")])
 
-def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
-    for i in range(table.num_rows):
-        yield table.slice(i, 1).to_pylist()[0]
 
+def _bits(total: np.ndarray, below: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Bits that a context saves over its suffix where a word follows that did so total times, by counts without the place itself."""
+    return total * np.log2((total - 1 + kinds * below) / np.maximum(size - 1 + kinds, 1) / below)
 
-def exchanged(blocks_: DataFrame, contexts: list[np.ndarray], depth: int, buckets: int, least: int) -> DataFrame:
-    """Kind 0: a block's totals of one bucket, in the order of its keys. Kind 1: a key with a total of `least` or more. Kind 2: for a context, distinct followers in the bucket (depth 0: context 0)."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                b = Block(row, contexts)
-                keys, counts = b.keys[depth], b.counts(depth).astype("<u4")
-                cuts = _slices(keys, buckets)
-                on = np.flatnonzero(cuts[1:] > cuts[:-1])
-                cut = lambda x: [x[cuts[i] : cuts[i + 1]].tobytes() for i in on.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([row["block"]] * len(on), pa.int64()), pa.array(cut(keys), pa.binary()), pa.array(cut(counts), pa.binary())], names=["bucket", "block", "keys", "counts"])
+def added(depth: int):
+    """The work on a bucket, which makes its replies. Kind 0: to a block. Kind 1: a spread context, its followers here (n), their totals and probabilities below. Kind 2 (depth 0): distinct words."""
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()])
-        every, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, counts, len(every)).astype(np.int64)
-        back, at = [], 0
-        for k in keys:
-            back.append(total[which[at : at + len(k)]].astype("<u4").tobytes())
-            at += len(k)
-        many = np.flatnonzero(total >= least)
-        many = many[(every[many] >> np.uint64(_LOW)) != np.uint64(END >> _LOW)]  # nothing follows the end
-        seen = every[total > 0]
-        kinds = np.bincount((seen & np.uint64((1 << _LOW) - 1)).astype(np.int64)) if depth else np.array([len(seen)])
-        on = np.flatnonzero(kinds)
-        n, m, k = len(keys), len(many), len(on)
+        col = {c: table.column(c).to_pylist() for c in table.column_names}
+        n = col["n"]
+        get = lambda c, kind: np.concatenate([unpacked(x, k, kind) for x, k in zip(col[c], n, strict=True)])
+        keys, which = np.unique(np.concatenate([np.frombuffer(k, "<u8") for k in col["keys"]]), return_inverse=True)
+        total = np.bincount(which, get("counts", "<u4"), len(keys)).astype(np.int64)
+        both = np.zeros(len(keys), dtype=np.int64)
+        more: list[tuple[int, int, int, bytes | None, bytes | None]] = []
+        if depth:
+            contexts, below, spread = np.empty(len(keys), dtype=np.uint64), np.empty(len(keys)), np.empty(len(keys), dtype=bool)
+            contexts[which], below[which], spread[which] = get("contexts", "<u8"), get("below", "<f4"), get("heavy", "?")
+            own, place = np.unique(contexts, return_inverse=True)
+            on = total > 0
+            kinds, size = np.bincount(place[on], minlength=len(own)), np.bincount(place, total, len(own))
+            gain = np.bincount(place[on], _bits(total[on], below[on], size[place[on]], kinds[place[on]]), len(own))
+            both = (2 * kinds + (gain > MIN_GAIN * size))[place]
+            both[spread] = 0
+            far = np.flatnonzero(spread & on)
+            far = far[np.argsort(place[far], kind="stable")]
+            cuts = np.flatnonzero(np.diff(place[far], prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                some = far[a:b]
+                more.append((1, int(contexts[some[0]].view(np.int64)), b - a, total[some].astype("<u4").tobytes(), below[some].astype("<f4").tobytes()))
+        else:
+            more.append((2, 0, int((total > 0).sum()), None, None))
+        ends = np.cumsum(n)
+        cut = lambda x: [packed(x[which[b - k : b]].astype("<u4")) for k, b in zip(n, ends.tolist(), strict=True)]
         return pa.table(
             {
-                "kind": pa.array(np.repeat([0, 1, 2], [n, m, k]).astype(np.int32)),
-                "block": pa.concat_arrays([pa.array(table.column("block").to_pylist(), pa.int64()), pa.array(every[many].view(np.int64)), pa.array(on)]),
-                "n": pa.array(np.concatenate((np.repeat(table.column("bucket")[0].as_py(), n), total[many], kinds[on])).astype(np.int64)),
-                "totals": pa.array([*back, *[None] * (m + k)], pa.binary()),
+                "kind": pa.array([0] * len(n) + [x[0] for x in more], pa.int32()),
+                "block": pa.array(col["block"] + [x[1] for x in more], pa.int64()),
+                "bucket": pa.array(col["bucket"] + col["bucket"][:1] * len(more), pa.int64()),
+                "n": pa.array(n + [x[2] for x in more], pa.int64()),
+                "totals": pa.array(cut(total) + [x[3] for x in more], pa.binary()),
+                "kinds": pa.array(cut(both) + [x[4] for x in more], pa.binary()),
             }
         )
 
-    asked = blocks_.mapInArrow(send, "bucket long, block long, keys binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(add, "kind int, block long, n long, totals binary")
+    return add
+
+
+def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    for i in range(table.num_rows):
+        yield table.slice(i, 1).to_pylist()[0]
 
 
-def _with_totals(blocks_: DataFrame, replies: list[DataFrame], model: Model, work, schema: str) -> DataFrame:
-    """work(block, totals by depth) of every block with its replies."""
-    back = reduce(DataFrame.unionByName, [r.filter("kind = 0").select("block", "n", "totals", F.lit(d).alias("depth")) for d, r in enumerate(replies)])
-    contexts, depths = model.contexts, len(replies)
+def _with_replies(blocks_: DataFrame, replies: list[DataFrame], model: Model, work, schema: str) -> DataFrame:
+    """work(block, its number) of every block after it took its replies of all depths so far."""
+    back = reduce(DataFrame.unionByName, [r.filter("kind = 0").select("block", "bucket", "n", "totals", "kinds", F.lit(d).alias("depth")) for d, r in enumerate(replies)])
+    depths = len(replies)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = next(_rows(left))
-        b = Block(row, contexts)
-        parts: list[list[tuple[int, bytes]]] = [[] for _ in range(depths)]
-        for n, raw, d in zip(right.column("n").to_pylist(), right.column("totals").to_pylist(), right.column("depth").to_pylist(), strict=True):
-            parts[d].append((n, raw))
-        return work(b, [np.frombuffer(b"".join(r for _, r in sorted(p)), "<u4") for p in parts])
+        b = Block(row, model)
+        parts: list[list[tuple]] = [[] for _ in range(depths)]
+        for d, *x in zip(*(right.column(c).to_pylist() for c in ("depth", "bucket", "n", "totals", "kinds")), strict=True):
+            parts[d].append(tuple(x))
+        for d, p in enumerate(parts):
+            if d:
+                b.deepen()
+            p.sort(key=lambda x: x[0])
+            b.take(*(np.concatenate([np.zeros(0, "<u4"), *(unpacked(x[i], x[1], "<u4") for x in p)]) for i in (2, 3)))
+        return work(b, row["block"])
 
     return blocks_.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
 
 
+def _spread(reply: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the contexts whose keys were spread (at most a HEAVY-th of the tokens): keys in order, numbers of followers, whether retained."""
+    far = reply.filter("kind = 1")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [int(np.frombuffer(x, "<u4").sum(dtype=np.int64)) for x in batch.column("totals").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("n"), pa.array(size, pa.int64())], names=["block", "n", "size"])
+
+    found = far.select("block", "n", "totals").mapInArrow(sizes, "block long, n long, size long").groupBy("block").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
+    of = {r.block: (r.n, r.size) for r in found}
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gain = [float(_bits(np.frombuffer(t, "<u4").astype(float), np.frombuffer(p, "<f4").astype(float), of[c][1], of[c][0]).sum()) for c, t, p in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(gain, pa.float64())], names=["block", "gain"])
+
+    gain = {r.block: r.gain for r in far.select("block", "totals", "kinds").mapInArrow(gains, "block long, gain double").groupBy("block").agg(F.sum("gain").alias("gain")).collect()} if of else {}
+    order = sorted(of, key=lambda c: c % (1 << 64))
+    return np.array(order, dtype=np.int64).view(np.uint64), np.array([of[c][0] for c in order], dtype=np.int64), np.array([gain[c] > MIN_GAIN * of[c][1] for c in order], dtype=bool)
+
+
 def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -207,61 +274,45 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     path = shared_dir(spark, "coded")
     coded(docs, id_col, text_col, held_out).write.option("compression", "zstd").parquet(path)
     blocks_ = spark.read.schema(BLOCKS).parquet(path)
-    sums = blocks_.agg(F.sum("train"), F.sum(F.octet_length("vocab"))).first()
-    tokens = sums[0] or 0
-    least = max(MIN_COUNT, int(np.ceil(tokens * P_MIN)))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sums[1] or 0) // 8 // BUCKET)
-    model = Model(tokens, 0, [], [], [], [])
-    replies = []
+    sums = blocks_.agg(F.sum("train"), F.sum("tokens")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * max(ROUNDS.values()), (sums[1] or 0) // BUCKET)
+    model = Model(sums[0] or 0, 0, MIN_COUNT, HEAVY, [], [], [])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                yield Block(row, model).sent(row["block"], buckets)
+
+    def further(served: int, rounds: int):
+        def work(b: Block, block: int) -> pa.Table:
+            b.deepen()
+            return pa.Table.from_batches([b.sent(block, buckets, served, rounds)])
+
+        return work
+
+    replies: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        path = shared_dir(spark, f"totals{depth}")
-        exchanged(blocks_, model.contexts, depth, buckets, least).write.option("compression", "zstd").parquet(path)
-        replies.append(spark.read.schema("kind int, block long, n long, totals binary").parquet(path))
-        kinds = {r.block: r.n for r in replies[-1].filter("kind = 2").groupBy("block").agg(F.sum("n").alias("n")).collect()}  # a row a context
+        paths, rounds = [], ROUNDS.get(depth, 1)
+        for served in range(rounds):
+            paths.append(shared_dir(spark, f"totals{depth}"))
+            asked = _with_replies(blocks_, replies, model, further(served, rounds), SENT) if depth else blocks_.mapInArrow(first, SENT)
+            asked.groupBy("bucket").applyInArrow(added(depth), REPLIES).write.option("compression", "zstd").parquet(paths[-1])
+            del asked
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of this round
+        replies.append(spark.read.schema(REPLIES).parquet(*paths))
         if depth:
-            model.distinct.append(np.array([kinds.get(i, 0) for i in range(len(model.contexts[-1]))], dtype=np.int64))
+            for held, x in zip((model.contexts, model.kinds, model.retained), _spread(replies[-1]), strict=True):
+                held.append(x)
         else:
-            model.words = kinds.get(0, 0)
-        if depth < DEPTH:
-            heavy = sorted((r.block % (1 << 64), r.n) for r in replies[-1].filter("kind = 1").select("block", "n").collect())  # at most 1 / P_MIN
-            model.contexts.append(np.array([k for k, _ in heavy], dtype=np.uint64))
-            model.counts.append(np.array([n for _, n in heavy], dtype=np.int64))
-
-    def gains(b: Block, totals: list[np.ndarray]) -> pa.Table:
-        depth, context, gain = [], [], []
-        full = np.zeros(len(b.codes))
-        for d, (p, without) in enumerate(b.chain(model, totals, loo=1)):
-            at = b.places[d]
-            if d:
-                on = b.train[at]
-                g = np.bincount(b.context[d][on], np.log2(without[on] / full[at][on]), len(model.contexts[d - 1]))
-                some = np.flatnonzero(g)
-                depth.append(np.full(len(some), d))
-                context.append(some)
-                gain.append(g[some])
-            full[at] = p
-        return pa.table({"depth": pa.array(np.concatenate(depth).astype(np.int32)), "context": np.concatenate(context).astype(np.int64), "gain": np.concatenate(gain).astype(float)})
-
-    total = _with_totals(blocks_, replies, model, gains, "depth int, context long, gain double").groupBy("depth", "context").agg(F.sum("gain").alias("gain"))
-    model.retained = [np.zeros(len(c), dtype=bool) for c in model.contexts]
-    for r in total.collect():  # a row a candidate
-        model.retained[r.depth - 1][r.context] = r.gain / model.counts[r.depth - 1][r.context] > MIN_GAIN
-
-    def scored(b: Block, totals: list[np.ndarray]) -> pa.Table:
-        best = np.zeros(len(b.codes))
-        for d, (p, _) in enumerate(b.chain(model, totals)):
-            keep = model.retained[d - 1][b.context[d]] if d else slice(None)
-            at = b.places[d][keep]
-            best[at] = p[keep]
-            if not d:
-                base = np.log10(p)
-        known = totals[0][b.which[0]] > 0
-        starts = np.cumsum(b.lengths) - b.lengths
-        add = lambda x: np.add.reduceat(x, starts)
+            model.words = replies[0].filter("kind = 2").agg(F.sum("n")).first()[0] or 0
+
+    def scored(b: Block, _: int) -> pa.Table:
+        add = lambda x: np.add.reduceat(x, b.starts)
         k = len(b.ids)
-        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": b.held, "n_tokens": b.lengths, "n_known": add(known.astype(np.int64)), "train_tokens": np.full(k, model.tokens), "base_score": add(base), "score": add(np.log10(best))})
+        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": b.held, "n_tokens": b.lengths, "n_known": add(b.known.astype(np.int64)), "train_tokens": np.full(k, b.m.tokens), "base_score": add(np.log10(b.base)), "score": add(np.log10(b.best))})
 
-    return _with_totals(blocks_, replies, model, scored, SCORES)
+    return _with_replies(blocks_, replies, model, scored, SCORES)
 
 
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Candidate strings are runs of 20 or more characters of the base64 and URL alphab
 of 20 slides; its Shannon entropy is kept by character class (hex digits; letters and digits) from counts
 that change by the one character that enters and the one that leaves. Windows above their class's
 threshold join to spans of kind `entropy`, unless the candidate is on the allow list or a span of the
-fixed patterns covers them.
+fixed patterns covers them whole.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, base: Sequence[tuple[int, int, int]], allow: Sequence[str] = ALLOW) -> list[tuple[int, int, int]]:
-    """Spans of joined windows that no base span covers and no allow-list entry suppresses."""
+    """Spans of joined windows that no base span covers whole and no allow-list entry suppresses."""
     found = []
     allowed = [re.compile(a) for a in allow] if allow is not ALLOW else _ALLOWED
     for m in _CANDIDATE.finditer(text):
@@ -94,15 +94,15 @@ def entropy_spans(text: str, base: Sequence[tuple[int, int, int]], allow: Sequen
         if s.isalpha() or any(a.search(s) for a in allowed):
             continue
         spans: list[list[int]] = []
+        near = [(x - m.start(), y - m.start()) for x, _, y in base if x < m.end() and m.start() < y]
         for at, _, _ in windows(s):
+            if any(x <= at and at + WINDOW <= y for x, y in near):
+                continue
             if spans and at <= spans[-1][1]:
                 spans[-1][1] = at + WINDOW
             else:
                 spans.append([at, at + WINDOW])
-        for a, b in spans:
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, _, y in base):
-                found.append((a, 3, b))
+        found += [(a + m.start(), 3, b + m.start()) for a, b in spans]
     return found
 
 

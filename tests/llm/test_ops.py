@@ -259,6 +259,19 @@ def test_what_a_base_span_leaves_of_a_run_is_found(text):
     assert secret[-4:] not in secrets.redacted(text.format(*[secret] * 2))
 
 
+@pytest.mark.parametrize("text", ["--key={}", "/opt/{}", "+{}", "/{}", "sample/{}", "{}/example", "dummy-{}", "123e4567-e89b-12d3-a456-426614174000/{}", "{}----{}"])
+def test_the_allow_list_hides_only_what_it_matches(text):
+    secret = "Zq9x7Lp2Vw8Rt4Yn6Bm1Kc3"
+    got = secrets.redacted(text.format(secret, secret))
+    assert secret[:4] not in got
+    assert secret[-4:] not in got
+
+
+def test_the_allow_list_holds():
+    for t in ("sampleZq9x7Lp2Vw8Rt4Yn6Bm1Kc3", "123e4567-e89b-12d3-a456-426614174000", "some/words-and/more_of-them"):
+        assert secrets.redacted(t) == t
+
+
 def test_window_entropy_is_incremental():
     r = random.Random(2)
     for _ in range(50):

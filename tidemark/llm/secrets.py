@@ -3,14 +3,15 @@
 Candidate strings are runs of 20 or more characters of the base64 and URL alphabets. Over each, a window
 of 20 slides; its Shannon entropy is kept by character class (hex digits; letters and digits) from counts
 that change by the one character that enters and the one that leaves. Windows above their class's
-threshold join to spans of kind `entropy`, unless the candidate is on the allow list or a span of the
-fixed patterns covers them whole.
+threshold join to spans of kind `entropy`, unless they touch what the allow list matches, with the letters
+and digits around it, or a span of the fixed patterns covers them whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from math import log2
 
@@ -28,15 +29,16 @@ _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_DIGITS = re.compile(r"[0-9][^0-9]*[0-9]")
 WINDOW = 20
 #: Bits a character that a window needs, by class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6}
-#: Candidates that match one of these are known not to be secrets.
+#: What matches one of these is known not to be a secret; the rest of its candidate may be one.
 ALLOW = (
     r"(?i)example|sample|placeholder|dummy|changeme|x{8}|test[_-]?key",
     r"(?i)0123456789|abcdefghij|1234567890",
     r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
-    r"^[-_=+/]|[-_=/]{4}",
+    r"[-_=/]{4,}",
     r"^[A-Za-z]+([-_/][A-Za-z]+)*$",
 )
 _CLASS = {c: "hex" for c in "0123456789abcdef"} | {c: "hex" for c in "ABCDEF"} | {c: "alnum" for c in "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"}
@@ -85,18 +87,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def allowed_parts(candidate: str, allow: Sequence[re.Pattern]) -> list[tuple[int, int]]:
+    """Where the allow list matches; a match of letters and digits takes in those that adjoin it."""
+    found = []
+    for a in allow:
+        for m in a.finditer(candidate):
+            x, y = m.span()
+            if found and found[-1][0] <= x and y <= found[-1][1]:
+                continue
+            if m.group().isalnum():
+                while x and candidate[x - 1].isalnum():
+                    x -= 1
+                while y < len(candidate) and candidate[y].isalnum():
+                    y += 1
+            found.append((x, y))
+    return found
+
+
 def entropy_spans(text: str, base: Sequence[tuple[int, int, int]], allow: Sequence[str] = ALLOW) -> list[tuple[int, int, int]]:
-    """Spans of joined windows that no base span covers whole and no allow-list entry suppresses."""
+    """Spans of joined windows that no base span covers whole and that touch nothing that the allow list knows."""
     found = []
+    at_base = 0
     allowed = [re.compile(a) for a in allow] if allow is not ALLOW else _ALLOWED
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if s.isalpha() or any(a.search(s) for a in allowed):
-            continue
+        if not _DIGITS.search(s):
+            continue  # no window can have two digits
+        off = bytearray(len(s))  # windows that don't count, by their start
+        for x, y in allowed_parts(s, allowed):
+            off[max(0, x - WINDOW + 1) : y] = b"\1" * (y - max(0, x - WINDOW + 1))
+        while at_base < len(base) and base[at_base][2] <= m.start():
+            at_base += 1
+        for x, _, y in base[at_base : bisect_left(base, (m.end(),))]:
+            x, y = max(0, x - m.start()), min(len(s), y - m.start()) - WINDOW + 1
+            if x < y:
+                off[x:y] = b"\1" * (y - x)
         spans: list[list[int]] = []
-        near = [(x - m.start(), y - m.start()) for x, _, y in base if x < m.end() and m.start() < y]
         for at, _, _ in windows(s):
-            if any(x <= at and at + WINDOW <= y for x, y in near):
+            if off[at]:
                 continue
             if spans and at <= spans[-1][1]:
                 spans[-1][1] = at + WINDOW

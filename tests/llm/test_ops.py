@@ -460,6 +460,13 @@ def test_digest_depends_on_the_text_alone():
     assert d[0].likeness(d[1]) < 0.3
 
 
+@pytest.mark.parametrize(("a", "b"), [(words(200, 5)[:260], words(200, 5)[:230]), ("x" + words(200, 5)[:299], "x" + words(200, 5)[:199]), (words(200, 6).encode().decode("ascii", "ignore")[:120] + "\U0001f600" * 60, words(200, 6).encode().decode("ascii", "ignore")[:120])])
+def test_near_copies_across_the_border_of_sizes_are_alike(a, b):
+    assert len(a.encode()) >= 4 * fingerprints.WINDOW > len(b.encode())
+    x, y = fingerprints.digests([a, b], np.arange(1001))
+    assert x.likeness(y) == y.likeness(x) > 0.5
+
+
 # --- op 10
 
 

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import blocks, mix, table, written
 
 WINDOW, LEAST_SCORE, SHORT = 64, 16, 16
+#: Bytes below which a text has windows of 16 bytes, and from which on windows of 64. A text of a size between
+#: has both: replacing a third of the code points, or cutting it off, changes the bytes by a factor of 3 at most.
+SMALL, LARGE = 12 * WINDOW, 4 * WINDOW
 BITS, HASHES, FILTER_FEATURES = 2048, 5, 160
 #: Entropies below this mark runs of few characters: rare, but nobody's own.
 LEAST_ENTROPY = 100
@@ -102,18 +105,13 @@ def window_ranks(raw: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """64-bit hashes of the selected windows of each text, in order.
 
-    A text of under 256 bytes has too few of them and gives all its windows of 16 bytes; one of under 16
-    bytes gives itself, an empty one nothing.
+    A text of under LARGE bytes has too few of them and gives none.
     """
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lengths)
     starts = ends - lengths
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(texts)
-    for i in np.flatnonzero((lengths > 0) & (lengths < 4 * WINDOW)).tolist():
-        t = texts[i]
-        parts = [t[j : j + SHORT] for j in range(max(1, len(t) - SHORT + 1))]
-        out[i] = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in parts], dtype=np.uint64)
-    long = np.flatnonzero(lengths >= 4 * WINDOW)
+    long = np.flatnonzero(lengths >= LARGE)
     if not len(long):
         return out
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -152,6 +150,12 @@ def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def small_features(text: bytes) -> np.ndarray:
+    """Hashes of all windows of 16 bytes; a text of under 16 gives itself, an empty one nothing."""
+    parts = [text[j : j + SHORT] for j in range(max(1, len(text) - SHORT + 1))] if text else []
+    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in parts], dtype=np.uint64)
+
+
 class Digest:
     """Chained Bloom filters: bits (rows of 256 bytes) and the number of features in each."""
 
@@ -188,16 +192,34 @@ class Digest:
         return float((score.max(1) * a.counts).sum() / a.counts.sum())
 
 
-def digests(texts: list[str], rank: np.ndarray) -> list[Digest]:
+class Fingerprint:
+    """A text's digests of 64-byte and of 16-byte windows, as far as its size has them."""
+
+    def __init__(self, text: bytes, hashes: np.ndarray):
+        self.large = Digest(hashes) if len(text) >= LARGE else None
+        self.small = Digest(small_features(text)) if len(text) < SMALL else None
+
+    def __str__(self) -> str:
+        return "/".join(str(d) for d in (self.large, self.small) if d)
+
+    def likeness(self, other: Fingerprint) -> float:
+        """By the kind that both have, large windows first; 0 if they have none in common, being of sizes too far apart."""
+        for a, b in ((self.large, other.large), (self.small, other.small)):
+            if a and b:
+                return a.likeness(b)
+        return 0.0
+
+
+def digests(texts: list[str], rank: np.ndarray) -> list[Fingerprint]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    out: list[Digest] = []
+    out: list[Fingerprint] = []
     at = 0
     while at < len(raw):
         to, size = at, 0
         while to < len(raw) and (to == at or size + len(raw[to]) <= CHUNK):
             size += len(raw[to])
             to += 1
-        out += map(Digest, features(raw[at:to], rank))
+        out += map(Fingerprint, raw[at:to], features(raw[at:to], rank))
         at = to
     return out
 
@@ -211,7 +233,7 @@ def edited(text: str, following: str) -> str:
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _made(ids: list, texts: list[str], following: list[str], own: list[Digest], after: list[Digest], rank: np.ndarray) -> list[list]:
+def _made(ids: list, texts: list[str], following: list[str], own: list[Fingerprint], after: list[Fingerprint], rank: np.ndarray) -> list[list]:
     new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     changed = digests(new, rank)
     return [

@@ -209,6 +209,27 @@ def test_ngram_join(spark, monkeypatch, seed, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
 
 
+def test_one_large_group_and_a_bridge_without_an_id(spark):
+    """2,000 different texts around one passage, of which every second is a near copy of the one before; a row
+    without an id stands between two that aren't similar themselves."""
+    passage = words(60, 7)
+    rows = []
+    for i in range(1000):
+        own = words(16, 10_000 + i).split()
+        rows.append((2 * i, " ".join([passage, *own])))
+        rows.append((2 * i + 1, " ".join([passage, *own[:-1], f"x{i}"])))
+    chain = words(46, 3).split()
+    ends = [[*chain[:-6], *(f"{c}{i}" for i in range(6))] for c in "lr"]
+    rows += [(5000, " ".join(ends[0])), (5001, " ".join([*chain[3:-6], *ends[1][-6:]]))]
+    bridge = " ".join([*chain[:-6], *ends[0][-6:-3], *ends[1][-3:]])
+    df = spark.createDataFrame([*rows, (None, bridge), (None, "quite alone here"), (None, "quite alone here")], "doc_id long, text string")
+    got = ngram_join.join(df.repartition(4)).collect()
+    want = components([*rows, (10**9, bridge)])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {i: x for i, x in want.items() if i < 10**9}
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None and r.n_shingles > 1) == [want[10**9]]
+    assert [r.component_id for r in got if r.doc_id is None and r.n_shingles == 1] == [None, None]
+
+
 def test_ngram_join_edges(spark, docs, none):
     got = ngram_join.join(docs).collect()
     assert len(got) == len(texts())
@@ -391,16 +412,22 @@ def tree_scores(rows: list[tuple[int, str, bool]]) -> dict[int, float]:
     for g, k in c.items():
         if len(g) > 1:
             after[g[:-1]][g[-1]] = k
-    after = {g: x for g, x in after.items() if c[g] >= suffix_tree.MIN_COUNT}
+    tried, kept = set(), {()}
+    suffix = lambda g: next(g[i:] for i in range(1, len(g) + 1) if g[i:] in kept)
 
     def p(g, w):
         if not g:
             return (c[w,] + 1) / (n + v + 1)
         x = after[g]
-        return (x.get(w, 0) + len(x) * p(g[1:], w)) / (c[g] + len(x))
-
-    gain = lambda g, x: sum(k * math.log2((k - 1 + len(x) * p(g[1:], w)) / (c[g] - 1 + len(x)) / p(g[1:], w)) for w, k in x.items())
-    kept = {g for g, x in after.items() if gain(g, x) / c[g] > suffix_tree.MIN_GAIN} | {()}
+        return (x.get(w, 0) + len(x) * p(suffix(g), w)) / (c[g] + len(x))
+
+    for g, x in sorted(after.items(), key=lambda e: len(e[0])):
+        if c[g] < suffix_tree.MIN_COUNT or len(g) > 1 and (g[1:] not in kept or g[:-1] not in tried):
+            continue
+        tried.add(g)
+        below = lambda w: p(suffix(g), w)  # noqa: B023, E731
+        if sum(k * math.log2((k - 1 + len(x) * below(w)) / (c[g] - 1 + len(x)) / below(w)) for w, k in x.items()) / c[g] > suffix_tree.MIN_GAIN:
+            kept.add(g)
     longest = lambda ws, j: next(g for d in range(min(j, suffix_tree.DEPTH), -1, -1) if (g := tuple(ws[j - d : j])) in kept)
     return {i: sum(math.log10(p(longest(ws, j), ws[j])) for j in range(len(ws))) for i, ws, _ in tok}
 
@@ -409,6 +436,7 @@ def tree_scores(rows: list[tuple[int, str, bool]]) -> dict[int, float]:
 def test_contexts_are_gathered_by_absolute_counts(spark, monkeypatch, heavy):
     """`rare` is under 1e-4 of the tokens; what follows `m n` is told by the word before them."""
     monkeypatch.setattr(suffix_tree, "HEAVY", heavy)
+    monkeypatch.setattr(suffix_tree, "MIN_GAIN", 0.02)  # no context comes close to it, so rounded probabilities decide alike
     r = random.Random(3)
     some = lambda k: " ".join(r.choice("abcdefgh") for _ in range(k))
     rows = [(i, f"{some(5000)} " + " ".join(f"{s} m n {e} {some(1)}" for s, e in [("p", "u"), ("q", "v")] * 20) + (" rare next" if i < 20 else ""), i == 20) for i in range(60)]
@@ -441,14 +469,106 @@ def test_fingerprints(spark, docs, none):
     assert one.near_next == 1
 
 
-def test_windows_entropy():
-    raw = np.frombuffer((words(300, 7) + "=" * 90).encode(), np.uint8)
-    rank = np.arange(1001)
-    got = fingerprints.window_ranks(raw, rank)
+def entropy_level(window: bytes) -> int:
     w = fingerprints._weights()
-    for i in range(63, len(raw), 7):
-        total = sum(int(w[n]) for n in Counter(raw[i - 63 : i + 1].tolist()).values())
-        assert got[i] == fingerprints._levels(np.array([total]))[0]
+    most = int(w[fingerprints.WINDOW])
+    return max(0, min(1000, (most - sum(int(w[n]) for n in Counter(window).values())) * 1000 // most))
+
+
+def windows_of(text: bytes) -> list[bytes]:
+    w = fingerprints.WINDOW
+    padded = bytes(w - 1) + text + bytes(w - 1)
+    return [padded[i : i + w] for i in range(len(text) + w - 1)] if text else []
+
+
+def plain_rarity(some: list[str]) -> list[int]:
+    seen = Counter(entropy_level(w) for t in some for w in windows_of(t.encode("utf-8", "surrogatepass")))
+    order = sorted(range(1001), key=lambda e: (seen[e], e))
+    rank = [0] * 1001
+    for place, e in enumerate(order):
+        rank[e] = place
+    return [1001 if e < fingerprints.LEAST_ENTROPY else r for e, r in enumerate(rank)]
+
+
+def plain_features(text: bytes, rank: list[int]) -> list[bytes]:
+    """The selected windows, by looking into every neighbourhood."""
+    if not (all_ := windows_of(text)):
+        return []
+    ranks = [rank[entropy_level(w)] for w in all_]
+    won = Counter()
+    for i in range(1 - fingerprints.NEAR, len(all_)):
+        near = [(ranks[j], j) for j in range(max(0, i), min(len(all_), i + fingerprints.NEAR))]
+        won[min(near)[1]] += 1
+    picked = [i for i in range(len(all_)) if won[i] >= fingerprints.LEAST_SCORE and ranks[i] <= 1000]
+    picked = picked or [min((r, j) for j, r in enumerate(ranks))[1]]
+    return [all_[i] for i in picked]
+
+
+def plain_digest(text: str, rank: list[int]) -> list[tuple[set[int], int]]:
+    """Chained filters as sets of bits, with the number of their features."""
+    chain: list[tuple[set[int], int]] = []
+    seen = set()
+    for w in plain_features(text.encode("utf-8", "surrogatepass"), rank):
+        if w in seen:
+            continue
+        seen.add(w)
+        if not chain or chain[-1][1] == fingerprints.FILTER_FEATURES:
+            chain.append((set(), 0))
+        h = int(fingerprints._hashes(np.frombuffer(w, np.uint8), np.zeros(1, int))[0])
+        chain[-1] = (chain[-1][0] | {(h >> 11 * i) % fingerprints.BITS for i in range(fingerprints.HASHES)}, chain[-1][1] + 1)
+    return chain
+
+
+def plain_likeness(x: list, y: list) -> float:
+    a, b = (x, y) if len(x) <= len(y) else (y, x)
+    if not a or not b:
+        return float(len(a) == len(b))
+    p, total = 1 - 1 / fingerprints.BITS, 0.0
+    for bits, n in a:
+        best = 0.0
+        for other, m in b:
+            both, most = len(bits & other), min(len(bits), len(other))
+            chance = fingerprints.BITS * (1 - p ** (5 * n) - p ** (5 * m) + p ** (5 * (n + m)))
+            least = chance + fingerprints.CHANCE * max(most - chance, 0)
+            best = max(best, 1.0 if both >= most else min(1, max(0, (both - least) / max(most - least, 1e-9))))
+        total += best * n
+    return total / sum(n for _, n in a)
+
+
+SIZED = [words(4000, n)[:size] for n, size in enumerate((1, 15, 31, 32, 63, 64, 100, 255, 256, 700, 9000))] + ["", "a" * 500, "\U0001f600" * 40, "ab" * 300]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_digests_against_plain_selection(spark, monkeypatch, chunk):
+    monkeypatch.setattr(fingerprints, "CHUNK", chunk)
+    monkeypatch.setattr(fingerprints, "COMPARED", 100)
+    rows = list(enumerate(SIZED))
+    rank = plain_rarity(SIZED)
+    assert fingerprints.rarity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).tolist() == rank
+    for text, got in zip(SIZED, fingerprints.digests(SIZED, np.array(rank)), strict=True):
+        want = plain_digest(text, rank)
+        assert got.counts.tolist() == [n for _, n in want]
+        assert [set(np.flatnonzero(np.unpackbits(b)).tolist()) for b in got.bits] == [bits for bits, _ in want]
+
+
+def test_likenesses_against_plain_ones(spark):
+    rank = plain_rarity(SIZED)
+    got = {r.doc_id: r for r in fingerprints.compare_with_next(spark.createDataFrame(list(enumerate(SIZED)), "doc_id long, text string")).collect()}
+    n = len(SIZED)
+    for i, t in enumerate(SIZED):
+        following = SIZED[(i - 1) % n]
+        own = plain_digest(t, rank)
+        assert got[i].near_next == pytest.approx(plain_likeness(own, plain_digest(following, rank)))
+        assert got[i].near_edited == pytest.approx(plain_likeness(own, plain_digest(fingerprints.edited(t, following), rank)))
+
+
+def test_a_very_long_text_is_cut_into_parts():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 20 << 20, dtype=np.uint8).tobytes().decode()
+    rank = np.arange(1001)
+    whole, less = fingerprints.digests([text, text[: len(text) * 2 // 3] + text[: len(text) // 3].upper()], rank)
+    assert whole.likeness(whole) == 1
+    assert 0.6 < whole.likeness(less) < 0.95
 
 
 def test_digest_depends_on_the_text_alone():
@@ -460,11 +580,12 @@ def test_digest_depends_on_the_text_alone():
     assert d[0].likeness(d[1]) < 0.3
 
 
-@pytest.mark.parametrize(("a", "b"), [(words(200, 5)[:260], words(200, 5)[:230]), ("x" + words(200, 5)[:299], "x" + words(200, 5)[:199]), (words(200, 6).encode().decode("ascii", "ignore")[:120] + "\U0001f600" * 60, words(200, 6).encode().decode("ascii", "ignore")[:120])])
-def test_near_copies_across_the_border_of_sizes_are_alike(a, b):
-    assert len(a.encode()) >= 4 * fingerprints.WINDOW > len(b.encode())
-    x, y = fingerprints.digests([a, b], np.arange(1001))
-    assert x.likeness(y) == y.likeness(x) > 0.5
+@pytest.mark.parametrize("size", [150, 250, 260, 700, 5000])
+def test_near_copies_of_any_size_are_alike(size):
+    a, b = words(2000, 5)[:size], words(2000, 6)[:size]
+    x, y, z = fingerprints.digests([a, fingerprints.edited(a, b), b], np.arange(1001))
+    assert x.likeness(y) == y.likeness(x) > 0.35
+    assert x.likeness(z) < x.likeness(y)
 
 
 # --- op 10

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,16 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """URI of a new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is unset (local tests) a temporary folder takes its place.
+    Only on a local master, as in tests, may that setting be missing: a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # as Spark itself resolves it
+    return re.sub("^file:/+", "file:///", uri)
+
+
+#: Text bytes a range of a range sort should hold.
+RANGE_BYTES = 128 << 20
+
+
+def ranges(spark: SparkSession, size: int | None) -> int:
+    """Ranges for so many bytes: the session's shuffle partitions, or more where those would grow too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
 
 
 @contextmanager
@@ -50,19 +64,19 @@ def short_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: the lineage is cut, and columns prune."""
     path = shared_dir(spark, name)
     with short_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a folder's URI or plain path."""
+    """(pyarrow file system, path) of a folder's URI, as shared_dir gives it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES) -> Iterator[list[list]]:

@@ -1,10 +1,11 @@
 """Op 9: digests of improbable features, held in chained Bloom filters.
 
-Every window of 64 bytes has an entropy from 0 to 1000; entropies that are rare over the corpus make a
-window improbable. A window is selected if it is the most improbable one in at least 16 of the 64-window
-neighbourhoods around it. Selected windows are hashed into Bloom filters of 2048 bits, 160 windows to a
-filter, then the next filter begins. Two digests are alike as far as their filters share more bits than
-chance would have it.
+A text is taken with 31 zero bytes before and after it, so that one of any size has windows of 32 bytes that
+show its ends. Every window has an entropy from 0 to 1000; entropies that are rare among all windows of the
+corpus make a window improbable. A window is selected if it is the most improbable one in at least 8 of the
+32 neighbourhoods of 32 windows that it lies in. Selected windows are hashed into Bloom filters of 2048 bits,
+160 windows to a filter, then the next filter begins. Two digests are alike as far as their filters share
+more bits than chance would have it.
 """
 
 from __future__ import annotations
@@ -18,19 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, mix, table, written
+from tidemark.llm.common import blocks, mix, ranges, table, written
 
-WINDOW, LEAST_SCORE, SHORT = 64, 16, 16
-#: Bytes below which a text has windows of 16 bytes, and from which on windows of 64. A text of a size between
-#: has both: replacing a third of the code points, or cutting it off, changes the bytes by a factor of 3 at most.
-SMALL, LARGE = 12 * WINDOW, 4 * WINDOW
+#: Bytes of a window; windows of a neighbourhood (no more than bytes); neighbourhoods that a window must win.
+WINDOW, NEAR, LEAST_SCORE = 32, 32, 8
 BITS, HASHES, FILTER_FEATURES = 2048, 5, 160
 #: Entropies below this mark runs of few characters: rare, but nobody's own.
 LEAST_ENTROPY = 100
 #: Share of the room between chance and full overlap that counts as chance.
 CHANCE = 0.15
-#: Bytes that the kernel works on at once.
+#: Bytes that the kernel works on at once; longer texts are cut into parts that overlap by what a selection depends on.
 CHUNK = 1 << 20
+#: Words of 64 bits that a comparison of two chains looks at together.
+COMPARED = 1 << 21
 _ONE = 1 << 20  # of the fixed-point entropies: sums are exact, so a text's digest doesn't depend on its neighbours
 
 
@@ -39,34 +40,79 @@ def _weights() -> np.ndarray:
     return np.rint(c * np.log2(np.maximum(c, 1)) * _ONE).astype(np.int64)
 
 
-def _levels(total: np.ndarray) -> np.ndarray:
-    """Entropies from 0 to 1000 of windows whose sum of c log2 c (fixed point) is total."""
-    most = WINDOW * 6 * _ONE
-    return np.clip((most - total) * 1000 // most, 0, 1000)
+def levels(raw: np.ndarray) -> np.ndarray:
+    """Entropy, from 0 to 1000, of the window that starts at each byte (but the last 31), in time linear in the bytes.
 
+    It changes by the byte that enters and the byte that leaves; how often each stands in the window follows
+    from the positions of equal bytes.
+    """
+    n = len(raw)
+    order = np.argsort(raw, kind="stable")
+    key = raw[order].astype(np.int64) * (n + 2 * WINDOW) + order
+    lo = np.searchsorted(key, key - (WINDOW - 1))
+    q = np.arange(n)
+    w = _weights()
+    gain = w[1:] - w[:-1]
+    enter, leave = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    enter[order] = gain[q - lo]
+    leave[order] = gain[np.cumsum(np.bincount(lo, minlength=n)) - 1 - q]
+    total = np.cumsum(enter)
+    total[WINDOW:] -= np.cumsum(leave)[:-WINDOW]
+    most = w[WINDOW]  # of a window of one byte value
+    return np.clip((most - total[WINDOW - 1 :]) * 1000 // most, 0, 1000)
+
+
+class Parts:
+    """Texts between zero bytes, joined to one array of at most about CHUNK bytes; `first` and `last` bound the windows of each part.
 
-def tile_histogram(raw: np.ndarray) -> np.ndarray:
-    """Counts of the entropies of the whole tiles of 64 bytes."""
-    n = len(raw) // WINDOW
-    if not n:
-        return np.zeros(1001, dtype=np.int64)
-    tiles = np.sort(raw[: n * WINDOW].reshape(n, WINDOW), axis=1)
-    new = np.ones((n, WINDOW), dtype=bool)
-    new[:, 1:] = tiles[:, 1:] != tiles[:, :-1]
-    at = np.flatnonzero(new.ravel())
-    count = np.diff(np.append(at, n * WINDOW))
-    total = np.bincount(at // WINDOW, _weights()[count], n).astype(np.int64)
-    return np.bincount(_levels(total), minlength=1001)
+    A part of a long text has the windows `core` for its own, and those around them that their selection depends on.
+    """
+
+    def __init__(self, parts: list[tuple[int, int, bytes, int, int]]):
+        self.text = np.array([p[0] for p in parts])
+        self.at = np.array([p[1] for p in parts])  # number, in its text, of a part's first window
+        self.raw = np.frombuffer(b"".join(p[2] for p in parts), dtype=np.uint8)
+        size = np.array([len(p[2]) for p in parts])
+        self.first = np.cumsum(size) - size
+        self.last = self.first + size - WINDOW + 1
+        self.core = self.first + np.array([p[3] for p in parts]), self.first + np.array([p[4] for p in parts])
+
+    def own(self, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which windows lie in the bounds."""
+        edge = np.zeros(len(self.raw) + 1, dtype=np.int64)
+        np.add.at(edge, of[0], 1)
+        np.add.at(edge, of[1], -1)
+        return np.cumsum(edge)[: len(self.raw) - WINDOW + 1] > 0
+
+
+def cut(texts: list[bytes]) -> Iterator[Parts]:
+    """All windows of all texts that aren't empty, each once among the cores."""
+    pad = bytes(WINDOW - 1)
+    held: list[tuple[int, int, bytes, int, int]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        windows = len(t) + WINDOW - 1 if t else 0
+        whole = pad + t + pad
+        for u in range(0, windows, CHUNK):
+            v = min(windows, u + CHUNK)
+            lo, hi = max(0, u - NEAR + 1), min(windows, v + NEAR - 1)
+            if held and size + hi - lo > CHUNK:
+                yield Parts(held)
+                held, size = [], 0
+            held.append((i, lo, whole[lo : hi + WINDOW - 1], u - lo, v - lo))
+            size += hi - lo + WINDOW - 1
+    if held:
+        yield Parts(held)
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """For each entropy its rank by rarity over all whole texts (0: the rarest); low entropies come last."""
+    """For each entropy its rank by rarity among all windows of all whole texts (0: the rarest); low entropies come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1001, dtype=np.int64)
         for (texts,) in blocks(batches, 0, CHUNK):
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            total += tile_histogram(np.frombuffer(b"".join(r[: len(r) // WINDOW * WINDOW] for r in raw), dtype=np.uint8))
+            for parts in cut([t.encode("utf-8", "surrogatepass") for t in texts]):
+                total += np.bincount(levels(parts.raw)[parts.own(parts.core)], minlength=1001)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(total[on], pa.int64())], names=["level", "n"])
 
@@ -81,79 +127,49 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return rank
 
 
-def window_ranks(raw: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Rank of the window that ends at each byte (of meaning from the 64th on), in time linear in the bytes.
-
-    Entropy changes by the byte that enters and the byte that leaves; how often each stands in the window
-    follows from the positions of equal bytes.
-    """
-    n = len(raw)
-    order = np.argsort(raw, kind="stable")
-    key = raw[order].astype(np.int64) * (n + 2 * WINDOW) + order
-    lo = np.searchsorted(key, key - (WINDOW - 1))
-    q = np.arange(n)
-    w = _weights()
-    gain = w[1:] - w[:-1]
-    enter, leave = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    enter[order] = gain[q - lo]
-    leave[order] = gain[np.cumsum(np.bincount(lo, minlength=n)) - 1 - q]
-    total = np.cumsum(enter)
-    total[WINDOW:] -= np.cumsum(leave)[:-WINDOW]
-    return rank[_levels(total)]
-
-
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """64-bit hashes of the selected windows of each text, in order.
 
-    A text of under LARGE bytes has too few of them and gives none.
+    A text in which none is selected gives its most improbable window, an empty one nothing.
     """
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(texts)
-    long = np.flatnonzero(lengths >= LARGE)
-    if not len(long):
-        return out
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    n = len(raw)
-    ranks = np.full(n, 2000, dtype=np.int64)
-    ranks[: n - WINDOW + 1] = window_ranks(raw, rank)[WINDOW - 1 :]  # by the window's first byte
-    keyed = (ranks << 32) | np.arange(n)
-    best = keyed
-    step = 1
-    while step < WINDOW:  # least of 64 neighbours, by doubling; the leftmost of equals
-        best = np.minimum(best[:-step], best[step:]) if len(best) > step else best
-        step *= 2
-    whole = np.zeros(n + 1, dtype=np.int64)
-    many = long[lengths[long] >= 2 * WINDOW - 1]
-    np.add.at(whole, starts[many], 1)
-    np.add.at(whole, ends[many] - 2 * WINDOW + 2, -1)
-    inside = np.flatnonzero(np.cumsum(whole)[: len(best)] > 0)
-    least = best[inside]
-    score = np.bincount(least & 0xFFFFFFFF, minlength=n)
-    picked = np.flatnonzero(score >= LEAST_SCORE)
-    picked = picked[ranks[picked] <= 1000]
-    at = np.searchsorted(picked, starts[long]).tolist()
-    to = np.searchsorted(picked, ends[long]).tolist()
-    lone = [int(keyed[starts[i] : ends[i] - WINDOW + 1].argmin() + starts[i]) for i, a, b in zip(long.tolist(), at, to, strict=True) if a == b]
-    if lone:  # a text without one gives its most improbable window
-        picked = np.sort(np.concatenate((picked, lone)))
-        at = np.searchsorted(picked, starts[long]).tolist()
-        to = np.searchsorted(picked, ends[long]).tolist()
-    view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[picked]).view("<u8")
-    h = np.zeros(len(picked), dtype=np.uint64)
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    best: dict[int, tuple[int, int, bytes]] = {}
+    for parts in cut(texts):
+        ranks = rank[levels(parts.raw)]
+        n = len(ranks)
+        ranks[~parts.own((parts.first, parts.last))] = 2000  # a window across two parts
+        keyed = (ranks << 32) | np.arange(n)
+        pad = np.full(NEAR - 1, 2001 << 32)
+        least = np.concatenate((pad, keyed, pad))
+        step = 1
+        while step < NEAR:  # least of each neighbourhood, by doubling; the leftmost of equals
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        least = least[least < 2000 << 32] & 0xFFFFFFFF
+        score = np.bincount(least, minlength=n)
+        picked = np.flatnonzero((score >= LEAST_SCORE) & (ranks <= 1000) & parts.own(parts.core))
+        h = _hashes(parts.raw, picked)
+        cuts = np.searchsorted(picked, np.stack(parts.core))
+        for j, (i, a, b) in enumerate(zip(parts.text.tolist(), cuts[0].tolist(), cuts[1].tolist(), strict=True)):
+            if a < b:
+                found[i].append(h[a:b])
+            elif not found[i]:
+                own = keyed[parts.core[0][j] : parts.core[1][j]]
+                at = int(own.argmin() + parts.core[0][j])
+                best[i] = min(best.get(i, (9999, 0, b"")), (int(ranks[at]), at - int(parts.first[j]) + int(parts.at[j]), parts.raw[at : at + WINDOW].tobytes()))
+    for i, (_, _, window) in best.items():
+        if not found[i]:
+            found[i].append(_hashes(np.frombuffer(window, dtype=np.uint8), np.zeros(1, dtype=np.int64)))
+    return [np.concatenate(f) if f else np.zeros(0, dtype=np.uint64) for f in found]
+
+
+def _hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[at]).view("<u8")
+    h = np.zeros(len(at), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(WINDOW // 8):
             h = mix((h + np.uint64(0x9E3779B97F4A7C15)) ^ view[:, i])
-    for i, a, b in zip(long.tolist(), at, to, strict=True):
-        out[i] = h[a:b]
-    return out
-
-
-def small_features(text: bytes) -> np.ndarray:
-    """Hashes of all windows of 16 bytes; a text of under 16 gives itself, an empty one nothing."""
-    parts = [text[j : j + SHORT] for j in range(max(1, len(text) - SHORT + 1))] if text else []
-    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in parts], dtype=np.uint64)
+    return h
 
 
 class Digest:
@@ -180,48 +196,26 @@ class Digest:
 
         Two empty digests are alike, an empty one and another are not.
         """
-        a, b = (self, other) if len(self.counts) <= len(other.counts) else (other, self)
+        a, b = sorted((self, other), key=lambda d: (len(d.counts), d.counts.sum(), d.bits.tobytes()))
         if not len(a.counts) or not len(b.counts):
             return float(len(a.counts) == len(b.counts))
-        both = np.bitwise_count(a.bits[:, None, :] & b.bits[None, :, :]).sum(2, dtype=np.int64)
-        most = np.minimum(a.ones[:, None], b.ones[None, :])
+        best = np.zeros(len(a.counts))
         p = 1 - 1 / BITS
-        by_chance = BITS * (1 - p ** (HASHES * a.counts[:, None]) - p ** (HASHES * b.counts[None, :]) + p ** (HASHES * (a.counts[:, None] + b.counts[None, :])))
-        least = by_chance + CHANCE * np.maximum(most - by_chance, 0)
-        score = np.where(both >= most, 1.0, np.clip((both - least) / np.maximum(most - least, 1e-9), 0, 1))
-        return float((score.max(1) * a.counts).sum() / a.counts.sum())
-
+        x, y = a.bits.view("<u8"), b.bits.view("<u8")
+        each = max(1, COMPARED // y.size)
+        for i in range(0, len(x), each):
+            both = np.bitwise_count(x[i : i + each, None, :] & y[None, :, :]).sum(2, dtype=np.int64)
+            n, m = a.counts[i : i + each, None], b.counts[None, :]
+            most = np.minimum(a.ones[i : i + each, None], b.ones[None, :])
+            by_chance = BITS * (1 - p ** (HASHES * n) - p ** (HASHES * m) + p ** (HASHES * (n + m)))
+            least = by_chance + CHANCE * np.maximum(most - by_chance, 0)
+            score = np.where(both >= most, 1.0, np.clip((both - least) / np.maximum(most - least, 1e-9), 0, 1))
+            best[i : i + each] = score.max(1)
+        return float((best * a.counts).sum() / a.counts.sum())
 
-class Fingerprint:
-    """A text's digests of 64-byte and of 16-byte windows, as far as its size has them."""
 
-    def __init__(self, text: bytes, hashes: np.ndarray):
-        self.large = Digest(hashes) if len(text) >= LARGE else None
-        self.small = Digest(small_features(text)) if len(text) < SMALL else None
-
-    def __str__(self) -> str:
-        return "/".join(str(d) for d in (self.large, self.small) if d)
-
-    def likeness(self, other: Fingerprint) -> float:
-        """By the kind that both have, large windows first; 0 if they have none in common, being of sizes too far apart."""
-        for a, b in ((self.large, other.large), (self.small, other.small)):
-            if a and b:
-                return a.likeness(b)
-        return 0.0
-
-
-def digests(texts: list[str], rank: np.ndarray) -> list[Fingerprint]:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    out: list[Fingerprint] = []
-    at = 0
-    while at < len(raw):
-        to, size = at, 0
-        while to < len(raw) and (to == at or size + len(raw[to]) <= CHUNK):
-            size += len(raw[to])
-            to += 1
-        out += map(Fingerprint, raw[at:to], features(raw[at:to], rank))
-        at = to
-    return out
+def digests(texts: list[str], rank: np.ndarray) -> list[Digest]:
+    return [Digest(h) for h in features([t.encode("utf-8", "surrogatepass") for t in texts], rank)]
 
 
 def edited(text: str, following: str) -> str:
@@ -233,7 +227,7 @@ def edited(text: str, following: str) -> str:
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _made(ids: list, texts: list[str], following: list[str], own: list[Fingerprint], after: list[Fingerprint], rank: np.ndarray) -> list[list]:
+def _made(ids: list, texts: list[str], following: list[str], own: list[Digest], after: list[Digest], rank: np.ndarray) -> list[list]:
     new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     changed = digests(new, rank)
     return [
@@ -265,7 +259,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rank = rarity(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0])
     order = [F.desc_nulls_last("id"), F.col("h")]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
 
@@ -295,7 +289,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held is not None:
             yield edge(2, held[0], held[1])
 
-    made = written(spark, rows.mapInArrow(run, COLUMNS + ", edge int, part long, text string"), "digests")
+    made = written(spark, rows.mapInArrow(run, COLUMNS + ", edge int, part long, text string"), "digests", "zstd")
     parts = sorted(r.part for r in made.filter("edge = 1").select("part").collect())  # a number for each range
     follow = dict(zip(parts, parts[1:] + parts[:1], strict=True))
     pairs = spark.createDataFrame(list(follow.items()), "part long, then long")

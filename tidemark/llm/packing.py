@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, mix, table, written
+from tidemark.llm.common import blocks, mix, ranges, table, written
 from tidemark.llm.tokens import pieces
 
 FEATURES, DIMENSIONS, BITS = 64, 3, 16
@@ -155,7 +155,7 @@ def pack(encoded_docs: DataFrame, length: int = 1024) -> DataFrame:
     ordered by id and text hash and may fall into different ranges, so copies don't crowd one task.
     A null id stays null; every document has its end id at least, so each gives a piece.
     """
-    n = int(encoded_docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(encoded_docs.sparkSession, encoded_docs.agg(F.sum(F.octet_length("ids"))).first()[0])
     order = ["key", F.asc_nulls_first("id"), "h", "start"]
     rows = encoded_docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "start", "total", "ids", "width")
 

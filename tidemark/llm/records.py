@@ -5,9 +5,9 @@ A data file is a row of records
     u64 length | u32 masked crc32 of those 8 bytes | payload | u32 masked crc32 of the payload
 
 and a payload is ``u8 width | u8 has_id | i64 doc_id | ids``, ids of `width` bytes each; everything is
-little-endian. Beside each data file ``part-N.bin`` lies ``part-N.idx``: 8 magic bytes, then for each
-record u64 offset, u64 length of the frame, u64 ids before it in this file, u32 number of ids, u32 zero.
-A reader that wants records in random order seeks by the index; `read` walks through them.
+little-endian. Beside each data file ``part-N-A.bin`` (A: the attempt that wrote it) lies ``part-N-A.idx``: 8
+magic bytes, then for each record u64 offset, u64 length of the frame, u64 ids before it in this file, u32
+number of ids, u32 zero. `read` walks through the records, `shuffled` seeks them by the index in random order.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks, filesystem, shared_dir, short_batches, table
+from tidemark.llm.common import blocks, eager, filesystem, ranges, shared_dir, table
 from tidemark.llm.tokens import pieces
 
 MAGIC = b"TMIDX001"
@@ -64,10 +64,14 @@ def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 @dataclass(frozen=True)
 class Shards:
-    """What `write` left: the folder, and for each file its number, records and ids."""
+    """What `write` left: the folder, and for each file its number, name, records, ids and bytes."""
 
     folder: str
-    files: tuple[tuple[int, int, int], ...]
+    files: tuple[tuple[int, str, int, int, int], ...]
+
+
+#: Index entries that are read or written at once.
+ENTRIES = 1000
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> Shards:
@@ -75,13 +79,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
 
     A null text is empty (its record holds the end id alone); null ids come first; equal ids follow
     each other in the order of their texts' hashes, so one id may hold any share of the rows. An
-    empty table gives no file. Other columns are ignored. A file gets its name only when whole, so
-    a task that is run again replaces it by the same bytes.
+    empty table gives no file. Other columns are ignored. Every attempt of a task writes files of its own,
+    and those of the attempts that ended well are what is returned: nothing need be renamed or replaced.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(spark, docs.agg(F.sum(F.octet_length(text_col))).first()[0])
     rows = rows.repartitionByRange(n, F.asc_nulls_first("id"), "h").sortWithinPartitions(F.asc_nulls_first("id"), "h")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +96,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         fs, path = filesystem(folder)
         fs.create_dir(path)
-        out, index = None, []
-        at = before = 0
+        name = f"part-{part:05d}-{attempt}"
+        out = beside = None
+        at = before = records = 0
         for ids, texts, _ in blocks(batches, 1, 12 << 20):
-            out = out or fs.open_output_stream(f"{path}/.part-{part:05d}.{attempt}")
+            if out is None:
+                out, beside = fs.open_output_stream(f"{path}/{name}.bin"), fs.open_output_stream(f"{path}/{name}.idx")
+                beside.write(MAGIC)
+            index = []
             for doc_id, got in zip(ids, enc.encode(texts), strict=True):
                 made = frame(payload_of(doc_id, enc.width, got + end))
                 out.write(made)
@@ -103,18 +111,26 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
                 index.append((at, len(made), before, count, 0))
                 at += len(made)
                 before += count
+            beside.write(np.array(index, dtype=INDEX).tobytes())
+            records += len(index)
         if out is None:
             return
         out.close()
-        with fs.open_output_stream(f"{path}/.part-{part:05d}.{attempt}.i") as f:
-            f.write(MAGIC + np.array(index, dtype=INDEX).tobytes())
-        fs.move(f"{path}/.part-{part:05d}.{attempt}", f"{path}/part-{part:05d}.bin")
-        fs.move(f"{path}/.part-{part:05d}.{attempt}.i", f"{path}/part-{part:05d}.idx")
-        yield pa.RecordBatch.from_pydict({"part": [part], "records": [len(index)], "ids": [before]})
+        beside.close()
+        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "records": [records], "ids": [before], "size": [at]})
+
+    with eager(spark):
+        made = rows.mapInArrow(save, "part long, name string, records long, ids long, size long").collect()  # a row for each file
+    return Shards(folder, tuple(sorted((r.part, r.name, r.records, r.ids, r.size) for r in made)))
+
 
-    with short_batches(spark):
-        made = rows.mapInArrow(save, "part long, records long, ids long").collect()  # a row for each file
-    return Shards(folder, tuple(sorted((r.part, r.records, r.ids) for r in made)))
+def _index(fs, path: str, name: str) -> Iterator[np.ndarray]:
+    """Entries of a file's index, ENTRIES at a time."""
+    with fs.open_input_file(f"{path}/{name}.idx") as f:
+        if f.read(len(MAGIC)) != MAGIC:
+            raise ValueError(f"not an index: {name}")
+        while raw := f.read(INDEX.itemsize * ENTRIES):
+            yield np.frombuffer(raw, dtype=INDEX)
 
 
 def read(spark: SparkSession, shards: Shards) -> DataFrame:
@@ -123,23 +139,17 @@ def read(spark: SparkSession, shards: Shards) -> DataFrame:
     Every frame's checksums are verified; a damaged one fails the task.
     """
     begins, total = [], 0
-    for part, _, ids in shards.files:
-        begins.append((part, total))
+    for part, name, _, ids, _ in shards.files:
+        begins.append((part, name, total))
         total += ids
     folder = shards.folder
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         for batch in batches:
-            for part, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with fs.open_input_stream(f"{path}/part-{part:05d}.idx") as f:
-                    raw = f.read()
-                if raw[:8] != MAGIC:
-                    raise ValueError(f"not an index: part {part}")
-                index = np.frombuffer(raw, dtype=INDEX, offset=8)
-                with fs.open_input_file(f"{path}/part-{part:05d}.bin") as f:
-                    for lo in range(0, len(index), 1000):
-                        some = index[lo : lo + 1000]
+            for part, name, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_input_file(f"{path}/{name}.bin") as f:
+                    for some in _index(fs, path, name):
                         ids, counts, crcs = [], [], []
                         for offset, size, _, count, _ in some.tolist():
                             doc_id, got = ids_of(unframe(f.read_at(size, offset)))
@@ -153,12 +163,51 @@ def read(spark: SparkSession, shards: Shards) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "byte_offset"],
                         )
 
-    files = spark.createDataFrame(begins, "part long, begin long")
+    files = spark.createDataFrame(begins, "part long, name string, begin long")
     if begins:
         files = files.repartition(len(begins))
     return files.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, byte_offset long")
 
 
+def shuffled(spark: SparkSession, shards: Shards, seed: int) -> DataFrame:
+    """doc_id and ids (array of int) of every record, in an order that follows from the seed.
+
+    Only the index entries are sorted, by a hash of seed, file and offset; each task then seeks its records. The
+    rows of partition i come before those of partition i + 1.
+    """
+    folder = shards.folder
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
+        for batch in batches:
+            for part, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for some in _index(fs, path, name):
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int64()), pa.array([name] * len(some)), pa.array(some["offset"].astype("i8")), pa.array(some["size"].astype("i8"))], names=["part", "name", "offset", "size"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
+        open_: dict[str, pa.NativeFile] = {}
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for lo in range(0, len(rows), 100):
+                got = []
+                for name, offset, size in rows[lo : lo + 100]:
+                    if name not in open_:
+                        if len(open_) >= 64:
+                            open_.pop(next(iter(open_))).close()
+                        open_[name] = fs.open_input_file(f"{path}/{name}.bin")
+                    got.append(ids_of(unframe(open_[name].read_at(size, offset))))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([x.astype("i4") for _, x in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for f in open_.values():
+            f.close()
+
+    files = spark.createDataFrame([(part, name) for part, name, *_ in shards.files], "part long, name string")
+    index = files.repartition(max(1, len(shards.files))).mapInArrow(entries, "part long, name string, offset long, size long")
+    order = [F.xxhash64(F.lit(seed), "part", "offset"), F.col("part"), F.col("offset")]
+    index = index.repartitionByRange(ranges(spark, sum(f[4] for f in shards.files)), *order).sortWithinPartitions(*order)
+    return index.select("name", "offset", "size").mapInArrow(fetch, "doc_id long, ids array<int>")
+
+
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

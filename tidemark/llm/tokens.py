@@ -22,6 +22,10 @@ _RUN = re.compile(r"(?<=\S)(?=[ \n])")
 _TWO = re.compile(r"\s\s").search
 
 
+#: Characters of a piece that is held; longer ones are encoded each time, so that a cache's bytes are bounded too.
+LONGEST = 128
+
+
 class Pieces(dict):
     """Token ids by piece, as little-endian bytes of `width` bytes an id; `encode` gives those of texts."""
 
@@ -71,7 +75,8 @@ class Pieces(dict):
                 ids = self["\n"] + self[piece[1:]]
             else:
                 ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        self[piece] = ids
+        if len(piece) <= LONGEST:
+            self[piece] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -21,28 +21,38 @@ from tidemark.llm.common import blocks, fold, table, worker_cache
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: texts and bytes a language.
 SAMPLE_TEXTS, SAMPLE_BYTES = 128, 128 << 10
+#: Languages that get a dictionary: those with most labelled rows.
+LABELS = 200
 RUN = 4096
-LEVEL = 9
-#: Texts of fewer bytes are compressed at a level that searches further: few of their matches decide.
-SHORT, SHORT_LEVEL = 256, 12
+LEVEL = 11
 #: A smaller relative margin is a rejection.
 MIN_MARGIN = 0.002
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language label, from a bounded sample of the labelled rows.
+    """A dictionary for each of the LABELS most frequent language labels, from a bounded sample of their rows.
 
     The sample: each label's rows are dealt by a hash of their text into SAMPLE_TEXTS bins, and each bin
-    gives the text with the least hash; whole texts, in hash order, until SAMPLE_BYTES. Copies count once.
-    Rows whose label or text is null, or whose text has no letter, are not used. No rows: no languages.
+    gives the text with the least hash, of which SAMPLE_BYTES characters at most count. Their letters follow
+    each other in hash order up to SAMPLE_BYTES, which may cut the last one, and no text is fetched after
+    those that hold four times as many bytes before it. Copies count once. Rows whose label or text is null,
+    or whose text has no letter, are not used. No rows: no languages.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("bin")).agg(F.min("h").alias("h"))
-    held = {(r.lang, r.h) for r in least.select("lang", "h").collect()}  # SAMPLE_TEXTS rows a label
-    if not held:
+    size = F.least(F.octet_length("text"), F.lit(SAMPLE_BYTES)).cast("long")
+    least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("bin")).agg(F.min(F.struct("h", size.alias("size"))).alias("x"), F.count("*").alias("n"))
+    by: dict[str, list] = {}
+    for r in least.groupBy("lang").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("x")).alias("xs")).orderBy(F.desc("n"), "lang").limit(LABELS).collect():
+        before = 0
+        for x in r.xs:  # SAMPLE_TEXTS at most
+            if before < 4 * SAMPLE_BYTES:
+                by.setdefault(r.lang, []).append(x.h)
+            before += x.size
+    if not by:
         return {}
-    found = rows.filter(F.col("h").isin([h for _, h in held])).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    held = {(lang, h) for lang, hs in by.items() for h in hs}
+    found = rows.filter(F.col("h").isin([h for _, h in held])).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in found.toLocalIterator():
         if (r.lang, r.h) in held:
@@ -84,18 +94,15 @@ class Compressors:
 
         self.langs = [lang for lang, _ in dictionaries]
 
-        def compressor(raw: bytes, level: int):
+        def compressor(raw: bytes):
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            return z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+            d.precompute_compress(level=LEVEL)
+            return z.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
 
-        self.compress = [compressor(raw, LEVEL) for _, raw in dictionaries]
-        self.further = [compressor(raw, SHORT_LEVEL) for _, raw in dictionaries]
+        self.compress = [compressor(raw) for _, raw in dictionaries]
 
     def sizes(self, text: str) -> list[int]:
         raw = letters(text)
-        if len(raw) < SHORT:
-            return [len(c(raw)) for c in self.further]
         runs = [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
         return [sum(len(c(r)) for r in runs) for c in self.compress]
 

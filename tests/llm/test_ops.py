@@ -79,6 +79,18 @@ def test_records(spark, docs, none):
     assert records.read(spark, records.write(none, shared_dir(spark, "t"), path, 2)).count() == 0
 
 
+def test_shuffled_records(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(records, "ENTRIES", 4)
+    path = P.path("word_bpe_49k.json")
+    shards = records.write(docs, shared_dir(spark, "t"), path, 2)
+    plain = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in records.read(spark, shards).collect()]
+    orders = [[(r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in records.shuffled(spark, shards, seed).collect()] for seed in (1, 1, 2)]
+    assert all(sorted(o, key=repr) == sorted(plain, key=repr) for o in orders)
+    assert orders[0] == orders[1] != orders[2]
+    assert orders[0] != plain
+    assert records.shuffled(spark, records.write(none, shared_dir(spark, "t"), path, 2), 1).count() == 0
+
+
 def test_damaged_records_are_found():
     f = bytearray(records.frame(records.payload_of(3, 2, b"\x01\x00\x02\x00")))
     assert records.ids_of(records.unframe(bytes(f)))[1].tolist() == [1, 2]
@@ -154,6 +166,49 @@ def test_language(spark, docs, none):
     assert language.fit(docs.filter("lang is null")) == {}
 
 
+def test_sample_against_plain_selection(spark, monkeypatch):
+    for name, value in (("SAMPLE_TEXTS", 4), ("SAMPLE_BYTES", 150), ("LABELS", 2)):
+        monkeypatch.setattr(language, name, value)
+    rows = [(words(3 + i % 17, i % 40), ["aa", "bb", "aa", "cc", "bb", None][i % 6]) for i in range(110)] + [(None, "aa"), ("12 34", "bb"), ("", "aa")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    bins: dict[str, dict[int, tuple[int, str]]] = defaultdict(dict)
+    counts = Counter()
+    for t, lang in rows:
+        if t and lang and any(map(str.isalpha, t)):
+            counts[lang] += 1
+            h = hashes[t]
+            bins[lang][h % 4] = min(bins[lang].get(h % 4, (1 << 63, "")), (h, t))
+    want = {}
+    for lang in sorted(counts, key=lambda x: (-counts[x], x))[:2]:
+        raw, before = "", 0
+        for _, t in sorted(bins[lang].values()):
+            if before < 600:
+                raw += re.sub(r"[\W\d_]+", " ", t[:150].lower() + "\n")
+            before += min(150, len(t.encode()))
+        want[lang] = raw.encode()[:150]
+    assert language.fit(df.repartition(3)) == language.without_shared(want)
+
+
+def test_classes_against_plain_compression(spark, docs):
+    import zstandard as z
+
+    learned = {"en": words(400, 1).encode(), "xx": b"zq wv kx ab ou " * 50, "yy": words(400, 9).encode()}
+    for r in language.classify(docs, learned).collect():
+        raw = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).encode()
+        if not raw.strip():
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0, False)
+            continue
+        sizes = {}
+        for lang, d in learned.items():
+            own = z.ZstdCompressor(level=11, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(own.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+        first, second = sorted(sizes, key=lambda x: (sizes[x], x))[:2]
+        margin = (sizes[second] - sizes[first]) / sizes[second]
+        assert (r.lang_pred, r.accepted) == (first, margin >= language.MIN_MARGIN)
+        assert r.score == pytest.approx(margin / (margin + 0.02))
+
+
 def test_shared_notices_teach_nothing():
     got = language.without_shared({"a": b"all rights reserved alpha beta gamma", "b": b"all rights reserved delta"})
     assert got == {"a": b"alpha beta gamma", "b": b"delta"}
@@ -288,6 +343,66 @@ def test_the_allow_list_hides_only_what_it_matches(text):
     assert secret[-4:] not in got
 
 
+def test_base_spans_against_plain_search(spark):
+    """Over random texts of what the patterns are made of, by a search from every place; hashes too."""
+    r = random.Random(8)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "akia", "AKIA", '"', "'", " ", "  ", ":", "=", "a1", "0f3", "deadbeef01", "Zz9+/", ".-_", "é", "Q7RZ2M5XW8TB3NVK", "\n"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 60)))) for i in range(400)]
+    low = lambda c: chr(ord(c) + 32) if "A" <= c <= "Z" else c
+
+    def assign(t: str, i: int) -> tuple[int, int] | None:
+        small = "".join(map(low, t))
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if small.startswith(word, i):
+                at = i + len(word)
+                for quote in (1, 0):
+                    j = at
+                    if quote:
+                        if j >= len(t) or t[j] not in "\"'":
+                            continue
+                        j += 1
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    if j >= len(t) or t[j] not in ":=":
+                        continue
+                    j += 1
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    if j < len(t) and t[j] in "\"'":
+                        j += 1
+                    end = j
+                    while end < len(t) and (t[end].isascii() and t[end].isalnum() or t[end] in "+/_.=-"):
+                        end += 1
+                    if end > j:
+                        return end, end - j
+        return None
+
+    def run(t: str, i: int, head: str, some: str) -> tuple[int, int] | None:
+        end = i + len(head)
+        if not t.startswith(head, i) or end >= len(t) or t[end] not in some:
+            return None
+        while end < len(t) and t[end] in some:
+            end += 1
+        return end, end - i
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = [(assign, 6), (lambda t, i: run(t, i, "AKIA", upper), 20), (lambda t, i: run(t, i, "", "0123456789abcdef"), 24)]
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        spans = []
+        for k, (match, least) in enumerate(kinds):
+            at = 0
+            while at < len(t):
+                m = match(t, at)
+                if m and m[1] >= least:
+                    spans.append((at, k, m[0]))
+                at = m[0] if m else at + 1
+        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest(), t
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert set(filter(None, said.split(","))) <= set(got[i].spans.split(","))
+
+
 def test_the_allow_list_holds():
     for t in ("sampleZq9x7Lp2Vw8Rt4Yn6Bm1Kc3", "123e4567-e89b-12d3-a456-426614174000", "some/words-and/more_of-them"):
         assert secrets.redacted(t) == t
@@ -368,6 +483,16 @@ def test_packing(spark, docs, none):
     assert packing.pack_texts(spark, none, path).count() == 0
 
 
+def test_neighbours_on_the_curve_are_alike():
+    """Documents of 8 vocabularies, dealt at random: their order by key brings those of one together."""
+    r = np.random.default_rng(5)
+    topic = r.integers(0, 8, 400)
+    ids = [r.integers(t * 100, t * 100 + 100, 200) for t in topic]
+    order = np.argsort(packing.keys(ids, 800), kind="stable")
+    same = (topic[order][1:] == topic[order][:-1]).mean()
+    assert same > 0.4  # 0.125 at random
+
+
 def test_hilbert_steps_are_neighbours():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key_ = packing.hilbert(side, 3)
@@ -596,6 +721,20 @@ def test_ball_tree_oracle(spark):
     assert difference(spark, connect(d), queries.QUERIES["op10_ball_tree"], queries.ORACLE["op10_ball_tree"], d) == ""
 
 
+def test_descent_leaves_nodes_out():
+    """Of well-parted clusters a query enters few nodes, and still finds what a full scan finds."""
+    r = np.random.default_rng(1)
+    centers = r.normal(size=(32, 8)) * 200
+    v = np.floor(np.repeat(centers, 64, 0) + r.normal(size=(2048, 8)))
+    tree = topk.BallTree(np.arange(2048), v, 16)
+    q = v[::100]
+    top, who = tree.search(np.arange(0, 2048, 100), q, np.full(len(q), -np.inf), 5)
+    all_ = q @ v.T
+    all_[np.arange(len(q)), np.arange(0, 2048, 100)] = -np.inf
+    assert (np.sort(all_, 1)[:, :-6:-1] == top).all()
+    assert tree.entered < len(q) * len(tree.radii) / 3
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
     monkeypatch.setattr(topk, "BLOCK", 3)

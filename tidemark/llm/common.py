@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -52,22 +53,39 @@ def ranges(spark: SparkSession, size: int | None) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE_BYTES))
 
 
+#: What holds while an operator stores a table: Arrow batches of fewer rows, as a batch of texts is held several
+#: times over on its way to Python, and shuffle files that go as soon as the table is there.
+EAGER = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_lock = threading.Lock()
+_inside: dict[SparkSession, tuple[int, dict[str, str | None]]] = {}
+
+
 @contextmanager
-def short_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of fewer rows for what runs inside: a batch of texts is held several times over on its way to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def eager(spark: SparkSession):
+    """Sets EAGER for what runs inside; threads of one session may be inside together, and the last one out restores."""
+    with _lock:
+        n, before = _inside.get(spark, (0, {}))
+        if not n:
+            before = {k: spark.conf.get(k, None) for k in EAGER}
+            for k, v in EAGER.items():
+                spark.conf.set(k, v)
+        _inside[spark] = n + 1, before
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _lock:
+            n, before = _inside.pop(spark)
+            if n > 1:
+                _inside[spark] = n - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: the lineage is cut, and columns prune."""
     path = shared_dir(spark, name)
-    with short_batches(spark):
+    with eager(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -137,16 +155,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, computed once a word and held up to a fixed number of words."""
+    """64-bit hashes of words, computed once a word and held up to a fixed number of words of bounded size."""
 
-    LIMIT = 400_000
+    LIMIT, LONGEST = 400_000, 128
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.LIMIT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            self[word] = h
         return h
 
     def of(self, text: str | None) -> np.ndarray:

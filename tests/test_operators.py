@@ -10,9 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import fuzzy
+from tidemark.functions import fuzzy, phrases
+from tidemark.functions import text as tx
 from tidemark.functions.expressions import column_of, valid
 from tidemark.operators import intervals as iv
+from tidemark.operators import matching
 from tidemark.operators import ranking as rk
 from tidemark.operators import scoring as sc
 from tidemark.operators import sequential as sq
@@ -276,4 +278,136 @@ def test_replies_and_phrases():
     assert parsing.parsed("{'a': True,}") == ('{"a":true}', "repaired")
     assert parsing.parsed("nothing") == (None, "failed")
     assert parsing.parsed(None) == (None, "failed")
-    assert parsing.phrase_variants("25% off") == ["25 percent off", "25% off", "twenty five percent off", "twenty five% off"]
+
+
+# --- text to the letter
+
+
+@pytest.mark.parametrize(
+    ("text", "norm"),
+    [
+        ("Twenty-five % off", "25% off"),
+        ("two hundred", "200"),
+        ("$ 5 — only!", "$5 only"),
+        ("twentyfive", "25"),
+        ("ninety nine hundred", "99 100"),
+        ("one, two; three", "1 2 3"),
+        ("a hundred", "a 100"),
+        ("25-50% off", "25 50% off"),
+        ("sixty", "60"),
+        ("nineteen or zero", "19 or 0"),
+        ("someone often", "someone often"),
+        ("", ""),
+    ],
+)
+def test_normal_text(spark, text, norm):
+    assert phrases.normalize_text(text) == norm
+    assert spark.createDataFrame([(text,)], "t string").select(tx.normalize_text(F.col("t"))).first()[0] == norm
+
+
+def test_numbers_fold_alike_in_both_forms(spark):
+    r = random.Random(4)
+    some = ["one", "five", "twenty", "ninety", "hundred", "twentyfive", "ten", "x", "7", "%", "$", "zero"]
+    rows = [(" ".join(r.choice(some) for _ in range(r.randint(1, 7))),) for _ in range(400)]
+    got = spark.createDataFrame(rows, "t string").select("t", tx.normalize_text(F.col("t")).alias("n"), tx.content_tokens(F.col("t")).alias("c")).collect()
+    assert all(x.n == phrases.normalize_text(x.t) and x.c == phrases.content_tokens(x.t) for x in got)
+
+
+def test_variants():
+    assert phrases.phrase_variants("25% off") == ["25 percent off", "25% off", "twenty five percent off"]
+    assert phrases.phrase_variants("two hundred steps") == ["200 steps", "two hundred steps"]
+    assert phrases.phrase_variants("100% cotton") == ["100 percent cotton", "100% cotton", "hundred percent cotton"]
+    assert [phrases.spelled(n) for n in (0, 13, 40, 47, 100, 101)] == ["zero", "thirteen", "forty", "forty seven", "hundred", ""]
+
+
+def test_digit_guards(spark):
+    rows = [("20% off", "20% off use code save30", False, True), ("20% off", "25% off", True, True), ("off", "30", False, False), ("save20", "save", True, False)]
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, b string")
+    assert [tuple(r) for r in df.select(tx.digits_missing(F.col("a"), F.col("b")), tx.digits_conflict(F.col("a"), F.col("b"))).collect()] == [r[2:] for r in rows]
+    assert [phrases.digits_missing(a, b) for a, b, *_ in rows] == [r[2] for r in rows]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("27% and 27 percent", [(27, "pct"), (27, "pct")]),
+        ("3months, 3 months", [(3, "months"), (3, "months")]),
+        ("27.5 % of 1,500 users", [(27.5, "pct"), (1500, "")]),
+        ("3 times in 2 weeks", [(3, "times"), (2, "weeks")]),
+        ("used 3 monthly", [(3, "")]),
+        ("2x faster", [(2, "times")]),
+        ("none", []),
+    ],
+)
+def test_figures(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(tx.figures(F.col("t"))).first()[0]
+    assert [(f.value, f.unit) for f in got] == want
+
+
+def test_terms(spark):
+    rows = [("heal", "your hair heals", 100), ("heal", "healing", 100), ("heal", "your hair looks healthy", 0), ("27%", "now 27% off", 100), ("$5", "for $5 only", 0), ("dermatologist recommended", "a dermatolgist recommended serum", 96), ("dermatologist", "hair", 0), ("", "x", 0), ("a.b", "a.b c", 100), ("a.b", "axb c", 0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, h string")
+    got = [r[0] for r in df.select(fuzzy.term_score(F.col("t"), F.col("h"))).collect()]
+    assert got == [w for *_, w in rows]
+    best = df.limit(1).select(fuzzy.hint_score(["no", "hair", "heal", "looks like"], F.lit("your hair heals"))).first()[0]
+    assert (best.score, best.hint) == (100, "hair")
+
+
+def test_likeness_to_the_letter():
+    assert fuzzy.contains_ratio("shop now", "shopnow") == 100
+    assert fuzzy.contains_ratio("shop now", "shop") < 85
+    assert fuzzy.contains_ratio("shop now", "go and shop now please") == 100
+    assert fuzzy.token_recall("and the of", "anything") == (0, 0)
+    assert fuzzy.token_recall("everyone talks about hair growth, but what about hair shine?", "everybody talks about hair growth but nobody talks about hair shine") == (100, 5)
+    assert fuzzy.caption_similarity("20% off", "20% off")[1] == "contains"
+    assert fuzzy.same_word("hold", "holding") and not fuzzy.tokens_match("applying", "applies")
+    assert fuzzy.same_word("applying", "applies") and not fuzzy.same_word("head", "hand")
+    r = random.Random(2)
+    for _ in range(300):  # the bound on windows loses nothing
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(1, n))) for n in (6, 14))
+        s, t = sorted((a, b), key=len)
+        want = max(fuzzy.ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+        assert fuzzy.partial_ratio(a, b) == want
+
+
+def test_phrases_in_windows():
+    t = "get twenty five percent off now and shopnow or save 20 percent".split()
+    want = {0: "25% off", 1: "20% off", 2: "shop now"}
+    got = phrases.find_phrases(t, {i: phrases.phrase_variants(p) for i, p in want.items()})
+    assert {(p, i, n) for p, i, n, *_ in got} >= {(0, 1, 4), (2, 7, 1)}
+    assert not any(p == 1 and i < 7 for p, i, *_ in got)  # 25% is not 20%
+    r = random.Random(9)
+    for _ in range(40):  # against every window, with no bound before the ratio
+        tok = [r.choice(["shop", "now", "shopnow", "snow", "two", "hundred", "200", "hop", "%"]) for _ in range(r.randint(1, 12))]
+        some = {0: phrases.phrase_variants("shop now"), 1: phrases.phrase_variants("two hundred %")}
+        plain = {(p, i, n) for p, vs in some.items() for v in vs for n in {max(1, len(v.split()) - 1), len(v.split()), len(v.split()) + 1} for i in range(len(tok) - n + 1) if not phrases.digits_missing(v, phrases.normalize_text(" ".join(tok[i : i + n]))) and fuzzy.robust_ratio(v, phrases.normalize_text(" ".join(tok[i : i + n]))) >= 88}
+        assert {x[:3] for x in phrases.find_phrases(tok, some)} == plain
+
+
+def test_containment_loses_nothing(spark):
+    r = random.Random(6)
+    word = lambda: r.choice(["a", "ab", "b,", "abc", "c.", "ba", ""])
+    docs = [(i, " ".join(word() for _ in range(r.randint(0, 9)))) for i in range(60)]
+    items = [(i, " ".join(word() for _ in range(r.randint(1, 6)))[r.randint(0, 1) :]) for i in range(60)]
+    got = matching.contained(spark.createDataFrame(items, "i long, item string"), "item", spark.createDataFrame(docs, "d long, text string"), "text").select("i", "d").collect()
+    assert sorted(map(tuple, got)) == sorted((i, d) for i, x in items if x for d, t in docs if x in t)
+
+
+@pytest.mark.parametrize(("score", "least"), [("ratio", 85), ("ratio", 70), ("token_set", 82)])
+def test_blocking_loses_nothing(spark, score, least):
+    r = random.Random(7)
+    some = [" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 3))) for _ in range(70)]
+    some += [s[:k] + r.choice("abcd ") + s[k + r.randint(0, 1) :] for s in some for k in [r.randrange(len(s))]]
+    some = sorted({s.strip() for s in some if s.strip()})
+    df = spark.createDataFrame([(s,) for s in some], "t string")
+    f = fuzzy.ratio if score == "ratio" else fuzzy.token_set_ratio
+    got = {(x.a, x.b) for x in matching.alike(df, "t", df, "t", least, score).collect()}
+    assert got == {(a, b) for a in some for b in some if f(a, b) >= least}
+
+
+def test_holding_loses_nothing(spark):
+    r = random.Random(11)
+    hays = ["".join(r.choice("abc 1") for _ in range(r.randint(1, 25))).strip() for _ in range(60)]
+    needles = ["".join(r.choice("abc 12") for _ in range(r.randint(1, 8))).strip() for _ in range(60)]
+    got = {(x.needle, x.hay) for x in matching.holding(spark.createDataFrame([(n,) for n in needles], "n string"), "n", spark.createDataFrame([(h,) for h in hays], "h string"), "h", 85).collect()}
+    assert got == {(n, h) for n in needles for h in hays if n and h and fuzzy.contains_ratio(n, h) >= 85 and not phrases.digits_missing(n, h)}

@@ -1,4 +1,4 @@
-"""Fuzzy text similarity (F5-F11): the only functions that need Python.
+"""Fuzzy text similarity (F5-F11, F16, F17): the only functions that need Python.
 
 The ratio is 100 * 2 * LCS / (len a + len b). The length of the longest common subsequence is computed
 with bit-parallel integers: one pass over b with a mask of positions for each character of a.
@@ -6,12 +6,16 @@ with bit-parallel integers: one pass over b with a mask of positions for each ch
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import phrases
+from tidemark.functions import text as tx
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
@@ -40,19 +44,34 @@ def robust_ratio(a: str, b: str) -> int:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a window of its length in the longer one."""
+    """The best ratio of the shorter text with a window of its length in the longer one, or of less at its ends."""
     s, t = sorted((a, b), key=len)
     if not s:
         return 100.0 if not t else 0.0
     if s in t:
         return 100.0
-    n = len(s)
-    return max(ratio(s, t[max(0, i) : i + n]) for i in range(1 - n, len(t)))
+    n, best = len(s), 0.0
+    have = Counter(s)
+    for i in range(1 - n, len(t)):
+        window = t[max(0, i) : i + n]
+        both = len(window) if len(window) < n // 2 else sum(min(k, have[c]) for c, k in Counter(window).items())
+        if 200.0 * both / (n + len(window)) > best:  # what the characters allow at most
+            best = max(best, ratio(s, window))
+    return best
+
+
+def robust_partial_ratio(a: str, b: str) -> int:
+    """The better of the whole-number partial ratios with and without white space."""
+    return max(int(partial_ratio(a, b)), int(partial_ratio("".join(a.split()), "".join(b.split()))))
 
 
-def contains_ratio(needle: str, hay: str) -> float:
-    """partial_ratio, but the plain ratio if the hay is shorter than 0.8 of the needle."""
-    return ratio(needle, hay) if len(hay) < 0.8 * len(needle) else partial_ratio(needle, hay)
+def contains_ratio(needle: str, hay: str) -> int:
+    """Whether hay holds needle, from 0 to 100.
+
+    A hay of less than 0.8 of the needle, white space aside, can't hold it: it is compared as a whole.
+    """
+    n, h = len("".join(needle.split())), len("".join(hay.split()))
+    return robust_ratio(needle, hay) if h < n * 0.8 else robust_partial_ratio(needle, hay)
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -70,27 +89,72 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else (0.0,)))
 
 
-def same_word(a: str, b: str) -> bool:
-    """Equal, alike at 80, or with a common prefix of 5 and 60 % of the shorter."""
-    if a == b or ratio(a, b) >= 80:
+def _shared(a: str, b: str) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def tokens_match(a: str, b: str, least: float = 80) -> bool:
+    """Equal, alike at `least`, or with a common start of 5 characters and 60 % of the shorter."""
+    if a == b or ratio(a, b) >= least:
         return True
-    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    n = _shared(a, b)
     return n >= 5 and n >= 0.6 * min(len(a), len(b))
 
 
-def token_recall(needle: str, hay: str) -> float:
-    """Per cent of the needle's distinct tokens that some token of the hay matches."""
-    x, y = sorted(set(needle.split())), set(hay.split())
-    return 100.0 * sum(any(same_word(a, b) for b in y) for a in x) / len(x) if x else 0.0
+def same_word(a: str, b: str, least: float = 80) -> bool:
+    """tokens_match, or a common start of 4 characters and 55 % of the shorter (F11): hold and holding, not head and hand."""
+    n = _shared(a, b)
+    return tokens_match(a, b, least) or (n >= 4 and n >= 0.55 * min(len(a), len(b)))
+
+
+def token_recall(needle: str, hay: str, least: float = 80) -> tuple[int, int]:
+    """Per cent of the needle's distinct content tokens that a content token of the hay matches, and their number."""
+    x, y = dict.fromkeys(phrases.content_tokens(needle)), set(phrases.content_tokens(hay))
+    if not x or not y:
+        return 0, len(x)
+    return round(100 * sum(any(tokens_match(a, b, least) for b in y) for a in x) / len(x)), len(x)
 
 
-def caption_similarity(a: str, b: str) -> tuple[float, str]:
-    """The best of four scores and the first method that reaches it."""
-    scores = [("contains", contains_ratio(a, b)), ("token_set", token_set_ratio(a, b)), ("token_sort", token_sort_ratio(a, b)), ("recall", token_recall(a, b))]
+def caption_similarity(a: str, b: str, least: float = 80, content: int = 3) -> tuple[int, str]:
+    """The best of four scores and the first method that reaches it (F9). Recall counts from `content` content tokens on."""
+    recall, n = token_recall(a, b, least)
+    sets = max(int(token_set_ratio(a, b)), int(token_set_ratio("".join(a.split()), "".join(b.split()))))
+    scores = [("contains", contains_ratio(a, b)), ("token_set", sets), ("token_sort", int(token_sort_ratio(a, b))), ("token_recall", recall if n >= content else 0)]
     best = max(s for _, s in scores)
     return best, next(n for n, s in scores if s == best)
 
 
+#: A single word of fewer characters must stand in a text as a word.
+SHORT_TERM = 8
+
+
+def term_ratio(term: str, hay: str) -> int:
+    """How well hay holds a term of several words or of SHORT_TERM characters; 0 for other terms and for a hay of less than 0.8 of it (F16)."""
+    if len(term) < SHORT_TERM and " " not in term or len(hay) < len(term) * 0.8:
+        return 0
+    return int(partial_ratio(term, hay))
+
+
+def term_score(term: Column, hay: Column) -> Column:
+    """100 for the term as a word, else term_ratio, of lower-case columns; 0 if either is empty (F16). Only what no native rule decides goes to Python."""
+    empty = (F.coalesce(F.length(term), F.lit(0)) == 0) | (F.coalesce(F.length(hay), F.lit(0)) == 0)
+    hit = tx.word_hit(hay, term)
+    short = (F.length(term) < SHORT_TERM) & ~F.contains(term, F.lit(" ")) | (F.length(hay) < F.length(term) * 0.8)
+    slow = column(term_ratio, F.when(~empty & ~hit & ~short, term), hay).cast("int")
+    return F.when(empty, 0).when(hit, 100).when(short, 0).otherwise(slow)
+
+
+def hint_score(hints: list[str], hay: Column, least_length: int = 3) -> Column:
+    """struct(score, hint): the best score of any hint and the first hint that has it; 0 and empty if none scores."""
+    low = [h.strip().lower() for h in hints]
+    scored = [(h, term_score(F.lit(h), hay)) for h in low if len(h) >= least_length]
+    none = F.struct(F.lit(0).alias("score"), F.lit("").alias("hint"))
+    if not scored:
+        return none
+    every = F.array(*(F.struct(s.alias("score"), F.lit(h).alias("hint")) for h, s in scored))
+    return F.aggregate(every, none, lambda best, x: F.when(x.score > best.score, x).otherwise(best))
+
+
 def column(f: Callable[[str, str], float], a: Column, b: Column) -> Column:
     """f over two text columns, Arrow batches; null if either is null."""
 

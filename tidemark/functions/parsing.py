@@ -1,4 +1,4 @@
-"""Model replies and phrases: JSON extraction and repair, phrase variants, temporal phrases (§2.9 JSON, F3)."""
+"""Model replies and time phrases: JSON extraction and repair, temporal windows (§2.9 JSON)."""
 
 from __future__ import annotations
 
@@ -9,29 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spelled tens.
-TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
-ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
-
-
-def spelled(n: int) -> str:
-    """A number from 0 to 99 in words."""
-    if n < 20:
-        return ONES[n]
-    tens = next(w for w, v in TENS.items() if v == n // 10 * 10)
-    return tens if n % 10 == 0 else f"{tens} {ONES[n % 10]}"
-
-
-def phrase_variants(phrase: str) -> list[str]:
-    """The phrase with numbers as digits and as words, and per cent as sign and word, sorted."""
-    found = {phrase}
-    for m in re.finditer(r"\b\d{1,2}\b", phrase):
-        found |= {re.sub(rf"\b{m.group()}\b", spelled(int(m.group())), p) for p in found}
-    for p in list(found):
-        found.add(re.sub(r"\s*%", " percent", p))
-        found.add(re.sub(r"\s*percent\b", "%", p))
-    return sorted(found)
-
+from tidemark.functions import lexicon as lx
 
 def json_object(text: str) -> str | None:
     """The first balanced {...} of the text; braces in strings don't count."""
@@ -98,7 +76,7 @@ def temporal_window(text: Column) -> Column:
 
     Numbers as digits or as words up to ten.
     """
-    words = ONES[1:11]
+    words = [*lx.UNIT_WORDS, "ten"]
     number = "([0-9]+|" + "|".join(words) + ")"
     table = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i + 1)])
     low = F.lower(text)

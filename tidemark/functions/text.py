@@ -1,30 +1,55 @@
-"""Text functions as columns."""
+"""Text functions as columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Function words that carry no content, by language.
-STOP_WORDS = ["the", "and", "of", "to", "in", "is", "that", "it", "for", "with", "as", "was", "on", "are", "by", "be", "at", "from", "this", "an", "a"]
-# Spelled numbers.
-NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
-# Canonical units of figures.
-UNITS = {"%": "%", "percent": "%", "days": "day", "day": "day", "months": "month", "month": "month"}
+from tidemark.functions import lexicon as lx
+
+_MARKS = r"[!\"#'()*,./:;<=>?@\[\\\]^_`{|}~-]"
 
 
 def normalize_token(c: Column) -> Column:
-    """Lower case, no punctuation but % $ & +, single spaces (F1). ASCII punctuation only."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[!\"#'()*,./:;<=>?@\[\\\]^_`{|}~-]", ""), r"[ \t\n\r]+", " "))
+    """Lower case, no punctuation but % $ & +, single spaces (F1). ASCII punctuation and white space only."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), _MARKS, ""), r"[ \t\n\r]+", " "))
+
+
+def _numbers(words: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+
+
+def fold_numbers(tokens: Column) -> Column:
+    """Spelled numbers as digits: `twenty five` and `twentyfive` are 25, `two hundred` is 200, other words stand alone.
+
+    Read from left to right, so a unit after a ten belongs to it and not to a hundred that follows.
+    """
+    tens, ones = list(lx.TENS_WORDS), list(lx.UNIT_WORDS)
+    single = lx.NUMBER_WORDS | {t + u: lx.TENS_WORDS[t] + lx.UNIT_WORDS[u] for t in tens for u in ones}
+    value, ten, one = _numbers(single), _numbers(lx.TENS_WORDS), _numbers(lx.UNIT_WORDS)
+
+    def fold(x: Column, i: Column) -> Column:
+        before, twice, after = F.get(tokens, i - 1), F.get(tokens, i - 2), F.get(tokens, i + 1)
+        to_ten = x.isin(ones) & F.coalesce(before.isin(tens), F.lit(False))
+        to_one = (x == "hundred") & F.coalesce(before.isin(ones), F.lit(False)) & ~F.coalesce(twice.isin(tens), F.lit(False))
+        return (
+            F.when(to_ten | to_one, None)
+            .when(x.isin(tens) & after.isin(ones), (F.try_element_at(ten, x) + F.try_element_at(one, after)).cast("string"))
+            .when(x.isin(ones) & (after == "hundred"), (F.try_element_at(one, x) * 100).cast("string"))
+            .otherwise(F.coalesce(F.try_element_at(value, x).cast("string"), x))
+        )
 
+    return F.array_compact(F.transform(tokens, fold))
 
-def normalize_text(c: Column) -> Column:
-    """Dashes to spaces, token normalisation, number words to digits, `20 %` to `20%`, `$ 5` to `$5` (F2)."""
-    out = F.concat(F.lit(" "), normalize_token(F.regexp_replace(c, r"[-–—]", " ")), F.lit(" "))
-    for word, n in NUMBER_WORDS.items():
-        out = F.regexp_replace(out, f" {word} ", f" {n} ")
-    out = F.regexp_replace(F.regexp_replace(out, r"([0-9]) %", "$1%"), r"\$ ([0-9])", r"\$$1")
-    return F.trim(out)
+
+def normalize_text(c: Column, numbers: bool = True) -> Column:
+    """Dashes to spaces, token normalisation, spelled numbers to digits, `20 %` to `20%`, `$ 5` to `$5` (F2)."""
+    plain = normalize_token(F.regexp_replace(c, "[-‐‑–—]", " "))
+    out = plain
+    if numbers:  # most texts have none and are spared the fold
+        folded = F.array_join(fold_numbers(F.split(plain, " ")), " ")
+        out = F.when(plain.rlike("(?:^| )(?:" + "|".join(lx.NUMBER_WORDS) + ")"), folded).otherwise(plain)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"([0-9]) +%", "$1%"), r"\$ +([0-9])", r"\$$1"))
 
 
 def despace(c: Column) -> Column:
@@ -37,9 +62,9 @@ def tokens(c: Column) -> Column:
 
 
 def content_tokens(c: Column) -> Column:
-    """Tokens of three characters or more, or with a digit, that aren't stop words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(c), lambda x: ((F.length(x) >= 3) | x.rlike("[0-9]")) & ~F.array_contains(stop, x))
+    """Tokens of the normalised text with a digit, or of three characters or more that aren't stop words."""
+    stop = F.array(*map(F.lit, lx.STOP_WORDS))
+    return F.filter(F.split(normalize_text(c), " "), lambda x: x.rlike("[0-9]") | ((F.length(x) >= 3) & ~F.array_contains(stop, x)))
 
 
 def digit_runs(c: Column) -> Column:
@@ -48,26 +73,40 @@ def digit_runs(c: Column) -> Column:
 
 
 def digits_conflict(a: Column, b: Column) -> Column:
-    """Both have digits, and different ones."""
+    """Both have digits, and different ones (F13): are these two things?"""
     x, y = digit_runs(a), digit_runs(b)
     return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
 
 
-def term_hit(c: Column, term: str) -> Column:
-    """The term as a word, with a plain inflection (F16). The term is literal text."""
-    import re
+def digits_missing(required: Column, candidate: Column) -> Column:
+    """The candidate lacks a number that is required (F13): does this not satisfy that?"""
+    return F.size(F.array_except(digit_runs(required), digit_runs(candidate))) > 0
+
+
+def word_hit(hay: Column, term: Column) -> Column:
+    """Whether a lower-case term stands in lower-case hay as a word, with a plain inflection at most (F16).
 
-    return F.lower(c).rlike(rf"(^|[^a-z0-9]){re.escape(term.lower())}(s|es|ed|d|ing)?([^a-z0-9]|$)")
+    `heal` is in `heals` and `healing`, not in `healthy`; `27%` is in `27% off`. The term is literal text.
+    """
+    literal = F.regexp_replace(term, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    return F.rlike(hay, F.concat(F.lit(r"\b"), literal, F.lit(r"(?:s|es|ed|d|ing)?(?!\w)")))
 
 
 def figures(c: Column) -> Column:
-    """Sorted distinct `value unit` of figures with a known unit; thousands commas go."""
-    pattern = r"([0-9][0-9,]*) ?(%|percent|days|day|months|month)"
-    low = F.lower(c)
-    values = F.transform(F.regexp_extract_all(low, F.lit(pattern), 1), lambda x: F.regexp_replace(x, ",", ""))
-    units = F.regexp_extract_all(low, F.lit(pattern), 2)
-    known = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    return F.array_sort(F.array_distinct(F.zip_with(values, units, lambda v, u: F.concat(v, F.lit(" "), F.try_element_at(known, u)))))
+    """Array of struct(value, unit) in order (F18): a number, its decimals, and its canonical unit, empty for a bare number.
+
+    A comma before more digits is dropped. `3months`, `27.5 %` and `27.5 percent` have units, `3 monthly` has none.
+    """
+    pattern = r"(?i)(\d+(?:[.,]\d+)?)\s*(?:(%)|(percent|pct|days?|weeks?|months?|years?|hours?|minutes?|times?|x)\b)?"
+    value, sign, word = (F.regexp_extract_all(c, F.lit(pattern), i) for i in (1, 2, 3))
+    known = F.create_map(*[F.lit(x) for kv in lx.UNITS.items() for x in kv])
+    unit = F.zip_with(sign, word, lambda s, w: F.coalesce(F.try_element_at(known, F.lower(F.concat(s, w))), F.lit("")))
+    return F.zip_with(value, unit, lambda v, u: F.struct(F.regexp_replace(v, ",", "").cast("double").alias("value"), u.alias("unit")))
+
+
+def policed(figures_: Column) -> Column:
+    """Those that have a unit: a bare number is never held against anything."""
+    return F.filter(figures_, lambda f: f.unit != "")
 
 
 def strip_markdown(c: Column) -> Column:
@@ -94,9 +133,8 @@ def clock(seconds: Column) -> Column:
 
 
 def non_english(c: Column) -> Column:
-    """More than 15 % of the letters aren't ASCII, or six words or more without a stop word."""
-    letters = F.regexp_count(c, F.lit(r"[A-Za-zÀ-ÖØ-öø-ÿ]"))
-    other = F.regexp_count(c, F.lit(r"[À-ÖØ-öø-ÿ]"))
-    words = tokens(c)
-    none = ~F.arrays_overlap(words, F.array(*map(F.lit, STOP_WORDS)))
-    return (other * 100 > letters * 15) | ((F.size(words) >= 6) & none)
+    """More than 15 % of the letters aren't ASCII, or six words or more without a stop word (P16). Not an empty text."""
+    letters, other = F.regexp_count(c, F.lit(r"\p{L}")), F.regexp_count(c, F.lit(r"[\p{L}&&[^A-Za-z]]"))
+    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"), 1)
+    none = ~F.arrays_overlap(words, F.array(*map(F.lit, lx.STOP_WORDS)))
+    return (F.trim(c) != "") & ((other * 100 > letters * 15) | ((F.size(words) >= 6) & none))

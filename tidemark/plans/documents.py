@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import cues
 from tidemark.functions import text as tx
+from tidemark.operators import matching
 from tidemark.operators import ranking as rk
-from tidemark.plans.text import content, toks
+from tidemark.plans.text import content, norm, toks
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, load, small, timeline
+from tidemark.tables import TIMELINE, asks, load, timeline
 
 LINES = "ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 
@@ -66,15 +68,10 @@ def f27(spark: SparkSession, d: str) -> DataFrame:
     return u.filter(F.trim("unit") != "").groupBy("item_id", F.trim("unit").alias("unit")).agg(F.count("*").alias("n"))
 
 
-SYNONYMS = {"ring": "circle", "bolt": "screw", "widget": "part", "gear": "wheel", "red": "scarlet", "blue": "azure", "small": "little"}
-
-
-@query("f28_match_hints", "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS.items()) + ") v(w, syn)), t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), e AS (SELECT p_partkey, w AS h FROM t UNION SELECT p_partkey, syn FROM t JOIN s USING (w)) SELECT p_partkey, string_agg(h, ',' ORDER BY h) AS hints FROM e GROUP BY p_partkey")
+@query("f28_match_hints")
 def f28(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens with their synonyms, sorted, twelve at most."""
-    m = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
-    w = F.split("p_name", " ")
-    return load(spark, d, "part").select("p_partkey", F.array_join(F.slice(F.array_sort(F.array_union(w, F.array_compact(F.transform(w, lambda x: F.try_element_at(m, x))))), 1, 12), ",").alias("hints"))
+    """Hints of each ask: content tokens that are no verbs of asking, synonyms of its topics, quotations; twelve at most, in that order."""
+    return asks(spark, d).select("id", "text", F.array_join(cues.match_hints(F.col("text")), ",").alias("hints"))
 
 
 @query("f30_angle_names", f"WITH {LINES}, h AS (SELECT doc_id, trim(line) AS name, pos FROM ln WHERE {HEAD}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM h) SELECT doc_id, string_agg(name, '|' ORDER BY pos) AS names FROM r WHERE rn <= 8 GROUP BY doc_id")
@@ -97,7 +94,7 @@ def r25(spark: SparkSession, d: str) -> DataFrame:
     """Topics at least half of whose tokens the corpus has."""
     v = load(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("t")).distinct().withColumn("there", F.lit(1))
     p = load(spark, d, "part").select(F.concat("p_name", F.lit(" the")).alias("p_name")).distinct().select("p_name", F.explode(F.split("p_name", " ")).alias("t"))
-    return small(p).join(v, "t", "left").groupBy("p_name").agg((F.count("there") * 2 >= F.count("*")).alias("seen"))
+    return p.join(v, "t", "left").groupBy("p_name").agg((F.count("there") * 2 >= F.count("*")).alias("seen"))
 
 
 @query("r30_ungroup", f"WITH {LINES}, c AS (SELECT DISTINCT doc_id FROM ln WHERE regexp_matches(lower(line), 'rights reserved|license')) SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN source END AS grp FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id")
@@ -109,11 +106,9 @@ def r30(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r31_claims_to_requirements", "SELECT item_id, 'claim' AS origin FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) UNION ALL SELECT doc_id, 'document' FROM labels WHERE quality = 1")
 def r31(spark: SparkSession, d: str) -> DataFrame:
-    """A requirement for each claim that nothing covers, beside those there are. Candidates share a window of three words."""
-    b = load(spark, d, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("gram"))
-    grams = F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))")
-    t = load(spark, d, "documents").withColumn("w", F.split("text", " ")).select("text", F.explode(F.array_distinct(grams)).alias("gram"))
-    covered = t.join(small(b), "gram").filter(F.contains("text", F.col("item"))).select("item_id").distinct()
+    """A requirement for each claim that nothing covers, beside those there are."""
+    b = load(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    covered = matching.contained(b, "item", load(spark, d, "documents").select("text"), "text").select("item_id").distinct()
     own = load(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("item_id"), F.lit("document").alias("origin"))
     return b.select("item_id").join(covered, "item_id", "left_anti").withColumn("origin", F.lit("claim")).unionByName(own)
 
@@ -124,10 +119,13 @@ def r32(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), (F.bool_or(F.col("text").rlike("[0-9]")) & ~F.bool_or(F.lower("text").rlike("figures must match"))).alias("add_rule"))
 
 
-@query("r34_group_intents", f"WITH o AS (SELECT lang, list_distinct(flatten(list({content('text')}))) AS body FROM documents GROUP BY lang), n AS (SELECT 'en' AS lang, 'rights and license' AS intent UNION ALL SELECT 'de', 'zz qqq' UNION ALL SELECT 'fr', 'les des') SELECT lang, intent, len(list_intersect(body, {content('intent')})) = 0 AS flagged FROM o JOIN n USING (lang)")
+INTENTS = [("en", "rights and license"), ("de", "zz qqq"), ("fr", "les des")]
+
+
+@query("r34_group_intents", f"WITH {norm('c', 'SELECT lang, text AS x FROM documents')}, o AS (SELECT lang, list_distinct(flatten(list({content('norm')}))) AS body FROM c GROUP BY lang), n AS (SELECT * FROM (VALUES " + ", ".join(map(str, INTENTS)) + f") v(lang, intent)) SELECT lang, intent, len(list_intersect(body, {content('intent')})) = 0 AS flagged FROM o JOIN n USING (lang)")
 def r34(spark: SparkSession, d: str) -> DataFrame:
     """Intents that share no content word with any option of their group."""
-    n = spark.createDataFrame([("en", "rights and license"), ("de", "zz qqq"), ("fr", "les des")], "lang string, intent string")
+    n = spark.createDataFrame(INTENTS, "lang string, intent string")
     words = n.select("lang", "intent", F.explode_outer(tx.content_tokens(F.col("intent"))).alias("t"))
     body = load(spark, d, "documents").select("lang", F.explode(tx.content_tokens(F.col("text"))).alias("t")).distinct().withColumn("there", F.lit(1))
     return F.broadcast(words).join(body, ["lang", "t"], "left").groupBy("lang", "intent").agg((F.count("there") == 0).alias("flagged"))

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import parsing
+from tidemark.functions import fuzzy, parsing, phrases
 from tidemark.operators import ranking as rk
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, UNITS, load, small, timeline, units
-
-
-@query("p15_scorable", "SELECT doc_id, regexp_matches(text, '[0-9]') AND lang <> 'es' AS scorable FROM documents")
-def p15(spark: SparkSession, d: str) -> DataFrame:
-    """Machine-checkable and not of the type `other`."""
-    return load(spark, d, "documents").select("doc_id", (F.col("text").rlike("[0-9]") & (F.col("lang") != "es")).alias("scorable"))
+from tidemark.tables import TIMELINE, UNITS, asks, load, timeline, units
 
 
 @query("w13_ordinals", f"WITH {UNITS} SELECT video, id, q, row_number() OVER (PARTITION BY video ORDER BY id, q, polarity, dimension, flag) AS ordinal FROM un WHERE status <> 'NOT_APPLICABLE'")
@@ -42,21 +37,22 @@ def k8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f3_phrase_variants")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of `<size>% off <name>`: the distinct sizes are few, so they are spelled on the driver."""
-    sizes = [r.p_size for r in load(spark, d, "part").select("p_size").distinct().filter("p_size < 100").collect()]
-    rows = [(n, v) for n in sizes for v in parsing.phrase_variants(f"{n}% off")]
-    variants = spark.createDataFrame(rows, "p_size int, variant string")
-    return load(spark, d, "part").join(small(variants), "p_size").select("p_partkey", F.concat_ws(" ", "variant", "p_name").alias("variant"))
+    """Variants of each distinct ask: numbers as digits and as words, per cent as sign and as word."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(phrases.phrase_variants)
+
+    return asks(spark, d).select("text").distinct().select("text", F.explode(run("text")).alias("variant"))
 
 
-HINTS = ["the", "ring", "license", "que", "und"]
+HINTS = ["heal", "20% off", "clinically proven", "dermatologist recommended", "score", "in"]
 
 
-@query("f17_hint_score", "SELECT doc_id, list_max([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){h}([^a-z0-9]|$)') THEN {100 - 10 * i} ELSE 0 END" for i, h in enumerate(HINTS)) + "]) AS score FROM documents")
+@query("f17_hint_score")
 def f17(spark: SparkSession, d: str) -> DataFrame:
-    """The best of a requirement's hints."""
-    hits = [F.when(F.lower("text").rlike(f"(^|[^a-z0-9]){h}([^a-z0-9]|$)"), 100 - 10 * i).otherwise(0) for i, h in enumerate(HINTS)]
-    return load(spark, d, "documents").select("doc_id", F.array_max(F.array(*hits)).alias("score"))
+    """The best of a requirement's hints in a record, and which: a hint as words scores 100, one of several words or eight letters as far as it is like a part of the record."""
+    return asks(spark, d).select("id", "text", fuzzy.hint_score(HINTS, F.lower("text")).alias("best")).select("id", "text", "best.*")
 
 
 @query(

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import cues, fuzzy
+from tidemark.functions import lexicon as lx
+from tidemark.functions import text as tx
+from tidemark.operators import matching
 from tidemark.operators import ranking as rk
 from tidemark.operators import verdicts as vd
+from tidemark.plans.text import figures_sql
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, UNITS, load, small, timeline, units
+from tidemark.tables import ASKS_SQL, TIMELINE, UNITS, asks, load, timeline, units
 
 
 @query("k1_rank_candidates", f"WITH {TIMELINE} SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY k DESC, t0, event_id) AS rank FROM tl")
@@ -83,7 +91,7 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
     """Of each label, the ten vectors most like its first one."""
     n = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("v"))
     q = n.groupBy("label").agg(F.min_by("v", "vec_id").alias("c"), F.min("vec_id").alias("own"))
-    s = n.join(small(q), "label").filter("vec_id <> own")
+    s = n.join(q, "label").filter("vec_id <> own")
     s = s.withColumn("score", F.aggregate(F.zip_with("c", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).cast("long"))
     w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
     return s.select("label", "vec_id", "score", F.row_number().over(w).alias("rank")).filter("rank <= 10")
@@ -122,7 +130,7 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
 def s5(spark: SparkSession, d: str) -> DataFrame:
     """Rows of this job's inbox, or all of them if none is."""
     sup = load(spark, d, "supplier")
-    m = sup.join(small(load(spark, d, "nation").filter("n_regionkey = 99").select(F.col("n_nationkey").alias("s_nationkey"))), "s_nationkey", "left_semi").select("s_suppkey")
+    m = sup.join(load(spark, d, "nation").filter("n_regionkey = 99").select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_semi").select("s_suppkey")
     n = m.agg(F.count("*").alias("n"))
     return m.unionByName(sup.select("s_suppkey").crossJoin(F.broadcast(n)).filter("n = 0").drop("n"))
 
@@ -250,24 +258,44 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).select("id", "q", vd.triage(F.col("sim"), F.col("can_fail")).alias("status"))
 
 
-@query("r3_forbidden_check", "WITH h AS (SELECT doc_id, source, regexp_matches(lower(text), '(^|[^a-z0-9])(trash|stupid|worthless)([^a-z0-9]|$)') AS hit FROM documents) SELECT source, count(*) FILTER (hit) AS hits, min(doc_id) FILTER (hit) AS first_hit, CASE WHEN count(*) FILTER (hit) > 0 AND source = 'src3' THEN 'UNCERTAIN' WHEN count(*) FILTER (hit) > 0 THEN 'FAIL' WHEN count(*) = 0 THEN 'UNCERTAIN' ELSE 'PASS' END AS status FROM h GROUP BY source")
+FORBIDDEN = ["cure", "heal", "guarantee", "other brands"]
+_FORBIDDEN_SQL = " OR ".join(f"regexp_matches(' ' || lower(text), '[^a-z0-9_]{t}(s|es|ed|d|ing)?([^a-z0-9_]|$)')" for t in FORBIDDEN)
+
+
+@query(
+    "r3_forbidden_check",
+    f"""WITH {ASKS_SQL}, h AS (SELECT id, CASE id % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'ocr' ELSE 'visual' END AS modality, id // 24 % 40 AS video, {_FORBIDDEN_SQL} AS hit FROM asks),
+    g AS (SELECT video, min(id) FILTER (hit) AS first_hit, count(*) FILTER (hit) AS hits, arg_min(modality, id) FILTER (hit) AS said_in FROM h GROUP BY video)
+    SELECT video, hits, first_hit, CASE WHEN hits > 0 AND said_in = 'ocr' AND video % 5 = 0 THEN 'UNCERTAIN' WHEN hits > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN hits = 0 THEN 'PASS_FROM_ABSENCE' END AS flag FROM g""",
+)
 def r3(spark: SparkSession, d: str) -> DataFrame:
-    """Any hit is positive evidence of a FAIL unless its source is degraded; none is a pass from absence."""
-    h = load(spark, d, "documents").select("doc_id", "source", F.lower("text").rlike("(^|[^a-z0-9])(trash|stupid|worthless)([^a-z0-9]|$)").alias("hit"))
-    g = h.groupBy("source").agg(F.count_if("hit").alias("hits"), F.min(F.when(F.col("hit"), F.col("doc_id"))).alias("first_hit"))
-    return g.withColumn("status", F.when((F.col("hits") > 0) & (F.col("source") == "src3"), "UNCERTAIN").when(F.col("hits") > 0, "FAIL").otherwise("PASS"))
+    """A forbidden term is positive evidence of a FAIL, unless the modality of its first hit is degraded for the video; none at all is a pass from absence."""
+    modality = F.when(F.col("id") % 3 == 0, "speech").when(F.col("id") % 3 == 1, "ocr").otherwise("visual")
+    hit = reduce(lambda a, b: a | b, (tx.word_hit(F.lower("text"), F.lit(t)) for t in FORBIDDEN))
+    h = asks(spark, d).select("id", modality.alias("modality"), F.expr("id div 24 % 40").alias("video"), hit.alias("hit"))
+    g = h.groupBy("video").agg(F.count_if("hit").alias("hits"), F.min(F.when(F.col("hit"), F.struct("id", "modality"))).alias("first"))
+    degraded = (F.col("first.modality") == "ocr") & (F.col("video") % 5 == 0)
+    status = F.when(F.col("hits") == 0, "PASS").when(degraded, "UNCERTAIN").otherwise("FAIL")
+    return g.select("video", "hits", F.col("first.id").alias("first_hit"), status.alias("status"), F.when(F.col("hits") == 0, "PASS_FROM_ABSENCE").alias("flag"))
 
 
 @query("r4_phrase_check", "WITH h AS (SELECT item_id, b.text AS phrase, count(d.doc_id) AS n, count(d.doc_id) FILTER (lang = 'en') AS en FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL) SELECT item_id, n, CASE WHEN n > 0 AND en > 0 AND en < n THEN 'PASS' WHEN n > 0 THEN 'PARTIAL' ELSE 'ESCALATE' END AS status FROM h")
 def r4(spark: SparkSession, d: str) -> DataFrame:
-    """A phrase in both kinds of source passes, in one it is partial, in none it goes on. Candidates share a window of three words."""
-    b = load(spark, d, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("gram"))
-    grams = F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))")
-    t = load(spark, d, "documents").withColumn("w", F.split("text", " ")).select("text", "lang", F.explode(F.array_distinct(grams)).alias("gram"))
-    m = t.join(small(b), "gram").filter(F.contains("text", F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
-    j = b.select("item_id").join(m, "item_id", "left")
+    """A phrase in both kinds of source passes, in one it is partial, in none it goes on (exact phrases; r4_fuzzy_phrases for like ones)."""
+    b = load(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    m = matching.contained(b, "item", load(spark, d, "documents").select("text", "lang"), "text")
+    m = m.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
     n = F.coalesce("n", F.lit(0).cast("long"))
-    return j.select("item_id", n.alias("n"), F.when((n > 0) & (F.col("en") > 0) & (F.col("en") < n), "PASS").when(n > 0, "PARTIAL").otherwise("ESCALATE").alias("status"))
+    return b.select("item_id").join(m, "item_id", "left").select("item_id", n.alias("n"), F.when((n > 0) & (F.col("en") > 0) & (F.col("en") < n), "PASS").when(n > 0, "PARTIAL").otherwise("ESCALATE").alias("status"))
+
+
+@query("r4_fuzzy_phrases")
+def r4_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """The best hint of each requirement in a record: 85 passes, else it goes on; a lone word goes on even so where it is one of a group's options."""
+    hints = ["dermatologist recommended", "clinically proven", "score", "shop now"]
+    best = asks(spark, d).select("id", "text", fuzzy.hint_score(hints, F.lower("text")).alias("best"), (F.col("id") % 4 == 0).alias("grouped")).select("id", "text", "grouped", "best.*")
+    lone = F.col("grouped") & ~F.contains("hint", F.lit(" "))
+    return best.withColumn("status", F.when((F.col("score") >= 85) & ~lone, "PASS").otherwise("ESCALATE"))
 
 
 @query("r8_ladder", f"WITH {VR} SELECT id, q, coalesce(CASE WHEN polarity = 'forbidden' AND degraded THEN 'UNCERTAIN' WHEN polarity = 'forbidden' AND alignment = 'exact' THEN 'FAIL' END, CASE WHEN sim >= 85 THEN 'PASS' END, CASE WHEN alignment IS NULL AND can_fail THEN 'FAIL' WHEN alignment IS NULL THEN 'UNCERTAIN' END, 'ESCALATE') AS status FROM vr")
@@ -309,12 +337,18 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).filter("status = 'FAIL' and not can_fail and polarity <> 'forbidden'").groupBy("video").agg(F.count("*").alias("n"))
 
 
-@query("r7_figure_fidelity", "WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '([0-9]+) ?(percent|%|days|months|version)', 0))) AS fig FROM documents), ok AS (SELECT unnest(list_distinct(regexp_extract_all(lower(string_agg(text, ' ')), '([0-9]+) ?(percent|%|days|months|version)', 0))) AS fig FROM benchmark) SELECT doc_id, count(*) AS bad FROM f WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.fig = f.fig) GROUP BY doc_id")
+@query(
+    "r7_figure_fidelity",
+    f"""WITH {ASKS_SQL}, {figures_sql('f', "SELECT id, CASE WHEN id % 3 = 2 THEN 'visual' ELSE 'speech' END AS modality, id % 50 = 3 AS approved, text AS x FROM asks")},
+    ok AS (SELECT DISTINCT value, unit FROM f WHERE approved)
+    SELECT id, count(DISTINCT (value, unit)) AS bad FROM f WHERE unit <> '' AND modality <> 'visual' AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.value = f.value AND ok.unit = f.unit) GROUP BY id""",
+)
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of policed units that no approved text has: anti-join on (value, unit)."""
-    figs = lambda: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([0-9]+) ?(percent|%|days|months|version)"), 0))).alias("fig")
-    ok = load(spark, d, "benchmark").select(figs()).distinct()
-    return load(spark, d, "documents").select("doc_id", figs()).join(ok, "fig", "left_anti").groupBy("doc_id").agg(F.count("*").alias("bad"))
+    """Records that say or show a figure of a policed unit that no approved text has: an anti-join on value and unit. Bare numbers and what is only seen are left alone."""
+    a = asks(spark, d).withColumn("f", tx.policed(tx.figures(F.col("text"))))
+    ok = a.filter("id % 50 = 3").select(F.explode("f").alias("f")).select("f.*").distinct()
+    said = a.filter("id % 3 <> 2").select("id", F.explode(F.array_distinct("f")).alias("f")).select("id", "f.*")
+    return said.join(ok, ["value", "unit"], "left_anti").groupBy("id").agg(F.count("*").alias("bad"))
 
 
 @query("r21_hook_features", "WITH o AS (SELECT conv_id, arg_min(text, turn) AS text, min(turn) AS onset, count(*) FILTER (turn < 3) AS early FROM conversations GROUP BY conv_id) SELECT conv_id, onset, early, contains(text, '?') AS question, regexp_matches(text, '[0-9]') AS number, regexp_matches(lower(text), '(^|[^a-z])(no|not|never)([^a-z]|$)') AS negation FROM o")
@@ -324,17 +358,25 @@ def r21(spark: SparkSession, d: str) -> DataFrame:
     return o.select("conv_id", "onset", "early", F.contains("text", F.lit("?")).alias("question"), F.col("text").rlike("[0-9]").alias("number"), F.lower("text").rlike("(^|[^a-z])(no|not|never)([^a-z]|$)").alias("negation"))
 
 
-CLAIMS = [("legal", "license|rights reserved"), ("secret", "password|token"), ("figure", "[0-9]+ ?%"), ("number", "[0-9]")]
+@query("r22_claim_candidates")
+def r22(spark: SparkSession, d: str) -> DataFrame:
+    """Records that may make a claim: up to six of their terms and wordings, sorted, and the class of the first wording (long terms also where they are alike at 90)."""
+    low, long = F.lower(F.trim("text")), [t for t in lx.CLAIM_TERMS if len(t) >= fuzzy.SHORT_TERM or " " in t]
+
+    @F.pandas_udf("array<string>")
+    def near(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [t for t in long if fuzzy.term_ratio(t, x) >= 90])
 
+    a = asks(spark, d).withColumn("c", cues.claim_candidate(F.col("text"))).withColumn("near", near(low))
+    terms = F.slice(F.array_sort(F.array_union(F.coalesce("c.all_terms", F.array().cast("array<string>")), "near")), 1, 6)
+    return a.select("id", "text", F.array_join(terms, ",").alias("terms"), F.col("c.klass").alias("klass")).filter("terms <> ''")
 
-@query("r22_claim_candidates", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in CLAIMS) + " END AS claim, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x IN ('the', 'und', 'les', 'que', 'password')))), ',') AS terms FROM documents")
-def r22(spark: SparkSession, d: str) -> DataFrame:
-    """The first claim class and the gazetteer terms of a text."""
-    c = F.lit(None).cast("string")
-    for n, p in reversed(CLAIMS):
-        c = F.when(F.lower("text").rlike(p), n).otherwise(c)
-    gaz = F.array(*map(F.lit, ("the", "und", "les", "que", "password")))
-    return load(spark, d, "documents").select("doc_id", c.alias("claim"), F.array_join(F.array_sort(F.array_intersect(F.split(F.lower("text"), " "), gaz)), ",").alias("terms"))
+
+@query("r22_claim_wordings", f"WITH {ASKS_SQL} SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for p, k in lx.CLAIM_WORDINGS) + " END AS klass FROM asks")
+def r22_wordings(spark: SparkSession, d: str) -> DataFrame:
+    """The class of the first wording of a claim that a record has."""
+    low = F.lower("text")
+    return asks(spark, d).select("id", F.coalesce(*(F.when(low.rlike(p), k) for p, k in lx.CLAIM_WORDINGS)).alias("klass"))
 
 
 @query("r24_recommendations", f"WITH {TIMELINE}, r AS (SELECT event_id, video, k, t0 + (k % 4) * 1000 AS anchor, t0, t1 FROM tl WHERE k % 9 <> 0), x AS (SELECT *, row_number() OVER (PARTITION BY video, k ORDER BY t0, event_id) AS rn FROM r) SELECT event_id, CASE WHEN anchor BETWEEN t0 - 1000 AND t1 + 1000 THEN anchor END AS anchor FROM x WHERE rn = 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import streaming
 from tidemark.registry import ORACLE, query
 from tidemark.session import scratch
-from tidemark.tables import load, small
+from tidemark.tables import load
 
 
 def cents(c: str):
@@ -27,7 +27,7 @@ def regional(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").filter("o_orderdate >= timestamp_ntz '1996-01-01' and o_orderdate < timestamp_ntz '1997-01-01'").select("o_orderkey", "o_custkey")
     c = load(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    j = load(spark, d, "lineitem").select("l_orderkey", "l_extendedprice").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(small(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = load(spark, d, "lineitem").select("l_orderkey", "l_extendedprice").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("r_name", "n_name").agg(F.sum(cents("l_extendedprice")).alias("cents"))
 
 
@@ -69,7 +69,7 @@ def full(spark: SparkSession, d: str) -> DataFrame:
 @query("rel_domain_cross", "SELECT r_name, event_type, count(*) AS n FROM region CROSS JOIN (SELECT DISTINCT event_type FROM events) GROUP BY ALL")
 def cross(spark: SparkSession, d: str) -> DataFrame:
     """The grid of two small domains."""
-    return load(spark, d, "region").crossJoin(small(load(spark, d, "events").select("event_type").distinct())).groupBy("r_name", "event_type").agg(F.count("*").alias("n"))
+    return load(spark, d, "region").crossJoin(load(spark, d, "events").select("event_type").distinct()).groupBy("r_name", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("rel_grouping_sets", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, grouping_id(l_returnflag, l_linestatus, l_linenumber) AS gid FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fuzzy, hashing
+from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
+from tidemark.operators import matching
 from tidemark.operators import sequential as sq
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, load, small, timeline
+from tidemark.tables import TIMELINE, asks, load, timeline
 
 
 @query("p5_compression_ratio")
@@ -30,45 +32,71 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f5_phrase_ratio")
 def f5(spark: SparkSession, d: str) -> DataFrame:
-    """Brand names against each other: ratio, token set ratio and caption score, behind a native length filter."""
-    n = load(spark, d, "part").select("p_name").distinct()
-    pairs = n.select(F.col("p_name").alias("a")).join(small(n.select(F.col("p_name").alias("b"))), F.col("a") < F.col("b")).filter(fuzzy.may_reach(F.col("a"), F.col("b"), 60))
-    out = {"ratio": fuzzy.ratio, "robust": fuzzy.robust_ratio, "contains": fuzzy.contains_ratio, "token_set": fuzzy.token_set_ratio, "token_sort": fuzzy.token_sort_ratio, "recall": fuzzy.token_recall}
-    return pairs.select("a", "b", *(fuzzy.column(f, F.col("a"), F.col("b")).alias(k) for k, f in out.items()))
+    """Names that are alike at 80 (F5), with the other likenesses of each pair."""
+    n = load(spark, d, "part").select("p_name")
+    pairs = matching.alike(n, "p_name", n, "p_name", 80).filter("a < b")
+    out = {"robust": fuzzy.robust_ratio, "contains": fuzzy.contains_ratio, "token_set": fuzzy.token_set_ratio, "token_sort": fuzzy.token_sort_ratio, "same": fuzzy.same_word}
+    return pairs.select("a", "b", F.col("score").alias("ratio"), *(fuzzy.column(f, F.col("a"), F.col("b")).alias(k) for k, f in out.items()))
+
+
+def captioned(a: Column, b: Column) -> Column:
+    """struct(score, method) of fuzzy.caption_similarity (F9); null if either is null."""
+
+    @F.pandas_udf("score int, method string")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if p is None or q is None else fuzzy.caption_similarity(p, q) for p, q in zip(x, y, strict=True)], columns=["score", "method"])
+
+    return run(a, b)
+
+
+@query("f9_caption_similarity")
+def f9(spark: SparkSession, d: str) -> DataFrame:
+    """Asks against the plain form of the same part's ask: the best of four likenesses and which it is."""
+    a = asks(spark, d).filter("id % 5 < 3").withColumn("other", F.concat(F.lit("you see "), F.replace(tx.normalize_text(F.col("text")), F.lit("the "), F.lit("this "))))
+    return a.select("id", "text", "other", captioned(F.col("text"), F.col("other")).alias("s")).select("id", "text", "other", "s.*")
 
 
 @query("j4_phrase_ocr")
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    """For each turn the part name of which it holds the most tokens, from half of them on.
-
-    Distinct words are compared with the names' distinct words once, behind a native length filter, and
-    joined back to where they stand.
-    """
-    names = load(spark, d, "part").select("p_name").distinct()
-    parts = names.select("p_name", F.size(F.array_distinct(F.split("p_name", " "))).alias("n"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    said = load(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t"))
-    pairs = said.select("t").distinct().join(small(parts.select("w").distinct())).filter(fuzzy.may_reach(F.col("t"), F.col("w"), 60))
-    like = pairs.filter(fuzzy.column(fuzzy.same_word, F.col("w"), F.col("t")) == 1)
-    hits = said.join(like, "t").join(small(parts), "w").groupBy("conv_id", "turn", "p_name", "n").agg(F.count_distinct("w").alias("hit"))
-    s = hits.withColumn("score", F.bround(F.col("hit") * 100.0 / F.col("n"), 4)).filter("score >= 50")
-    return s.groupBy("conv_id", "turn").agg(F.max("score").alias("score"), F.min_by("p_name", F.struct(-F.col("score"), F.col("p_name"))).alias("p_name"))
+    """The phrases that each shown text holds at 85 or more and whose numbers it has, the best one of each text."""
+    shown = asks(spark, d).select("id", tx.normalize_text(F.col("text")).alias("hay")).filter("id % 3 = 1")
+    phrases = load(spark, d, "part").select(F.concat_ws(" ", F.element_at(F.split("p_name", " "), -1), F.when(F.col("p_partkey") % 7 == 0, "close up")).alias("needle"))
+    phrases = phrases.unionByName(spark.createDataFrame([("shop now",), ("20% off",), ("close up",), ("link in bio",), ("hydrating serum",)], "needle string"))
+    best = matching.holding(phrases, "needle", shown, "hay", 85).groupBy("hay").agg(F.max(F.struct("score", "needle")).alias("x"))
+    return shown.join(best.select("hay", "x.score", "x.needle"), "hay").select("id", "hay", "needle", "score")
 
 
 @query("j5_caption_speech")
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    """Each user turn against the two assistant turns around it: the best caption similarity, the earlier on a tie."""
-    c = load(spark, d, "conversations").select("conv_id", "turn", "role", F.array_join(F.array_distinct(tx.content_tokens(F.col("text"))), " ").alias("t"))
-    u = c.filter("role = 'user'").select("conv_id", "turn", F.col("t").alias("a"), F.explode(F.array(F.col("turn") - 1, F.col("turn") + 1)).alias("at"))
-    j = u.join(c.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("at"), F.col("t").alias("b")), ["conv_id", "at"])
-    s = j.withColumn("score", fuzzy.column(fuzzy.token_set_ratio, F.col("a"), F.col("b")))
-    return s.groupBy("conv_id", "turn").agg(F.max("score").alias("score"), F.max_by("at", F.struct(F.col("score"), -F.col("at"))).alias("at"))
+    """Each user turn as a caption against what the assistant says around it: word windows of the caption's length, at most 60 a turn with the last one, the best, the first on a tie."""
+    c = load(spark, d, "conversations").select("conv_id", "turn", "role", tx.normalize_text(F.col("text")).alias("t"), (F.col("turn") * 1.0).alias("at"))
+    u = c.filter("role = 'user'").select("conv_id", "turn", F.col("t").alias("a"), F.explode(F.sequence(F.floor(F.col("at") - 1.5).cast("long"), F.ceil(F.col("at") + 1.5).cast("long"))).alias("bin"), "at")
+    s = c.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("said"), F.col("t").alias("b"), F.col("at").cast("long").alias("bin"), F.col("at").alias("at_b"))
+    j = u.join(s, ["conv_id", "bin"]).filter("abs(at - at_b) <= 1.5")
+
+    @F.pandas_udf("score int, method string, window string")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_window(x, y) for x, y in zip(a, b, strict=True)], columns=["score", "method", "window"])
+
+    scored = j.select("conv_id", "turn", "said", run("a", "b").alias("s")).select("conv_id", "turn", "said", "s.*")
+    return scored.groupBy("conv_id", "turn").agg(F.max_by(F.struct("score", "method", "said", "window"), F.struct(F.col("score"), -F.col("said"))).alias("x")).select("conv_id", "turn", "x.*")
+
+
+def best_window(caption: str, speech: str, most: int = 60) -> tuple[int, str, str]:
+    """(score, method, window) of the window of speech, as many words as the caption, that is most like it; the first of equals."""
+    words, n = speech.split(), max(1, len(caption.split()))
+    last = max(0, len(words) - n)
+    step = max(1, -(-last // (most - 1)))
+    starts = sorted({*range(0, last, step), last})
+    found = [(*fuzzy.caption_similarity(caption, w), w) for w in (" ".join(words[i : i + n]) for i in starts)]
+    return max(found, key=lambda x: x[0])
 
 
 @query("j16_fingerprint_components")
 def j16(spark: SparkSession, d: str) -> DataFrame:
     """Part names in components of token_set_ratio from 88 on, by rounds of least labels."""
     n = load(spark, d, "part").select(F.col("p_name").alias("a")).distinct()
-    e = n.join(small(n.select(F.col("a").alias("b"))), F.col("a") != F.col("b")).filter(fuzzy.column(fuzzy.token_set_ratio, F.col("a"), F.col("b")) >= 88).select("a", "b").checkpoint()
+    e = matching.alike(n, "a", n, "a", 88, "token_set").filter("a <> b").select("a", "b").checkpoint()
     label = n.withColumn("label", F.col("a"))
     while True:
         best = e.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
@@ -81,10 +109,9 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 @query("j17_contradicting_topics")
 def j17(spark: SparkSession, d: str) -> DataFrame:
     """The first part name that an off-topic name resembles from 82 on."""
-    n = load(spark, d, "part").select("p_name", "p_type").distinct()
-    j = n.filter("p_type = 'ECONOMY'").select(F.col("p_name").alias("missing")).distinct().join(small(n.filter("p_type <> 'ECONOMY'").select("p_name").distinct())).filter(F.col("missing") != F.col("p_name"))
-    s = j.withColumn("score", fuzzy.column(fuzzy.token_set_ratio, F.col("missing"), F.col("p_name"))).filter("score >= 82")
-    return s.groupBy("missing").agg(F.min("p_name").alias("passed"))
+    n = load(spark, d, "part").select("p_name", "p_type")
+    s = matching.alike(n.filter("p_type = 'ECONOMY'"), "p_name", n.filter("p_type <> 'ECONOMY'"), "p_name", 82, "token_set").filter("a <> b")
+    return s.groupBy(F.col("a").alias("missing")).agg(F.min("b").alias("passed"))
 
 
 def _alike(least: float, a: str, b: str) -> bool:
@@ -195,27 +222,30 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return sq.per_key(p, ["p_brand"], run, "p_brand string, id long, line long")
 
 
-@query("f14_restore_spaces", "SELECT p_partkey, p_name AS restored FROM part")
+@query("f14_restore_spaces")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    """Names without their spaces, split again by the corpus's own words (a word list that is broadcast, bounded by the domain of names)."""
-    p = load(spark, d, "part")
-    words = p.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    listed = F.broadcast(words.agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("m")))
-    return p.crossJoin(listed).select("p_partkey", _split(F.regexp_replace("p_name", " ", ""), F.col("m")).alias("restored"))
+    """Names and calls without their spaces, split again by known phrases, else by the corpus's own words.
 
+    Each run meets the words that it can hold by an inverted index on their substrings, so no word list is shipped.
+    """
+    p = load(spark, d, "part")
+    words = p.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("length(w) <= 24")
+    runs = p.select("p_partkey", F.regexp_replace(F.when(F.col("p_partkey") % 11 == 0, "LINK in BIO").otherwise(F.col("p_name")), " ", "").alias("run"))
+    lengths = [r.n for r in words.select(F.length("w").alias("n")).distinct().collect()]  # 1 to 24
+    each = F.flatten(F.array(*(matching.substrings(F.lower("run"), n) for n in lengths)))
+    kinds = runs.select("run").distinct()
+    known = kinds.select("run", F.explode(each).alias("w")).join(words, "w").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("known"))
 
-def _split(c, m):
     @F.pandas_udf("string")
-    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for s, maps in it:
-            known = dict(maps.iloc[0]) if len(maps) else {}
-            yield s.map(lambda t: segment(t, known))
+    def split(s: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([restored(t, dict(k) if k is not None else {}) for t, k in zip(s, m, strict=True)], dtype=object)
 
-    return run(c, m)
+    done = kinds.join(known, "run", "left").select("run", split("run", "known").alias("restored"))
+    return runs.join(done, "run").select("p_partkey", "run", "restored")
 
 
-def segment(run: str, known: dict[str, int]) -> str:
-    """The split of a letter run into known words with the fewest parts, then the most frequent ones; as it is if there is none."""
+def segment(run: str, known: dict[str, int]) -> list[str]:
+    """The split of a letter run into known words with the fewest parts, then the most frequent ones; the run itself if there is none."""
     best: list[tuple[int, int, list[str]] | None] = [(0, 0, [])] + [None] * len(run)
     for i in range(1, len(run) + 1):
         for j in range(max(0, i - 24), i):
@@ -224,17 +254,47 @@ def segment(run: str, known: dict[str, int]) -> str:
                 made = (n + 1, f - known[run[j:i]], [*parts, run[j:i]])
                 if best[i] is None or made[:2] < best[i][:2]:
                     best[i] = made
-    return " ".join(best[-1][2]) if best[-1] else run
+    return best[-1][2] if best[-1] else [run]
+
+
+_CALLS = {c.replace(" ", ""): c.split() for c in lx.RUN_TOGETHER}
+
+
+def restored(text: str, known: dict[str, int], least: int = 8, short: float = 0.5, mean: float = 2.6) -> str:
+    """The text with its long letter runs split: known phrases of any length first, else known words from `least` letters on.
+
+    A split is rejected if more than `short` of its parts have one or two letters, or if parts have under `mean` on
+    average: names and garbled logos stay whole. Case, digits and punctuation stay as they were.
+    """
+    gate = min(least, *map(len, _CALLS))
+    out = []
+    for token in text.split():
+        if len(token) < gate or sum(map(str.isalpha, token)) < 0.6 * len(token):
+            out.append(token)
+            continue
+        made = []
+        for part in re.split(r"([^A-Za-z]+)", token):
+            words = _CALLS.get(part.lower())
+            if not words and len(part) >= least and part.isalpha():
+                words = segment(part.lower(), known)
+                if sum(len(w) <= 2 for w in words) > short * len(words) or len(part) < mean * len(words):
+                    words = None
+            at, pieces = 0, []
+            for w in words or [part]:
+                pieces.append(part[at : at + len(w)])
+                at += len(w)
+            made.append(" ".join(pieces))
+        out.append("".join(made))
+    return " ".join(out)
 
 
 @query("f32_brand_correction")
 def f32(spark: SparkSession, d: str) -> DataFrame:
     """A misspelt name with the best known name from 85 on, the text itself kept."""
     p = load(spark, d, "part")
-    vocabulary = p.select(F.col("p_name").alias("term")).distinct()
-    m = p.select("p_partkey", F.regexp_replace("p_name", "i", "1").alias("said")).join(small(vocabulary)).filter(fuzzy.may_reach(F.col("said"), F.col("term"), 85))
-    s = m.withColumn("score", fuzzy.column(fuzzy.ratio, F.col("said"), F.col("term"))).filter("score >= 85")
-    return s.groupBy("p_partkey", "said").agg(F.max_by("term", F.struct("score", "term")).alias("term"), F.max("score").alias("score"))
+    said = p.select("p_partkey", F.regexp_replace("p_name", "i", "1").alias("said"))
+    best = matching.alike(said, "said", p, "p_name", 85).groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("term"), F.max("score").alias("score"))
+    return said.join(best.withColumnRenamed("a", "said"), "said").select("p_partkey", "said", "term", "score")
 
 
 @query("x3_stage_keys", "SELECT doc_id, substr(sha256('{\"config\":{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '},\"inputs\":[\"a' || doc_id || '\",\"b' || doc_id || '\"],\"stage\":\"text\",\"version\":\"1.0\"}'), 1, 16) AS key FROM documents")

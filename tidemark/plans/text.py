@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import cues, phrases
+from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
-from tidemark.operators import ranking
+from tidemark.operators import matching, ranking
 from tidemark.registry import query
-from tidemark.tables import load, small
+from tidemark.tables import ASKS_SQL, asks, load
 
 PUNCT = r"""[!"#''()*,./:;<=>?@\[\\\]^_`{|}~-]"""
 
@@ -21,11 +23,33 @@ def toks(x: str) -> str:
     return f"list_filter(string_split({tok(x)}, ' '), lambda z: z <> '')"
 
 
-STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
+STOP = "['" + "','".join(lx.STOP_WORDS) + "']"
 
 
 def content(x: str) -> str:
-    return f"list_filter({toks(x)}, lambda z: (length(z) >= 3 OR regexp_matches(z, '[0-9]')) AND NOT list_contains({STOP}, z))"
+    """Content tokens of an expression that is normalised text."""
+    return f"list_filter(string_split({x}, ' '), lambda z: regexp_matches(z, '[0-9]') OR (length(z) >= 3 AND NOT list_contains({STOP}, z)))"
+
+
+_ONES = "['one','two','three','four','five','six','seven','eight','nine']"
+_TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+_BELOW = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+
+
+def norm(name: str, source: str) -> str:
+    """A table of that name: the columns of `source`, with its column x as normalised text `norm`."""
+    tens, ones = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety", "one|two|three|four|five|six|seven|eight|nine"
+    ten = lambda z: f"(10 + 10 * list_position({_TENS}, {z}))"
+    one = lambda z: f"list_position({_ONES}, {z})"
+    return f"""{name}_w AS (SELECT * EXCLUDE (x), string_split({tok("regexp_replace(x, '[-‐‑–—]', ' ', 'g')")}, ' ') AS w FROM ({source})),
+    {name} AS (SELECT * EXCLUDE (w), trim(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(w, lambda z, i: CASE
+      WHEN list_contains({_ONES}, z) AND list_contains({_TENS}, w[i - 1]) THEN NULL
+      WHEN z = 'hundred' AND list_contains({_ONES}, w[i - 1]) AND NOT (i > 2 AND coalesce(list_contains({_TENS}, w[i - 2]), false)) THEN NULL
+      WHEN list_contains({_TENS}, z) AND list_contains({_ONES}, w[i + 1]) THEN CAST({ten('z')} + {one('w[i + 1]')} AS VARCHAR)
+      WHEN list_contains({_ONES}, z) AND w[i + 1] = 'hundred' THEN CAST(100 * {one('z')} AS VARCHAR)
+      WHEN regexp_full_match(z, '({tens})({ones})') THEN CAST({ten(f"regexp_extract(z, '^({tens})', 1)")} + {one(f"regexp_extract(z, '({ones})$', 1)")} AS VARCHAR)
+      WHEN list_contains({_BELOW}, z) THEN CAST(list_position({_BELOW}, z) - 1 AS VARCHAR) WHEN list_contains({_TENS}, z) THEN CAST({ten('z')} AS VARCHAR) WHEN z = 'hundred' THEN '100' ELSE z END),
+      lambda z: z IS NOT NULL), ' '), '([0-9]) +%', '\\1%', 'g'), '\\$ +([0-9])', '$\\1', 'g')) AS norm FROM {name}_w)"""
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -37,17 +61,12 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.md5(tx.normalize_token(F.col("text"))).alias("h"))
 
 
-def _norm_sql(x: str) -> str:
-    out = f"' ' || {tok(f"regexp_replace({x}, '[-–—]', ' ', 'g')")} || ' '"
-    for w, n in tx.NUMBER_WORDS.items():
-        out = f"regexp_replace({out}, ' {w} ', ' {n} ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({out}, '([0-9]) %', '\\1%', 'g'), '\\$ ([0-9])', '$\\1', 'g'))"
+NUMBERS = " twenty-five % off, $ 5 for two hundred or three; 20 % fortytwo, ninety nine hundred and zero - seventy"
 
 
-@query("f2_normalize_text", f"SELECT item_id, {_norm_sql("text || ' twenty-five % off, $ 5 for two or three; 20 %'")} AS norm FROM benchmark")
+@query("f2_normalize_text", f"WITH {norm('n', f"SELECT item_id, text || '{NUMBERS}' AS x FROM benchmark")} SELECT item_id, norm FROM n")
 def f2(spark: SparkSession, d: str) -> DataFrame:
-    b = load(spark, d, "benchmark")
-    return b.select("item_id", tx.normalize_text(F.concat("text", F.lit(" twenty-five % off, $ 5 for two or three; 20 %"))).alias("norm"))
+    return load(spark, d, "benchmark").select("item_id", tx.normalize_text(F.concat("text", F.lit(NUMBERS))).alias("norm"))
 
 
 @query("f4_despace", "SELECT doc_id, length(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) AS n FROM documents")
@@ -55,36 +74,53 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.length(tx.despace(F.col("text"))).alias("n"))
 
 
-@query("f12_content_tokens", f"SELECT doc_id, len({content('text')}) AS n, len(list_distinct({content('text')})) AS kinds FROM documents")
+@query("f12_content_tokens", f"WITH {norm('n', 'SELECT doc_id, text AS x FROM documents')}, c AS (SELECT doc_id, {content('norm')} AS c FROM n) SELECT doc_id, len(c) AS n, len(list_distinct(c)) AS kinds FROM c")
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    c = tx.content_tokens(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(c).alias("n"), F.size(F.array_distinct(c)).alias("kinds"))
+    c = docs(spark, d).select("doc_id", tx.content_tokens(F.col("text")).alias("c"))
+    return c.select("doc_id", F.size("c").alias("n"), F.size(F.array_distinct("c")).alias("kinds"))
 
 
-@query("f13_digits", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS runs, len(regexp_extract_all(text, '[0-9]+')) > 0 AND regexp_extract_all(text, '[0-9]+') <> regexp_extract_all(source, '[0-9]+') AS conflict FROM documents")
+@query(
+    "f13_digits",
+    f"""WITH {ASKS_SQL}, r AS (SELECT id, text, regexp_extract_all(text, '[0-9]+') AS have, regexp_extract_all('20% off use code save30', '[0-9]+') AS offer FROM asks)
+    SELECT id, array_to_string(have, ',') AS runs, len(have) > 0 AND have <> offer AS conflict, len(list_filter(have, lambda x: NOT list_contains(offer, x))) > 0 AS missing FROM r""",
+)
 def f13(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.array_join(tx.digit_runs(F.col("text")), ",").alias("runs"), tx.digits_conflict(F.col("text"), F.col("source")).alias("conflict"))
+    """Numbers of an ask; whether an offer has others, and whether it lacks one that is asked for."""
+    offer, t = F.lit("20% off use code save30"), F.col("text")
+    return asks(spark, d).select("id", F.array_join(tx.digit_runs(t), ",").alias("runs"), tx.digits_conflict(t, offer).alias("conflict"), tx.digits_missing(t, offer).alias("missing"))
+
 
+TERMS = ["heal", "27.5", "20%", "premium", "score", "$ 5", "cure"]
 
-@query("f16_term_hit", "SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])in(s|es|ed|d|ing)?([^a-z0-9]|$)') AS in_hit, regexp_matches(lower(text), '(^|[^a-z0-9])right(s|es|ed|d|ing)?([^a-z0-9]|$)') AS right_hit FROM documents")
+
+def _word_sql(term: str, hay: str) -> str:
+    import re
+
+    return f"regexp_matches(' ' || {hay}, '{'' if not term[0].isalnum() else '[^a-z0-9_]'}{re.escape(term)}(s|es|ed|d|ing)?([^a-z0-9_]|$)')"
+
+
+@query("f16_term_hit", f"WITH {ASKS_SQL} SELECT id, " + ", ".join(f"{_word_sql(t, 'lower(text)')} AS t{i}" for i, t in enumerate(TERMS) if t[0] != "$") + " FROM asks")
 def f16(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", tx.term_hit(F.col("text"), "in").alias("in_hit"), tx.term_hit(F.col("text"), "right").alias("right_hit"))
+    """Terms as words with a plain inflection: heal is in heals and healing, not in healthy."""
+    return asks(spark, d).select("id", *(tx.word_hit(F.lower("text"), F.lit(t)).alias(f"t{i}") for i, t in enumerate(TERMS) if t[0] != "$"))
 
 
-FIG = "'([0-9][0-9,]*) ?(%|percent|days|day|months|month)'"
+FIG = r"'([0-9]+(?:[.,][0-9]+)?)\s*(?:(%)|(percent|pct|days?|weeks?|months?|years?|hours?|minutes?|times?|x)\b)?'"
+UNIT_SQL = "CASE WHEN u IN ('%', 'percent', 'pct') THEN 'pct' WHEN u = 'x' OR u = 'times' THEN 'times' WHEN u = 'time' THEN '' WHEN u = '' THEN '' WHEN u LIKE '%s' THEN u ELSE u || 's' END"
 
 
-@query(
-    "f18_figures",
-    f"""WITH x AS (SELECT p_partkey, p_size || '% off, ' || p_size || ' percent, 1,' || (100 + p_size) || ' days or ' || p_size || ' months of ' || p_name AS t FROM part),
-    y AS (SELECT p_partkey, unnest(regexp_extract_all(lower(t), {FIG}, 1)) AS v, unnest(regexp_extract_all(lower(t), {FIG}, 2)) AS u FROM x)
-    SELECT p_partkey, string_agg(DISTINCT f, ';' ORDER BY f) AS figures FROM (SELECT p_partkey, replace(v, ',', '') || ' ' || CASE u WHEN 'percent' THEN '%' WHEN 'days' THEN 'day' WHEN 'months' THEN 'month' ELSE u END AS f FROM y) GROUP BY 1""",
-)
+def figures_sql(name: str, source: str) -> str:
+    """A table of that name: the columns of `source`, with a row of pos, value and unit for each figure in its column x."""
+    return f"""{name}_r AS (SELECT * EXCLUDE (x), unnest(regexp_extract_all(lower(x), {FIG}, 1)) AS v, unnest(regexp_extract_all(lower(x), {FIG}, 2)) AS s, unnest(regexp_extract_all(lower(x), {FIG}, 3)) AS n, generate_subscripts(regexp_extract_all(lower(x), {FIG}, 1), 1) AS pos FROM ({source})),
+    {name} AS (SELECT * EXCLUDE (v, s, n, u), CAST(replace(v, ',', '') AS DOUBLE) AS value, {UNIT_SQL} AS unit FROM (SELECT *, coalesce(s, '') || coalesce(n, '') AS u FROM {name}_r))"""
+
+
+@query("f18_figures", f"WITH {ASKS_SQL}, {figures_sql('f', 'SELECT id, text AS x FROM asks')} SELECT id, CAST(pos AS INTEGER) AS pos, value, unit FROM f")
 def f18(spark: SparkSession, d: str) -> DataFrame:
-    """Figures with canonical units."""
-    n = F.col("p_size").cast("string")
-    t = F.concat(n, F.lit("% off, "), n, F.lit(" percent, 1,"), (F.col("p_size") + 100).cast("string"), F.lit(" days or "), n, F.lit(" months of "), "p_name")
-    return load(spark, d, "part").select("p_partkey", F.array_join(tx.figures(t), ";").alias("figures"))
+    """Figures of an ask in order, with canonical units."""
+    f = asks(spark, d).select("id", F.posexplode(tx.figures(F.col("text"))).alias("pos", "f"))
+    return f.select("id", (F.col("pos") + 1).alias("pos"), "f.value", "f.unit")
 
 
 @query("f20_strip_markdown", r"SELECT page_id, regexp_replace(regexp_replace('**' || url || '** [a `b`](' || url || ') *c*', '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*|__|`|\*', '', 'g') AS t FROM pages")
@@ -99,16 +135,35 @@ def f25(spark: SparkSession, d: str) -> DataFrame:
     return ranking.distinct_in_order(x, ["page_id"], "link", "pos").withColumn("pos", F.col("pos") + 1)
 
 
-TYPES = [("code", r"function|return|import "), ("legal", r"license|rights reserved"), ("contact", r"@|phone|e-mail"), ("figure", r"[0-9]")]
+def _has(patterns: list[str], x: str = "text") -> str:
+    return f"regexp_matches({x}, '{lx.any_of(patterns).replace("'", "''")}')"
+
+
+_MODE = f"""CASE WHEN {_has(lx.SPEECH)} THEN CASE WHEN {_has(lx.VISUAL)} THEN 'visual_and_speech' WHEN {_has(lx.WRITTEN)} THEN 'speech_or_text' ELSE 'speech_only' END
+  WHEN {_has(lx.WRITTEN)} THEN 'ocr_only' WHEN {_has(lx.VISUAL)} THEN CASE WHEN {_has(lx.READABLE)} THEN 'speech_or_text' ELSE 'visual_only' END END"""
+_POLARITY = f"CASE WHEN {_has(lx.NEGATION)} AND NOT ({_has(lx.NOT_NEGATION)} AND NOT {_has([x for x in lx.NEGATION if 'no claims' not in x])}) THEN 'forbidden' ELSE 'required' END"
+_TYPE = (
+    "CASE "
+    + " ".join(f"WHEN {_has(ps, f"regexp_replace(text, '(?i){lx.TO_CAMERA}', ' ', 'g')" if k == 'audience' else 'text')} THEN '{k}'" for k, ps in lx.TYPES.items())
+    + " WHEN mode = 'speech_only' THEN 'speech' WHEN mode = 'visual_only' THEN 'visual' WHEN mode IN ('ocr_only', 'speech_or_text') THEN 'speech_or_text' WHEN mode = 'visual_and_speech' THEN 'demonstration' ELSE 'other' END"
+)
+_PRIORITY = f"""CASE WHEN {_has(lx.IMPERATIVE)} THEN CASE WHEN kind = 'policy' OR polarity = 'forbidden' THEN 'critical' ELSE 'high' END WHEN {_has(lx.SOFTENED)} THEN 'low' WHEN {_has(lx.PREFERENCE)} THEN 'medium'
+  WHEN kind = 'policy' OR polarity = 'forbidden' THEN 'critical' WHEN kind IN ('hook', 'cta', 'visual', 'demonstration') THEN 'high' ELSE 'medium' END"""
+_CHECK = f"NOT {_has(lx.VAGUE)} OR {_has([*lx.READABLE, '[0-9]', '"[^"]+"', '“[^”]+”'])} OR kind IN ('visual', 'demonstration', 'speech', 'speech_or_text', 'cta', 'policy')"
+INFERRED = f"{ASKS_SQL}, m AS (SELECT *, {_MODE} AS mode, {_POLARITY} AS polarity FROM asks), t AS (SELECT *, {_TYPE} AS kind FROM m), inferred AS (SELECT *, {_PRIORITY} AS priority, {_CHECK} AS checkable FROM t)"
 
 
-@query("f29_infer_type", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in TYPES) + " ELSE 'prose' END AS kind, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])(never|not|avoid)([^a-z]|$)') THEN 'forbidden' ELSE 'required' END AS polarity FROM documents")
+def inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Asks with mode, polarity, kind, priority and checkable."""
+    t = F.col("text")
+    a = asks(spark, d).withColumns({"mode": cues.evidence_mode(t), "polarity": cues.polarity(t)}).withColumn("kind", cues.requirement_type(t, F.col("mode")))
+    return a.withColumns({"priority": cues.priority(t, F.col("kind"), F.col("polarity")), "checkable": cues.machine_checkable(t, F.col("kind"))})
+
+
+@query("f29_infer_type", f"WITH {INFERRED} SELECT id, mode, polarity, kind, priority, array_to_string(CASE WHEN len(cs) = 0 THEN ['other'] ELSE cs END, ',') AS claims FROM (SELECT *, list_filter([" + ", ".join(f"CASE WHEN {_has(ps)} THEN '{k}' END" for k, ps in lx.CLAIM_CLASSES.items()) + "], lambda x: x IS NOT NULL) AS cs FROM inferred)")
 def f29(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered cue ladders: the first that matches gives the type."""
-    low, kind = F.lower("text"), F.lit("prose")
-    for n, p in reversed(TYPES):
-        kind = F.when(low.rlike(p), n).otherwise(kind)
-    return docs(spark, d).select("doc_id", kind.alias("kind"), F.when(low.rlike("(^|[^a-z])(never|not|avoid)([^a-z]|$)"), "forbidden").otherwise("required").alias("polarity"))
+    """Mode, polarity, type, priority and claim classes by ladders of cues."""
+    return inferred(spark, d).select("id", "mode", "polarity", "kind", "priority", F.array_join(cues.claim_classes(F.col("text")), ",").alias("claims"))
 
 
 @query("f31_html_guard", """SELECT page_id, regexp_matches(lower(substr(trim(html), 1, 200)), '^<!doctype html|^<html|<head>') AS is_html, length(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS n, (page_id // 60) || ':' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') AS clock FROM pages""")
@@ -170,19 +225,25 @@ def p8(spark: SparkSession, d: str) -> DataFrame:
     return b.select("p_partkey", mask.alias("mask"))
 
 
-@query("p13_machine_checkable", "SELECT doc_id, NOT regexp_matches(lower(text), '(^|[^a-z])(nice|good|engaging|the)([^a-z]|$)') OR regexp_matches(text, '[0-9]') AS checkable FROM documents")
+@query("p13_machine_checkable", f"WITH {INFERRED} SELECT id, checkable FROM inferred")
 def p13(spark: SparkSession, d: str) -> DataFrame:
-    vague = F.lower("text").rlike("(^|[^a-z])(nice|good|engaging|the)([^a-z]|$)")
-    return docs(spark, d).select("doc_id", (~vague | F.col("text").rlike("[0-9]")).alias("checkable"))
+    return inferred(spark, d).select("id", "checkable")
+
 
+@query("p15_scorable", f"WITH {INFERRED} SELECT id, checkable AND kind <> 'other' AS scorable FROM inferred")
+def p15(spark: SparkSession, d: str) -> DataFrame:
+    """Machine-checkable and not of the type `other`."""
+    return inferred(spark, d).select("id", (F.col("checkable") & (F.col("kind") != "other")).alias("scorable"))
 
-@query("p14_figure_rule", "SELECT doc_id, source LIKE 'src1%' AND len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '[0-9]'))) * 2 >= len(string_split(text, ' ')) AS figure_rule FROM documents")
+
+@query("p14_figure_rule", f"WITH {INFERRED}, {norm('n', 'SELECT id, polarity, text AS x FROM inferred')}, h AS (SELECT id, polarity, list_filter({content('norm')}, lambda z: length(z) > 2) AS hints FROM n) SELECT id, polarity = 'forbidden' AND len(hints) > 0 AND len(list_filter(hints, lambda z: regexp_matches(z, '[0-9]'))) * 2 >= len(hints) AS figure_rule FROM h")
 def p14(spark: SparkSession, d: str) -> DataFrame:
-    hints = F.split("text", " ")
-    return docs(spark, d).select("doc_id", (F.col("source").like("src1%") & (F.size(F.filter(hints, lambda x: x.rlike("[0-9]"))) * 2 >= F.size(hints))).alias("figure_rule"))
+    """A prohibition at least half of whose hints have a digit."""
+    h = inferred(spark, d).select("id", "polarity", F.filter(tx.content_tokens(F.col("text")), lambda z: F.length(z) > 2).alias("hints"))
+    return h.select("id", ((F.col("polarity") == "forbidden") & (F.size("hints") > 0) & (F.size(F.filter("hints", lambda x: x.rlike("[0-9]"))) * 2 >= F.size("hints"))).alias("figure_rule"))
 
 
-@query("p16_non_english", f"SELECT doc_id, len(regexp_extract_all(text, '[À-ÖØ-öø-ÿ]')) * 100 > len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]')) * 15 OR (len({toks('text')}) >= 6 AND NOT list_has_any({toks('text')}, {STOP})) AS foreign_text FROM documents")
+@query("p16_non_english", rf"WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '([a-z'']+)', 1) AS w FROM documents) SELECT doc_id, trim(text) <> '' AND (len(regexp_replace(text, '[^\pL]|[A-Za-z]', '', 'g')) * 100 > len(regexp_replace(text, '[^\pL]', '', 'g')) * 15 OR (len(w) >= 6 AND NOT list_has_any(w, {STOP}))) AS foreign_text FROM w")
 def p16(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tx.non_english(F.col("text")).alias("foreign_text"))
 
@@ -196,9 +257,9 @@ def p17(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.array_join(F.array_compact(F.array(*hits)), ",").alias("words"))
 
 
-@query("p18_recommendation_guard", r"SELECT doc_id, regexp_matches(lower(text), '[0-9]%|[0-9]/[0-9]|[0-9] out of [0-9]|guarantee') AS banned FROM documents")
+@query("p18_recommendation_guard", f"WITH {ASKS_SQL} SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_]){w}([^a-z0-9_]|$)') THEN '{w}' END" for w in lx.BANNED) + r", CASE WHEN regexp_matches(text, '[0-9]\s?%|\b[0-9]{1,3}\s*(?:out of|/)\s*[0-9]{1,3}\b') THEN 'numeric-score-like' END], lambda x: x IS NOT NULL), ',') AS banned FROM asks")
 def p18(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.lower("text").rlike(r"[0-9]%|[0-9]/[0-9]|[0-9] out of [0-9]|guarantee").alias("banned"))
+    return asks(spark, d).select("id", F.array_join(cues.banned_wording(F.col("text")), ",").alias("banned"))
 
 
 @query("p20_coercion", "SELECT event_id, TRY_CAST(regexp_extract(props, '-?[0-9]+') AS INTEGER) AS k, TRY_CAST(event_type AS DOUBLE) AS bad, CASE WHEN isfinite(value) THEN value END AS value FROM events")
@@ -238,17 +299,30 @@ def w14(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.coalesce(F.startswith(F.lead("text").over(w), F.col("text")), F.lit(False)).alias("grows"))
 
 
+#: Phrases of the stand-in brief.
+BRIEF = ["please answer", "twenty-five % off", "what is the", "user question", "thank you"]
+
+
+@query("j3_phrase_windows")
+def j3(spark: SparkSession, d: str) -> DataFrame:
+    """Where the phrases of a brief stand in what is said, number spellings and small errors aside (J3). The phrases are a brief's: few."""
+    w = load(spark, d, "conversations").select("conv_id", "turn", F.filter(F.transform(F.split("text", " "), tx.normalize_token), lambda x: x != "").alias("w"))
+    hits = w.withColumn("hit", F.explode(phrases.phrase_hits(F.col("w"), {i: phrases.phrase_variants(p) for i, p in enumerate(BRIEF)})))
+    return hits.select("conv_id", "turn", "hit.*")
+
+
 @query(
-    "j3_phrase_windows",
+    "j3_exact_windows",
     f"""WITH w AS (SELECT doc_id, unnest({toks('text')}) AS t, generate_subscripts({toks('text')}, 1) AS pos FROM documents), v AS (SELECT item_id, unnest({toks('text')}) AS t, generate_subscripts({toks('text')}, 1) AS pos FROM benchmark),
     g AS (SELECT doc_id, pos, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS gram FROM w WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     b AS (SELECT DISTINCT item_id, gram FROM (SELECT item_id, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS gram FROM v WINDOW w AS (PARTITION BY item_id ORDER BY pos)))
     SELECT item_id, doc_id, CAST(min(pos) AS INTEGER) AS first_pos, count(*) AS hits FROM g JOIN b USING (gram) WHERE gram IS NOT NULL GROUP BY ALL""",
 )
-def j3(spark: SparkSession, d: str) -> DataFrame:
-    """Where word windows of benchmark items stand in documents: a hash join on windows of four words."""
-    windows = "transform(sequence(1, size(t) - 3), i -> array_join(slice(t, i, 4), ' '))"
-    b = load(spark, d, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t")).filter("size(t) >= 4").select("item_id", F.explode(F.array_distinct(F.expr(windows))).alias("gram"))
+def j3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The relational case of J3: windows of four words that an item and a document share, by a join on their hashes."""
+    windows = "transform(sequence(1, size(t) - 3), i -> xxhash64(t[i - 1], t[i], t[i + 1], t[i + 2]))"
+    b = load(spark, d, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t")).filter("size(t) >= 4")
+    b = b.select("item_id", F.explode(F.array_distinct(F.expr(windows))).alias("gram"))
     t = docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("t")).filter("size(t) >= 4")
     g = t.select("doc_id", F.posexplode(F.expr(windows)).alias("pos", "gram"))
     return g.join(b, "gram").groupBy("item_id", "doc_id").agg((F.min("pos") + 1).alias("first_pos"), F.count("*").alias("hits"))
@@ -256,17 +330,14 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j12_stray_adoption", "WITH m AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT item_id, doc_id FROM m WHERE n = 1")
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    """Items adopted by the one document that contains them; several or none: not at all. Candidates by a shared first word window."""
-    words = lambda c: F.expr(f"transform(sequence(1, greatest(size({c}) - 2, 1)), i -> array_join(slice({c}, i, 3), ' '))")
-    b = load(spark, d, "benchmark").withColumn("w", F.split("text", " ")).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("gram"))
-    t = docs(spark, d).withColumn("w", F.split("text", " ")).select("doc_id", "text", F.explode(F.array_distinct(words("w"))).alias("gram"))
-    m = t.join(small(b), "gram").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    """Items adopted by the one document that contains them; several or none: not at all."""
+    m = matching.contained(load(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), "item", docs(spark, d).select("doc_id", "text"), "text")
     return m.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("item_id", "doc_id")
 
 
 @query(
     "j14_conflicts",
-    f"""WITH b AS (SELECT item_id, item_id % 2 AS polarity, list_distinct({content('text')}) AS t FROM benchmark), e AS (SELECT item_id, polarity, len(t) AS n, unnest(t) AS tok FROM b)
+    f"""WITH {norm('c', 'SELECT item_id, item_id % 2 AS polarity, text AS x FROM benchmark')}, b AS (SELECT item_id, polarity, list_distinct({content('norm')}) AS t FROM c), e AS (SELECT item_id, polarity, len(t) AS n, unnest(t) AS tok FROM b)
     SELECT x.item_id AS a, y.item_id AS b, count(*) AS shared FROM e x JOIN e y ON x.tok = y.tok AND x.item_id < y.item_id AND x.polarity <> y.polarity GROUP BY x.item_id, y.item_id, x.n, y.n HAVING count(*) >= 2 AND count(*) * 10 >= least(x.n, y.n)""",
 )
 def j14(spark: SparkSession, d: str) -> DataFrame:
@@ -280,14 +351,16 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j15_jaccard_pairs",
-    "WITH p AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), s AS (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS names FROM p GROUP BY p_brand) SELECT x.p_brand AS a, y.p_brand AS b, round_even(CAST(len(list_intersect(x.names, y.names)) AS DOUBLE) / len(list_distinct(list_concat(x.names, y.names))), 6) AS jaccard FROM s x JOIN s y ON x.p_brand < y.p_brand",
+    "WITH p AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), s AS (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS names FROM p GROUP BY p_brand), j AS (SELECT x.p_brand AS a, y.p_brand AS b, CAST(len(list_intersect(x.names, y.names)) AS DOUBLE) / len(list_distinct(list_concat(x.names, y.names))) AS jaccard FROM s x JOIN s y ON x.p_brand < y.p_brand) SELECT a, b, round_even(jaccard, 6) AS jaccard FROM j WHERE jaccard > 0",
 )
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    """Jaccard similarity of the brands' name sets."""
-    s = load(spark, d, "part").groupBy("p_brand").agg(F.collect_set("p_name").alias("names"))
-    x, y = s.select(F.col("p_brand").alias("a"), F.col("names").alias("na")), s.select(F.col("p_brand").alias("b"), F.col("names").alias("nb"))
-    j = x.join(small(y), F.col("a") < F.col("b"))
-    return j.select("a", "b", F.bround(F.size(F.array_intersect("na", "nb")) / F.size(F.array_union("na", "nb")), 6).alias("jaccard"))
+    """Jaccard similarity of the name sets of brands that share a name: shared names by an inverted index, the union from the sizes."""
+    s = load(spark, d, "part").select("p_brand", "p_name").distinct()
+    n = s.groupBy("p_brand").agg(F.count("*").alias("n"))
+    x, y = s.select(F.col("p_brand").alias("a"), "p_name"), s.select(F.col("p_brand").alias("b"), "p_name")
+    both = x.join(y, "p_name").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    j = both.join(n.withColumnsRenamed({"p_brand": "a", "n": "n_a"}), "a").join(n.withColumnsRenamed({"p_brand": "b", "n": "n_b"}), "b")
+    return j.select("a", "b", F.bround(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("jaccard"))
 
 
 @query("s14_document_source", "SELECT page_id, length(replace(replace(chr(65279) || html, chr(65279), ''), chr(13) || chr(10), chr(10))) AS n FROM pages WHERE NOT regexp_matches(lower(url), 'login|signin')")
@@ -312,7 +385,7 @@ def so2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("so3_token_sets", f"SELECT item_id, len(list_intersect(list_distinct({toks('text')}), {STOP})) AS common, len(list_filter(list_distinct({toks('text')}), lambda x: NOT list_contains({STOP}, x))) AS only_here, len(list_distinct(list_concat({toks('text')}, {STOP}))) AS either FROM benchmark")
 def so3(spark: SparkSession, d: str) -> DataFrame:
-    t, stop = tx.tokens(F.col("text")), F.array(*map(F.lit, tx.STOP_WORDS))
+    t, stop = tx.tokens(F.col("text")), F.array(*map(F.lit, lx.STOP_WORDS))
     return load(spark, d, "benchmark").select("item_id", F.size(F.array_intersect(t, stop)).alias("common"), F.size(F.array_except(t, stop)).alias("only_here"), F.size(F.array_union(t, stop)).alias("either"))
 
 

@@ -13,13 +13,44 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows up to which a side that the data determine is broadcast.
-SMALL_ROWS = 100_000
+#: Requirement texts, a part's name in place of {}.
+ASKS = [
+    "Show the {} in the first three seconds.",
+    "Say {} saves twenty-five % on day 1",
+    "Never claim that {} cures eczema.",
+    "Must show 20% off {}, it is visible",
+    "Ideally hold the {} close up",
+    "Make {} feel premium",
+    "Use code SAVE30 for 27.5 percent off {}",
+    "Do not say {} is better than other brands",
+    'End with a call to action: "shop now"',
+    "Speak to the camera about {}",
+    "Speak to teens who like {}",
+    "Keep it no longer than 30 seconds, {} first",
+    "Captions mention {} and the price $ 5",
+    "Explain how to use {} step by step, two hundred times",
+    "{} lasts 3months or 12 weeks, guaranteed overnight results",
+    "Clinically proven {}: 1,500 users, 90 percent agree",
+    "Tag us, logo visible, {} packaging",
+    "healthy hair with {}",
+    "heals and healing, says {}",
+    "Try to film {} with good energy and 100% fun",
+    "A dermatolgist recommended hydrating serum, {}",
+    "The score is 8 out of 10 for {}, a premium vibe with 3 monthly drops",
+    "Serum and cleanser routine; {} in action, linkinbio",
+    "{}",
+]
+
+
+def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as requirements: id and text, a template of ASKS with the part's name."""
+    templates = F.array(*map(F.lit, ASKS))
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return p.select("id", F.replace(F.get(templates, (F.col("id") % len(ASKS)).cast("int")), F.lit("{}"), F.col("p_name")).alias("text"))
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df marked for a broadcast if it has at most `most` rows; else as it is, and Spark picks another join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: The same as DuckDB text, to stand after WITH.
+ASKS_SQL = "asks AS (SELECT p_partkey AS id, replace([" + ", ".join("'" + a.replace("'", "''") + "'" for a in ASKS) + f"][p_partkey % {len(ASKS)} + 1], '{{}}', p_name) AS text FROM part)"
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:

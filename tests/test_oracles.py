@@ -1,4 +1,4 @@
-"""Every registered query with SQL gives DuckDB's rows; the others run."""
+"""Every registered query with SQL gives DuckDB's rows; the others are in test_restatements."""
 
 from __future__ import annotations
 
@@ -20,11 +20,6 @@ def test_oracle(spark, duck, name):
     assert difference(spark, duck, plans.QUERIES[name], plans.ORACLE[name], DATA) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))
-def test_runs(spark, name):
-    assert plans.QUERIES[name](spark, DATA).count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

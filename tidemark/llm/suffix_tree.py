@@ -1,23 +1,24 @@
 """Op 8: scoring by a probabilistic suffix tree over words.
 
-Contexts of 1 to DEPTH words are candidates if they occur MIN_COUNT times in the training tokens, however
-many those are. A candidate is retained if coding what follows it by its own distribution saves bits over
-its suffix's, by leave-one-out counts: the divergence that would also hold for unseen text. Distributions
-are smoothed towards the next shorter context (Witten-Bell), at the root by adding one to each count and one
-unknown word. A token is scored in the longest retained suffix of what precedes it in its document.
+The tree grows by a word at a time, to contexts of DEPTH words at most. A context is tried if it occurs
+MIN_COUNT times in the training tokens, however many those are, if its suffix (without the first word) is
+retained, and if its prefix (without the last word) was tried. It is retained if coding what follows it by
+its own distribution saves bits over its longest retained suffix, by leave-one-out counts: the divergence that
+would also hold for unseen text. Its distribution is smoothed towards that of the same suffix (Witten-Bell),
+at the root by adding one to each count and one unknown word. A token is scored in the longest retained suffix
+of what precedes it in its document.
 
 The corpus is coded once, in blocks of documents: distinct words as hashes, tokens as indices. For each
-depth every block sends its distinct (context, word) keys with their counts, and the probability one context
-shorter (single precision), to hash-range buckets. A context of up to HEAVY occurrences has all its keys in
-one bucket, which decides on it; of the others, at most a HEAVY-th of the tokens, the keys are spread and the
-buckets' sums are added. Blocks get back each key's total, the number of words seen after its context and
+depth every block sends its distinct (context, word) keys with their counts, and the probability in the
+suffix (in 1024ths of a bit), to hash-range buckets. A context of up to HEAVY occurrences has all its keys in
+one bucket, which decides on it; of the others, at most SPREAD, the keys are spread and the buckets' sums are
+added. Blocks get back each key's total, the number of words seen after its context and
 whether that is retained. The total of n words is also the count of the context that they make for the next
 depth. No table of words or contexts is held whole anywhere.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, blocks, fold, mix, shared_dir, table, worker_cache
+from tidemark.llm.common import WordHashes, blocks, eager, fold, mix, shared_dir, table, worker_cache
 
 DEPTH = 4
 MIN_COUNT = 16
@@ -35,15 +36,15 @@ MIN_COUNT = 16
 MIN_GAIN = 0.01
 #: Occurrences beyond which a context's keys are spread over the buckets.
 HEAVY = 1 << 17
-#: Rounds in which the buckets of a depth are served, one third or half of them at a time: less disk at once.
-ROUNDS = {1: 3, 2: 2}
-#: Training and other tokens a bucket.
-BUCKET = 2_000_000
+#: Contexts that may be so spread, at most: beyond this many times HEAVY tokens, HEAVY rises. Every task knows them.
+SPREAD = 1_000_000
+#: Tokens a bucket.
+BUCKET = 1_000_000
 #: Text bytes of a block.
-BYTES = 8 << 20
+BYTES = 12 << 20
 END = 0xE4D0F7E47E4D5EED
 BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, codes binary, train long, tokens long"
-SENT = "bucket long, block long, n long, keys binary, counts binary, contexts binary, below binary, heavy binary"
+SENT = "bucket long, block long, n long, groups long, keys binary, counts binary, contexts binary, runs binary, below binary, heavy binary"
 REPLIES = "kind int, block long, bucket long, n long, totals binary, kinds binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -59,6 +60,17 @@ def unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def shortened(keys: np.ndarray) -> bytes:
+    """The lower six bytes of each, which tell the keys of a bucket apart."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def lengthened(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 @worker_cache
 def _words() -> WordHashes:
     return WordHashes()
@@ -116,14 +128,17 @@ class Block:
         self.depth, self.order, self.group = 0, np.arange(len(self.keys)), self.keys
 
     def deepen(self) -> None:
-        """On to contexts of one word more: those before a place that occur often enough."""
-        self.at = np.flatnonzero((self.seen[:-1] >= self.m.least) & self.inner[1:]) + 1
+        """On to contexts of one word more: those before a place that are to be tried."""
+        tried = (self.seen[:-1] >= self.m.least) & self.inner[1:]
+        if self.depth:
+            tried &= self.on[1:]
+        self.at = np.flatnonzero(tried) + 1
         with np.errstate(over="ignore"):
             key = mix(self.hash[self.at - 1] * np.uint64(0x9E3779B97F4A7C15) ^ self.word[self.at])
         self.keys, self.which = np.unique(key, return_inverse=True)
-        some = np.empty(len(self.keys), dtype=np.int64)  # a place of each key: all have the same context and shorter probability
+        some = np.empty(len(self.keys), dtype=np.int64)  # a place of each key: all have the same context and suffix
         some[self.which] = self.at
-        self.contexts, self.size, self.below = self.hash[some - 1], self.seen[some - 1], self.full[some]
+        self.contexts, self.size, self.below = self.hash[some - 1], self.seen[some - 1], self.best[some]
         self.spread = self.size > self.m.heavy
         self.hash = np.zeros(len(self.word), dtype=np.uint64)
         self.hash[self.at] = key
@@ -145,25 +160,36 @@ class Block:
                 both[self.spread] = m.kinds[self.depth - 1][n] * 2 + m.retained[self.depth - 1][n]
             k = (both >> 1).astype(float)
             p = (total + k * self.below) / (self.size + k)
-            self.full[self.at] = p[self.which]
             on = (both & 1).astype(bool)[self.which]
-            self.best[self.at[on]] = self.full[self.at[on]]
+            self.best[self.at[on]] = p[self.which[on]]
+            self.on = np.zeros(len(self.word), dtype=bool)
+            self.on[self.at[on]] = True
         else:
-            self.full = ((total + 1.0) / (m.tokens + m.words + 1))[self.which]
-            self.base, self.best, self.known = self.full.copy(), self.full.copy(), total[self.which] > 0
+            self.base = ((total + 1.0) / (m.tokens + m.words + 1))[self.which]
+            self.best, self.known = self.base.copy(), total[self.which] > 0
         self.seen = np.zeros(len(self.word), dtype=np.int64)
         self.seen[self.at] = total[self.which]
 
-    def sent(self, block: int, buckets: int, served: int = 0, rounds: int = 1) -> pa.RecordBatch:
-        """A row for each bucket of a round that this depth's keys go to: equal ranges of the upper half of their groups."""
+    def sent(self, block: int, buckets: int) -> pa.RecordBatch:
+        """A row for each bucket that this depth's keys go to: equal ranges of the upper half of their groups."""
         cuts = np.searchsorted((self.group >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-        on = np.flatnonzero((cuts[1:] > cuts[:-1]) & (np.arange(buckets) % rounds == served))
+        on = np.flatnonzero(cuts[1:] > cuts[:-1])
         cut = lambda x, f: pa.array([f(x[cuts[i] : cuts[i + 1]]) for i in on.tolist()], pa.binary())
         counts = np.bincount(self.which[self.train[self.at]], minlength=len(self.keys)).astype("<u4")
-        more = [self.contexts, self.below.astype("<f4"), self.spread] if self.depth else []
-        columns = [cut(x[self.order], packed) for x in more] or [pa.nulls(len(on), pa.binary())] * 3
-        n = [pa.array(on), pa.array([block] * len(on), pa.int64()), pa.array((cuts[1:] - cuts[:-1])[on])]
-        return pa.RecordBatch.from_arrays([*n, cut(self.keys[self.order], np.ndarray.tobytes), cut(counts[self.order], packed), *columns], names=[c.split()[0] for c in SENT.split(", ")])
+        groups, columns = [0] * len(on), [pa.nulls(len(on), pa.binary())] * 4
+        if self.depth:  # keys of one context follow each other, so a context is said once, with their number
+            contexts = self.contexts[self.order]
+            first = np.concatenate(([True], contexts[1:] != contexts[:-1]))[: len(contexts)]
+            first[cuts[:-1][on]] = True
+            first = np.flatnonzero(first)
+            runs = np.diff(np.append(first, len(contexts))).astype("<u4")
+            own = np.searchsorted(first, cuts)
+            groups = (own[1:] - own[:-1])[on].tolist()
+            part = lambda x: pa.array([packed(x[own[i] : own[i + 1]]) for i in on.tolist()], pa.binary())
+            below = np.clip(np.rint(-1024 * np.log2(self.below)), 0, 65535).astype("<u2")
+            columns = [part(contexts[first]), part(runs), cut(below[self.order], packed), cut(self.spread[self.order], packed)]
+        n = [pa.array(on), pa.array([block] * len(on), pa.int64()), pa.array((cuts[1:] - cuts[:-1])[on]), pa.array(groups, pa.int64())]
+        return pa.RecordBatch.from_arrays([*n, cut(self.keys[self.order], shortened), cut(counts[self.order], packed), *columns], names=[c.split()[0] for c in SENT.split(", ")])
 
 
 def _bits(total: np.ndarray, below: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -178,13 +204,14 @@ def added(depth: int):
         col = {c: table.column(c).to_pylist() for c in table.column_names}
         n = col["n"]
         get = lambda c, kind: np.concatenate([unpacked(x, k, kind) for x, k in zip(col[c], n, strict=True)])
-        keys, which = np.unique(np.concatenate([np.frombuffer(k, "<u8") for k in col["keys"]]), return_inverse=True)
+        keys, which = np.unique(np.concatenate([lengthened(k) for k in col["keys"]]), return_inverse=True)
         total = np.bincount(which, get("counts", "<u4"), len(keys)).astype(np.int64)
         both = np.zeros(len(keys), dtype=np.int64)
         more: list[tuple[int, int, int, bytes | None, bytes | None]] = []
         if depth:
             contexts, below, spread = np.empty(len(keys), dtype=np.uint64), np.empty(len(keys)), np.empty(len(keys), dtype=bool)
-            contexts[which], below[which], spread[which] = get("contexts", "<u8"), get("below", "<f4"), get("heavy", "?")
+            got = [np.repeat(unpacked(c, k, "<u8"), unpacked(r, k, "<u4")) for c, r, k in zip(col["contexts"], col["runs"], col["groups"], strict=True)]
+            contexts[which], below[which], spread[which] = np.concatenate(got), np.exp2(get("below", "<u2") / -1024.0), get("heavy", "?")
             own, place = np.unique(contexts, return_inverse=True)
             on = total > 0
             kinds, size = np.bincount(place[on], minlength=len(own)), np.bincount(place, total, len(own))
@@ -242,7 +269,7 @@ def _with_replies(blocks_: DataFrame, replies: list[DataFrame], model: Model, wo
 
 
 def _spread(reply: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the contexts whose keys were spread (at most a HEAVY-th of the tokens): keys in order, numbers of followers, whether retained."""
+    """Of the contexts whose keys were spread (at most SPREAD): keys in order, numbers of followers, whether retained."""
     far = reply.filter("kind = 1")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,35 +299,30 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "coded")
-    coded(docs, id_col, text_col, held_out).write.option("compression", "zstd").parquet(path)
+    with eager(spark):
+        coded(docs, id_col, text_col, held_out).write.option("compression", "zstd").parquet(path)
     blocks_ = spark.read.schema(BLOCKS).parquet(path)
     sums = blocks_.agg(F.sum("train"), F.sum("tokens")).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * max(ROUNDS.values()), (sums[1] or 0) // BUCKET)
-    model = Model(sums[0] or 0, 0, MIN_COUNT, HEAVY, [], [], [])
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sums[1] or 0) // BUCKET)
+    heavy = max(HEAVY, (sums[0] or 0) // SPREAD)
+    model = Model(sums[0] or 0, 0, MIN_COUNT, heavy, [], [], [])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 yield Block(row, model).sent(row["block"], buckets)
 
-    def further(served: int, rounds: int):
-        def work(b: Block, block: int) -> pa.Table:
-            b.deepen()
-            return pa.Table.from_batches([b.sent(block, buckets, served, rounds)])
-
-        return work
+    def further(b: Block, block: int) -> pa.Table:
+        b.deepen()
+        return pa.Table.from_batches([b.sent(block, buckets)])
 
     replies: list[DataFrame] = []
     for depth in range(DEPTH + 1):
-        paths, rounds = [], ROUNDS.get(depth, 1)
-        for served in range(rounds):
-            paths.append(shared_dir(spark, f"totals{depth}"))
-            asked = _with_replies(blocks_, replies, model, further(served, rounds), SENT) if depth else blocks_.mapInArrow(first, SENT)
-            asked.groupBy("bucket").applyInArrow(added(depth), REPLIES).write.option("compression", "zstd").parquet(paths[-1])
-            del asked
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of this round
-        replies.append(spark.read.schema(REPLIES).parquet(*paths))
+        path = shared_dir(spark, f"totals{depth}")
+        asked = _with_replies(blocks_, replies, model, further, SENT) if depth else blocks_.mapInArrow(first, SENT)
+        with eager(spark):
+            asked.groupBy("bucket").applyInArrow(added(depth), REPLIES).write.option("compression", "zstd").parquet(path)
+        replies.append(spark.read.schema(REPLIES).parquet(path))
         if depth:
             for held, x in zip((model.contexts, model.kinds, model.retained), _spread(replies[-1]), strict=True):
                 held.append(x)

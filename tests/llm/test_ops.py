@@ -144,6 +144,44 @@ def test_tool_calls_edges(spark):
     assert empty.count() == 0
 
 
+def test_levels_of_long_chains_and_random_graphs(spark):
+    """A chain of 300 calls in few rounds; graphs with several needs a call, cycles and what waits for them."""
+    r = random.Random(3)
+    needs = {(1, f"c{i}"): {f"c{i - 1}"} for i in range(1, 300)} | {(1, "c0"): set()}
+    for g in range(2, 6):
+        for i in range(12):
+            needs[g, f"c{i}"] = {f"c{r.randrange(i)}" for _ in range(r.randint(0, 3))} if i else set()
+        if g % 2:
+            needs[g, "c5"] |= {"c9"}
+    level = {}
+    for g in {g for g, _ in needs}:
+        own = {c: set(n) for (k, c), n in needs.items() if k == g}
+        at = 0
+        while ready := [c for c, n in own.items() if not n]:
+            for c in ready:
+                level[g, c] = at
+                del own[c]
+            for n in own.values():
+                n.difference_update(ready)
+            at += 1
+    key = ["conv_id", "call_id"]
+    calls = spark.createDataFrame(list(needs), "conv_id long, call_id string").withColumn("turn", F.substring("call_id", 2, 9).cast("long"))
+    edges = spark.createDataFrame([(g, c, n) for (g, c), ns in needs.items() for n in ns], "conv_id long, call_id string, needs string")
+    got = toolcalls.positions(calls.join(toolcalls.levels(calls, edges), key)).collect()
+    assert {(x.conv_id, x.call_id): x.level for x in got} == {k: level.get(k) for k in needs}
+    for g in range(1, 6):
+        own = sorted((x for x in got if x.conv_id == g and x.level is not None), key=lambda x: (x.level, x.turn))
+        assert [x.position for x in own] == list(range(1, len(own) + 1))
+
+
+def test_tool_calls_ignore_other_columns(spark):
+    calls = spark.createDataFrame([(1, 1, "a", "note", '{"body": "x"}', [])], CALLS)
+    results = spark.createDataFrame([(1, "a", "r")], "conv_id long, call_id string, content string")
+    plain = toolcalls.link(calls, results, toolcalls.SCHEMAS).collect()
+    clash = {c: F.lit("z") for c in ("level", "base", "far", "to", "parsed", "keys", "there", "errors", "position")}
+    assert toolcalls.link(calls.withColumns(clash), results.withColumns(clash | {"turn": F.lit(9), "name": F.lit("q")}), toolcalls.SCHEMAS).collect() == plain
+
+
 # --- op 3
 
 

@@ -2,16 +2,17 @@
 
 Calls and results meet in a hash join by (conversation, call id). Arguments are parsed as variants and
 checked against the tool's schema; their canonical JSON has sorted keys and no spaces. A call may name
-earlier calls whose results it uses; levels of the dependency graph come from Kahn's rounds over the
-unresolved calls only, so the work shrinks from round to round. Nothing is collected: a conversation of
-any length is just rows.
+earlier calls whose results it uses; levels of the dependency graph come from rounds over the unresolved
+calls only, in which a call that waits for one other is skipped by those that wait for it: a chain of n calls
+takes about log2(n) rounds. Calls are then numbered by level. Nothing is collected: a conversation of any
+length is just rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
@@ -48,30 +49,62 @@ def argument_errors(name: Column, parsed: Column, keys: Column, schemas: Schemas
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """conv_id, call_id, level of each call: 0 without dependencies, else one more than the highest it needs.
 
-    Calls on a cycle, or that need one, have level null. Each round is written to spark.checkpoint.dir.
+    Calls on a cycle, or that need one, have level null. Every waiting call has edges (needs, far): its level is
+    the greatest of `base` and, over them, that of `needs` plus `far`. In a round an edge to a call that is done
+    goes into the base; then an edge to a call y with a single edge left becomes that edge of y, with the sum of
+    both distances, so distances double. A distance beyond the number of calls can only come from a cycle. Each
+    round is written to spark.checkpoint.dir.
     """
     key = ["conv_id", "call_id"]
-    waiting = edges.select("conv_id", "call_id", "needs").distinct()
-    level = calls.select(*key).join(waiting.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0))
-    done, n = [], 0
+    n = calls.count()
+    none = F.lit(0).cast("long")
+    waiting = edges.select(*key, "needs", F.lit(1).cast("long").alias("far"), none.alias("base")).distinct().checkpoint()
+    level = calls.select(*key).join(waiting.select(*key).distinct(), key, "left_anti").withColumn("level", none).checkpoint()
+    done, before = [level], None
     while True:
-        level = level.checkpoint()
-        done.append(level)
-        met = waiting.join(level.select("conv_id", F.col("call_id").alias("needs")).withColumn("met", F.lit(1)), ["conv_id", "needs"], "left")
-        met = met.checkpoint()
-        per = met.groupBy(*key).agg(F.count("met").alias("met"), F.count("needs").alias("all"))
-        n += 1
-        # each round keeps only what still waits: an edge that is met has counted for its call
-        level = per.filter("met = all").select(*key, F.lit(n).alias("level"))
-        if level.isEmpty():
+        now = waiting.agg(F.count("*"), F.sum(F.xxhash64(*key, "needs", "far", "base").cast("decimal(38,0)"))).first()
+        if not now[0] or now == before:  # all done, or what is left waits for a cycle
             break
-        waiting = met.filter("met is null").select(*key, "needs")
-    every = reduce(DataFrame.unionByName, done)
+        before = now
+        met = waiting.join(level.select("conv_id", F.col("call_id").alias("needs"), "level"), ["conv_id", "needs"], "left")
+        base = F.greatest("base", F.coalesce(F.col("level") + F.col("far"), none))
+        met = met.select(*key, F.when(F.col("level").isNull(), F.col("needs")).alias("needs"), "far", base.alias("base"))
+        met = met.groupBy(*key, "needs").agg(F.max("far").alias("far"), F.max("base").alias("base")).checkpoint()
+        left = F.when(F.col("needs").isNotNull(), F.col("far"))
+        per = met.groupBy(*key).agg(F.max("base").alias("base"), F.count("needs").alias("left"), F.max(left).alias("longest"), F.min("needs").alias("to"))
+        per = per.filter((F.col("left") == 0) | (F.col("longest") <= n)).checkpoint()  # the others are on a cycle or wait for one
+        # an edge that is left leads to a call that waits, or to one that is done as of now and is met in the next round
+        level = per.filter("left = 0").select(*key, F.col("base").alias("level"))
+        done.append(level)
+        skip = per.filter("left = 1").select("conv_id", F.col("call_id").alias("needs"), "to", F.col("longest").alias("more"), F.col("base").alias("skipped"))
+        edge = met.filter("needs is not null").drop("base").join(per.filter("left > 0").select(*key, "base"), key)
+        edge = edge.join(skip, ["conv_id", "needs"], "left")
+        base = F.greatest("base", F.coalesce(F.col("skipped") + F.col("far"), none))
+        waiting = edge.select(*key, F.coalesce("to", "needs").alias("needs"), (F.col("far") + F.coalesce("more", none)).alias("far"), base.alias("base")).checkpoint()
+    every = reduce(DataFrame.unionByName, done).select(*key, F.col("level").cast("int").alias("level"))
     return calls.select(*key).join(every, key, "left")
 
 
+def positions(rows: DataFrame) -> DataFrame:
+    """rows with position: the number of a call in its conversation, from 1, by level, turn and call_id; null where level is.
+
+    All rows are range-sorted by conversation and those, so one conversation may lie in many tasks; what lies before a
+    task's rows of a conversation is added from the counts of the tasks before.
+    """
+    order = ["conv_id", "level", "turn", "call_id"]
+    called = rows.filter("level is not null")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    put = called.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    put = put.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    per = put.groupBy("conv_id", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("conv_id", "_task", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = put.join(per, ["conv_id", "_task"]).withColumn("position", F.col("_at") - F.col("_first") + F.col("_before") + 1)
+    return placed.select(*rows.columns, "position").unionByName(rows.filter("level is null").withColumn("position", F.lit(None).cast("long")))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """A row for each call id and each orphan result, with its canonical record.
+    """A row for each call id and each orphan result, with its level, its position in topological order and its canonical record.
 
     calls: conv_id, turn, call_id, name, arguments (JSON text), needs (array of call ids).
     results: conv_id, call_id, content. Repeated call ids in one conversation: the call of the least
@@ -107,7 +140,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
         F.lit(',"name":'), _string("name"),
         F.lit(',"result":'), _string("content"), F.lit("}"),
     )
-    return rows.select("conv_id", "call_id", "turn", "level", "repeats", F.size(errors).alias("n_errors"), record.alias("record"))
+    rows = rows.select("conv_id", "call_id", "turn", "level", "repeats", F.size(errors).alias("n_errors"), record.alias("record"))
+    return positions(rows)
 
 
 def _string(column: str) -> Column:
@@ -197,7 +231,7 @@ WITH RECURSIVE t AS (
   LEFT JOIN dangling d ON d.conv_id = o.conv_id AND d.call_id = o.call_id
   FULL JOIN got g ON g.conv_id = o.conv_id AND g.call_id = o.call_id
 )
-SELECT conv_id, call_id, turn, CAST(level AS INTEGER) AS level, repeats, CAST(len(errors) AS INTEGER) AS n_errors,
+SELECT conv_id, call_id, turn, CAST(level AS INTEGER) AS level, CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, level IS NULL ORDER BY level, turn, call_id) END AS position, repeats, CAST(len(errors) AS INTEGER) AS n_errors,
   '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR)
   || ',"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null')
   || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS record

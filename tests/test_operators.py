@@ -156,19 +156,46 @@ def test_expressions(spark):
 
 
 def test_sequential():
-    ev = [{"id": i, "start": i, "end": i, "kind": "k", "text": t} for i, t in enumerate(["a b", "a", "c", "c a"])]
-    assert [(r["id"], r["n"]) for r in sq.merge_events(ev, 1)] == [(0, 2), (2, 1), (3, 1)]
+    ev = [{"id": i, "start": i, "end": i, "kind": "k", "text": t} for i, t in enumerate(["a woman speaks", "the woman continues speaking", "a jar", "woman jar"])]
+    assert [(r["id"], r["n"], r["text"]) for r in sq.merge_events(ev, 1)] == [(0, 2, "the woman continues speaking"), (2, 1, "a jar"), (3, 1, "woman jar")]
+    assert list(sq.merge_events([], 1)) == []
     det = [{"t": t, "text": x, "confidence": c} for t, x, c in [(0, "A", 0.5), (1, "B", 0.5), (2, "A", 0.6), (30, "A", 0.9), (31, "C", 0.1)]]
-    got = sq.text_intervals(det, 5, lambda a, b: a == b)
-    assert [(r["start"], r["end"], r["text"], r["number"]) for r in got] == [(0, 2, "A", 1), (30, 30, "A", 2)]
+    got = list(sq.text_intervals(det, 5, lambda a, b: a["text"] == b["text"]))
+    assert [(r["start"], r["end"], r["text"], r["n"]) for r in got] == [(0, 2, "A", 2), (30, 30, "A", 1)]
     frames = [{"idx": i, "frame": [0]} for i in range(6)]
     assert [r["read"] for r in sq.read_frames(frames, lambda a, b: a == b)] == [True, False, False, False, True, False]
-    rules = [{"id": 1, "text": "long one", "hints": ["a", "b"]}, {"id": 2, "text": "short", "hints": ["a", "b", "c"]}, {"id": 3, "text": "x", "hints": []}]
-    assert [(r["id"], r["hints"], r["merged"]) for r in sq.merge_rules(rules)] == [(1, "a,b,c", 1), (3, "", 0)]
+    rule = lambda i, t, h, f=False, c=(): {"id": i, "text": t, "hints": h, "figures": f, "classes": c}
+    rules = [rule(1, "long one", ["a", "b"]), rule(2, "short", ["a", "b", "c"]), rule(4, "figs", ["x"], True, ["cure"]), rule(5, "fig", ["y"], True, ["cure"]), rule(3, "x", [])]
+    assert [(r["id"], r["hints"], r["merged"]) for r in sq.merge_rules(rules)] == [(1, "a,b,c", 1), (4, "x,y", 1), (3, "", 0)]
     req, opt = [{"pos": 1, "text": "a"}, {"pos": 2, "text": "a"}], [{"pos": 1, "text": "a"}, {"pos": 2, "text": "z"}]
     assert [(r["text"], r["option"], r["added"]) for r in sq.claim_options(req, opt, str.__eq__)] == [("a", "a", False), ("a", None, False), ("z", "z", True)]
 
 
+def test_captions():
+    """Numbers part captions; a caption that grows word by word is one; another place is another caption."""
+    box = (0, 0, 40, 10)
+    assert sq.one_caption("shop now", box, "shopnow", (2, 0, 42, 10))
+    assert not sq.one_caption("shop now", box, "shop now", (60, 0, 100, 10))
+    assert not sq.one_caption("code save20", box, "code save30", box)
+    assert sq.one_caption("everyone", (0, 0, 30, 10), "everyone talks about", (0, 0, 90, 10))
+    assert not sq.one_caption("everyone", (0, 50, 30, 60), "everyone talks about", (0, 0, 90, 10))
+    assert sq.iou((0, 0, 2, 1), (1, 0, 3, 1)) == pytest.approx(1 / 3)
+    assert sq.iou((0, 0, 0, 0), (0, 0, 0, 0)) == 0
+
+
+def test_streams_are_sorted_and_whole(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(4), i, r.randrange(9)) for i in range(300)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, i long, x long").repartition(5)
+    got = sq.streamed(df, ["k"], ["i"], lambda own: ({"i": y["i"], "run": n} for n, y in enumerate(own)), "k long, i long, run long", rows=7).collect()
+    want = []
+    for k in range(4):
+        want += [(k, i, n) for n, i in enumerate(sorted(i for kk, i, _ in rows if kk == k))]
+    assert sorted(map(tuple, got)) == want
+    assert sq.streamed(df.limit(0), ["k"], ["i"], lambda own: (), "k long, i long").count() == 0
+
+
 def test_partitioning_does_not_matter(spark):
     rows = spans(50, 5)
     df = spark.createDataFrame(rows, "k long, a long, b long")

@@ -142,6 +142,9 @@ NO_HINTS = "show shows say says mention mentions demonstrate display include mak
 BANNED = ["pass", "passed", "fail", "failed", "partial", "uncertain", "approved", "rejected", "score", "scored", "scores", "grade", "rating", "percent", "compliant"]
 BANNED_FIGURES = r"\d+\s?%|\b\d{1,3}\s*(?:out of|/)\s*\d{1,3}\b"
 
+# Words that say that something goes on.
+GOES_ON = "continues continuing continue continued still again remains remain remaining keeps keep keeping same now then persists ongoing".split()
+
 
 def any_of(patterns: list[str]) -> str:
     """One pattern for all, without regard to case."""

@@ -49,9 +49,14 @@ def content_tokens(text: str) -> list[str]:
     return [t for t in normalize_text(text).split() if any(map(str.isdigit, t)) or (len(t) >= 3 and t not in stop)]
 
 
+def digits(text: str) -> list[str]:
+    """Runs of digits in order."""
+    return re.findall(r"\d+", text)
+
+
 def digits_missing(required: str, candidate: str) -> bool:
     """The twin of text.digits_missing."""
-    return not set(re.findall(r"\d+", required)) <= set(re.findall(r"\d+", candidate))
+    return not set(digits(required)) <= set(digits(candidate))
 
 
 def spelled(n: int) -> str:

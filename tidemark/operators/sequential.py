@@ -1,16 +1,23 @@
 """Operators whose state depends on what was kept before: one sorted pass over each key's rows.
 
-W2, W3, W9, K7, J13, R33 and box grouping can't be told by one window; they run as applyInPandas on
-narrow rows of one key.
+W2, W3, W9, R33 and box grouping stream: a task sorts its keys' rows (and spills if need be), and Python holds
+what the operator carries on, not the key. K7 and J13 look at a key's rows more than once and take them whole:
+the frames of one video, the lines of one brief.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tidemark.functions import fuzzy, phrases
+from tidemark.functions import lexicon as lx
 
 
 def per_key(df: DataFrame, keys: list[str], run: Callable[[list[dict]], Iterable[dict]], schema: T.StructType | str) -> DataFrame:
@@ -23,65 +30,126 @@ def per_key(df: DataFrame, keys: list[str], run: Callable[[list[dict]], Iterable
     return df.groupBy(*keys).applyInPandas(go, schema)
 
 
-def merge_events(rows: list[dict], gap: float) -> list[dict]:
-    """Adjacent events of one kind merge if the next one adds no new word to the open run.
+def streamed(df: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows: int = 1000) -> DataFrame:
+    """The keys with what run(rows of one key, in order) gives for each; `schema` is of the keys and run's columns."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        every = (r for batch in batches for r in batch.to_pylist())
+        for key, own in groupby(every, key=lambda r: tuple(r[k] for k in keys)):
+            head = dict(zip(keys, key, strict=True))
+            for made in run(own):
+                out.append(head | made)
+                if len(out) >= rows:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(go, schema)
+
+
+def no_new_fact(said: set[str], text: str, least: float = 80) -> bool:
+    """Whether every content word of the text is among those that were said, goes on, or is another form of one."""
+    return all(t in lx.GOES_ON or any(fuzzy.same_word(t, s, least) for s in said) for t in phrases.content_tokens(text))
 
-    rows: start, end, kind, text, id. Result: id, start, end, kind, n of each run.
+
+def merge_events(rows: Iterable[dict], gap: float) -> Iterator[dict]:
+    """Adjacent events of one kind merge if the next one brings no new fact to the open run.
+
+    rows, by start and id: start, end, kind, text, id. Result: id (of the first), start, end, kind, text (the longest), n of each run.
     """
-    out: list[dict] = []
-    words: set[str] = set()
-    for r in sorted(rows, key=lambda r: (r["start"], r["id"])):
-        own = set(r["text"].lower().split())
-        last = out[-1] if out else None
-        if last and last["kind"] == r["kind"] and r["start"] - last["end"] <= gap and own <= words:
+    last: dict | None = None
+    said: set[str] = set()
+    for r in rows:
+        if last and last["kind"] == r["kind"] and r["start"] - last["end"] <= gap and no_new_fact(said, r["text"]):
             last["end"] = max(last["end"], r["end"])
+            last["text"] = max(last["text"], r["text"], key=len)
             last["n"] += 1
         else:
-            out.append({k: r[k] for k in ("id", "start", "end", "kind")} | {"n": 1})
-            words = set()
-        words |= own
-    return out
+            if last:
+                yield last
+            last = {k: r[k] for k in ("id", "start", "end", "kind", "text")} | {"n": 1}
+            said = set()
+        said |= set(phrases.content_tokens(r["text"]))
+    if last:
+        yield last
+
+
+Box = tuple[float, float, float, float]
+
 
+def _inside(a: Box, b: Box) -> float:
+    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
 
-def text_intervals(rows: list[dict], max_gap: float, alike: Callable[[str, str], bool], least_seen: int = 2, sure: float = 0.85) -> list[dict]:
+
+def _area(a: Box) -> float:
+    return max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1])
+
+
+def iou(a: Box, b: Box) -> float:
+    """Area of the intersection over that of the union; 0 for boxes without area."""
+    both = _inside(a, b)
+    return both / (_area(a) + _area(b) - both) if both else 0.0
+
+
+def one_caption(a: str, box_a: Box, b: str, box_b: Box, least: int = 85, overlap: float = 0.5, held: float = 0.7) -> bool:
+    """Whether two sightings of normalised texts are one caption (W3, W14): alike in the same place, or one growing into the other.
+
+    Different numbers are different captions. A caption grows if its text, white space aside, starts the longer
+    one and its box lies in the longer one's by `held` of its area.
+    """
+    x, y = phrases.digits(a), phrases.digits(b)
+    if x and y and x != y:
+        return False
+    if fuzzy.robust_ratio(a, b) >= least and iou(box_a, box_b) >= overlap:
+        return True
+    (short, box, s), (long, around, t) = sorted([(a, box_a, "".join(a.split())), (b, box_b, "".join(b.split()))], key=lambda z: len(z[2]))
+    return 0 < len(s) < len(t) and t.startswith(s) and _inside(box, around) >= held * max(1e-6, _area(box))
+
+
+def text_intervals(rows: Iterable[dict], max_gap: float, alike: Callable[[dict, dict], bool], least_seen: int = 2, sure: float = 0.85) -> Iterator[dict]:
     """Detections join the first open interval with a like text and a small gap, else open one.
 
-    rows: t, text, confidence. An interval survives with two sightings or one of high confidence.
+    rows, by t and text: t, text, confidence and what else `alike` looks at. An interval survives with two
+    sightings or one of high confidence; the longest text of its sightings is its text, the most confident of
+    equals. Intervals come as they close.
     """
     open_: list[dict] = []
-    done: list[dict] = []
-    for r in sorted(rows, key=lambda r: (r["t"], r["text"])):
+    survives = lambda o: o["n"] >= least_seen or o["best"] >= sure
+    for r in rows:
         still = []
         for o in open_:
-            (still if r["t"] - o["end"] <= max_gap else done).append(o)
+            if r["t"] - o["end"] <= max_gap:
+                still.append(o)
+            elif survives(o):
+                yield o
         open_ = still
         for o in open_:
-            if alike(o["text"], r["text"]):
+            if alike(r, o):
                 o["end"], o["n"] = r["t"], o["n"] + 1
-                if r["confidence"] > o["best"]:
-                    o["best"], o["text"] = r["confidence"], r["text"]
+                if (len(r["text"]), r["confidence"]) > (len(o["text"]), o["best"]):
+                    o |= {k: v for k, v in r.items() if k not in ("t", "confidence")}
+                o["best"] = max(o["best"], r["confidence"])
                 break
         else:
-            open_.append({"start": r["t"], "end": r["t"], "text": r["text"], "n": 1, "best": r["confidence"]})
-    kept = [o for o in [*done, *open_] if o["n"] >= least_seen or o["best"] >= sure]
-    kept.sort(key=lambda o: (o["start"], o["end"], o["text"]))
-    return [o | {"number": i + 1} for i, o in enumerate(kept)]
+            open_.append({k: v for k, v in r.items() if k not in ("t", "confidence")} | {"start": r["t"], "end": r["t"], "n": 1, "best": r["confidence"]})
+    yield from filter(survives, open_)
 
 
-def read_frames(rows: list[dict], same: Callable[[list, list], bool], most: int = 3) -> list[dict]:
+def read_frames(rows: Iterable[dict], same: Callable[[list, list], bool], most: int = 3) -> Iterator[dict]:
     """Frames that are read: one like the last read frame is skipped, but at most `most` in a row.
 
-    rows: idx, frame.
+    rows, by idx: idx, frame.
     """
-    out, last, skipped = [], None, 0
-    for r in sorted(rows, key=lambda r: r["idx"]):
+    last, skipped = None, 0
+    for r in rows:
         if last is not None and same(last, r["frame"]) and skipped < most:
             skipped += 1
-            out.append({"idx": r["idx"], "read": False})
+            yield {"idx": r["idx"], "read": False}
         else:
             last, skipped = r["frame"], 0
-            out.append({"idx": r["idx"], "read": True})
-    return out
+            yield {"idx": r["idx"], "read": True}
 
 
 def cover_shots(rows: list[dict], floor: int, total: int) -> list[dict]:
@@ -122,42 +190,42 @@ def claim_options(requirements: list[dict], options: list[dict], same: Callable[
     return out + [{"text": o["text"], "option": o["text"], "added": True} for o in left]
 
 
-def merge_rules(rows: list[dict], share: float = 0.6) -> list[dict]:
+def merge_rules(rows: Iterable[dict], share: float = 0.6) -> Iterator[dict]:
     """Rules that share `share` of the smaller hint set merge, the longer text kept, hints united (R33, SO4).
 
-    rows: id, text, hints (list of strings).
+    Two rules about figures (`figures` true) merge if they share a claim class. rows, the longest texts first, then
+    by id: id, text, hints, classes (lists of strings), figures.
     """
     kept: list[dict] = []
-    for r in sorted(rows, key=lambda r: (-len(r["text"]), r["id"])):
-        own = set(r["hints"])
+    for r in rows:
+        own, classes = set(r["hints"]), set(r["classes"] or ())
         for k in kept:
             small = min(len(own), len(k["set"]))
-            if small and len(own & k["set"]) >= share * small:
+            if (small and len(own & k["set"]) >= share * small) or (r["figures"] and k["figures"] and classes & k["classes"]):
                 k["set"] |= own
                 k["merged"] += 1
                 break
         else:
-            kept.append({"id": r["id"], "text": r["text"], "set": own, "merged": 0})
-    return [{"id": k["id"], "text": k["text"], "hints": ",".join(sorted(k["set"])), "merged": k["merged"]} for k in kept]
+            kept.append({"id": r["id"], "text": r["text"], "set": own, "classes": classes, "figures": r["figures"], "merged": 0})
+    for k in kept:
+        yield {"id": k["id"], "text": k["text"], "hints": ",".join(sorted(k["set"])), "merged": k["merged"]}
 
 
-def box_lines(rows: list[dict], v_overlap: float = 0.6, gap: float = 1.5) -> list[dict]:
+def box_lines(rows: Iterable[dict], v_overlap: float = 0.6, gap: float = 1.5) -> Iterator[dict]:
     """Word boxes into lines, first fit, the line's box growing (§2.9): id, line.
 
-    rows: id, x0, y0, x1, y1. A word joins a line if their heights overlap by v_overlap of the smaller and
-    the horizontal gap is at most `gap` of the word's height.
+    rows, by x0, y0 and id: id, x0, y0, x1, y1. A word joins a line if their heights overlap by v_overlap of the
+    smaller and the horizontal gap is at most `gap` of the word's height.
     """
     lines: list[dict] = []
-    out = []
-    for r in sorted(rows, key=lambda r: (r["x0"], r["y0"], r["id"])):
+    for r in rows:
         h = r["y1"] - r["y0"]
         for i, line in enumerate(lines):
             both = min(r["y1"], line["y1"]) - max(r["y0"], line["y0"])
             if both >= v_overlap * min(h, line["y1"] - line["y0"]) and r["x0"] - line["x1"] <= gap * h:
                 line.update(x0=min(line["x0"], r["x0"]), y0=min(line["y0"], r["y0"]), x1=max(line["x1"], r["x1"]), y1=max(line["y1"], r["y1"]))
-                out.append({"id": r["id"], "line": i})
+                yield {"id": r["id"], "line": i}
                 break
         else:
             lines.append({k: r[k] for k in ("x0", "y0", "x1", "y1")})
-            out.append({"id": r["id"], "line": len(lines) - 1})
-    return out
+            yield {"id": r["id"], "line": len(lines) - 1}

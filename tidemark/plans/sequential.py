@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import fuzzy, hashing
+from tidemark.functions import cues, fuzzy, hashing
 from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
 from tidemark.operators import matching
 from tidemark.operators import sequential as sq
+from tidemark.plans.text import inferred
 from tidemark.registry import query
 from tidemark.tables import TIMELINE, asks, load, timeline
 
@@ -120,24 +121,28 @@ def _alike(least: float, a: str, b: str) -> bool:
 
 @query("w2_event_merge")
 def w2(spark: SparkSession, d: str) -> DataFrame:
-    """Adjacent events of a kind that bring nothing new, a day apart at most."""
-    t = timeline(spark, d).select("video", F.col("event_id").alias("id"), F.col("t0").alias("start"), F.col("t1").alias("end"), F.col("modality").alias("kind"), (F.col("k") % 3).cast("string").alias("text"))
+    """Adjacent events of a kind that bring no new fact, a day apart at most."""
+    said = F.get(F.array(*map(F.lit, SEEN)), F.col("k") % len(SEEN))
+    t = timeline(spark, d).select("video", F.col("event_id").alias("id"), F.col("t0").alias("start"), F.col("t1").alias("end"), F.lit("held").alias("kind"), said.alias("text"))
+    return sq.streamed(t, ["video"], ["start", "id"], lambda rows: sq.merge_events(rows, 86_400_000), "video long, id long, start long, end long, kind string, text string, n long")
 
-    def run(rows: list[dict]) -> list[dict]:
-        return [{"video": rows[0]["video"]} | r for r in sq.merge_events(rows, 86_400_000)]
 
-    return sq.per_key(t, ["video"], run, "video long, id long, start long, end long, kind string, n long")
+SEEN = ["a woman holds the white jar", "the woman is holding the jar", "she continues holding the white jar", "she turns the jar to show the label", "the label is shown"]
+CAPTIONS = ["save", "save now", "save now 20", "save now 30", "s ave now"]
 
 
-@query("w3_text_intervals")
-def w3(spark: SparkSession, d: str) -> DataFrame:
-    """Detections of like texts as intervals; several may be open at once."""
-    t = timeline(spark, d).select("video", F.col("t0").alias("t"), F.concat("modality", F.lit(" "), (F.col("k") % 4).cast("string")).alias("text"), (F.col("value") / 500).alias("confidence"))
+def one_caption(a: dict, b: dict) -> bool:
+    return sq.one_caption(a["text"], (a["x0"], 0, a["x1"], 10), b["text"], (b["x0"], 0, b["x1"], 10))
 
-    def run(rows: list[dict]) -> list[dict]:
-        return [{"video": rows[0]["video"]} | r for r in sq.text_intervals(rows, 86_400_000 * 3, partial(_alike, 85))]
 
-    return sq.per_key(t, ["video"], run, "video long, number int, start long, end long, text string, n int, best double")
+@query("w3_text_intervals")
+def w3(spark: SparkSession, d: str) -> DataFrame:
+    """Sightings of captions as intervals; several may be open at once, some grow, some only differ by a number."""
+    text, x0 = F.get(F.array(*map(F.lit, CAPTIONS)), F.col("k") % len(CAPTIONS)), (F.col("event_id") % 3 * 4).cast("double")
+    t = timeline(spark, d).select("video", "event_id", F.col("t0").alias("t"), text.alias("text"), (F.col("value") / 500).alias("confidence"), x0.alias("x0"), (x0 + F.length(text) * 5).alias("x1"))
+    made = sq.streamed(t, ["video"], ["t", "text", "event_id"], lambda rows: ({k: v for k, v in o.items() if k != "event_id"} for o in sq.text_intervals(rows, 86_400_000 * 3, one_caption)), "video long, start long, end long, text string, x0 double, x1 double, n long, best double")
+    number = F.row_number().over(Window.partitionBy("video").orderBy("start", "end", "text", "x0"))
+    return made.select("video", number.alias("number"), "start", "end", "text", "n", "best")
 
 
 @query("w3_exact_text", f"""WITH {TIMELINE}, f AS (SELECT *, CASE WHEN t0 - lag(t0) OVER (PARTITION BY video, modality ORDER BY t0) <= 259200000 THEN 0 ELSE 1 END AS nw FROM tl), i AS (SELECT *, sum(nw) OVER (PARTITION BY video, modality ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS g FROM f)
@@ -159,11 +164,7 @@ def _near(a: list, b: list) -> bool:
 def w9(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of a label as frames: like the last read one they are skipped, three times in a row at most."""
     e = load(spark, d, "embeddings").select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("frame"))
-
-    def run(rows: list[dict]) -> list[dict]:
-        return [{"label": rows[0]["label"]} | r for r in sq.read_frames(rows, _near)]
-
-    return sq.per_key(e, ["label"], run, "label int, idx long, read boolean")
+    return sq.streamed(e, ["label"], ["idx"], lambda rows: sq.read_frames(rows, _near), "label int, idx long, read boolean")
 
 
 @query("x7_near_duplicate", "SELECT vec_id, len(list_filter(list_zip(embedding, nxt), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE) >= 0.15)) AS changed FROM (SELECT vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) WHERE nxt IS NOT NULL")
@@ -202,24 +203,17 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r33_rule_merge")
 def r33(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as rules: those of one residue that share most words merge."""
-    b = load(spark, d, "benchmark").select((F.col("item_id") % 4).alias("grp"), F.col("item_id").alias("id"), "text", tx.content_tokens(F.col("text")).alias("hints"))
-
-    def run(rows: list[dict]) -> list[dict]:
-        return [{"grp": rows[0]["grp"]} | r for r in sq.merge_rules(rows, 0.3)]
-
-    return sq.per_key(b, ["grp"], run, "grp long, id long, text string, hints string, merged long")
+    """Prohibitions of a brief that share 60 % of the smaller hint set, or are about figures of one claim class, merge."""
+    t = F.col("text")
+    a = inferred(spark, d).filter("polarity = 'forbidden' or id % 3 = 0").select((F.col("id") % 4).alias("grp"), "id", "text", cues.match_hints(t).alias("hints"), cues.claim_classes(t).alias("classes"), F.exists(tx.figures(t), lambda f: f.unit != "").alias("figures"))
+    return sq.streamed(a.withColumn("size", -F.length("text")), ["grp"], ["size", "id"], sq.merge_rules, "grp long, id long, text string, hints string, merged long")
 
 
 @query("box_lines")
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """Word boxes of a brand's parts grouped into lines."""
     p = load(spark, d, "part").select("p_brand", F.col("p_partkey").alias("id"), (F.col("p_size") * 1.0).alias("x0"), (F.col("p_partkey") % 7 * 10.0).alias("y0"), (F.col("p_size") + 3.0).alias("x1"), (F.col("p_partkey") % 7 * 10 + 8.0).alias("y1"))
-
-    def run(rows: list[dict]) -> list[dict]:
-        return [{"p_brand": rows[0]["p_brand"]} | r for r in sq.box_lines(rows)]
-
-    return sq.per_key(p, ["p_brand"], run, "p_brand string, id long, line long")
+    return sq.streamed(p, ["p_brand"], ["x0", "y0", "id"], sq.box_lines, "p_brand string, id long, line long")
 
 
 @query("f14_restore_spaces")

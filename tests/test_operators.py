@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import fuzzy, phrases
+from tidemark.functions import cues, fuzzy, phrases
 from tidemark.functions import text as tx
 from tidemark.functions.expressions import column_of, valid
 from tidemark.operators import intervals as iv
@@ -282,7 +282,19 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert once.count() == df.count()
     q = upserted(events_stream(spark, str(tmp_path / "twice"), df.schema), str(tmp_path / "out"), ["event_id"], str(tmp_path / "cu"))
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("event_id").distinct().count() == df.count()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == df.count()  # each once, though the files have all twice
+
+
+def test_upserts_know_earlier_batches(spark, tmp_path):
+    from tidemark.streaming.operators import events_stream, upserted
+
+    df = stream_rows(spark, str(tmp_path / "in"))
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path / "again"))
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path / "again"))
+    q = upserted(events_stream(spark, str(tmp_path / "again"), df.schema, files_per_trigger=1), str(tmp_path / "o"), ["event_id"], str(tmp_path / "c"))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "o"))
+    assert got.count() == df.count() == got.select("event_id").distinct().count()
 
 
 def test_stateful_intervals_close(spark, tmp_path):
@@ -438,3 +450,58 @@ def test_holding_loses_nothing(spark):
     needles = ["".join(r.choice("abc 12") for _ in range(r.randint(1, 8))).strip() for _ in range(60)]
     got = {(x.needle, x.hay) for x in matching.holding(spark.createDataFrame([(n,) for n in needles], "n string"), "n", spark.createDataFrame([(h,) for h in hays], "h string"), "h", 85).collect()}
     assert got == {(n, h) for n in needles for h in hays if n and h and fuzzy.contains_ratio(n, h) >= 85 and not phrases.digits_missing(n, h)}
+
+
+def test_reports_in_archives(spark):
+    import io
+    import json
+    import zipfile
+
+    from tidemark import sources
+
+    rows = [("j1", "a.html", "x"), ("j1", "a.html", "y"), ("j1", "b", "é"), ("j2", "a.html", "z")]
+    df = spark.createDataFrame(rows, "job string, name string, content string").repartition(3)
+    got = {r.job: bytes(r.archive) for r in sources.zipped(df, ["job"]).collect()}
+    with zipfile.ZipFile(io.BytesIO(got["j1"])) as z:
+        assert {n: z.read(n).decode() for n in z.namelist() if n != "summary.json"} == {"a.html": "x", "a_1.html": "y", "b": "é"}
+        assert json.loads(z.read("summary.json")) == [{"name": "a.html", "bytes": 1}, {"name": "a_1.html", "bytes": 1}, {"name": "b", "bytes": 2}]
+    assert {r.job: bytes(r.archive) for r in sources.zipped(df.coalesce(1), ["job"]).collect()} == got
+
+
+def test_models_and_ordered_work(spark):
+    from tidemark import sources
+
+    df = spark.range(8).withColumn("text", F.concat(F.lit("Show it "), F.col("id").cast("string"))).repartition(3)
+    got = sources.with_model(df, "length", lambda: len, ["text"], lambda model, rows: [{"n": model(r["text"])} for r in rows], "n long").collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, 9) for i in range(8)]
+
+    def work(row):
+        if row["id"] == 3:
+            raise ValueError("bad item")
+        return f"r{row['id']}"
+
+    done = sources.ordered_map(df, "id", work, workers=2).orderBy("id").collect()
+    assert [(r.result, r.error) for r in done] == [(f"r{i}", None) if i != 3 else (None, "ValueError: bad item") for i in range(8)]
+    rules = sources.rules_backend(spark.createDataFrame([(1, "Never claim it cures eczema"), (2, "Show the jar"), (3, "")], "i int, t string"), F.col("t")).orderBy("i").collect()
+    assert [(r.mode, r.polarity, r.kind, r.priority) for r in rules] == [("any", "forbidden", "policy", "critical"), ("visual_only", "required", "visual", "high"), ("any", "required", "other", "medium")]
+
+
+@pytest.mark.parametrize(
+    ("text", "mode", "kind", "polarity", "priority"),
+    [
+        ("Show 20% OFF.", "speech_or_text", "speech_or_text", "required", "medium"),
+        ("Say 20% OFF.", "speech_only", "speech", "required", "medium"),
+        ("Show the product in the first 5 seconds.", "visual_only", "visual", "required", "high"),
+        ("Keep it no longer than 30 seconds", None, "timing", "required", "medium"),
+        ("Speak to the camera", None, "other", "required", "medium"),
+        ("Speak to teens", None, "audience", "required", "medium"),
+        ("You must not mention competitors", "speech_only", "policy", "forbidden", "critical"),
+        ("Captions should mention the price", "speech_or_text", "speech_or_text", "required", "medium"),
+        ("Ideally show how to use it", "visual_only", "demonstration", "required", "low"),
+    ],
+)
+def test_ladders(spark, text, mode, kind, polarity, priority):
+    t = F.col("t")
+    df = spark.createDataFrame([(text,)], "t string").select("t", cues.evidence_mode(t).alias("m"), cues.polarity(t).alias("p"))
+    r = df.select("m", "p", cues.requirement_type(t, F.col("m")).alias("k"), "t").withColumn("i", cues.priority(t, F.col("k"), F.col("p"))).first()
+    assert (r.m, r.k, r.p, r.i) == (mode, kind, polarity, priority)

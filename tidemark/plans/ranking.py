@@ -55,13 +55,13 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k5_linspace",
-    f"""WITH {TIMELINE}, r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t0, event_id) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM tl), q AS (SELECT DISTINCT video, CAST(round_even(CAST(j * (n - 1) AS DOUBLE) / 11, 0) AS BIGINT) AS p FROM (SELECT DISTINCT video, n FROM r WHERE n > 1) CROSS JOIN range(12) x(j))
+    f"""WITH {TIMELINE}, r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t0, event_id) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM tl), q AS (SELECT DISTINCT video, CAST(round_even(CAST(j * (n - 1) AS DOUBLE) / 11, 0) AS BIGINT) AS p FROM (SELECT DISTINCT video, n FROM r) CROSS JOIN range(12) x(j))
     SELECT r.video, event_id FROM r JOIN q ON q.video = r.video AND q.p = r.i""",
 )
 def k5(spark: SparkSession, d: str) -> DataFrame:
     """Twelve places round(linspace(0, n - 1)) of each video, half to even."""
     w = Window.partitionBy("video")
-    r = timeline(spark, d).withColumns({"i": F.row_number().over(w.orderBy("t0", "event_id")) - 1, "n": F.count("*").over(w)}).filter("n > 1")
+    r = timeline(spark, d).withColumns({"i": F.row_number().over(w.orderBy("t0", "event_id")) - 1, "n": F.count("*").over(w)})
     places = F.expr("transform(sequence(0, 11), j -> cast(bround(cast(j * (n - 1) as double) / 11, 0) as bigint))")
     return r.filter(F.array_contains(places, F.col("i").cast("long"))).select("video", "event_id")
 
@@ -351,11 +351,29 @@ def r7(spark: SparkSession, d: str) -> DataFrame:
     return said.join(ok, ["value", "unit"], "left_anti").groupBy("id").agg(F.count("*").alias("bad"))
 
 
-@query("r21_hook_features", "WITH o AS (SELECT conv_id, arg_min(text, turn) AS text, min(turn) AS onset, count(*) FILTER (turn < 3) AS early FROM conversations GROUP BY conv_id) SELECT conv_id, onset, early, contains(text, '?') AS question, regexp_matches(text, '[0-9]') AS number, regexp_matches(lower(text), '(^|[^a-z])(no|not|never)([^a-z]|$)') AS negation FROM o")
+@query("r21_hook_features", r"WITH o AS (SELECT conv_id, arg_min(text, turn) AS text, min(turn) AS onset, count(*) FILTER (turn < 3) AS early, count(DISTINCT role) FILTER (turn < 3) - 1 AS cuts FROM conversations GROUP BY conv_id) SELECT conv_id, onset, early, cuts, contains(text, '?') AS question, regexp_matches(text, '[0-9]') AS number, regexp_matches(lower(text), '(^|[^a-z])(no|not|never)([^a-z]|$)') AS negation, regexp_matches(lower(text), '(^|[^a-z])(you|your|yours|yourself)([^a-z]|$)') AS second_person FROM o")
 def r21(spark: SparkSession, d: str) -> DataFrame:
-    """What the opening of a conversation has."""
-    o = load(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("onset"), F.count_if(F.col("turn") < 3).alias("early"))
-    return o.select("conv_id", "onset", "early", F.contains("text", F.lit("?")).alias("question"), F.col("text").rlike("[0-9]").alias("number"), F.lower("text").rlike("(^|[^a-z])(no|not|never)([^a-z]|$)").alias("negation"))
+    """What the opening of a conversation has: turns before the third second, changes of speaker among them, and the wording of the first turn."""
+    early = F.col("turn") < 3
+    o = load(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("onset"), F.count_if(early).alias("early"), (F.count_distinct(F.when(early, F.col("role"))) - 1).alias("cuts"))
+    word = lambda ws: F.lower("text").rlike(f"(^|[^a-z])({ws})([^a-z]|$)")
+    return o.select("conv_id", "onset", "early", "cuts", F.contains("text", F.lit("?")).alias("question"), F.col("text").rlike("[0-9]").alias("number"), word("no|not|never").alias("negation"), word("you|your|yours|yourself").alias("second_person"))
+
+
+@query(
+    "p19_request_guard",
+    """WITH q AS (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) % 31 AS n_videos, o_orderkey % 3 <> 0 AS has_url, o_orderkey % 4 = 0 AS has_text, o_orderkey % 7 = 0 AS compiled, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS depth FROM orders)
+    SELECT o_orderkey, CASE WHEN NOT has_url AND NOT has_text AND NOT compiled THEN 422 WHEN has_url AND has_text THEN 422 WHEN n_videos > 25 THEN 422 WHEN depth >= 20 THEN 429 ELSE 202 END AS status,
+      CASE WHEN NOT has_url AND NOT has_text AND NOT compiled THEN 'NO_BRIEF' WHEN has_url AND has_text THEN 'BRIEF_TWICE' WHEN n_videos > 25 THEN 'TOO_MANY_VIDEOS' WHEN depth >= 20 THEN 'QUEUE_FULL' END AS reason FROM q""",
+)
+def p19(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold before a job is taken on: a brief, in one form, at most 25 videos, at most 20 jobs waiting; the first that doesn't is the reason."""
+    depth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    key = F.col("o_orderkey")
+    q = load(spark, d, "orders").select("o_orderkey", (F.bround("o_totalprice", 0).cast("long") % 31).alias("n_videos"), (key % 3 != 0).alias("url"), (key % 4 == 0).alias("text"), (key % 7 == 0).alias("compiled"), depth.alias("depth"))
+    reason = F.when(~F.col("url") & ~F.col("text") & ~F.col("compiled"), "NO_BRIEF").when(F.col("url") & F.col("text"), "BRIEF_TWICE").when(F.col("n_videos") > 25, "TOO_MANY_VIDEOS").when(F.col("depth") >= 20, "QUEUE_FULL")
+    r = q.select("o_orderkey", reason.alias("reason"))
+    return r.select("o_orderkey", F.when(F.col("reason").isNull(), 202).when(F.col("reason") == "QUEUE_FULL", 429).otherwise(422).alias("status"), "reason")
 
 
 @query("r22_claim_candidates")

@@ -1,13 +1,16 @@
-"""File sources and report sinks."""
+"""File sources and report sinks."""
 
 from __future__ import annotations
 
+import html
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,9 +87,41 @@ def unzipped(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4"
 
 
 def write_html(df: DataFrame, path: str, title: str) -> None:
-    """A table as a self-contained page a partition, escaped."""
+    """A table as self-contained pages, one a partition, escaped (S17). Pages are written row by row."""
     cells = F.concat(*(F.concat(F.lit("<td>"), tx.escape_html(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns))
-    head = "".join(f"<th>{c}</th>" for c in df.columns)
-    rows = df.select(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("row"))
-    page = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.array_join(F.collect_list("row"), "\n").alias("rows"))
-    page.select(F.concat(F.lit(f"<!doctype html><title>{title}</title><table><tr>{head}</tr>\n"), "rows", F.lit("\n</table>")).alias("value")).write.mode("overwrite").text(path)
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+    opening = f"<!doctype html><title>{html.escape(title)}</title><table><tr>{head}</tr>"
+
+    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], names=["value"])
+        yield line(opening)
+        yield from (pa.RecordBatch.from_arrays(b.columns, names=["value"]) for b in batches)
+        yield line("</table>")
+
+    rows = df.select(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("value"))
+    rows.mapInArrow(page, "value string").write.mode("overwrite").text(path)
+
+
+def zipped(reports: DataFrame, keys: list[str], name: str = "name", content: str = "content") -> DataFrame:
+    """keys and archive: one zip of each key's reports by name, with a summary.json of names and sizes.
+
+    The reports of one job are few (its videos), so an archive is made in one task. Names that repeat get a number.
+    Archives depend on their contents alone: times are fixed.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        buf, seen, summary = io.BytesIO(), {}, []
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            put = lambda n, data: z.writestr(zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
+            for n, data in sorted(zip(pdf[name], pdf[content], strict=True)):
+                k = seen[n] = seen.get(n, -1) + 1
+                stem, dot, end = n.rpartition(".")
+                n = f"{stem or end}_{k}{dot and stem and '.' + end}" if k else n
+                data = data if isinstance(data, bytes) else str(data).encode()
+                put(n, data)
+                summary.append({"name": n, "bytes": len(data)})
+            put("summary.json", json.dumps(summary, separators=(",", ":")).encode())
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), buf.getvalue()]], columns=[*keys, "archive"])
+
+    schema = T.StructType([*(reports.schema[k] for k in keys), T.StructField("archive", T.BinaryType())])
+    return reports.select(*keys, name, content).groupBy(*keys).applyInPandas(pack, schema)

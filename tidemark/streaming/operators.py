@@ -99,10 +99,17 @@ def completed(rows: DataFrame, folder: str, checkpoint: str) -> DataFrame:
 
 
 def upserted(rows: DataFrame, target: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """foreachBatch into a Parquet folder of one subfolder a batch: a batch run again replaces its own subfolder."""
+    """foreachBatch into a Parquet folder of one subfolder a batch: each key once, of the first batch that has it.
+
+    A batch that is run again replaces its own subfolder, and looks for known keys in those of earlier batches only.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new = batch.dropDuplicates(keys)
+        if number:
+            known = batch.sparkSession.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", target).parquet(target)
+            new = new.join(known.filter(F.col("batch") < number).select(*keys), keys, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache, wraps
@@ -18,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import scratch as shared_dir
+
 #: Text bytes that a Python task gathers before it works on them as one block.
 BLOCK_BYTES = 16 << 20
 
@@ -27,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """URI of a new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only on a local master, as in tests, may that setting be missing: a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
-    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # as Spark itself resolves it
-    return re.sub("^file:/+", "file:///", uri)
-
-
 #: Text bytes a range of a range sort should hold.
 RANGE_BYTES = 128 << 20
 

@@ -26,7 +26,7 @@ def test_columns_are_pruned(spark, name, columns):
     assert read == columns
 
 
-@pytest.mark.parametrize("name", ["j1_overlay_link", "j6_frame_snap", "j3_phrase_windows", "j14_conflicts", "rel_asof_join", "j12_stray_adoption", "r4_phrase_check"])
+@pytest.mark.parametrize("name", ["j1_overlay_link", "j6_frame_snap", "j3_exact_windows", "j14_conflicts", "rel_asof_join", "j12_stray_adoption", "r4_phrase_check", "r31_claims_to_requirements", "j15_jaccard_pairs", "j17_contradicting_topics", "j4_phrase_ocr", "f5_phrase_ratio", "f14_restore_spaces", "f32_brand_correction", "r7_figure_fidelity"])
 def test_no_nested_loops(spark, name):
     p = plan(spark, name)
     assert "NestedLoop" not in p

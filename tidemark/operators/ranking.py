@@ -45,3 +45,30 @@ def budget(df: DataFrame, keys: list[str], priority: Column, order: list[Column]
 def distinct_in_order(df: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     """Values of each key once, with the position of their first occurrence (SO2)."""
     return df.groupBy(*keys, value).agg(F.min(pos).alias(pos))
+
+
+# Samples of a video by its length, below so many milliseconds; the last for all others.
+TIERS = [(10_000, 24), (30_000, 40), (60_000, 60), (180_000, 90)]
+MOST_SAMPLES = 120
+
+
+def sampling_plan(videos: DataFrame, cuts: DataFrame, window: int = 5000, step: int = 250, settle: int = 150, most: int = 48) -> DataFrame:
+    """video, reason, at (ms): where to look at each video (K9).
+
+    videos: video, dur. cuts: video, cut. Mid-points of equal bins by the tier of the length; every `step` of the
+    first and the last `window`; `settle` after each cut, and of more than `most` cuts an even choice, so that the
+    end of a video keeps its share. Nothing lies beyond the video's end.
+    """
+    tier = F.lit(MOST_SAMPLES)
+    for below, n in reversed(TIERS):
+        tier = F.when(F.col("dur") < below, n).otherwise(tier)
+    v = videos.select("video", F.col("dur").cast("long").alias("dur"), tier.cast("long").alias("n")).filter("dur > 0")
+    put = lambda reason, at: v.select("video", F.lit(reason).alias("reason"), F.explode(F.expr(at)).alias("at"))
+    bins = put("uniform", "transform(sequence(0L, n - 1), i -> (2 * i + 1) * dur div (2 * n))")
+    hook = put("hook_window", f"sequence(0L, least({window}L, dur), {step}L)")
+    end = put("cta_window", f"sequence(greatest(0L, dur - {window}), dur, {step}L)")
+    w = Window.partitionBy("video")
+    c = cuts.select("video", "cut").distinct().withColumns({"i": F.row_number().over(w.orderBy("cut")) - 1, "m": F.count("*").over(w)})
+    even = F.expr(f"exists(sequence(0, {most - 1}), j -> cast(bround(cast(j * (m - 1) as double) / {most - 1}, 0) as bigint) = i)")
+    scene = c.filter((F.col("m") <= most) | even).join(v.select("video", "dur"), "video").filter(F.col("cut") + settle <= F.col("dur"))
+    return bins.unionByName(hook).unionByName(end).unionByName(scene.select("video", F.lit("scene_change").alias("reason"), (F.col("cut") + settle).alias("at")))

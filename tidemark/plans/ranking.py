@@ -74,11 +74,20 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
     return rk.budget(timeline(spark, d), ["video"], mapped("modality", {"signup": 0, "purchase": 1, "click": 2}, 3), [F.col("t0"), F.col("event_id")], 30).select("video", "event_id")
 
 
-@query("k9_sampling_plan", f"WITH {TIMELINE}, d AS (SELECT video, max(t1) AS dur FROM tl GROUP BY video), t AS (SELECT *, CASE WHEN dur <= 864000000 THEN 24 WHEN dur <= 1728000000 THEN 40 ELSE 60 END AS n FROM d) SELECT video, i AS pos, (2 * i + 1) * dur // (2 * n) AS at FROM t, LATERAL (SELECT unnest(range(n)) AS i)")
+@query(
+    "k9_sampling_plan",
+    """WITH e AS (SELECT user_id AS video, 500 + user_id * 7919 % 240000 AS dur, event_id FROM events), v AS (SELECT DISTINCT video, dur FROM e),
+    c AS (SELECT DISTINCT video, dur, event_id * 9973 % dur AS cut FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY cut) - 1 AS i, count(*) OVER (PARTITION BY video) AS n FROM c),
+    t AS (SELECT *, CASE WHEN dur < 10000 THEN 24 WHEN dur < 30000 THEN 40 WHEN dur < 60000 THEN 60 WHEN dur < 180000 THEN 90 ELSE 120 END AS n FROM v)
+    SELECT video, 'uniform' AS reason, (2 * i + 1) * dur // (2 * n) AS at FROM t, LATERAL (SELECT unnest(range(n)) AS i)
+    UNION ALL SELECT video, 'hook_window', i FROM v, LATERAL (SELECT unnest(range(0, least(5000, dur) + 1, 250)) AS i)
+    UNION ALL SELECT video, 'cta_window', i FROM v, LATERAL (SELECT unnest(range(greatest(0, dur - 5000), dur + 1, 250)) AS i)
+    UNION ALL SELECT video, 'scene_change', cut + 150 FROM r WHERE cut + 150 <= dur AND (n <= 48 OR EXISTS (SELECT 1 FROM range(48) x(j) WHERE CAST(round_even(CAST(j * (n - 1) AS DOUBLE) / 47, 0) AS BIGINT) = r.i))""",
+)
 def k9(spark: SparkSession, d: str) -> DataFrame:
-    """Mid-points of equal bins, as many as the length of the video asks for."""
-    t = timeline(spark, d).groupBy("video").agg(F.max("t1").alias("dur")).withColumn("n", F.when(F.col("dur") <= 864_000_000, 24).when(F.col("dur") <= 1_728_000_000, 40).otherwise(60).cast("long"))
-    return t.withColumn("pos", F.explode(F.expr("sequence(0L, n - 1)"))).select("video", "pos", F.expr("(2 * pos + 1) * dur div (2 * n)").alias("at"))
+    """A sampling plan for each video: equal bins, dense opening and end, a sample after each cut (stand-ins, in ms)."""
+    e = load(spark, d, "events").select(F.col("user_id").alias("video"), (500 + F.col("user_id") * 7919 % 240_000).alias("dur"), "event_id")
+    return rk.sampling_plan(e.select("video", "dur").distinct(), e.select("video", (F.col("event_id") * 9973 % F.col("dur")).alias("cut")))
 
 
 @query(
@@ -229,13 +238,19 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a15_consensus_vote",
-    "WITH c AS (SELECT regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS fp, source, doc_id, text FROM documents), g AS (SELECT fp, count(*) AS votes, arg_max(doc_id, (length(text), -doc_id)) AS rep FROM c GROUP BY fp) SELECT rep, votes FROM g WHERE votes >= greatest(1, CAST(round_even(0.125 * 20, 0) AS INTEGER))",
+    """WITH c AS (SELECT regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS fp, doc_id, text FROM documents), g AS (SELECT fp, count(*) AS votes, arg_max(doc_id, (length(text), -doc_id)) AS rep FROM c GROUP BY fp),
+    k AS (SELECT rep, votes, regexp_matches(fp, 'rights reserved|license') AS safety FROM g), s AS (SELECT rep, votes, CASE WHEN votes < 2 THEN 'KEPT_AS_SAFETY_RULE:seen_' || votes || '_of_3' END AS flag FROM k WHERE votes >= 2 OR safety ORDER BY votes DESC, rep LIMIT 40)
+    SELECT *, CAST(row_number() OVER (ORDER BY votes DESC, rep) AS INTEGER) AS ordinal FROM s""",
 )
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters seen by a quorum of the twenty sources' rows; the longest text stands for its cluster."""
-    c = load(spark, d, "documents").select("doc_id", F.length("text").alias("len"), F.md5(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "")).alias("fp"))
-    need = max(1, round(0.125 * 20))
-    return c.groupBy("fp").agg(F.count("*").alias("votes"), F.max_by("doc_id", F.struct("len", -F.col("doc_id"))).alias("rep")).filter(F.col("votes") >= need).select("rep", "votes")
+    """Requirements (stand-ins: texts) that a quorum of three compiles has, and safety rules whatever their votes; the longest text stands for its cluster. At most 40, by votes, numbered anew."""
+    fp = F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "")
+    c = load(spark, d, "documents").select("doc_id", F.length("text").alias("len"), F.md5(fp).alias("fp"), fp.rlike("rights reserved|license").alias("safety"))
+    g = c.groupBy("fp").agg(F.count("*").alias("votes"), F.max_by("doc_id", F.struct("len", -F.col("doc_id"))).alias("rep"), F.first("safety").alias("safety"))
+    need = max(1, round(0.5 * 3))  # half to even
+    flag = F.when(F.col("votes") < need, F.concat(F.lit("KEPT_AS_SAFETY_RULE:seen_"), F.col("votes").cast("string"), F.lit("_of_3")))
+    top = g.filter((F.col("votes") >= need) | F.col("safety")).select("rep", "votes", flag.alias("flag")).orderBy(F.desc("votes"), "rep").limit(40)
+    return top.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("votes"), "rep")))  # of 40 rows
 
 
 VR = f"""{UNITS}, vr AS (SELECT *, q % 3 <> 0 AS can_fail, q % 11 = 0 AS degraded, q * 2 AS sim FROM un)"""
@@ -404,12 +419,21 @@ def r24(spark: SparkSession, d: str) -> DataFrame:
     return rk.first_per(r, ["video", "k"], [F.col("t0"), F.col("event_id")]).select("event_id", F.when(F.col("anchor").between(F.col("t0") - 1000, F.col("t1") + 1000), F.col("anchor")).alias("anchor"))
 
 
-@query("r26_budget_digest", "WITH r AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM conversations) SELECT conv_id, count(*) FILTER (run <= 2000) AS lines, CAST(coalesce(sum(n) FILTER (run <= 2000), 0) AS BIGINT) AS chars FROM r GROUP BY conv_id")
+@query(
+    "r26_budget_digest",
+    """WITH b AS (SELECT conv_id, role, turn, trim(replace(text, chr(10), ' ')) AS body FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, lower(substr(body, 1, 80)) ORDER BY turn) AS rn FROM b WHERE body <> ''),
+    r AS (SELECT conv_id, role, turn, length(body) + 12 AS n, sum(length(body) + 12) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM k WHERE rn = 1)
+    SELECT conv_id, role, count(*) FILTER (run <= 1200) AS lines, CAST(coalesce(sum(n) FILTER (run <= 1200), 0) AS BIGINT) AS chars, max(run) > 1200 AS truncated FROM r GROUP BY ALL""",
+)
 def r26(spark: SparkSession, d: str) -> DataFrame:
-    """Turns in order until the first that overflows the budget of characters."""
-    run = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    r = load(spark, d, "conversations").select("conv_id", F.length("text").alias("n"), run.alias("run"))
-    return r.groupBy("conv_id").agg(F.count_if(F.col("run") <= 2000).alias("lines"), F.coalesce(F.sum(F.when(F.col("run") <= 2000, F.col("n"))), F.lit(0)).alias("chars"))
+    """Lines of each kind in order, those whose first 80 characters came before left out, until the first that overflows the budget of characters."""
+    body = F.trim(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    b = load(spark, d, "conversations").select("conv_id", "role", "turn", body.alias("body")).filter("body <> ''")
+    k = rk.first_per(b.withColumn("key", F.lower(F.substring("body", 1, 80))), ["conv_id", "role", "key"], [F.col("turn")])
+    run = F.sum(F.length("body") + 12).over(Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    r = k.select("conv_id", "role", (F.length("body") + 12).alias("n"), run.alias("run"))
+    shown = F.col("run") <= 1200
+    return r.groupBy("conv_id", "role").agg(F.count_if(shown).alias("lines"), F.coalesce(F.sum(F.when(shown, F.col("n"))), F.lit(0)).alias("chars"), (F.max("run") > 1200).alias("truncated"))
 
 
 @query("r28_frozen_contract", "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'), arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F')) AS contract FROM orders GROUP BY o_custkey")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import cues, fuzzy, phrases
+from tidemark.functions import cues, fuzzy, phrases, structure
 from tidemark.functions import text as tx
 from tidemark.functions.expressions import column_of, valid
 from tidemark.operators import intervals as iv
@@ -505,3 +505,33 @@ def test_ladders(spark, text, mode, kind, polarity, priority):
     df = spark.createDataFrame([(text,)], "t string").select("t", cues.evidence_mode(t).alias("m"), cues.polarity(t).alias("p"))
     r = df.select("m", "p", cues.requirement_type(t, F.col("m")).alias("k"), "t").withColumn("i", cues.priority(t, F.col("k"), F.col("p"))).first()
     assert (r.m, r.k, r.p, r.i) == (mode, kind, polarity, priority)
+
+
+@pytest.mark.parametrize(
+    ("line", "head"),
+    [
+        ("KEY MESSAGES", True), ("What to include:", True), ("Sample Hook Concepts", True), ("Show the product to them", False), ("Use the hook 'breakfast' as it stands", False),
+        ("- a bullet", False), ('"a quoted line"', False), ("It works.", False), ("some ideas", True), ("a plain small line", False), ("", False), ("x" * 91, False), ("1) Numbered", False),
+    ],
+)
+def test_headings(spark, line, head):
+    assert spark.createDataFrame([(line,)], "t string").select(structure.plain_heading(F.col("t"))).first()[0] == head
+
+
+def test_kinds_of_sections_and_examples(spark):
+    kinds = [("Prohibited Claims", "x", "requirements"), ("Campaign Objectives", "x", "context"), ("Call to Actions", "x", "alternatives"), ("Why it works", "x", "claims"), ("Mood", "", "alternatives"), ("Zebra", "", "context"), ("Zebra", "x", "requirements")]
+    df = spark.createDataFrame(kinds, "h string, b string, k string")
+    assert all(r.k == r.got for r in df.withColumn("got", structure.section_kind(F.col("h"), F.col("b"))).collect())
+    lines = [("This creator begins her video with a hook", True, False), ("The creator must show the logo", False, False), ("In this concept, the creator shares a tip", True, False), ("Show what this creator begins with", False, False), ('"If it feels smaller, don\'t scroll"', False, True), ("'short'", False, False)]
+    got = spark.createDataFrame(lines, "t string, d boolean, q boolean").select("d", "q", structure.descriptive(F.col("t")).alias("x"), structure.quoted_example(F.col("t")).alias("y")).collect()
+    assert all((r.d, r.q) == (r.x, r.y) for r in got)
+
+
+def test_sections_of_a_document(spark):
+    text = ["Title Of It", "intro line here, long enough to stay.", "", "___", "## Options", "1. Show it", "https://a.b/c", "Example: https://d.e", "RULES:", "do not say that it cures."]
+    got = structure.sections(spark.createDataFrame(list(enumerate(text)), "pos int, line string").withColumn("doc", F.lit(1)), "doc", "pos", "line").orderBy("section").collect()
+    assert [(r.section, r.heading, r.kind, r.lines, r.n_refs) for r in got] == [
+        (1, "Title Of It", "requirements", ["intro line here, long enough to stay."], 0),
+        (2, "Options", "alternatives", ["1. Show it"], 2),
+        (3, "RULES", "requirements", ["do not say that it cures."], 0),
+    ]

@@ -145,6 +145,52 @@ BANNED_FIGURES = r"\d+\s?%|\b\d{1,3}\s*(?:out of|/)\s*\d{1,3}\b"
 # Words that say that something goes on.
 GOES_ON = "continues continuing continue continued still again remains remain remaining keeps keep keeping same now then persists ongoing".split()
 
+# What else a line that asks for something says.
+ASKS_FOR = [r"\bend(?:s|ing)? with\b", r"\bopen(?:s|ing)? with\b", r"\binclude\b", r"\badd\b", r"\bavoid\b", r"\bkeep\b", r"\bmake sure\b", r"\btag\b"]
+ACTION = SPEECH + VISUAL + WRITTEN + ASKS_FOR
+# Words of a heading that settle what its section is, before all others.
+SECTION_FIRST = {
+    "requirements": [r"\bprohibit\w*\b", r"\bforbidden\b", r"\bbanned\b", r"\bdisallow\w*\b", r"\brestrict\w*\b", r"\bmust not\b", r"\bdo not\b", r"\bdon'?ts?\b", r"\bnon[- ]negotiables?\b", r"\bmandator\w*\b", r"\bcompliance\b", r"\blegal\b", r"\bdisclaimers?\b", r"\bdisclosures?\b", r"\bsafety\b"],
+    "context": [r"\bobjectives?\b", r"\bgoals?\b", r"\bbackground\b", r"\boverview\b", r"\bpurpose\b", r"\btimelines?\b", r"\bdeadlines?\b", r"\bbudgets?\b", r"\bpersona\w*\b", r"\bstrategy\b", r"\binsights?\b"],
+}
+# Words of a heading by the kind of its section, in the order in which they are asked.
+SECTION_KINDS = {
+    "alternatives": [
+        r"\boptions?\b", r"\bsamples?\b", r"\bexamples?\b", r"\bconcepts?\b", r"\bcall[- ]?to[- ]?actions?\b", r"\bCTAs?\b", r"\bcampaigns?\b", r"\bthemes?\b",
+        r"\bideas?\b", r"\bvariations?\b", r"\bhooks?\b", r"\bangles?\b", r"\bformats?\b", r"\bchoose\b", r"\bpick\b", r"\beither\b", r"\binspiration\b",
+        r"\bsuggestions?\b", r"\bpick from\b", r"\btemplates?\b", r"\bscripts?\b", r"\bpick[- ]?one\b", r"\bany of\b", r"\bmenu\b", r"\bswipe file\b",
+        r"\bexample scripts?\b", r"\bstory ?boards?\b", r"\breference\b", r"\bmood\b", r"\bstarting points?\b", r"\bprompts?\b", r"\btreatments?\b",
+        r"\bexecutions?\b", r"\broutes?\b", r"\bterritor(?:y|ies)\b",
+    ],
+    "claims": [
+        r"\bbenefits?\b", r"\bclaims?\b", r"\bingredients?\b", r"\bresults?\b", r"\bproduct (?:info|details|facts)\b", r"\bkey (?:facts|points)\b",
+        r"\bwhy it works\b", r"\bscience\b", r"\btalking points?\b", r"\bfeatures?\b", r"\bUSPs?\b", r"\bkey messages?\b", r"\bmessaging\b",
+        r"\bmessage house\b", r"\bproof ?points?\b", r"\breasons? to believe\b", r"\bRTBs?\b", r"\bpillars?\b", r"\bpropositions?\b", r"\bvalue props?\b",
+        r"\bselling points?\b", r"\bproduct truths?\b", r"\bsubstantiation\b", r"\battributes?\b", r"\bspecs? sheet\b",
+    ],
+    "requirements": [
+        r"\brequirements?\b", r"\bmust[- ]haves?\b", r"\bdo'?s\b", r"\bdon'?ts?\b", r"\brules?\b", r"\bguidelines?\b", r"\bdeliverables?\b", r"\bchecklist\b",
+        r"\bmandatory\b", r"\bto[- ]?dos?\b", r"\bspecs?\b", r"\bcompliance\b", r"\bmandator(?:y|ies)\b", r"\bnon[- ]negotiables?\b", r"\bmust include\b",
+        r"\brestrictions?\b", r"\bprohibit\w*\b", r"\bavoid\b", r"\bnever\b", r"\blegal\b", r"\bdisclaimers?\b", r"\bdisclosures?\b", r"\bobligations?\b",
+        r"\bstandards?\b", r"\bpolic(?:y|ies)\b", r"\bsafety\b", r"\bregulator\w*\b", r"\bapprovals?\b",
+    ],
+    "context": [
+        r"\bpurpose\b", r"\boverview\b", r"\babout\b", r"\bbackground\b", r"\bsummary\b", r"\bintro\w*\b", r"\bbrief\b", r"\bguide\b", r"\baudience\b",
+        r"\bbrand\b", r"\btone\b", r"\bgoals?\b", r"\bobjectives?\b", r"\bstrategy\b", r"\binsight\b", r"\bwho we are\b", r"\bproduct\b", r"\bcontext\b",
+        r"\bchallenge\b", r"\bopportunit(?:y|ies)\b", r"\bpersona\w*\b", r"\bdemograph\w*\b", r"\bmarket\b", r"\btimeline\b", r"\bdeadlines?\b", r"\bbudget\b",
+    ],
+}
+# A line that describes somebody's video, by subject and verb, and what makes it an instruction all the same.
+DESCRIBED = r"^\s*(?:(?:in|for|as|with)\s+(?:this|that|the)\s+\w+,\s*)?(?:this|the|that|another|one)\s+(?:creator|influencer|video|example|ad|clip|post|reel|girl|guy|woman|man)\b"
+REPORTED = r"\b(?:begins?|began|starts?|started|opens?|opened|shares?|shared|shows?|showed|uses?|used|talks?|talked|comments?|commented|explains?|explained|demonstrates?|demonstrated|highlights?|highlighted|features?|featured|mentions?|mentioned|describes?|described|performed|did|does)\b"
+OBLIGED = r"\b(?:must|should|shall|need(?:s)? to|needing to|has to|have to|required|requires?|ensure|make sure|be sure|do not|don't|do n't|never|always|avoid|remember to|aim to)\b"
+IMPERATIVE_START = r"^\s*(?:please\s+)?(?:show|use|mention|say|state|include|add|keep|start|begin|end|talk|discuss|do|make|film|record|highlight|demonstrate|feature|open|close|create|post|tag|link|call|share|explain|describe|focus|ensure|avoid|hold|wear|place|set|try|pick|choose|select|deliver)\b"
+# Bullets, rules across the page, and lines that only point at a video.
+BULLET = r"^\s*(?:[-*•‣●·–—]+|\d+[.)]|[a-z][.)])\s+"
+PAGE_RULE = r"^\s*[_\-=*~]{3,}\s*$"
+REFERENCE = r"^\s*(?:format\s+examples?|examples?|references?|inspo|inspiration|links?|reference\s+videos?|example\s+videos?)\s*[:\-]?\s*(?:https?://\S*)?\s*$"
+ONLY_LINK = r"^\s*https?://\S+\s*$"
+
 
 def any_of(patterns: list[str]) -> str:
     """One pattern for all, without regard to case."""

@@ -110,9 +110,10 @@ def policed(figures_: Column) -> Column:
 
 
 def strip_markdown(c: Column) -> Column:
-    """Without bold, italic, code marks and with links' texts only."""
-    out = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.regexp_replace(out, r"\*\*|__|`|\*", "")
+    """Without the marks of bold, italics and code, and with links' texts only (F20). A lone star or underscore stays."""
+    for pattern in (r"\*\*(.+?)\*\*", r"__(.+?)__", r"(?<![\w*])\*([^*\n]+)\*(?![\w*])", r"`([^`]+)`", r"\[([^\]]+)\]\([^)]*\)"):
+        c = F.regexp_replace(c, pattern, "$1")
+    return F.trim(c)
 
 
 def looks_like_html(c: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import cues
+from tidemark.functions import cues, structure
+from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
 from tidemark.operators import matching
 from tidemark.operators import ranking as rk
-from tidemark.plans.text import content, norm, toks
+from tidemark.plans.text import HEADS, content, norm, toks
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, asks, load, timeline
+from tidemark.tables import BRIEF_LINES_SQL, TIMELINE, asks, brief_lines, load, timeline
 
 LINES = "ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 
@@ -35,11 +36,12 @@ def is_heading(line: str = "line"):
     return c.rlike("^#+ ") | ((F.size(F.split(F.trim(c), " ")) <= 4) & (F.trim(c) != "") & ~c.rlike("[.!?]$"))
 
 
-@query("f21_headings", f"WITH {LINES} SELECT doc_id, pos, CASE WHEN regexp_matches(lower(line), 'rights|license') THEN 'legal' WHEN regexp_matches(line, '[|]') THEN 'table' WHEN regexp_matches(line, '[0-9]') THEN 'figures' ELSE 'plain' END AS kind FROM ln WHERE {HEAD}")
+@query("f21_headings", f"WITH {HEADS} SELECT doc, pos, p AS line, head FROM hl")
 def f21(spark: SparkSession, d: str) -> DataFrame:
-    """Headings and their class by the first cue list that matches."""
-    kind = F.when(F.lower("line").rlike("rights|license"), "legal").when(F.col("line").rlike("[|]"), "table").when(F.col("line").rlike("[0-9]"), "figures").otherwise("plain")
-    return lines(spark, d).filter(is_heading()).select("doc_id", "pos", kind.alias("kind"))
+    """Which lines of a document are headings, marked or plain."""
+    l = brief_lines(spark, d).filter(~F.col("line").rlike(lx.PAGE_RULE)).withColumn("p", F.trim(F.regexp_replace("line", "^#+ ", "")))
+    ref = F.col("p").rlike("(?i)" + lx.REFERENCE) | F.col("p").rlike(lx.ONLY_LINK)
+    return l.select("doc", "pos", F.col("p").alias("line"), (F.col("line").rlike("^#{1,6} ") | (~ref & structure.plain_heading(F.col("p")))).alias("head"))
 
 
 @query("f23_section_items", f"WITH {LINES}, f AS (SELECT *, CASE WHEN pos = 0 OR regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END AS st FROM ln), i AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS item FROM f) SELECT doc_id, CAST(item AS BIGINT) AS item, min(pos) AS pos, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM i GROUP BY doc_id, item")
@@ -50,9 +52,10 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy("doc_id", "item").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("f24_quoted_examples", """SELECT doc_id, regexp_matches(text, '"[^"]+"') AS quoted, regexp_matches(lower(text), '(^|[^a-z])(for example|such as|like|as)([^a-z]|$)') AS descriptive FROM documents""")
+@query("f24_quoted_examples", f"""WITH {BRIEF_LINES_SQL} SELECT doc, pos, regexp_matches(line, '(?i){lx.DESCRIBED}') AND regexp_matches(line, '(?i){lx.REPORTED}') AND NOT regexp_matches(line, '(?i){lx.OBLIGED.replace("'", "''")}') AND NOT regexp_matches(line, '(?i){lx.IMPERATIVE_START}') AS described, length(line) > 8 AND regexp_matches(line, '^["“”''‘’]') AS quoted FROM bl""")
 def f24(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.col("text").rlike('"[^"]+"').alias("quoted"), F.lower("text").rlike("(^|[^a-z])(for example|such as|like|as)([^a-z]|$)").alias("descriptive"))
+    """Lines that describe an example, and lines that are to be said."""
+    return brief_lines(spark, d).select("doc", "pos", structure.descriptive(F.col("line")).alias("described"), structure.quoted_example(F.col("line")).alias("quoted"))
 
 
 @query("f26_approved_claims", f"WITH {LINES} SELECT doc_id, pos, array_to_string(regexp_extract_all(line, '[0-9]+'), ',') AS numbers FROM ln WHERE regexp_matches(line, '[0-9]')")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import cues, phrases
+from tidemark.functions import cues, phrases, structure
 from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
 from tidemark.operators import matching, ranking
 from tidemark.registry import query
-from tidemark.tables import ASKS_SQL, asks, load
+from tidemark.tables import ASKS_SQL, BRIEF_LINES_SQL, asks, brief_lines, load
 
 PUNCT = r"""[!"#''()*,./:;<=>?@\[\\\]^_`{|}~-]"""
 
@@ -123,9 +123,11 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", (F.col("pos") + 1).alias("pos"), "f.value", "f.unit")
 
 
-@query("f20_strip_markdown", r"SELECT page_id, regexp_replace(regexp_replace('**' || url || '** [a `b`](' || url || ') *c*', '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\*\*|__|`|\*', '', 'g') AS t FROM pages")
+@query("f20_strip_markdown", r"""SELECT page_id, url || ' a b is c x_y 2 * 3' AS t FROM pages""")
 def f20(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "pages").select("page_id", tx.strip_markdown(F.concat(F.lit("**"), "url", F.lit("** [a `b`]("), "url", F.lit(") *c*"))).alias("t"))
+    """Marks go, their texts stay; what isn't a pair of marks is left (the SQL states the plain text)."""
+    made = F.concat(F.lit(" **"), "url", F.lit("** [a `b`]("), "url", F.lit(") __is__ *c* x_y 2 * 3"))
+    return load(spark, d, "pages").select("page_id", tx.strip_markdown(made).alias("t"))
 
 
 @query("f25_reference_links", """WITH x AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages), y AS (SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) AS pos FROM x) SELECT page_id, link, CAST(min(pos) AS INTEGER) AS pos FROM y GROUP BY ALL""")
@@ -426,13 +428,23 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", "n", F.when(F.col("n") >= 5, F.bround(100.0 * F.col("k") / F.col("n"), 4)).alias("readable"))
 
 
-@query("f22_sections", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), h AS (SELECT *, CASE WHEN len(string_split(trim(line), ' ')) <= 4 AND line <> '' THEN 1 ELSE 0 END AS hd FROM l), s AS (SELECT *, sum(hd) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec FROM h) SELECT doc_id, CAST(sec AS BIGINT) AS section, coalesce(max(line) FILTER (hd = 1), '') AS heading, count(*) FILTER (hd = 0) AS n_lines FROM s GROUP BY ALL")
+_HEAD = f"""CASE WHEN regexp_matches(line, '^#{{1,6}} ') THEN true WHEN regexp_matches(p, '(?i){lx.REFERENCE}') OR regexp_matches(p, '{lx.ONLY_LINK}') THEN false
+  WHEN length(p) > 90 OR regexp_matches(p, '(?i){lx.BULLET}') OR regexp_matches(p, '^["“”''‘’(]') OR regexp_matches(p, '["“”]') OR n > 12 OR (n > 3 AND {_has(lx.ACTION, 'p')}) THEN false
+  WHEN regexp_matches(p, ':$') THEN true WHEN regexp_matches(p, '[.!?,;]$') THEN false
+  ELSE length(regexp_replace(p, '[^A-Z]', '', 'g')) > 0.6 * length(regexp_replace(p, '[^A-Za-z]', '', 'g')) OR len(list_filter(string_split(p, ' '), lambda w: regexp_matches(w, '^[A-Z]'))) >= greatest(1, n - 2) OR (n <= 6 AND {_has([x for ps in lx.SECTION_KINDS.values() for x in ps], 'p')}) END"""
+HEADS = f"""{BRIEF_LINES_SQL}, pl AS (SELECT *, trim(regexp_replace(line, '^#+ ', '')) AS p, len(string_split(trim(regexp_replace(line, '^#+ ', '')), ' ')) AS n FROM bl WHERE NOT regexp_matches(line, '{lx.PAGE_RULE}')), hl AS (SELECT doc, pos, p, {_HEAD} AS head FROM pl)"""
+_KIND = "CASE " + " ".join(f"WHEN {_has(ps, 'heading')} THEN '{k}'" for kinds in (lx.SECTION_FIRST, lx.SECTION_KINDS) for k, ps in kinds.items()) + " WHEN n_lines = 0 THEN 'context' ELSE 'requirements' END"
+
+
+@query(
+    "f22_sections",
+    f"""WITH {HEADS}, s AS (SELECT *, NOT head AND (regexp_matches(p, '(?i){lx.REFERENCE}') OR regexp_matches(p, '{lx.ONLY_LINK}')) AS ref, sum(head::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM hl),
+    g AS (SELECT doc, section, coalesce(max(regexp_replace(p, ':+$', '')) FILTER (head), '') AS heading, count(*) FILTER (NOT head AND NOT ref) AS n_lines, count(*) FILTER (ref) AS n_refs, coalesce(string_agg(p, '|' ORDER BY pos) FILTER (NOT head AND NOT ref), '') AS lines FROM s GROUP BY ALL)
+    SELECT doc, CAST(section AS BIGINT) AS section, heading, {_KIND} AS kind, lines, CAST(n_refs AS BIGINT) AS n_refs FROM g WHERE n_lines > 0 OR n_refs > 0""",
+)
 def f22(spark: SparkSession, d: str) -> DataFrame:
-    """Line streams into headed sections; lines before the first heading form section 0."""
-    l = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    h = l.withColumn("hd", ((F.size(F.split(F.trim("line"), " ")) <= 4) & (F.col("line") != "")).cast("int"))
-    s = h.withColumn("section", F.sum("hd").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("hd") == 1, F.col("line"))), F.lit("")).alias("heading"), F.count_if(F.col("hd") == 0).alias("n_lines"))
+    """Documents of lines into headed sections of a kind, with their references."""
+    return structure.sections(brief_lines(spark, d), "doc", "pos", "line").withColumn("lines", F.array_join("lines", "|"))
 
 
 @query("a18_obligation_vote", "WITH v AS (SELECT doc_id, len(list_filter(['the','must','will','all'], lambda w: regexp_matches(lower(text), '(^|[^a-z])' || w || '([^a-z]|$)'))) AS req, len(list_filter(['may','can','or','if'], lambda w: regexp_matches(lower(text), '(^|[^a-z])' || w || '([^a-z]|$)'))) AS opt FROM documents) SELECT doc_id, req, opt, CASE WHEN req > opt THEN 'required' WHEN opt > req THEN 'optional' END AS obligation FROM v")

@@ -53,6 +53,25 @@ def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKS_SQL = "asks AS (SELECT p_partkey AS id, replace([" + ", ".join("'" + a.replace("'", "''") + "'" for a in ASKS) + f"][p_partkey % {len(ASKS)} + 1], '{{}}', p_name) AS text FROM part)"
 
 
+#: Lines of a document of requirements, a part's name in place of {}.
+BRIEF_LINES = [
+    "The {} launch", "## Campaign Objectives", "Make people try {} at home", "KEY MESSAGES:", "- {} is made with care", "{} works overnight.", "Sample Hook Concepts",
+    "1. Show the {} close up", '"{} changed my mornings"', "This creator begins her video with {}", "Reference: https://example.com/{}", "___", "Prohibited Claims",
+    "Do not say {} cures anything", "use the hook from the {} list", "a small idea", "Requirements", "The creator must show {}", "Tag us in every post about {}", "What it is not, only",
+]
+
+
+def brief_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as documents of ten lines: doc, pos and line, a template of BRIEF_LINES with the part's name."""
+    at = (F.col("p_partkey") % len(BRIEF_LINES)).cast("int")
+    line = F.replace(F.get(F.array(*map(F.lit, BRIEF_LINES)), at), F.lit("{}"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return load(spark, sf_dir, "part").select(F.expr("p_partkey div 10").alias("doc"), (F.col("p_partkey") % 10).alias("pos"), line.alias("line"))
+
+
+#: The same as DuckDB text, to stand after WITH.
+BRIEF_LINES_SQL = "bl AS (SELECT p_partkey // 10 AS doc, p_partkey % 10 AS pos, replace([" + ", ".join("'" + a.replace("'", "''") + "'" for a in BRIEF_LINES) + f"][p_partkey % {len(BRIEF_LINES)} + 1], '{{}}', replace(p_name, ' ', '_')) AS line FROM part)"
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as records: event_id, video, modality, t0 and t1 (ms since the video's first event), value, k."""
     e = load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))

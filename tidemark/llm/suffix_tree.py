@@ -10,7 +10,7 @@ of what precedes it in its document.
 
 The corpus is coded once, in blocks of documents: distinct words as hashes, tokens as indices. For each
 depth every block sends its distinct (context, word) keys with their counts, and the probability in the
-suffix (in 1024ths of a bit), to hash-range buckets. A context of up to HEAVY occurrences has all its keys in
+suffix (in 256ths of a bit), to hash-range buckets. A context of up to HEAVY occurrences has all its keys in
 one bucket, which decides on it; of the others, at most SPREAD, the keys are spread and the buckets' sums are
 added. Blocks get back each key's total, the number of words seen after its context and
 whether that is retained. The total of n words is also the count of the context that they make for the next
@@ -41,7 +41,7 @@ SPREAD = 1_000_000
 #: Tokens a bucket.
 BUCKET = 1_000_000
 #: Text bytes of a block.
-BYTES = 12 << 20
+BYTES = 10 << 20
 END = 0xE4D0F7E47E4D5EED
 BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<long>, vocab binary, codes binary, train long, tokens long"
 SENT = "bucket long, block long, n long, groups long, keys binary, counts binary, contexts binary, runs binary, below binary, heavy binary"
@@ -77,7 +77,7 @@ def _words() -> WordHashes:
 
 
 def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFrame:
-    """One row a block: ids, held, lengths (tokens of each document), vocab (sorted hashes), codes, train_tokens."""
+    """One row a block: ids, held, lengths (tokens of each document), vocab (hashes, the most frequent first), codes, train."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,11 @@ def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFra
         for i, (ids, held, texts) in enumerate(blocks(batches, 2, BYTES)):
             docs = [np.concatenate((w.of(t), end)) for t in texts]
             lengths = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-            vocab, codes = np.unique(np.concatenate(docs), return_inverse=True)
+            vocab, codes, often = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+            rank = np.argsort(-often, kind="stable")  # small codes for frequent words compress better
+            code = np.empty(len(vocab), dtype=np.int64)
+            code[rank] = np.arange(len(vocab))
+            vocab, codes = vocab[rank], code[codes]
             train = int(lengths[~np.array(held, dtype=bool)].sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId() << 24 | i], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([packed(codes.astype("<u4"))], pa.binary()), pa.array([train], pa.int64()), pa.array([len(codes)], pa.int64())],
@@ -125,7 +129,8 @@ class Block:
         self.train = np.repeat(~self.held, self.lengths)
         self.inner = np.ones(len(self.which), dtype=bool)
         self.inner[self.starts] = False
-        self.depth, self.order, self.group = 0, np.arange(len(self.keys)), self.keys
+        self.order = np.argsort(self.keys, kind="stable")
+        self.depth, self.group = 0, self.keys[self.order]
 
     def deepen(self) -> None:
         """On to contexts of one word more: those before a place that are to be tried."""
@@ -186,7 +191,7 @@ class Block:
             own = np.searchsorted(first, cuts)
             groups = (own[1:] - own[:-1])[on].tolist()
             part = lambda x: pa.array([packed(x[own[i] : own[i + 1]]) for i in on.tolist()], pa.binary())
-            below = np.clip(np.rint(-1024 * np.log2(self.below)), 0, 65535).astype("<u2")
+            below = np.clip(np.rint(-256 * np.log2(self.below)), 0, 65535).astype("<u2")
             columns = [part(contexts[first]), part(runs), cut(below[self.order], packed), cut(self.spread[self.order], packed)]
         n = [pa.array(on), pa.array([block] * len(on), pa.int64()), pa.array((cuts[1:] - cuts[:-1])[on]), pa.array(groups, pa.int64())]
         return pa.RecordBatch.from_arrays([*n, cut(self.keys[self.order], shortened), cut(counts[self.order], packed), *columns], names=[c.split()[0] for c in SENT.split(", ")])
@@ -211,7 +216,7 @@ def added(depth: int):
         if depth:
             contexts, below, spread = np.empty(len(keys), dtype=np.uint64), np.empty(len(keys)), np.empty(len(keys), dtype=bool)
             got = [np.repeat(unpacked(c, k, "<u8"), unpacked(r, k, "<u4")) for c, r, k in zip(col["contexts"], col["runs"], col["groups"], strict=True)]
-            contexts[which], below[which], spread[which] = np.concatenate(got), np.exp2(get("below", "<u2") / -1024.0), get("heavy", "?")
+            contexts[which], below[which], spread[which] = np.concatenate(got), np.exp2(get("below", "<u2") / -256.0), get("heavy", "?")
             own, place = np.unique(contexts, return_inverse=True)
             on = total > 0
             kinds, size = np.bincount(place[on], minlength=len(own)), np.bincount(place, total, len(own))

@@ -46,7 +46,7 @@ PAIRED = 3
 #: The most frequent shingles that only help to order projections; results don't depend on them.
 FREQUENT = 100_000
 #: Bytes of text that a task works on at once.
-TEXT = 8 << 20
+TEXT = 6 << 20
 #: Signatures a bucket should hold.
 BUCKET = 500_000
 #: Sets of a block, of those that share a shingle; rows of a bucket of such blocks.

@@ -428,7 +428,7 @@ def test_containment_loses_nothing(spark):
     word = lambda: r.choice(["a", "ab", "b,", "abc", "c.", "ba", ""])
     docs = [(i, " ".join(word() for _ in range(r.randint(0, 9)))) for i in range(60)]
     items = [(i, " ".join(word() for _ in range(r.randint(1, 6)))[r.randint(0, 1) :]) for i in range(60)]
-    got = matching.contained(spark.createDataFrame(items, "i long, item string"), "item", spark.createDataFrame(docs, "d long, text string"), "text").select("i", "d").collect()
+    got = matching.contained(spark.createDataFrame(items, "i long, item string"), "item", spark.createDataFrame(docs, "d long, text string"), "text", "d").select("i", "d").collect()
     assert sorted(map(tuple, got)) == sorted((i, d) for i, x in items if x for d, t in docs if x in t)
 
 

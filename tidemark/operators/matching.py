@@ -21,9 +21,12 @@ def _inner(words: Column) -> tuple[Column, Column]:
 
 
 def _grams(words: Column, n: int) -> Column:
-    """Distinct runs of n neighbours."""
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    """Distinct runs of n neighbours. The words are asked for once a place in a run, not once a run."""
+    size = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), size)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(i + 1), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(out)
 
 
 def substrings(text: Column, n: int) -> Column:
@@ -32,11 +35,13 @@ def substrings(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(n))))
 
 
-def contained(items: DataFrame, item: str, docs: DataFrame, text: str) -> DataFrame:
+def contained(items: DataFrame, item: str, docs: DataFrame, text: str, key: str) -> DataFrame:
     """Rows of items joined with the rows of docs whose text contains the item, letter for letter.
 
     An item of three words or more is sought by its inner words, which stand whole in any text that contains it;
-    a shorter one by its first three characters. Empty and null items are contained in nothing.
+    a shorter one by its first three characters. Texts don't travel with their many keys: `key` names their rows
+    (a repeated one names all its rows), and each text is joined back for the candidates it has. Empty and null items
+    are contained in nothing.
     """
     words = F.split(item, " ")
     n, inner = _inner(words)
@@ -49,8 +54,9 @@ def contained(items: DataFrame, item: str, docs: DataFrame, text: str) -> DataFr
         runs = _grams(F.split(text, " "), k) if k > 0 else substrings(F.col(text), -k)
         return F.transform(runs, lambda x: F.struct(F.lit(k).alias("_kind"), x.alias("_key")))
 
-    found = docs.withColumn("_k", F.explode(F.concat(*map(keys, kinds)))).select(*docs.columns, "_k.*")
-    return found.join(keyed, ["_kind", "_key"]).filter(F.contains(F.col(text), F.col(item))).select(*items.columns, *docs.columns)
+    found = docs.select(key, F.explode(F.concat(*map(keys, kinds))).alias("_k")).select(key, "_k.*")
+    met = found.join(keyed, ["_kind", "_key"]).select(*items.columns, key).distinct()
+    return met.join(docs, key).filter(F.contains(F.col(text), F.col(item))).select(*items.columns, *docs.columns)
 
 
 def edits(length: int, least: float) -> int:

@@ -111,7 +111,7 @@ def r30(spark: SparkSession, d: str) -> DataFrame:
 def r31(spark: SparkSession, d: str) -> DataFrame:
     """A requirement for each claim that nothing covers, beside those there are."""
     b = load(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    covered = matching.contained(b, "item", load(spark, d, "documents").select("text"), "text").select("item_id").distinct()
+    covered = matching.contained(b, "item", load(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("item_id").distinct()
     own = load(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("item_id"), F.lit("document").alias("origin"))
     return b.select("item_id").join(covered, "item_id", "left_anti").withColumn("origin", F.lit("claim")).unionByName(own)
 

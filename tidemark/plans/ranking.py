@@ -298,7 +298,7 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
 def r4(spark: SparkSession, d: str) -> DataFrame:
     """A phrase in both kinds of source passes, in one it is partial, in none it goes on (exact phrases; r4_fuzzy_phrases for like ones)."""
     b = load(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    m = matching.contained(b, "item", load(spark, d, "documents").select("text", "lang"), "text")
+    m = matching.contained(b, "item", load(spark, d, "documents").select("doc_id", "text", "lang"), "text", "doc_id")
     m = m.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
     n = F.coalesce("n", F.lit(0).cast("long"))
     return b.select("item_id").join(m, "item_id", "left").select("item_id", n.alias("n"), F.when((n > 0) & (F.col("en") > 0) & (F.col("en") < n), "PASS").when(n > 0, "PARTIAL").otherwise("ESCALATE").alias("status"))

@@ -333,7 +333,7 @@ def j3_exact(spark: SparkSession, d: str) -> DataFrame:
 @query("j12_stray_adoption", "WITH m AS (SELECT item_id, doc_id, count(*) OVER (PARTITION BY item_id) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT item_id, doc_id FROM m WHERE n = 1")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     """Items adopted by the one document that contains them; several or none: not at all."""
-    m = matching.contained(load(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), "item", docs(spark, d).select("doc_id", "text"), "text")
+    m = matching.contained(load(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), "item", docs(spark, d).select("doc_id", "text"), "text", "doc_id")
     return m.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("item_id", "doc_id")
 
 

@@ -9,6 +9,7 @@ from tidemark.llm.language import op3_language
 from tidemark.llm.merges import op6_merge_replay
 from tidemark.llm.ngram_join import op4_ngram_join
 from tidemark.llm.packing import op7_curve_packing
+from tidemark.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from tidemark.llm.records import op1_token_records
 from tidemark.llm.secrets import op5_secrets
 from tidemark.llm.suffix_tree import op8_suffix_tree
@@ -16,7 +17,6 @@ from tidemark.llm.toolcalls import OP2_SQL, op2_tool_calls
 from tidemark.llm.topk import OP10_SQL, op10_ball_tree
 
 
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -36,6 +36,7 @@ QUERIES = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_rare_features": op9_rare_features,
     "op10_ball_tree": op10_ball_tree,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op10_ball_tree": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op10_ball_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.divergence import OP13_SQL, op13_divergence
 from tidemark.llm.fingerprints import op9_rare_features
 from tidemark.llm.language import op3_language
 from tidemark.llm.merges import op6_merge_replay
@@ -37,6 +38,7 @@ QUERIES = {
     "op9_rare_features": op9_rare_features,
     "op10_ball_tree": op10_ball_tree,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op10_ball_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE: dict[str, str] = {"op2_tool_calls": OP2_SQL, "op10_ball_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_divergence": OP13_SQL}

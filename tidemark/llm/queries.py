@@ -16,6 +16,7 @@ from tidemark.llm.secrets import op5_secrets
 from tidemark.llm.suffix_tree import op8_suffix_tree
 from tidemark.llm.toolcalls import OP2_SQL, op2_tool_calls
 from tidemark.llm.topk import OP10_SQL, op10_ball_tree
+from tidemark.llm.toxicity import op12_toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,7 @@ QUERIES = {
     "op9_rare_features": op9_rare_features,
     "op10_ball_tree": op10_ball_tree,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_toxicity": op12_toxicity,
     "op13_divergence": op13_divergence,
 }
 

@@ -45,11 +45,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def rows():
-        n = [(g, t, c, docs[t]) for g, (counts, docs) in held.items() for t, c in counts.items()]
-        for at in range(0, len(n), 50_000):
-            part = n[at : at + 50_000]
-            columns = [[g[0] for g, *_ in part], [g[1] for g, *_ in part], [t.decode("utf-8", "surrogatepass") for _, t, _, _ in part], [c for _, _, c, _ in part], [d for *_, d in part]]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["lang", "source", "term", "n", "docs"])
+        for (lang, source), (counts, docs) in held.items():
+            found = list(counts)
+            n = np.fromiter(counts.values(), np.int64, len(found))
+            seen = np.fromiter((docs[t] for t in found), np.int64, len(found))
+            for at in range(0, len(found), 50_000):
+                part = pa.array(found[at : at + 50_000], pa.binary()).cast(pa.string())
+                same = [pa.repeat(pa.scalar(x, pa.string()), len(part)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*same, part, pa.array(n[at : at + 50_000]), pa.array(seen[at : at + 50_000])], ["lang", "source", "term", "n", "docs"])
 
     size = 0
     for lang, source, text in blocks(batches, 2, 4 << 20):

@@ -8,6 +8,7 @@ margin is how much smaller the best result is than the second best; a narrow mar
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +22,6 @@ from tidemark.llm.common import blocks, fold, table, worker_cache
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: texts and bytes a language.
 SAMPLE_TEXTS, SAMPLE_BYTES = 128, 128 << 10
-#: Languages that get a dictionary: those with most labelled rows.
-LABELS = 200
 RUN = 4096
 LEVEL = 11
 #: A smaller relative margin is a rejection.
@@ -30,7 +29,7 @@ MIN_MARGIN = 0.002
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each of the LABELS most frequent language labels, from a bounded sample of their rows.
+    """A dictionary for each language label, from a bounded sample of its rows.
 
     The sample: each label's rows are dealt by a hash of their text into SAMPLE_TEXTS bins, and each bin
     gives the text with the least hash, of which SAMPLE_BYTES characters at most count. Their letters follow
@@ -43,7 +42,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     size = F.least(F.octet_length("text"), F.lit(SAMPLE_BYTES)).cast("long")
     least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("bin")).agg(F.min(F.struct("h", size.alias("size"))).alias("x"), F.count("*").alias("n"))
     by: dict[str, list] = {}
-    for r in least.groupBy("lang").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("x")).alias("xs")).orderBy(F.desc("n"), "lang").limit(LABELS).collect():
+    for r in least.groupBy("lang").agg(F.sort_array(F.collect_list("x")).alias("xs")).toLocalIterator():  # a row a language
         before = 0
         for x in r.xs:  # SAMPLE_TEXTS at most
             if before < 4 * SAMPLE_BYTES:
@@ -52,7 +51,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     if not by:
         return {}
     held = {(lang, h) for lang, hs in by.items() for h in hs}
-    found = rows.filter(F.col("h").isin([h for _, h in held])).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text"))
+    wanted = labelled.sparkSession.createDataFrame(sorted(held), "lang string, h long")  # SAMPLE_TEXTS a language at most
+    found = rows.join(F.broadcast(wanted), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in found.toLocalIterator():
         if (r.lang, r.h) in held:
@@ -80,7 +80,21 @@ def without_shared(samples: dict[str, bytes], n: int = 3) -> dict[str, bytes]:
     return made
 
 
-_OTHER = re.compile(r"[\W\d_]+")
+def _mark_ranges() -> list[tuple[int, int]]:
+    """First and last code points of the runs of combining marks (general categories Mn, Mc and Me)."""
+    runs: list[list[int]] = []
+    for c in range(0x300, 0xE01F0):
+        if unicodedata.category(chr(c))[0] == "M":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return [(a, b) for a, b in runs]
+
+
+#: Combining marks aren't word characters to `re`, but vowels and tones of many scripts.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _mark_ranges())
+_OTHER = re.compile(rf"(?:[^\w{_MARKS}]|[\d_])+")
 
 
 def letters(text: str) -> bytes:

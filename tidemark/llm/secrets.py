@@ -1,10 +1,11 @@
 """Op 5: secrets by fixed patterns and by sliding-window entropy.
 
 Candidate strings are runs of 20 or more characters of the base64 and URL alphabets. Over each, a window
-of 20 slides; its Shannon entropy is kept by character class (hex digits; letters and digits) from counts
-that change by the one character that enters and the one that leaves. Windows above their class's
-threshold join to spans of kind `entropy`, unless they touch what the allow list matches, with the letters
-and digits around it, or a span of the fixed patterns covers them whole.
+of 20 slides; its Shannon entropy is kept by character class (hex digits; letters and digits; letters of both
+cases with a digit at most) from counts that change by the one character that enters and the one that leaves.
+Windows above their class's threshold join to spans of kind `entropy`, unless matches of the allow list cover half
+of them or more, or a span of the fixed patterns covers them whole. Letters of one case are words for all that can be
+told, and are no secret.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from math import log2
 
 import pandas as pd
@@ -29,17 +31,17 @@ _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_DIGITS = re.compile(r"[0-9][^0-9]*[0-9]")
+_MIXED = re.compile(r"[0-9][^0-9]*[0-9]|[a-z][^A-Z]*[A-Z]|[A-Z][^a-z]*[a-z]")
 WINDOW = 20
 #: Bits a character that a window needs, by class.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.6}
+THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "letters": 4.1}
 #: What matches one of these is known not to be a secret; the rest of its candidate may be one.
 ALLOW = (
     r"(?i)example|sample|placeholder|dummy|changeme|x{8}|test[_-]?key",
     r"(?i)0123456789|abcdefghij|1234567890",
     r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}",
     r"[-_=/]{4,}",
-    r"^[A-Za-z]+([-_/][A-Za-z]+)*$",
+    r"^[A-Za-z]{1,15}([-_/=+][A-Za-z]{1,15})*$",
 )
 _CLASS = {c: "hex" for c in "0123456789abcdef"} | {c: "hex" for c in "ABCDEF"} | {c: "alnum" for c in "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"}
 _F = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
@@ -48,13 +50,14 @@ _F = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
 def windows(candidate: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> Iterator[tuple[int, str, float]]:
     """(start, class, bits a character) of each window above its class's threshold.
 
-    A window is of class hex if it has hex digits only, else alnum; it must mix letters and digits.
+    A window is of class hex if it has hex digits only, else alnum, if it has two digits or more and not only
+    digits; with fewer digits it is of class letters, if it has both cases.
     """
     if len(candidate) < window:
         return
     counts: dict[str, int] = {}
     total = 0.0  # of c * log2(c) over the counts
-    not_hex = digits = 0
+    not_hex = digits = upper = lower = 0
     f = _F if window == WINDOW else [0.0, *(c * log2(c) for c in range(1, window + 1))]
     for i, ch in enumerate(candidate):
         c = counts.get(ch, 0)
@@ -62,6 +65,8 @@ def windows(candidate: str, window: int = WINDOW, thresholds: dict[str, float] =
         total += f[c + 1] - f[c]
         not_hex += _CLASS.get(ch) != "hex"
         digits += ch.isdigit()
+        upper += ch.isupper()
+        lower += ch.islower()
         if i >= window:
             old = candidate[i - window]
             c = counts[old]
@@ -69,10 +74,14 @@ def windows(candidate: str, window: int = WINDOW, thresholds: dict[str, float] =
             total += f[c - 1] - f[c]
             not_hex -= _CLASS.get(old) != "hex"
             digits -= old.isdigit()
+            upper -= old.isupper()
+            lower -= old.islower()
         if i >= window - 1:
-            kind = "alnum" if not_hex else "hex"
+            if digits == window or digits < 2 and not (upper and lower):
+                continue
+            kind = "letters" if digits < 2 else "alnum" if not_hex else "hex"
             bits = log2(window) - total / window
-            if bits >= thresholds[kind] and 2 <= digits < window:
+            if bits >= thresholds[kind]:
                 yield i - window + 1, kind, bits
 
 
@@ -87,35 +96,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def allowed_parts(candidate: str, allow: Sequence[re.Pattern]) -> list[tuple[int, int]]:
-    """Where the allow list matches; a match of letters and digits takes in those that adjoin it."""
-    found = []
+def allowed(candidate: str, allow: Sequence[re.Pattern]) -> list[int]:
+    """Of each place of the candidate, how many characters before it matches of the allow list cover."""
+    covered = bytearray(len(candidate))
     for a in allow:
         for m in a.finditer(candidate):
-            x, y = m.span()
-            if found and found[-1][0] <= x and y <= found[-1][1]:
-                continue
-            if m.group().isalnum():
-                while x and candidate[x - 1].isalnum():
-                    x -= 1
-                while y < len(candidate) and candidate[y].isalnum():
-                    y += 1
-            found.append((x, y))
-    return found
+            covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    return [0, *accumulate(covered)]
 
 
 def entropy_spans(text: str, base: Sequence[tuple[int, int, int]], allow: Sequence[str] = ALLOW) -> list[tuple[int, int, int]]:
-    """Spans of joined windows that no base span covers whole and that touch nothing that the allow list knows."""
+    """Spans of joined windows that no base span covers whole and that the allow list doesn't cover by half."""
     found = []
     at_base = 0
-    allowed = [re.compile(a) for a in allow] if allow is not ALLOW else _ALLOWED
+    known = [re.compile(a) for a in allow] if allow is not ALLOW else _ALLOWED
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if not _DIGITS.search(s):
-            continue  # no window can have two digits
-        off = bytearray(len(s))  # windows that don't count, by their start
-        for x, y in allowed_parts(s, allowed):
-            off[max(0, x - WINDOW + 1) : y] = b"\1" * (y - max(0, x - WINDOW + 1))
+        if not _MIXED.search(s):
+            continue  # no window can have two digits or both cases
+        cover = allowed(s, known)
+        off = bytearray(len(s))  # windows that a base span covers, by their start
         while at_base < len(base) and base[at_base][2] <= m.start():
             at_base += 1
         for x, _, y in base[at_base : bisect_left(base, (m.end(),))]:
@@ -124,7 +124,7 @@ def entropy_spans(text: str, base: Sequence[tuple[int, int, int]], allow: Sequen
                 off[x:y] = b"\1" * (y - x)
         spans: list[list[int]] = []
         for at, _, _ in windows(s):
-            if off[at]:
+            if off[at] or 2 * (cover[at + WINDOW] - cover[at]) >= WINDOW:
                 continue
             if spans and at <= spans[-1][1]:
                 spans[-1][1] = at + WINDOW

@@ -30,19 +30,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the least id.
 
-    Documents without words are linked with nothing and stay. Equal rows of one id become one row; rows
-    without an id can't be named and stay.
+    Of rows of that id that are linked the one of the least hash of its text stays, and of equal rows one. Rows are
+    named by id and text, so of an id with two texts only the linked one can go. Documents without words are linked
+    with nothing and all stay.
     """
-    found = written(spark, ngram_join.join(docs), "near")
-    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    drop, again = written(spark, drop, "drop"), written(spark, again, "again")
-    few = lambda ids: F.broadcast(ids) if ids.count() <= ngram_join.BROADCAST else ids
-    kept = docs.select(*COLUMNS).join(few(drop), "doc_id", "left_anti")
+    found = written(spark, ngram_join.groups(docs).filter("component is not null"), "near")
+    least = found.filter("doc_id <=> component_id")
+    again = written(spark, least.groupBy("component", "doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).filter("n > 1"), "again")
+    others = least.join(again.select("component", F.col("text_hash").alias("stays")), "component").filter("text_hash <> stays")
+    drop = found.filter("not (doc_id <=> component_id)").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
+    kept = _rows(docs.select(*COLUMNS), written(spark, drop.distinct(), "drop"), "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(few(again), "doc_id", "left_anti").unionByName(once)
+    once = _rows(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows(kept, again, "left_anti").unionByName(once)
+
+
+def _rows(docs: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that are, or aren't, among those named by doc_id and text_hash."""
+    n = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    n = F.broadcast(n) if named.count() <= ngram_join.BROADCAST else n
+    return docs.join(n, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), how)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

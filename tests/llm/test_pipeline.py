@@ -81,6 +81,16 @@ def test_repeated_ids(spark):
     assert sorted(r.doc_id for r in got) == [1, 3]
 
 
+def test_one_id_with_two_texts(spark):
+    t, u, v = "a b c d e f g", "x y z u v w q", "k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"
+    near = v.replace("k l", "K l") + " end"
+    rows = [(3, t), (5, t), (5, u), (7, v), (7, near), (None, t), (None, "null ids link too a b"), (None, "null ids link too a b"), (8, None), (8, None), (8, "")]
+    got = cp.near_duplicates(spark, spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], SCHEMA), "").collect()
+    kept = sorted(((r.doc_id, r.text) for r in got), key=str)
+    assert sum(i == 7 for i, _ in kept) == 1
+    assert [k for k in kept if k[0] != 7] == sorted([(3, t), (5, u), (None, "null ids link too a b"), (8, None), (8, None), (8, "")], key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, f in cp.STAGES:

@@ -137,12 +137,12 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Kind 0: a document's id, set size and set name (0 and null without words). Kind 1: a shingle that is frequent within a block, and its count there."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """Kind 0: a document's id, set size, set name (0 and null without words) and hash of its text. Kind 1: a shingle that is frequent within a block, and its count there."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words()
-        for ids, texts in blocks(batches, 1, TEXT):
+        for ids, texts, hashes in blocks(batches, 1, TEXT):
             sets: dict[int, np.ndarray] = {}
             sizes, nodes = [], []
             for t in texts:
@@ -156,11 +156,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found, n = found[often].view(np.int64), n[often]
             kind = pa.array(np.repeat([0, 1], [len(ids), len(found)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [kind, pa.array([*ids, *found.tolist()], pa.int64()), pa.array([*sizes, *n.tolist()], pa.int64()), pa.array([*nodes, *[None] * len(found)], pa.int64())],
-                names=["kind", "id", "n", "node"],
+                [kind, pa.array([*ids, *found.tolist()], pa.int64()), pa.array([*sizes, *n.tolist()], pa.int64()), pa.array([*nodes, *[None] * len(found)], pa.int64()), pa.array([*hashes, *[None] * len(found)], pa.int64())],
+                names=["kind", "id", "n", "node", "text_hash"],
             )
 
-    return rows.mapInArrow(run, "kind int, id long, n long, node long")
+    return rows.mapInArrow(run, "kind int, id long, n long, node long, text_hash long")
 
 
 def candidates(docs: DataFrame, frequent: np.ndarray, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,7 +414,12 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
+    """doc_id, n_shingles, component_id of every row of docs; see `groups`."""
+    return groups(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, component (its name, also where ids recur; null without words) and text_hash of every row of docs.
 
     component_id is the least id that links lead to, the row's own included. Rows without words (null,
     empty or blank texts) are linked with nothing and are their own component. Rows with equal sets are
@@ -460,10 +465,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         roots = components(spark, roots.unionByName(similar(more, sets)))
     all_ = roots.unionByName(roots.select(F.col("b").alias("a"), "b").distinct()).withColumnRenamed("a", "node")
     least = names.join(all_, "node").groupBy("b").agg(F.min("rep").alias("component"))
-    linked = all_.join(least, "b").select("node", "component")
-    copied = names.filter("copies > 1").join(all_, "node", "left_anti").select("node", F.col("rep").alias("component"))
+    linked = all_.join(least, "b").select("node", "component", F.col("b").alias("root"))
+    copied = names.filter("copies > 1").join(all_, "node", "left_anti").select("node", F.col("rep").alias("component"), F.col("node").alias("root"))
     named = written(spark, linked.unionByName(copied), "components")
-    return own.join(named, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return own.join(named, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("root", "node").alias("component"), "text_hash")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

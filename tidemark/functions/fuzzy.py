@@ -95,7 +95,8 @@ def _shared(a: str, b: str) -> int:
 
 def tokens_match(a: str, b: str, least: float = 80) -> bool:
     """Equal, alike at `least`, or with a common start of 5 characters and 60 % of the shorter."""
-    if a == b or ratio(a, b) >= least:
+    reachable = 200 * min(len(a), len(b)) >= least * (len(a) + len(b))
+    if a == b or reachable and ratio(a, b) >= least:
         return True
     n = _shared(a, b)
     return n >= 5 and n >= 0.6 * min(len(a), len(b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from tidemark.functions import lexicon as lx
 _MARKS = r"[!\"#'()*,./:;<=>?@\[\\\]^_`{|}~-]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_token(c: Column) -> Column:
     """Lower case, no punctuation but % $ & +, single spaces (F1). ASCII punctuation and white space only."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), _MARKS, ""), r"[ \t\n\r]+", " "))
@@ -44,11 +51,14 @@ def fold_numbers(tokens: Column) -> Column:
 
 def normalize_text(c: Column, numbers: bool = True) -> Column:
     """Dashes to spaces, token normalisation, spelled numbers to digits, `20 %` to `20%`, `$ 5` to `$5` (F2)."""
+    joined = f"(?:{'|'.join(lx.TENS_WORDS)})(?:{'|'.join(lx.UNIT_WORDS)})"
+    guard = f"(?:^| )(?:{'|'.join(lx.NUMBER_WORDS)}|{joined})(?: |$)"
+
+    def folded(plain: Column) -> Column:  # most texts have no number words and are spared the fold
+        return F.when(plain.rlike(guard), F.array_join(fold_numbers(F.split(plain, " ")), " ")).otherwise(plain)
+
     plain = normalize_token(F.regexp_replace(c, "[-‐‑–—]", " "))
-    out = plain
-    if numbers:  # most texts have none and are spared the fold
-        folded = F.array_join(fold_numbers(F.split(plain, " ")), " ")
-        out = F.when(plain.rlike("(?:^| )(?:" + "|".join(lx.NUMBER_WORDS) + ")"), folded).otherwise(plain)
+    out = bound(plain, folded) if numbers else plain
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"([0-9]) +%", "$1%"), r"\$ +([0-9])", r"\$$1"))
 
 
@@ -63,8 +73,7 @@ def tokens(c: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Tokens of the normalised text with a digit, or of three characters or more that aren't stop words."""
-    stop = F.array(*map(F.lit, lx.STOP_WORDS))
-    return F.filter(F.split(normalize_text(c), " "), lambda x: x.rlike("[0-9]") | ((F.length(x) >= 3) & ~F.array_contains(stop, x)))
+    return F.filter(F.split(normalize_text(c), " "), lambda x: x.rlike("[0-9]") | ((F.length(x) >= 3) & ~x.isin(*lx.STOP_WORDS)))
 
 
 def digit_runs(c: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import partial
 
@@ -10,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import cues, fuzzy, hashing
-from tidemark.functions import lexicon as lx
+from tidemark.functions import cues, fuzzy, hashing, spoken
 from tidemark.functions import text as tx
-from tidemark.operators import matching
+from tidemark.operators import matching, wording
 from tidemark.operators import sequential as sq
 from tidemark.plans.text import inferred
 from tidemark.registry import query
@@ -69,28 +67,30 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_caption_speech")
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    """Each user turn as a caption against what the assistant says around it: word windows of the caption's length, at most 60 a turn with the last one, the best, the first on a tie."""
-    c = load(spark, d, "conversations").select("conv_id", "turn", "role", tx.normalize_text(F.col("text")).alias("t"), (F.col("turn") * 1.0).alias("at"))
-    u = c.filter("role = 'user'").select("conv_id", "turn", F.col("t").alias("a"), F.explode(F.sequence(F.floor(F.col("at") - 1.5).cast("long"), F.ceil(F.col("at") + 1.5).cast("long"))).alias("bin"), "at")
-    s = c.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("said"), F.col("t").alias("b"), F.col("at").cast("long").alias("bin"), F.col("at").alias("at_b"))
-    j = u.join(s, ["conv_id", "bin"]).filter("abs(at - at_b) <= 1.5")
+    """Each user turn as a caption against what the assistant says from 1.5 turns before it to 1.5 after: is it readable, long enough to compare, and derived from speech (J5)?"""
+    c = load(spark, d, "conversations").select("conv_id", "turn", "role", "text", tx.normalize_text(F.col("text")).alias("t"), (F.col("turn") * 1.0).alias("at"))
+    known = wording.word_costs(c.select(F.explode(tx.tokens(F.col("text"))).alias("w"))).filter("n >= 2").select("w")
+    u = c.filter("role = 'user'").select("conv_id", "turn", "text", "t", "at", F.concat_ws(":", "conv_id", "turn").alias("id"))
+    judged = wording.readability(u, "id", "text", known).select("id", "verdict")
+    near = u.select("id", "conv_id", "at", F.explode(F.sequence(F.floor(F.col("at") - 1.5).cast("long"), F.ceil(F.col("at") + 1.5).cast("long"))).alias("bin"))
+    s = c.filter("role = 'assistant'").select("conv_id", F.col("t").alias("said"), F.col("at").cast("long").alias("bin"), F.col("at").alias("at_b"))
+    heard = near.join(s, ["conv_id", "bin"]).filter("abs(at - at_b) <= 1.5")  # three turns at most
+    heard = heard.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at_b", "said")))["said"], " ").alias("speech"))
+    rows = u.join(judged, "id").join(heard, "id", "left")
+    short = (F.length("t") < spoken.LEAST_CHARS) | (F.size(F.split("t", " ")) < spoken.LEAST_WORDS)
+    silent = F.coalesce(F.trim("speech"), F.lit("")) == ""
+    state = F.when(F.col("verdict") == "unreadable", "unreadable").when(short, "unknown").when(silent, "confirmed_independent")
 
     @F.pandas_udf("score int, method string, window string")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_window(x, y) for x, y in zip(a, b, strict=True)], columns=["score", "method", "window"])
+        return pd.DataFrame([(None, None, None) if x is None or y is None else spoken.best_window(x, y) for x, y in zip(a, b, strict=True)], columns=["score", "method", "window"])
 
-    scored = j.select("conv_id", "turn", "said", run("a", "b").alias("s")).select("conv_id", "turn", "said", "s.*")
-    return scored.groupBy("conv_id", "turn").agg(F.max_by(F.struct("score", "method", "said", "window"), F.struct(F.col("score"), -F.col("said"))).alias("x")).select("conv_id", "turn", "x.*")
-
-
-def best_window(caption: str, speech: str, most: int = 60) -> tuple[int, str, str]:
-    """(score, method, window) of the window of speech, as many words as the caption, that is most like it; the first of equals."""
-    words, n = speech.split(), max(1, len(caption.split()))
-    last = max(0, len(words) - n)
-    step = max(1, -(-last // (most - 1)))
-    starts = sorted({*range(0, last, step), last})
-    found = [(*fuzzy.caption_similarity(caption, w), w) for w in (" ".join(words[i : i + n]) for i in starts)]
-    return max(found, key=lambda x: x[0])
+    # few bytes but much work a row, so as many tasks as a shuffle has, however small the rows
+    rows = rows.withColumn("state", state).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    scored = rows.withColumn("x", run(F.when(F.col("state").isNull(), F.col("t")), F.col("speech")))
+    score = F.when(silent & (F.col("state") == "confirmed_independent"), 0).otherwise(F.col("x.score"))
+    derived = F.when(F.col("x.score") >= spoken.DERIVED, "derived_from_speech").otherwise("confirmed_independent")
+    return scored.select("conv_id", "turn", F.coalesce("state", derived).alias("independence"), score.alias("score"), "x.method", "x.window")
 
 
 @query("j16_fingerprint_components")
@@ -218,68 +218,12 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f14_restore_spaces")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    """Names and calls without their spaces, split again by known phrases, else by the corpus's own words.
-
-    Each run meets the words that it can hold by an inverted index on their substrings, so no word list is shipped.
-    """
+    """Names and calls without their spaces, split again by known phrases, else at the cheapest split by the corpus's own words."""
     p = load(spark, d, "part")
-    words = p.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("length(w) <= 24")
-    runs = p.select("p_partkey", F.regexp_replace(F.when(F.col("p_partkey") % 11 == 0, "LINK in BIO").otherwise(F.col("p_name")), " ", "").alias("run"))
-    lengths = [r.n for r in words.select(F.length("w").alias("n")).distinct().collect()]  # 1 to 24
-    each = F.flatten(F.array(*(matching.substrings(F.lower("run"), n) for n in lengths)))
-    kinds = runs.select("run").distinct()
-    known = kinds.select("run", F.explode(each).alias("w")).join(words, "w").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("known"))
-
-    @F.pandas_udf("string")
-    def split(s: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([restored(t, dict(k) if k is not None else {}) for t, k in zip(s, m, strict=True)], dtype=object)
-
-    done = kinds.join(known, "run", "left").select("run", split("run", "known").alias("restored"))
-    return runs.join(done, "run").select("p_partkey", "run", "restored")
-
-
-def segment(run: str, known: dict[str, int]) -> list[str]:
-    """The split of a letter run into known words with the fewest parts, then the most frequent ones; the run itself if there is none."""
-    best: list[tuple[int, int, list[str]] | None] = [(0, 0, [])] + [None] * len(run)
-    for i in range(1, len(run) + 1):
-        for j in range(max(0, i - 24), i):
-            if best[j] is not None and run[j:i] in known:
-                n, f, parts = best[j]
-                made = (n + 1, f - known[run[j:i]], [*parts, run[j:i]])
-                if best[i] is None or made[:2] < best[i][:2]:
-                    best[i] = made
-    return best[-1][2] if best[-1] else [run]
-
-
-_CALLS = {c.replace(" ", ""): c.split() for c in lx.RUN_TOGETHER}
-
-
-def restored(text: str, known: dict[str, int], least: int = 8, short: float = 0.5, mean: float = 2.6) -> str:
-    """The text with its long letter runs split: known phrases of any length first, else known words from `least` letters on.
-
-    A split is rejected if more than `short` of its parts have one or two letters, or if parts have under `mean` on
-    average: names and garbled logos stay whole. Case, digits and punctuation stay as they were.
-    """
-    gate = min(least, *map(len, _CALLS))
-    out = []
-    for token in text.split():
-        if len(token) < gate or sum(map(str.isalpha, token)) < 0.6 * len(token):
-            out.append(token)
-            continue
-        made = []
-        for part in re.split(r"([^A-Za-z]+)", token):
-            words = _CALLS.get(part.lower())
-            if not words and len(part) >= least and part.isalpha():
-                words = segment(part.lower(), known)
-                if sum(len(w) <= 2 for w in words) > short * len(words) or len(part) < mean * len(words):
-                    words = None
-            at, pieces = 0, []
-            for w in words or [part]:
-                pieces.append(part[at : at + len(w)])
-                at += len(w)
-            made.append(" ".join(pieces))
-        out.append("".join(made))
-    return " ".join(out)
+    costs = wording.word_costs(p.select(F.explode(F.split("p_name", " ")).alias("w")))
+    joined = F.regexp_replace("p_name", " ", "")
+    run = F.when(F.col("p_partkey") % 11 == 0, "LINKinBIO now").when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("Get"), F.initcap(joined), F.lit("-20%off"))).otherwise(joined)
+    return wording.restored(spark, p.select("p_partkey", run.alias("run")), "p_partkey", "run", costs).withColumnRenamed("text", "run")
 
 
 @query("f32_brand_correction")

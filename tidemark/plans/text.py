@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues, phrases, structure
 from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
-from tidemark.operators import matching, ranking
+from tidemark.operators import matching, ranking, wording
 from tidemark.registry import query
 from tidemark.tables import ASKS_SQL, BRIEF_LINES_SQL, asks, brief_lines, load
 
@@ -76,8 +76,8 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f12_content_tokens", f"WITH {norm('n', 'SELECT doc_id, text AS x FROM documents')}, c AS (SELECT doc_id, {content('norm')} AS c FROM n) SELECT doc_id, len(c) AS n, len(list_distinct(c)) AS kinds FROM c")
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    c = docs(spark, d).select("doc_id", tx.content_tokens(F.col("text")).alias("c"))
-    return c.select("doc_id", F.size("c").alias("n"), F.size(F.array_distinct("c")).alias("kinds"))
+    both = tx.bound(tx.content_tokens(F.col("text")), lambda c: F.struct(F.size(c).alias("n"), F.size(F.array_distinct(c)).alias("kinds")))
+    return docs(spark, d).select("doc_id", both.alias("x")).select("doc_id", "x.*")
 
 
 @query(
@@ -419,13 +419,21 @@ def x33(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).filter("n >= 20")
 
 
-@query("f15_readability", f"WITH w AS (SELECT doc_id, unnest({toks('text')}) AS t FROM documents), v AS (SELECT t FROM w GROUP BY t HAVING count(*) >= 20) SELECT doc_id, count(*) AS n, CASE WHEN count(*) < 5 THEN NULL ELSE round_even(100.0::DOUBLE * count(v.t) / count(*), 4) END AS readable FROM w LEFT JOIN v USING (t) GROUP BY doc_id")
+_CALLED = "(" + " OR ".join(f"contains(norm, '{p}')" for p in lx.RUN_TOGETHER) + ")"
+
+
+@query(
+    "f15_readability",
+    f"""WITH {norm('n', 'SELECT doc_id, text AS x FROM documents')}, v AS (SELECT t FROM (SELECT unnest({toks('text')}) AS t FROM documents) GROUP BY t HAVING count(*) >= 20),
+    r AS (SELECT doc_id, {_CALLED} AS called, list_filter(list_transform(string_split(norm, ' '), lambda z: regexp_replace(z, '[^a-z]', '', 'g')), lambda z: length(z) >= 3) AS ws FROM n),
+    j AS (SELECT *, len(ws) >= 2 OR (len(ws) = 1 AND length(ws[1]) >= 8) AS judged FROM r), e AS (SELECT doc_id, unnest(ws) AS t FROM j), h AS (SELECT doc_id, count(v.t) AS hits FROM e LEFT JOIN v USING (t) GROUP BY doc_id),
+    s AS (SELECT doc_id, CAST(len(ws) AS INTEGER) AS n_tokens, CAST(CASE WHEN judged THEN CASE WHEN called THEN 100 ELSE round_even(100.0 * hits / len(ws), 0) END END AS INTEGER) AS score FROM j LEFT JOIN h USING (doc_id))
+    SELECT *, CASE WHEN score IS NULL THEN 'too_short_to_judge' WHEN score >= 40 THEN 'readable' ELSE 'unreadable' END AS verdict FROM s""",
+)
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a text's words that the corpus uses 20 times or more; short texts have no verdict."""
-    w = docs(spark, d).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("c"))
-    v = w.groupBy("t").agg(F.sum("c").alias("n")).filter("n >= 20").select("t", F.lit(1).alias("known"))
-    g = w.join(v, "t", "left").groupBy("doc_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("known") == 1, F.col("c")).otherwise(0)).alias("k"))
-    return g.select("doc_id", "n", F.when(F.col("n") >= 5, F.bround(100.0 * F.col("k") / F.col("n"), 4)).alias("readable"))
+    """Share of a text's words that the corpus uses 20 times or more; known phrases are readable, short texts have no verdict."""
+    known = wording.word_costs(docs(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("w"))).filter("n >= 20").select("w")
+    return wording.readability(docs(spark, d), "doc_id", "text", known)
 
 
 _HEAD = f"""CASE WHEN regexp_matches(line, '^#{{1,6}} ') THEN true WHEN regexp_matches(p, '(?i){lx.REFERENCE}') OR regexp_matches(p, '{lx.ONLY_LINK}') THEN false

@@ -535,3 +535,40 @@ def test_sections_of_a_document(spark):
         (2, "Options", "alternatives", ["1. Show it"], 2),
         (3, "RULES", "requirements", ["do not say that it cures."], 0),
     ]
+
+
+@pytest.mark.parametrize(("score", "least"), [("ratio", 99.75), ("ratio", 100), ("ratio", 97), ("token_set", 99)])
+def test_long_texts_meet(spark, score, least):
+    r = random.Random(9)
+    some = ["".join(r.choices("abcdefgh ", k=n)).strip() for n in (300, 405, 500, 900)]
+    some += [some[1], some[2][:-1], some[3][:200] + "x" + some[3][200:], "ab", "abc"]
+    df = spark.createDataFrame([(s,) for s in some] + [(None,), ("",)], "t string")
+    f = fuzzy.ratio if score == "ratio" else fuzzy.token_set_ratio
+    got = {(x.a, x.b) for x in matching.alike(df, "t", df, "t", least, score).collect()}
+    assert got == {(a, b) for a in set(some) for b in set(some) if f(a, b) >= least}
+
+
+def test_too_many_edits_are_an_error(spark):
+    df = spark.createDataFrame([("ab " * 300,)], "t string")
+    with pytest.raises(Exception, match="too long for alike"):
+        matching.alike(df, "t", df, "t", 80).collect()
+
+
+def test_few_pairs_meet(spark):
+    """Of texts that have nothing to do with each other under one in fifty is compared."""
+    r = random.Random(10)
+    some = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(20, 30))) for _ in range(300)]
+    x = spark.createDataFrame([(s,) for s in some], "a string")
+    for least in (85, 88, 95):
+        assert matching.meeting(x, x.withColumnRenamed("a", "b"), least, "ratio").count() < 300 * 300 / 50 + 300 * 16
+
+
+def test_token_jaccard_loses_nothing(spark):
+    r = random.Random(12)
+    some = [" ".join(r.choices(["alpha", "beta", "gamma", "delta", "epsilon", "20", "the", "zeta"], k=r.randint(0, 7))) for _ in range(80)]
+    df = spark.createDataFrame([(s,) for s in some] + [(None,)], "t string")
+    tokens = {s: set(phrases.content_tokens(s)) for s in some}
+    for least in (0.5, 0.8, 1.0):
+        got = {(x.a, x.b): x.jaccard for x in matching.token_jaccard(df, "t", df, "t", least).collect()}
+        want = {(a, b): len(x & y) / len(x | y) for a, x in tokens.items() for b, y in tokens.items() if x and y and len(x & y) / len(x | y) >= least}
+        assert got == want

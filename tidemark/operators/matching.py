@@ -1,12 +1,15 @@
 """Joins of texts on containment and on likeness, by keys that lose no match: no pair is formed without one.
 
 Likeness here is 200 * LCS / (length a + length b), so strings alike at `least` differ in at most
-d = 2 |a| (100 - least) / least inserted and deleted characters. Cut into d + 1 pieces, one piece of `a` stands
-unchanged in `b`: pieces of the one meet substrings of the other in an equi-join, and only what meets is compared.
+d = (|a| + |b|) (100 - least) / 100 inserted and deleted characters. Cut into d + 1 pieces, one piece of `a` stands
+unchanged in `b`, and not far from its place: its key is its number, both lengths and its letters, which meets the few
+substrings of `b` that can be it, and only what meets is compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +74,10 @@ def pieces(text: Column, least: float) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, cut(i) + 1, cut(i + 1) - cut(i))))
 
 
-def piece_lengths(least: float, longest: int = 400) -> list[int]:
-    """Lengths that pieces of texts of up to `longest` characters have."""
+def piece_lengths(least: float, lengths: Iterable[int]) -> list[int]:
+    """Lengths that pieces of texts of these lengths have."""
     out = set()
-    for n in range(1, longest + 1):
+    for n in lengths:
         k = edits(n, least) + 1
         out |= {n // k, -(-n // k)}
     return sorted(out)
@@ -82,28 +85,99 @@ def piece_lengths(least: float, longest: int = 400) -> list[int]:
 
 #: From here on a piece has a character at least.
 LEAST_LIKENESS = 70
+#: Characters that two texts to compare may differ in: their keys grow with the square of it.
+MOST_EDITS = 64
+
+
+def _places(n: Column, m: Column, least: float) -> tuple[Column, Column]:
+    """Edits between texts of n and m characters alike at `least`, and whether so many are too many to look for."""
+    d = F.floor((n + m) * ((100 - least) / 100) + 1e-9).cast("int")
+    return d, d > MOST_EDITS
+
+
+def piece_keys(text: Column, least: float) -> Column:
+    """Keys of the text's pieces, for each length that a text alike at `least` can have: struct(n, m, i, piece)."""
+    n = F.length(text)
+
+    def of(m: Column) -> Column:
+        d, far = _places(n, m, least)
+        cut = lambda i: F.floor(i * n / (d + 1)).cast("int")
+        piece = lambda i: F.struct(n.alias("n"), m.alias("m"), i.alias("i"), F.substring(text, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"))
+        return F.transform(F.sequence(F.lit(0), F.when(far, F.raise_error(F.lit(f"texts that differ in over {MOST_EDITS} characters are too long for alike()"))).otherwise(d)), piece)
+
+    return F.flatten(F.transform(F.sequence(*_lengths(n, least)), of))
+
+
+def stretch_keys(text: Column, least: float) -> Column:
+    """The same keys of every substring of the text that a piece of a text alike to it can be.
+
+    Of the pieces that stand unchanged, one has no more edits before it than its number and no more behind it than
+    pieces follow, so it is shifted by no more either way.
+    """
+    m = F.length(text)
+
+    def of(n: Column) -> Column:
+        d, _ = _places(n, m, least)
+        cut = lambda i: F.floor(i * n / (d + 1)).cast("int")
+
+        def places(i: Column) -> Column:
+            lo, hi = F.greatest(-i, m - n - (d - i), -cut(i)), F.least(i, m - n + (d - i), m - cut(i + 1))
+            shifts = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+            return F.transform(shifts, lambda s: F.struct(n.alias("n"), m.alias("m"), i.alias("i"), F.substring(text, cut(i) + s + 1, cut(i + 1) - cut(i)).alias("piece")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), places))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(*_lengths(m, least)), of)))
+
+
+def _lengths(n: Column, least: float) -> tuple[Column, Column]:
+    """Least and greatest length of a text alike at `least` to one of n characters."""
+    return F.greatest(F.lit(1), F.ceil(n * (least / (200 - least)) - 1e-9).cast("int")), F.floor(n * ((200 - least) / least) + 1e-9).cast("int")
+
+
+def meeting(x: DataFrame, y: DataFrame, least: float, score: str) -> DataFrame:
+    """a, b: pairs of the texts a of x and b of y that share a key, some more than once."""
+    order = lambda c: F.col(c) if score == "ratio" else F.array_join(F.array_sort(F.array_distinct(F.split(c, " +"))), " ")
+    a = x.select("a", order("a").alias("t")).select("a", F.explode(piece_keys(F.col("t"), least)).alias("k"))
+    b = y.select("b", order("b").alias("t")).select("b", F.explode(stretch_keys(F.col("t"), least)).alias("k"))
+    met = a.join(b, "k").select("a", "b")
+    if score == "token_set":
+        words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " +"))).alias("w"))
+        met = met.unionByName(words(x, "a").join(words(y, "b"), "w").select("a", "b"))
+    return met
 
 
 def alike(left: DataFrame, a: str, right: DataFrame, b: str, least: float, score: str = "ratio") -> DataFrame:
-    """Pairs (a, b, score) of the distinct texts of two tables that are alike at `least` (70 or more, up to 400 characters).
+    """Pairs (a, b, score) of the distinct texts of two tables that are alike at `least` (70 or more).
 
     score: `ratio`; or `token_set`, for which texts that share a token meet by it, and others by the pieces of
-    their sorted tokens. Empty and null texts are alike to nothing.
+    their sorted tokens. Empty and null texts are alike to nothing. Pieces are short where texts may differ much: from
+    85 on they have three letters or more. Texts that may differ in more than MOST_EDITS characters are an error.
     """
     if least < LEAST_LIKENESS:
         raise ValueError("texts less alike have no common piece")
     x, y = left.select(F.col(a).alias("a")).filter("a <> ''").distinct(), right.select(F.col(b).alias("b")).filter("b <> ''").distinct()
-    order = lambda c: c if score == "ratio" else F.array_join(F.array_sort(F.array_distinct(F.split(c, " +"))), " ")
-    mark = lambda kind, parts: F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("key")))
-    keys_a = mark("piece", pieces(order(F.col("a")), least))
-    keys_b = mark("piece", F.flatten(F.array(*(substrings(order(F.col("b")), n) for n in piece_lengths(least)))))
-    if score == "token_set":
-        keys_a, keys_b = (F.concat(k, mark("token", F.array_distinct(F.split(c, " +")))) for k, c in ((keys_a, "a"), (keys_b, "b")))
-    met = x.select("a", F.explode(keys_a).alias("k")).join(y.select("b", F.explode(keys_b).alias("k")), "k")
-    if score == "ratio":
-        met = met.filter(fuzzy.may_reach(F.col("a"), F.col("b"), least))
     f = {"ratio": fuzzy.ratio, "token_set": fuzzy.token_set_ratio}[score]
-    return met.select("a", "b").distinct().withColumn("score", fuzzy.column(f, F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+    met = meeting(x, y, least, score).distinct()
+    return met.withColumn("score", fuzzy.column(f, F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+
+
+def token_jaccard(left: DataFrame, a: str, right: DataFrame, b: str, least: float) -> DataFrame:
+    """Pairs (a, b, jaccard) of the distinct texts of two tables whose sets of content tokens are alike at `least` (over 0).
+
+    Of sets that are alike, each has one of its rarest tokens in the other: all but as many as they must share, and
+    one more. Texts without content tokens are alike to nothing.
+    """
+    x, y = left.select(F.col(a).alias("text")).distinct(), right.select(F.col(b).alias("text")).distinct()
+    every = x.unionByName(y).distinct().select("text", F.array_distinct(tx.content_tokens(F.col("text"))).alias("tokens")).filter(F.size("tokens") > 0)
+    each = every.select("text", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "token").groupBy("text", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token")))["token"].alias("tokens"))
+    ranked = ranked.withColumn("first", F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1))
+    side = lambda df, c: df.join(ranked, "text").select(F.col("text").alias(c), F.col("tokens").alias(f"tokens_{c}"), F.col("n").alias(f"n_{c}"), F.explode("first").alias("key"))
+    met = side(x, "a").join(side(y, "b"), "key").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9).drop("key").dropDuplicates(["a", "b"])
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return met.select("a", "b", (both / (F.col("n_a") + F.col("n_b") - both)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 def holding(needles: DataFrame, needle: str, hays: DataFrame, hay: str, least: float) -> DataFrame:
@@ -111,8 +185,10 @@ def holding(needles: DataFrame, needle: str, hays: DataFrame, hay: str, least: f
     x, y = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct(), hays.select(F.col(hay).alias("hay")).filter("hay <> ''").distinct()
     bare = tx.despace(F.col("needle"))
     keys = F.array_distinct(F.concat(F.transform(pieces(F.col("needle"), least), tx.despace), pieces(bare, least)))
-    lengths = sorted({n - s for n in piece_lengths(least) for s in range(n)})  # white space is gone from some
-    parts = F.flatten(F.array(*(substrings(tx.despace(F.col("hay")), n) for n in lengths)))
+    sizes = [r.n for r in x.select(F.explode(F.array(F.length("needle"), F.length(bare))).alias("n")).filter("n > 0").distinct().collect()]  # as many as there are lengths of needles
+    longest = max(piece_lengths(least, sizes), default=0)
+    lengths = range(1, longest + 1)  # white space is gone from some pieces
+    parts = F.flatten(F.array(F.array().cast("array<string>"), *(substrings(tx.despace(F.col("hay")), n) for n in lengths)))
     met = x.select("needle", F.explode(keys).alias("k")).join(y.select("hay", F.explode(parts).alias("k")), "k").select("needle", "hay").distinct()
     met = met.filter(~tx.digits_missing(F.col("needle"), F.col("hay")))
     return met.withColumn("score", fuzzy.column(fuzzy.contains_ratio, F.col("needle"), F.col("hay")).cast("int")).filter(F.col("score") >= least)

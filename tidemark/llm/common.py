@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -77,8 +78,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system, which allocators keep for themselves."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES) -> Iterator[list[list]]:
     """The columns of the batches as Python lists, cut or joined so that texts (column number text) come to about `most` bytes."""
+    trim()
     held: list[list] | None = None
     size = 0
     for batch in batches:
@@ -114,9 +123,11 @@ def worker_cache(make):
 
     @wraps(make)
     def get(*arguments):
-        for other in _held:
-            if other is not own:
-                other.cache_clear()
+        if any(other.cache_info().currsize for other in _held if other is not own):
+            for other in _held:
+                if other is not own:
+                    other.cache_clear()
+            trim()
         return own(*arguments)
 
     return get

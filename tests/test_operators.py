@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -14,7 +15,7 @@ from tidemark.functions import cues, fuzzy, phrases, structure
 from tidemark.functions import text as tx
 from tidemark.functions.expressions import column_of, valid
 from tidemark.operators import intervals as iv
-from tidemark.operators import matching
+from tidemark.operators import matching, selection
 from tidemark.operators import ranking as rk
 from tidemark.operators import scoring as sc
 from tidemark.operators import sequential as sq
@@ -572,3 +573,73 @@ def test_token_jaccard_loses_nothing(spark):
         got = {(x.a, x.b): x.jaccard for x in matching.token_jaccard(df, "t", df, "t", least).collect()}
         want = {(a, b): len(x & y) / len(x | y) for a, x in tokens.items() for b, y in tokens.items() if x and y and len(x & y) / len(x | y) >= least}
         assert got == want
+
+
+def plain_first_kept(ids, links):
+    """The loop: a row goes if it is linked with an earlier one that stayed."""
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(max(a, b), set()).add(min(a, b))
+    out = {}
+    for i in sorted(ids):
+        out[i] = min((j for j in near.get(i, ()) if out.get(j) == j), default=i)
+    return out
+
+
+@pytest.mark.parametrize(("n", "links"), [(700, None), (50, 60), (200, 400), (200, 2500), (5, 0)])
+def test_first_kept_is_the_loop(spark, n, links):
+    r = random.Random(n)
+    pairs = [(i + 1, i) for i in range(n - 1)] if links is None else [(r.randrange(n), r.randrange(n)) for _ in range(links)]
+    pairs += [(3, 3), (3, n + 7)]
+    got = selection.first_kept(spark.createDataFrame([(i,) for i in range(n)], "id long"), spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {x.id: x.kept_by for x in got} == plain_first_kept(range(n), [p for p in pairs if max(p) < n])
+
+
+def plain_merge(rows: list[dict]) -> dict[int, dict]:
+    """Requirements one by one against those kept so far."""
+    kept: list[dict] = []
+    for r in sorted(rows, key=lambda r: r["id"]):
+        def like(k, r=r):
+            if k["choice"] or r["choice"] or (k["brief"], k["kind"]) != (r["brief"], r["kind"]):
+                return False
+            x, y = set(phrases.content_tokens(k["text"])), set(phrases.content_tokens(r["text"]))
+            return fuzzy.ratio(k["text"].lower(), r["text"].lower()) >= 88 or bool(x and y) and len(x & y) / len(x | y) >= 0.8
+
+        into = next((k for k in kept if like(k)), None)
+        if into is None:
+            kept.append(r | {"merged": []})
+            continue
+        if selection.PRIORITY_RANK[r["priority"]] > selection.PRIORITY_RANK[into["priority"]]:
+            into["priority"] = r["priority"]
+        if selection.MODE_RANK[r["mode"]] > selection.MODE_RANK[into["mode"]]:
+            into["mode"] = r["mode"]
+        if r["deadline"] is not None:
+            into["deadline"] = min(r["deadline"], into["deadline"] if into["deadline"] is not None else r["deadline"])
+        into["window"] = into["window"] or r["window"]
+        into["hints"] = list(dict.fromkeys(into["hints"] + r["hints"]))
+        into["merged"].append(r["id"])
+    sizes = Counter((k["brief"], k["choice"]) for k in kept if k["choice"])
+    at = Counter()
+    for k in kept:
+        at[k["brief"]] += 1
+        k["ordinal"], k["alone"] = at[k["brief"]], sizes[k["brief"], k["choice"]] == 1
+        k["choice"] = None if k["alone"] else k["choice"]
+    return {k["id"]: k for k in kept}
+
+
+def test_requirements_merge_as_in_a_loop(spark):
+    r = random.Random(14)
+    texts = ["show the jar", "show the jars", "Show the jar close up", "show a jar close up now", "say the price", "say the price now", "say the prices now", "never claim a cure", "", "the of"]
+    rows = [
+        {"brief": r.randint(1, 3), "id": i, "kind": r.choice(["visual", "visual", "speech"]), "text": r.choice(texts) + r.choice(["", "", " please", " 20"]), "choice": r.choice([None] * 5 + ["c1", "c2", f"solo{i}"]),
+         "priority": r.choice(list(selection.PRIORITY_RANK)), "mode": r.choice(list(selection.MODE_RANK)), "deadline": r.choice([None, 3, 9]), "window": r.choice([None, f"w{i}"]), "hints": r.sample(["a", "b", "c", "d"], 2), "criteria": ["k"], "classes": []}
+        for i in range(90)
+    ]
+    schema = "brief long, id long, kind string, text string, choice string, priority string, mode string, deadline long, window string, hints array<string>, criteria array<string>, classes array<string>"
+    got = {x.id: x.asDict() for x in selection.merge_requirements(spark.createDataFrame(rows, schema)).collect()}
+    want = plain_merge([dict(x) for x in rows])
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert {k: got[i][k] for k in ("brief", "priority", "mode", "deadline", "window", "hints", "merged", "ordinal", "alone", "choice")} == {k: w[k] for k in ("brief", "priority", "mode", "deadline", "window", "hints", "merged", "ordinal", "alone", "choice")}
+    assert any(w["merged"] for w in want.values())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cues, fuzzy, hashing, spoken
 from tidemark.functions import text as tx
-from tidemark.operators import matching, wording
+from tidemark.operators import matching, selection, wording
 from tidemark.operators import sequential as sq
 from tidemark.plans.text import inferred
 from tidemark.registry import query
@@ -241,3 +241,16 @@ def x3(spark: SparkSession, d: str) -> DataFrame:
     config = F.struct(F.col("lang"), F.col("n_chars").alias("n"))
     inputs = F.array(F.concat(F.lit("b"), F.col("doc_id").cast("string")), F.concat(F.lit("a"), F.col("doc_id").cast("string")))
     return load(spark, d, "documents").select("doc_id", hashing.stage_key("text", "1.0", inputs, config).alias("key"))
+
+
+@query("j15_requirement_merge")
+def j15(spark: SparkSession, d: str) -> DataFrame:
+    """Requirements of a brief that are alike at 88 or share 0.8 of their content tokens merge into the first that stays; alternatives of a choice don't."""
+    t, at = F.col("text"), F.col("id")
+    a = inferred(spark, d).select(
+        F.expr("id div 120").alias("brief"), "id", "kind", "text", F.when(at % 13 == 0, F.concat(F.lit("c"), (at % 39).cast("string"))).alias("choice"), "priority", F.coalesce("mode", F.lit("any")).alias("mode"),
+        F.when(at % 5 == 0, at % 30 + 3).alias("deadline"), F.when(at % 7 == 3, F.concat(F.lit("0-"), (at % 9).cast("string"))).alias("window"),
+        cues.match_hints(t).alias("hints"), F.array(F.concat_ws(" ", F.lit("see"), F.col("kind"))).alias("criteria"), cues.claim_classes(t).alias("classes"),
+    )
+    m = selection.merge_requirements(a)
+    return m.select("brief", "id", "ordinal", "choice", "alone", "priority", "mode", "deadline", "window", *(F.array_join(c, ",").alias(c) for c in ("hints", "criteria", "classes", "merged")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues, structure
 from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
-from tidemark.operators import matching
+from tidemark.operators import matching, units
 from tidemark.operators import ranking as rk
 from tidemark.plans.text import HEADS, content, norm, toks
 from tidemark.registry import query
@@ -71,6 +71,27 @@ def f27(spark: SparkSession, d: str) -> DataFrame:
     return u.filter(F.trim("unit") != "").groupBy("item_id", F.trim("unit").alias("unit")).agg(F.count("*").alias("n"))
 
 
+@query("f27_brief_units")
+def f27_units(spark: SparkSession, d: str) -> DataFrame:
+    """What each document asks for, one thing a row: items into sentences, sentences into asks (F27, by a table function)."""
+    return units.brief_units(structure.sections(brief_lines(spark, d), "doc", "pos", "line"))
+
+
+@query(
+    "f23_items",
+    rf"""WITH {HEADS}, s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM hl),
+    l AS (SELECT doc, section, pos, p, regexp_matches(p, '{units.TITLE}') AS title, regexp_matches(p, '(?i){lx.BULLET}') AS bullet FROM s WHERE NOT head AND NOT (regexp_matches(p, '(?i){lx.REFERENCE}') OR regexp_matches(p, '{lx.ONLY_LINK}'))),
+    w AS (SELECT *, bool_or(title) OVER (PARTITION BY doc, section) AS numbered, bool_or(bullet) OVER (PARTITION BY doc, section) AS bulleted, coalesce(lag(bullet) OVER (PARTITION BY doc, section ORDER BY pos), true) AS after FROM l),
+    i AS (SELECT *, sum(CASE WHEN numbered THEN title WHEN bulleted THEN bullet OR after ELSE true END::INT) OVER (PARTITION BY doc, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS isle FROM w),
+    b AS (SELECT *, trim(CASE WHEN title THEN regexp_extract(p, '{units.TITLE}', 2) ELSE regexp_replace(p, '(?i){lx.BULLET}', '') END) AS bare FROM i WHERE isle > 0),
+    t AS (SELECT doc, section, isle, trim(regexp_replace(coalesce(string_agg(bare, ' ' ORDER BY pos) FILTER (bare <> ''), ''), '\s+', ' ', 'g')) AS text FROM b GROUP BY ALL)
+    SELECT doc, CAST(section AS BIGINT) AS section, row_number() OVER (PARTITION BY doc, section ORDER BY isle) - 1 AS item, text FROM t WHERE length(text) >= 3""",
+)
+def f23_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items of each section: numbered titles with what follows them, bullets, or lines."""
+    return units.section_items(structure.sections(brief_lines(spark, d), "doc", "pos", "line")).select("doc", "section", "item", "text")
+
+
 @query("f28_match_hints")
 def f28(spark: SparkSession, d: str) -> DataFrame:
     """Hints of each ask: content tokens that are no verbs of asking, synonyms of its topics, quotations; twelve at most, in that order."""

@@ -116,25 +116,34 @@ def text_intervals(rows: Iterable[dict], max_gap: float, alike: Callable[[dict,
     equals. Intervals come as they close.
     """
     open_: list[dict] = []
-    survives = lambda o: o["n"] >= least_seen or o["best"] >= sure
     for r in rows:
-        still = []
-        for o in open_:
-            if r["t"] - o["end"] <= max_gap:
-                still.append(o)
-            elif survives(o):
-                yield o
-        open_ = still
-        for o in open_:
-            if alike(r, o):
-                o["end"], o["n"] = r["t"], o["n"] + 1
-                if (len(r["text"]), r["confidence"]) > (len(o["text"]), o["best"]):
-                    o |= {k: v for k, v in r.items() if k not in ("t", "confidence")}
-                o["best"] = max(o["best"], r["confidence"])
-                break
-        else:
-            open_.append({k: v for k, v in r.items() if k not in ("t", "confidence")} | {"start": r["t"], "end": r["t"], "n": 1, "best": r["confidence"]})
-    yield from filter(survives, open_)
+        yield from survivors(past(open_, r["t"], max_gap), least_seen, sure)
+        sighted(open_, r, alike)
+    yield from survivors(open_, least_seen, sure)
+
+
+def survivors(found: Iterable[dict], least_seen: int = 2, sure: float = 0.85) -> Iterator[dict]:
+    return (o for o in found if o["n"] >= least_seen or o["best"] >= sure)
+
+
+def past(open_: list[dict], t: float, max_gap: float) -> list[dict]:
+    """Takes the intervals that nothing from t on can extend out of open_."""
+    closed = [o for o in open_ if t - o["end"] > max_gap]
+    open_[:] = [o for o in open_ if t - o["end"] <= max_gap]
+    return closed
+
+
+def sighted(open_: list[dict], r: dict, alike: Callable[[dict, dict], bool]) -> None:
+    """Adds a detection to the first open interval that it is like, or opens one."""
+    own = {k: v for k, v in r.items() if k not in ("t", "confidence")}
+    for o in open_:
+        if alike(r, o):
+            o["end"], o["n"] = r["t"], o["n"] + 1
+            if (len(r["text"]), r["confidence"]) > (len(o["text"]), o["best"]):
+                o |= own
+            o["best"] = max(o["best"], r["confidence"])
+            return
+    open_.append(own | {"start": r["t"], "end": r["t"], "n": 1, "best": r["confidence"]})
 
 
 def read_frames(rows: Iterable[dict], same: Callable[[list, list], bool], most: int = 3) -> Iterator[dict]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues, structure
 from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
-from tidemark.operators import matching, units
+from tidemark.operators import matching, repair, units
 from tidemark.operators import ranking as rk
 from tidemark.plans.text import HEADS, content, norm, toks
 from tidemark.registry import query
@@ -162,6 +162,23 @@ def r35(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", F.coalesce(F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")), F.lit("5-LOW")).alias("priority"), F.array_join(flags, ",").alias("flags"), F.greatest("o_totalprice", F.lit(1000.0)).alias("price"))
 
 
+@query("r35_repaired_requirements")
+def r35_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Asks as a model might have returned them, with fields that are wrong, missing or made up by the key, repaired with a trail."""
+    t, at, none = F.col("text"), F.col("id"), F.lit(None)
+    pick = lambda *values: F.get(F.array(*(F.lit(v).cast("string") for v in values)), F.pmod(F.xxhash64("id", F.lit(len(values)), F.lit(str(values))), F.lit(len(values))).cast("int"))
+    a = asks(spark, d).select(
+        "id", F.expr("id div 40").alias("doc"), t, pick("visual", "Speech", "hook", "vsual", None).alias("type"), pick("visual_only", "speech_only", "any", "eyes", None).alias("mode"), pick("required", "forbidden", "maybe").alias("polarity"),
+        pick("high", "low", "urgent", None).alias("priority"), (at % 3 == 0).alias("checkable"), F.when(at % 4 == 1, at % 900 - 20).cast("double").alias("deadline"), F.when(at % 6 == 2, at % 31).cast("double").alias("window_start"), F.when(at % 6 == 2, at % 29).cast("double").alias("window_end"),
+        pick("duration - 5", "duration - 15", "duration ^ 2", None, None).alias("start_expr"), pick("duration", "len(", None).alias("end_expr"), F.array(pick("cure", "magic", " ")).alias("classes"), F.when(at % 5 > 0, F.array(F.lit("jar"))).alias("hints"), none.cast("array<string>").alias("criteria"),
+        F.when(at % 7 == 3, "dance on the moon with penguins").when(at % 7 > 0, t).alias("span"), (at % 11 / 8).alias("confidence"), F.when(at % 9 == 0, "c").alias("choice"), pick("all_of", "one_of", "two_of").alias("choice_mode"),
+    )
+    documents = asks(spark, d).filter("id % 8 > 0").groupBy(F.expr("id div 40").alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("id", "text")))["text"], " ").alias("text"))
+    claims = asks(spark, d).filter("id % 10 = 1").select(F.expr("id div 40").alias("doc"), F.col("id").alias("pos"), t.alias("claim"))
+    r = repair.repair_requirements(a, documents, claims)
+    return r.select(*(F.array_join(c, ",").alias(c) if c in ("classes", "hints", "criteria") else F.col(c) for c in r.columns if c != "flags"), F.array_join("flags", "|").alias("flags"))
+
+
 @query("r36_event_normalise", f"WITH {TIMELINE}, o AS (SELECT *, min(k) OVER (PARTITION BY video) >= 1 AS one_based, count(*) OVER (PARTITION BY video) AS n FROM tl), x AS (SELECT event_id, video, least(greatest(CASE WHEN one_based THEN k - 1 ELSE k END, 0), n - 1) AS a, least(greatest(CASE WHEN one_based THEN k - 1 ELSE k END + CAST(value AS INTEGER) % 7 - 3, 0), n - 1) AS b FROM o) SELECT event_id, least(a, b) AS first_idx, greatest(a, b) AS last_idx FROM x")
 def r36(spark: SparkSession, d: str) -> DataFrame:
     """Frame ranges: 1-based numbering found out by partition, clamped, swapped if reversed."""

@@ -643,3 +643,27 @@ def test_requirements_merge_as_in_a_loop(spark):
     for i, w in want.items():
         assert {k: got[i][k] for k in ("brief", "priority", "mode", "deadline", "window", "hints", "merged", "ordinal", "alone", "choice")} == {k: w[k] for k in ("brief", "priority", "mode", "deadline", "window", "hints", "merged", "ordinal", "alone", "choice")}
     assert any(w["merged"] for w in want.values())
+
+
+def test_semantic_rank_against_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(rk, "BLOCK", 5)
+    g = np.random.default_rng(3)
+    vector = lambda: [float(x) for x in g.integers(-2, 3, 3)]
+    cands = [(key, 100 * key + i, i % 7, vector()) for key, n in ((1, 30), (2, 4), (3, 11)) for i in range(n)] + [(1, 190, 0, None), (None, 191, 0, vector())]
+    reqs = [(key, 10 * key + i, vector()) for key in (1, 2, 3, 4) for i in range(7)]
+    hints = [(11, 103, 80), (11, 104, 90), (12, 105, 0), (31, 203, 70)]
+    got = {}
+    for r in rk.semantic_rank(spark.createDataFrame(reqs, "key long, req long, v array<double>"), spark.createDataFrame(cands, "key long, cand long, at long, v array<double>"), spark.createDataFrame(hints, "req long, cand long, score long"), 4).collect():
+        got.setdefault(r.req, []).append((r.rank, r.cand, r.score, r.by))
+    want = {}
+    unit = lambda v: np.array(v) / max(1e-12, np.linalg.norm(v))
+    for key, req, v in reqs:
+        own = [c for c in cands if c[0] == key and c[3] is not None]
+        hit = {c: s for q, c, s in hints if q == req and s > 0 and any(c == o[1] for o in own)}
+        by = "hint" if hit else "all" if len(own) <= 4 else "meaning"
+        rows = [(-float(hit[c[1]] if hit else 0 if by == "all" else round(float(unit(v) @ unit(c[3])), 6)), c[2], c[1]) for c in own if not hit or c[1] in hit]
+        if rows:
+            want[req] = [(i, c, -s + 0.0, by) for i, (s, _, c) in enumerate(sorted(rows)[:4], 1)]
+    assert {q: sorted(r) for q, r in got.items()} == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,16 @@ def within(start: Column, end: Column, lo: Column, hi: Column, tolerance: Column
 def separated(df: DataFrame, keys: list[str], t: str, least: int) -> DataFrame:
     """Times kept greedily: each at least `least` after the last one kept (W5): keys, t.
 
-    The rule depends on what was kept, so a key's sorted times are folded, on narrow rows.
+    The rule depends on what was kept: a key's distinct times pass by in order, and only the last one kept is held.
     """
-    times = F.array_sort(F.collect_set(t))
-    keep = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= least), F.concat(acc, F.array(x))).otherwise(acc))
-    return df.groupBy(*keys).agg(keep.alias("_k")).select(*keys, F.explode("_k").alias(t))
+    from tidemark.operators.sequential import streamed
+
+    def keep(rows: Iterator[dict]) -> Iterator[dict]:
+        last = None
+        for r in rows:
+            if last is None or r[t] - last >= least:
+                last = r[t]
+                yield {t: last}
+
+    times = df.select(*keys, t).filter(F.col(t).isNotNull()).distinct()
+    return streamed(times, keys, [t], keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in times.schema))

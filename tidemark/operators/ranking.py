@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +51,60 @@ def distinct_in_order(df: DataFrame, keys: list[str], value: str, pos: str) -> D
     return df.groupBy(*keys, value).agg(F.min(pos).alias(pos))
 
 
+#: Rows of a block of requirements and of candidates whose vectors are multiplied at once.
+BLOCK = 512
+
+
+def _best(k: int):
+    """Of each requirement of a block the k best candidates of the other block, and of equals the first."""
+    names = ["req", "cand", "at", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for reqs, cands in zip(batch.column("reqs").to_pylist(), batch.column("cands").to_pylist(), strict=True):
+                x, y = (np.array([r["v"] for r in side], dtype=np.float64) for side in (reqs, cands))
+                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+                score = np.round(x @ y.T, 6) + 0.0
+                out: list[tuple] = []
+                for r, row in zip(reqs, score, strict=True):
+                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else range(len(row))  # ties of the last one stay
+                    out += sorted(((r["req"], cands[j]["cand"], cands[j]["at"], float(row[j])) for j in near), key=lambda o: (-o[3], o[2], o[1]))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+
+    return run
+
+
+def semantic_rank(requirements: DataFrame, candidates: DataFrame, hints: DataFrame, k: int) -> DataFrame:
+    """req, cand, score, by, rank: k candidates of each requirement of its key.
+
+    requirements: key, req, v (vector). candidates: key, cand, at, v. hints: req, cand, score of those that a hint hits. `by` is
+    `hint` where any of a requirement's candidates is hit (score, then earliest), `all` where there are k at most, in
+    their order, else `meaning`: likeness of vectors, in six decimals. Only those are compared, block against block, and
+    of each pair of blocks k candidates a requirement leave the task. Null vectors take no part.
+    """
+    requirements, candidates = (df.filter("key is not null and v is not null") for df in (requirements, candidates))
+    n = candidates.groupBy("key").agg(F.count("*").alias("n"))
+    hit = hints.filter("score > 0").join(candidates.select("key", "cand", "at"), "cand").join(requirements.select("key", "req"), ["key", "req"])
+    reqs = requirements.join(n, "key").join(hit.select("req").distinct().withColumn("hit", F.lit(True)), "req", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    by_hint = hit.select("req", "cand", "at", F.col("score").cast("double").alias("score"), F.lit("hint").alias("by"))
+    few = reqs.filter(~F.col("hit") & (F.col("n") <= k)).select("key", "req").join(candidates, "key").select("req", "cand", "at", F.lit(0.0).alias("score"), F.lit("all").alias("by"))
+
+    def blocks(df: DataFrame, name: str, number: Column) -> DataFrame:
+        block = F.pmod(F.xxhash64(name), F.greatest(F.lit(1), F.ceil(number / BLOCK)))
+        columns = [c for c in (name, "at", "v") if c in df.columns]
+        return df.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct(*columns)).alias(f"{name}s")).drop("block")
+
+    open_ = reqs.filter(~F.col("hit") & (F.col("n") > k))
+    many = open_.join(open_.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", "req", F.col("v"), "m")
+    wanted = candidates.join(open_.select("key").distinct(), "key", "left_semi").join(n, "key")
+    pairs = blocks(many, "req", F.col("m")).join(blocks(wanted, "cand", F.col("n")), "key")
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema} | {"req": requirements.schema["req"].dataType.simpleString()}
+    found = pairs.select("reqs", "cands").mapInArrow(_best(k), f"req {kinds['req']}, cand {kinds['cand']}, at {kinds['at']}, score double").withColumn("by", F.lit("meaning"))
+    order = Window.partitionBy("req").orderBy(F.desc("score"), "at", "cand")
+    ranked = by_hint.unionByName(few).unionByName(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("req", "cand", "score", "by", "rank")
+
+
 # Samples of a video by its length, below so many milliseconds; the last for all others.
 TIERS = [(10_000, 24), (30_000, 40), (60_000, 60), (180_000, 90)]
 MOST_SAMPLES = 120

@@ -90,6 +90,24 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
     return rk.sampling_plan(e.select("video", "dur").distinct(), e.select("video", (F.col("event_id") * 9973 % F.col("dur")).alias("cut")))
 
 
+@query(
+    "k10_meaning",
+    """WITH c AS (SELECT label AS key, vec_id AS cand, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS v FROM embeddings WHERE vec_id % 10 <> 0),
+    q AS (SELECT label AS key, vec_id AS req, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS v FROM embeddings WHERE vec_id % 10 = 0), n AS (SELECT key, count(*) AS n FROM c GROUP BY key),
+    p AS (SELECT q.req, c.cand, n.n, CASE WHEN q.req % 30 = 0 AND (q.req + c.cand) % 7 = 0 THEN 50 + c.cand % 40 ELSE 0 END AS hint, round_even(list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(c.v, c.v)), 6) AS near FROM q JOIN c USING (key) JOIN n USING (key)),
+    h AS (SELECT *, max(hint) OVER (PARTITION BY req) > 0 AS hit FROM p),
+    s AS (SELECT req, cand, CASE WHEN hit THEN hint WHEN n <= 12 THEN 0 ELSE near END::DOUBLE AS score, CASE WHEN hit THEN 'hint' WHEN n <= 12 THEN 'all' ELSE 'meaning' END AS "by" FROM h WHERE NOT hit OR hint > 0)
+    SELECT req, cand, score, "by", CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY req ORDER BY score DESC, cand) AS rank FROM s) WHERE rank <= 12""",
+)
+def k10_meaning(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve candidates of each requirement: by hints where one hits, else by meaning where there are more than twelve (K10). Every tenth vector is a requirement."""
+    e = load(spark, d, "embeddings").select(F.col("label").alias("key"), "vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("v"))
+    q = e.filter("vec_id % 10 = 0").select("key", F.col("vec_id").alias("req"), "v")
+    c = e.filter("vec_id % 10 <> 0").select("key", F.col("vec_id").alias("cand"), F.col("vec_id").alias("at"), "v")
+    h = q.filter("req % 30 = 0").select("key", "req").join(c.select("key", "cand"), "key").filter("(req + cand) % 7 = 0").select("req", "cand", (50 + F.col("cand") % 40).alias("score"))
+    return rk.semantic_rank(q, c, h, 12)
+
+
 @query(
     "k10_semantic_rank",
     """WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)) AS v FROM embeddings), q AS (SELECT label, arg_min(v, vec_id) AS c, min(vec_id) AS own FROM n GROUP BY label),

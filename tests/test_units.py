@@ -94,3 +94,29 @@ def test_query_is_a_loop_over_items(spark):
     got = [(x.doc, x.section, x.item, x.text.rstrip(".!?\"”")) for x in plans.QUERIES["f27_brief_units"](spark, d).collect()]
     assert want
     assert sorted(got) == sorted(want)
+
+
+def test_choices_that_a_document_does_not_make(spark):
+    sections = [
+        (1, 0, "Requirements", "requirements", ["Show the jar close up", "Link in bio"], 0), (1, 1, "Hook ideas", "alternatives", ["Open with a joke", "Tag us in every post"], 0),
+        (1, 2, "Back to school", "requirements", ["Wear a blue shirt today"], 0), (1, 3, "Approved claims", "claims", ["Tag us in every post"], 0),
+    ]
+    rows = [
+        (1, 1, "show the jar close up!", None, "g", "one_of", ""),  # a line, marks aside
+        (1, 2, "link in bio", None, "g", "any_of", ""),  # a short line as a whole
+        (1, 3, "link", "bio", "g", "one_of", ""),  # too short to be a part
+        (1, 4, "you must show the jar close up please", None, "g", "one_of", ""),  # has the line as a part
+        (1, 5, "Tag us in every post", None, "g", "one_of", ""),  # also an alternative
+        (1, 6, "Wear a blue shirt today", None, "g", "one_of", ""),  # no heading says so
+        (1, 7, "Open with a joke", "Show the jar close up", "g", "all_of", ""),  # no choice by its mode
+        (1, 8, "These statements have not been evaluated by the FDA", None, "g", "one_of", ""),
+        (1, 9, "* only while stocks last", None, "g", "all_of", ""), (1, 10, "any words", None, "g", "one_of", "Legal"), (1, 11, "any words #ad", None, None, "all_of", ""),
+        (2, 12, "Show the jar close up", None, "g", "one_of", ""), (None, 13, None, None, "g", "one_of", None),
+    ]
+    r = spark.createDataFrame(rows, "doc long, id long, text string, span string, choice string, choice_mode string, label string")
+    got = {x.id: x for x in units.ungrouped(r, spark.createDataFrame(sections, SECTIONS)).collect()}
+    assert len(got) == len(rows)
+    flags = {i: x.flag for i, x in got.items() if x.flag}
+    assert flags == {i: "UNGROUPED_BY_STRUCTURE:g" for i in (1, 2, 4)} | {i: "UNGROUPED_COMPLIANCE_LINE:g" for i in (8, 9, 10)}
+    assert all((x.choice, x.choice_mode) == (None, "all_of") for i, x in got.items() if i in flags)
+    assert got[6].choice == "g" and got[7].choice == "g" and got[11].choice is None

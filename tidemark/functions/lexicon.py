@@ -192,6 +192,19 @@ REFERENCE = r"^\s*(?:format\s+examples?|examples?|references?|inspo|inspiration|
 ONLY_LINK = r"^\s*https?://\S+\s*$"
 
 
+# Wording that must be there whatever else is chosen, marks that label it, and sections that hold it.
+COMPLIANCE = [
+    r"have\s+not\s+been\s+evaluated\s+by\s+the\s+(?:food\s+and\s+drug|fda)", r"not\s+intended\s+to\s+(?:diagnose|treat|cure|prevent)", r"these\s+statements\s+have\s+not\s+been",
+    r"not\s+(?:medical|health)\s+advice", r"consult\s+(?:your|a)\s+(?:doctor|physician|healthcare|gp|pharmacist)", r"individual\s+results", r"results\s+(?:may|can)\s+vary", r"not\s+a\s+substitute\s+for",
+    r"past\s+performance", r"capital\s+at\s+risk", r"not\s+(?:financial|investment)\s+advice", r"investments?\s+can\s+go\s+down", r"your\s+capital\s+is\s+at\s+risk",
+    r"drink\s+responsibly", r"gamble\s+responsibly", r"please\s+gamble", r"\b(?:18|21)\s*\+", r"over\s+(?:18|21)s?\s+only",
+    r"#\s?ad\b", r"#\s?sponsored\b", r"paid\s+partnership", r"paid\s+promotion", r"sponsored\s+by", r"gifted\s+by", r"in\s+partnership\s+with",
+    r"terms\s+(?:and|&)\s+conditions\s+apply", r"t\s?&\s?cs?\s+apply", r"always\s+read\s+the\s+label", r"use\s+only\s+as\s+directed",
+]
+COMPLIANCE_SHAPE = [r"^\s*(?:\*+|†|‡)\s*\S", r"^\s*(?:disclaimer|legal|mandatory|compliance|disclosure)\s*[:–-]"]
+COMPLIANCE_SECTION = r"\b(?:legal|disclaimer|compliance|mandator\w+|disclosure|fine\s*print|small\s*print)\b"
+
+
 def any_of(patterns: list[str]) -> str:
     """One pattern for all, without regard to case."""
     return "(?i)(?:" + "|".join(patterns) + ")"

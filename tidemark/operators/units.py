@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import cues
 from tidemark.functions import lexicon as lx
 
 # A numbered title, where a sentence ends, words that join two asks, and labels that only introduce.
@@ -44,6 +45,41 @@ def section_items(sections: DataFrame, doc: str = "doc") -> DataFrame:
     return items.withColumn("item", F.row_number().over(before.orderBy("item")).cast("long") - 1)
 
 
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]+", " "))
+
+
+#: Characters of a line that counts, and of one that counts where it is only a part of another.
+SHORTEST, PART = 4, 12
+
+
+def ungrouped(requirements: DataFrame, sections: DataFrame) -> DataFrame:
+    """requirements without the choices that their document doesn't make, and flags.
+
+    requirements: doc, id (unique), text, span, choice, choice_mode, label (of the choice). A line that must be there
+    by law is no alternative: `UNGROUPED_COMPLIANCE_LINE`. Nor is one that stands in a section whose heading says that
+    its lines are asks or claims, and in no section of alternatives: `UNGROUPED_BY_STRUCTURE`. It stands in a
+    section if its text or span, marks aside, is a line, or from PART characters on is a part of one or has it as a
+    part. What stands nowhere keeps its choice. Each is compared with the lines of its own document.
+    """
+    told = [F.col("heading").rlike(lx.any_of([*lx.SECTION_KINDS.get(k, []), *lx.SECTION_FIRST.get(k, [])])) & (F.col("kind") == k) for k in ("requirements", "claims")]
+    side = F.when(F.col("kind") == "alternatives", "alt").when(told[0] | told[1], "fixed")
+    lines = sections.select("doc", side.alias("side"), F.explode("lines").alias("line")).filter("side is not null")
+    lines = lines.select("doc", "side", _plain(F.col("line")).alias("line")).filter(F.length("line") >= SHORTEST).distinct()
+    legal = cues.has(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("span", F.lit(""))), lx.COMPLIANCE) | F.ltrim(F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("span", F.lit("")))).rlike(lx.any_of(lx.COMPLIANCE_SHAPE))
+    legal = F.col("choice").isNotNull() & (legal | F.coalesce("label", F.lit("")).rlike("(?i)" + lx.COMPLIANCE_SECTION))
+    rows = requirements.withColumn("legal", F.coalesce(legal, F.lit(False)))
+    asked = rows.filter(~F.col("legal") & F.col("choice").isNotNull() & F.col("choice_mode").isin("one_of", "any_of"))
+    needles = asked.select("doc", "id", F.explode(F.array_distinct(F.array(_plain(F.col("span")), _plain(F.col("text"))))).alias("n")).filter(F.length("n") >= SHORTEST)
+    within = (F.length("n") >= PART) & (F.contains("line", F.col("n")) | F.contains("n", F.col("line")))
+    placed = needles.join(lines, "doc").filter((F.col("n") == F.col("line")) | within).groupBy("id").agg(F.max(F.col("side") == "fixed").alias("fixed"), F.max(F.col("side") == "alt").alias("alt"))
+    out = rows.join(placed, "id", "left").withColumn("moved", F.coalesce(F.col("fixed") & ~F.col("alt"), F.lit(False)))
+    code = F.when(F.col("legal"), "UNGROUPED_COMPLIANCE_LINE:").when(F.col("moved"), "UNGROUPED_BY_STRUCTURE:")
+    gone = code.isNotNull()
+    changed = {"flag": F.concat(code, F.col("choice")), "choice": F.when(~gone, F.col("choice")), "choice_mode": F.when(gone, "all_of").otherwise(F.col("choice_mode"))}
+    return out.withColumns(changed).select(*requirements.columns, "flag")
+
+
 def asks_of(sentence: str) -> list[str]:
     """The asks of a sentence: a conjunction parts it only if what follows asks for something itself; a semicolon always does."""
     out: list[str] = []

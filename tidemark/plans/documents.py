@@ -10,8 +10,8 @@ from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
 from tidemark.operators import matching, repair, units
 from tidemark.operators import ranking as rk
-from tidemark.plans.text import HEADS, content, norm, toks
-from tidemark.registry import query
+from tidemark.plans.text import HEADS, _has, content, norm, toks
+from tidemark.registry import ORACLE, query
 from tidemark.tables import BRIEF_LINES_SQL, TIMELINE, asks, brief_lines, load, timeline
 
 LINES = "ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
@@ -128,6 +128,37 @@ def r30(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.when(~c, F.col("source")).alias("grp"))
 
 
+def _told(k: str) -> str:
+    return _has([*lx.SECTION_KINDS.get(k, []), *lx.SECTION_FIRST.get(k, [])], "heading")
+
+
+_PLAIN = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9 ]+', ' ', 'g'))"
+
+
+@query(
+    "r30_ungrouped",
+    f"""WITH s AS ({ORACLE["f22_sections"]}), l AS (SELECT doc, section, heading, kind, unnest(string_split(lines, '|')) AS line, generate_subscripts(string_split(lines, '|'), 1) - 1 AS nr FROM s WHERE lines <> ''),
+    r AS (SELECT doc, doc * 10000 + section * 100 + nr AS id, CASE WHEN (doc + nr) % 6 = 1 THEN line || ' #ad' ELSE line END AS text, CASE WHEN doc % 3 = 0 THEN upper(line) WHEN doc % 3 = 1 THEN substr(line, 1, 18) END AS span,
+      CASE WHEN (doc + section) % 4 > 0 THEN 'g' || section END AS choice, CASE WHEN doc % 5 = 0 THEN 'all_of' ELSE 'one_of' END AS choice_mode, CASE WHEN doc % 11 = 0 THEN 'Legal notes' ELSE heading END AS label FROM l),
+    x AS (SELECT doc, CASE WHEN kind = 'alternatives' THEN 'alt' ELSE 'fixed' END AS side, {_PLAIN.format("line")} AS line FROM l WHERE kind = 'alternatives' OR (kind = 'requirements' AND {_told("requirements")}) OR (kind = 'claims' AND {_told("claims")})),
+    j AS (SELECT *, choice IS NOT NULL AND ({_has(lx.COMPLIANCE, "text || ' ' || coalesce(span, '')")} OR {_has(lx.COMPLIANCE_SHAPE, "ltrim(text || ' ' || coalesce(span, ''))")} OR regexp_matches(label, '(?i){lx.COMPLIANCE_SECTION}')) AS legal FROM r),
+    n AS (SELECT doc, id, unnest([{_PLAIN.format("span")}, {_PLAIN.format("text")}]) AS n FROM j WHERE NOT legal AND choice IS NOT NULL AND choice_mode IN ('one_of', 'any_of')),
+    p AS (SELECT id, bool_or(side = 'fixed') AND NOT bool_or(side = 'alt') AS moved FROM n JOIN x USING (doc) WHERE length(n) >= 4 AND length(line) >= 4 AND (n = line OR (length(n) >= 12 AND (contains(line, n) OR contains(n, line)))) GROUP BY id)
+    SELECT id, CASE WHEN NOT legal AND NOT coalesce(moved, false) THEN choice END AS choice, CASE WHEN legal OR coalesce(moved, false) THEN 'all_of' ELSE choice_mode END AS choice_mode,
+      CASE WHEN legal THEN 'UNGROUPED_COMPLIANCE_LINE:' || choice WHEN moved THEN 'UNGROUPED_BY_STRUCTURE:' || choice END AS flag FROM j LEFT JOIN p USING (id)""",
+)
+def r30_ungrouped(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as requirements in choices; compliance lines and lines of fixed sections leave theirs."""
+    s = structure.sections(brief_lines(spark, d), "doc", "pos", "line")
+    at, line, doc = F.col("at"), F.col("line"), F.col("doc")
+    r = s.select("doc", "section", "heading", F.posexplode("lines").alias("at", "line")).select(
+        "doc", (doc * 10000 + F.col("section") * 100 + at).alias("id"), F.when((doc + at) % 6 == 1, F.concat(line, F.lit(" #ad"))).otherwise(line).alias("text"),
+        F.when(doc % 3 == 0, F.upper(line)).when(doc % 3 == 1, F.substring(line, 1, 18)).alias("span"), F.when((doc + F.col("section")) % 4 > 0, F.concat(F.lit("g"), F.col("section").cast("string"))).alias("choice"),
+        F.when(doc % 5 == 0, "all_of").otherwise("one_of").alias("choice_mode"), F.when(doc % 11 == 0, "Legal notes").otherwise(F.col("heading")).alias("label"),
+    )
+    return units.ungrouped(r, s).select("id", "choice", "choice_mode", "flag")
+
+
 @query("r31_claims_to_requirements", "SELECT item_id, 'claim' AS origin FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) UNION ALL SELECT doc_id, 'document' FROM labels WHERE quality = 1")
 def r31(spark: SparkSession, d: str) -> DataFrame:
     """A requirement for each claim that nothing covers, beside those there are."""

@@ -667,3 +667,38 @@ def test_semantic_rank_against_all_pairs(spark, monkeypatch):
         if rows:
             want[req] = [(i, c, -s + 0.0, by) for i, (s, _, c) in enumerate(sorted(rows)[:4], 1)]
     assert {q: sorted(r) for q, r in got.items()} == want
+
+
+def test_stored_results_are_checked_again(spark, tmp_path):
+    import glob
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.sources import Store
+
+    s, made = Store(spark, str(tmp_path)), []
+
+    def make():
+        made.append(1)
+        return spark.range(10).withColumn("twice", F.col("id") * 2)
+
+    def check(df):
+        return df.count() == 10 and df.filter("twice <> id * 2").isEmpty()
+
+    run = lambda c=check: s.run("double", "1", ["a"], {"n": 1}, make, c)
+    assert [run()[2], run()[2], len(made)] == [False, True, 1]
+    path = s.path("double", run()[1])
+    part = max(glob.glob(f"{path}/part-*"), key=os.path.getsize)
+    with open(part, "r+b") as f:  # cut off
+        f.truncate(os.path.getsize(part) // 2)
+    assert run()[2] is False and len(made) == 2 and run()[2] is True
+    spark.range(10).withColumn("twice", F.col("id") * 3).write.mode("overwrite").parquet(path)  # of an older stage
+    spark.catalog.refreshByPath(path)
+    df, _, hit = run()
+    assert (hit, len(made), df.agg(F.sum("twice")).first()[0]) == (False, 3, 90)
+    with pytest.raises(ValueError, match="fails its own check"):
+        s.run("double", "2", ["a"], {}, make, lambda df: False)
+    assert not os.path.exists(s.path("double", "x")) and not glob.glob(f"{tmp_path}/_made/*")
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(lambda _: s.run("many", "1", ["a"], {}, make, check)[0].count(), range(4)))
+    assert results == [10] * 4 and len(os.listdir(f"{tmp_path}/stage=many")) == 1 and not glob.glob(f"{tmp_path}/_made/*")

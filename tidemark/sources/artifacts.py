@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -53,11 +54,59 @@ class Store:
             return self.spark.read.parquet(aged[-1][1]), "fallback"
         return None, "missing"
 
-    def run(self, stage: str, version: str, inputs: Sequence[str], config: object, make: Callable[[], DataFrame]) -> tuple[DataFrame, str, bool]:
-        """(result, key, hit): the stored result, or make()'s, stored."""
+    def run(self, stage: str, version: str, inputs: Sequence[str], config: object, make: Callable[[], DataFrame], check: Callable[[DataFrame], bool] | None = None) -> tuple[DataFrame, str, bool]:
+        """(result, key, hit): the stored result, or make()'s, stored.
+
+        check: whether a result is one that this stage could have made (X5). A stored one that can't be read or fails it
+        is no hit and is made again under the same key; a new one that fails it is an error and isn't stored. A result is
+        written beside its place and put there by a rename, so readers see a whole one or none; of writers at
+        the same time one stays.
+        """
         key = stage_key(stage, version, inputs, config)
         path = self.path(stage, key)
-        hit = bool(self._there(path))
-        if not hit:
-            make().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path), key, hit
+        if self._there(path) and self._sound(path, check):
+            return self.spark.read.parquet(path), key, True
+        fresh = f"{self.root.rstrip('/')}/_made/{stage}-{key}-{uuid.uuid4().hex}"
+        make().write.parquet(fresh)
+        if check and not check(self.spark.read.parquet(fresh)):
+            self._delete(fresh)
+            raise ValueError(f"what stage {stage} made fails its own check")
+        self._put(fresh, path, check)
+        return self.spark.read.parquet(path), key, False
+
+    def _sound(self, path: str, check: Callable[[DataFrame], bool] | None) -> bool:
+        if not check:
+            return True
+        try:
+            return bool(check(self.spark.read.parquet(path)))
+        except Exception:  # whatever keeps it from being read: it is made again
+            return False
+
+    def _hadoop(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._hadoop(path)
+        fs.delete(p, True)
+
+    def _put(self, fresh: str, path: str, check: Callable[[DataFrame], bool] | None) -> None:
+        """Moves a result to its place, unless another writer has put a sound one there meanwhile."""
+        source, fs = self._hadoop(fresh)
+        target, _ = self._hadoop(path)
+        fs.mkdirs(target.getParent())
+        for _ in range(5):
+            if self._there(path) and self._sound(path, check):
+                break  # theirs is as good
+            if fs.exists(target):  # what failed goes aside first: a rename onto a folder would move into it
+                aside, _ = self._hadoop(f"{fresh}-old-{uuid.uuid4().hex}")
+                if fs.rename(target, aside):
+                    fs.delete(aside, True)
+            if not fs.exists(target) and fs.rename(source, target):
+                nested, _ = self._hadoop(f"{path}/{source.getName()}")
+                if fs.exists(nested):  # another writer was faster by a moment
+                    fs.delete(nested, True)
+                return
+        if not self._there(path):
+            raise OSError(f"no result could be put to {path}")
+        self._delete(fresh)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cues, structure
 from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
-from tidemark.operators import matching, repair, units
+from tidemark.operators import matching, repair, replies, units
 from tidemark.operators import ranking as rk
 from tidemark.plans.text import HEADS, _has, content, norm, toks
 from tidemark.registry import ORACLE, query
@@ -324,3 +324,18 @@ def geo(spark: SparkSession, d: str) -> DataFrame:
     both = F.greatest(F.lit(0), F.least(F.col("x") + 10, F.col("cx") + 10) - F.greatest("x", "cx")) * F.greatest(F.lit(0), F.least(F.col("y") + 5, F.col("cy") + 5) - F.greatest("y", "cy"))
     j = b.join(c, "p_partkey").withColumn("shared", both)
     return j.select(F.col("p_partkey").alias("p"), "shared", F.bround(F.col("shared").cast("double") / (100 - F.col("shared")), 6).alias("iou"), F.bround(F.col("shared").cast("double") / 50, 6).alias("containment"))
+
+
+@query("r11_two_rounds")
+def r11_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Asks judged in batches by a stand-in for a model: what it leaves out, judges in words that there aren't, or backs by made-up evidence is asked again, and then uncertain."""
+    rows = asks(spark, d).select(F.expr("id div 50").alias("key"), "id", F.array(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("offered"))
+    n = F.crc32(F.concat_ws(":", "id", "round").cast("binary")) % 10
+
+    def model(asked: DataFrame) -> DataFrame:
+        status = F.when(n == 1, "perhaps").when(F.col("id") % 3 == 0, "pass").otherwise("FAIL")
+        cited = F.when(n == 2, F.array(F.lit("e0x"))).otherwise(F.col("offered"))
+        return asked.filter(n != 0).select("key", "id", status.alias("status"), F.when(n > 5, "strong").otherwise("8/10").alias("alignment"), cited.alias("cited"), F.lit("seen").alias("reason"), F.lit(0).cast("long").alias("seq"))
+
+    out = replies.ask_twice(spark, rows, model)
+    return out.select("key", "id", "status", "alignment", F.array_join("cited", ",").alias("cited"), "rounds", "health", F.array_join("flags", "|").alias("flags"))

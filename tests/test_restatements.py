@@ -18,7 +18,8 @@ from tidemark.functions import lexicon as lx
 from tidemark.operators import sequential as sq
 from tidemark.operators import wording
 from tidemark.plans.text import BRIEF
-from tidemark.tables import ASKS
+from tidemark.plans.sequential import CAPTIONS, SEEN
+from tidemark.tables import ASKS, TIMELINE
 
 DATA = "/root/testdata/sf0.001"
 
@@ -314,3 +315,75 @@ def test_keys_are_whole(spark, name):
     rows = df.collect()
     assert rows
     assert all(r[0] is not None for r in rows)
+
+
+def by(rows: list[tuple], names: list[str], key: int) -> dict:
+    """Rows as dicts, by the value of one column."""
+    out = defaultdict(list)
+    for r in rows:
+        out[r[key]].append(dict(zip(names, r, strict=True)))
+    return out
+
+
+def times() -> list[tuple]:
+    duckdb.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{DATA}/events.parquet')")
+    return duckdb.sql(f"WITH {TIMELINE} SELECT video, event_id, t0, t1, modality, value, k FROM tl").fetchall()
+
+
+def test_w2_by_a_loop(spark):
+    rows = [(v, i, a, b, "held", SEEN[k % len(SEEN)]) for v, i, a, b, _, _, k in times()]
+    want = []
+    for video, own in by(rows, ["video", "id", "start", "end", "kind", "text"], 0).items():
+        open_: list[dict] = []
+        for r in sorted(own, key=lambda r: (r["start"], r["id"])):
+            last = open_[-1] if open_ else None
+            words = [t for t in phrases.content_tokens(r["text"]) if t not in lx.GOES_ON]
+            if last and r["start"] - last["end"] <= 86_400_000 and all(any(fuzzy.same_word(t, s) for s in last["said"]) for t in words):
+                last |= {"end": max(last["end"], r["end"]), "text": max(last["text"], r["text"], key=len), "n": last["n"] + 1}
+                last["said"] |= set(phrases.content_tokens(r["text"]))
+            else:
+                open_.append(r | {"n": 1, "said": set(phrases.content_tokens(r["text"]))})
+        want += [(video, o["id"], o["start"], o["end"], o["text"], o["n"]) for o in open_]
+    assert got(spark, "w2_event_merge", "video", "id", "start", "end", "text", "n") == sorted(want, key=repr)
+
+
+def test_w3_by_a_loop(spark):
+    want = []
+    rows = [(v, i, a, CAPTIONS[k % len(CAPTIONS)], value / 500, float(i % 3 * 4)) for v, i, a, _, _, value, k in times()]
+    for video, own in by(rows, ["video", "id", "t", "text", "sure", "x0"], 0).items():
+        found: list[dict] = []
+        for r in sorted(own, key=lambda r: (r["t"], r["text"], r["id"])):
+            box = (r["x0"], 0, r["x0"] + 5 * len(r["text"]), 10)
+            for o in found:
+                if r["t"] - o["end"] <= 3 * 86_400_000 and sq.one_caption(r["text"], box, o["text"], o["box"]):
+                    o |= {"end": r["t"], "n": o["n"] + 1}
+                    if (len(r["text"]), r["sure"]) > (len(o["text"]), o["best"]):
+                        o |= {"text": r["text"], "box": box}
+                    o["best"] = max(o["best"], r["sure"])
+                    break
+            else:
+                found.append({"start": r["t"], "end": r["t"], "text": r["text"], "box": box, "n": 1, "best": r["sure"]})
+        kept = sorted((o["start"], o["end"], o["text"], o["box"][0], o["n"], o["best"]) for o in found if o["n"] >= 2 or o["best"] >= 0.85)
+        want += [(video, i, a, b, t, n, s) for i, (a, b, t, _, n, s) in enumerate(kept, 1)]
+    assert got(spark, "w3_text_intervals", "video", "number", "start", "end", "text", "n", "best") == sorted(want, key=repr)
+
+
+def test_w9_by_a_loop(spark):
+    want = []
+    for label, own in by(read("embeddings", "label, vec_id, embedding"), ["label", "idx", "v"], 0).items():
+        last, skipped = None, 0
+        for r in sorted(own, key=lambda r: r["idx"]):
+            skip = last is not None and skipped < 3 and sum(abs(x - y) >= 0.15 for x, y in zip(last, r["v"], strict=True)) < 40
+            skipped = skipped + 1 if skip else 0
+            last = last if skip else r["v"]
+            want.append((label, r["idx"], not skip))
+    assert got(spark, "w9_duplicate_run_cap", "label", "idx", "read") == sorted(want, key=repr)
+    assert {w[2] for w in want} == {True, False}
+
+
+def test_boxes_by_a_loop(spark):
+    rows = [(b, i, float(s), i % 7 * 10.0, s + 3.0, i % 7 * 10 + 8.0) for b, i, s in read("part", "p_brand, p_partkey, p_size")]
+    want = []
+    for brand, own in by(rows, ["brand", "id", "x0", "y0", "x1", "y1"], 0).items():
+        want += [(brand, r["id"], r["line"]) for r in sq.box_lines(sorted(own, key=lambda r: (r["x0"], r["y0"], r["id"])))]
+    assert got(spark, "box_lines", "p_brand", "id", "line") == sorted(want, key=repr)

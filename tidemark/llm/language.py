@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import blocks, fold, table, worker_cache
+from tidemark.llm.common import fold, table, worker_cache
 
 UNKNOWN = "und"
 #: Bounds of the sample that the dictionaries are made of: texts and bytes a language.

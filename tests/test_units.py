@@ -69,7 +69,6 @@ def test_units_of_documents(spark):
 
 
 def test_query_is_a_loop_over_items(spark):
-    from tests.oracle import TABLES  # noqa: F401
     from tidemark import plans
     from tidemark.functions import structure
     from tidemark.tables import brief_lines

@@ -164,8 +164,3 @@ def column(f: Callable[[str, str], float], a: Column, b: Column) -> Column:
         return pd.Series([None if p is None or q is None else float(f(p, q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return run(a, b)
-
-
-def may_reach(a: Column, b: Column, least: float) -> Column:
-    """Whether lengths allow a ratio of `least`: a native filter before the Python one."""
-    return F.least(F.length(a), F.length(b)) * 200 >= (F.length(a) + F.length(b)) * least

@@ -538,7 +538,7 @@ def test_sections_of_a_document(spark):
     ]
 
 
-@pytest.mark.parametrize(("score", "least"), [("ratio", 99.75), ("ratio", 100), ("ratio", 97), ("token_set", 99)])
+@pytest.mark.parametrize(("score", "least"), [("ratio", 99.75), ("ratio", 100), ("ratio", 98.5), ("token_set", 99)])
 def test_long_texts_meet(spark, score, least):
     r = random.Random(9)
     some = ["".join(r.choices("abcdefgh ", k=n)).strip() for n in (300, 405, 500, 900)]

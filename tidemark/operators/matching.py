@@ -86,13 +86,13 @@ def piece_lengths(least: float, lengths: Iterable[int]) -> list[int]:
 #: From here on a piece has a character at least.
 LEAST_LIKENESS = 70
 #: Characters that two texts to compare may differ in: their keys grow with the square of it.
-MOST_EDITS = 64
+MOST_EDITS = 32
 
 
-def _places(n: Column, m: Column, least: float) -> tuple[Column, Column]:
-    """Edits between texts of n and m characters alike at `least`, and whether so many are too many to look for."""
+def _edits(n: Column, m: Column, least: float) -> Column:
+    """Edits between texts of n and m characters alike at `least`; an error if they are too many to look for."""
     d = F.floor((n + m) * ((100 - least) / 100) + 1e-9).cast("int")
-    return d, d > MOST_EDITS
+    return F.when(d > MOST_EDITS, F.raise_error(F.lit(f"texts that differ in over {MOST_EDITS} characters are too long for alike()")).cast("int")).otherwise(d)
 
 
 def piece_keys(text: Column, least: float) -> Column:
@@ -100,10 +100,10 @@ def piece_keys(text: Column, least: float) -> Column:
     n = F.length(text)
 
     def of(m: Column) -> Column:
-        d, far = _places(n, m, least)
+        d = _edits(n, m, least)
         cut = lambda i: F.floor(i * n / (d + 1)).cast("int")
         piece = lambda i: F.struct(n.alias("n"), m.alias("m"), i.alias("i"), F.substring(text, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"))
-        return F.transform(F.sequence(F.lit(0), F.when(far, F.raise_error(F.lit(f"texts that differ in over {MOST_EDITS} characters are too long for alike()"))).otherwise(d)), piece)
+        return F.transform(F.sequence(F.lit(0), d), piece)
 
     return F.flatten(F.transform(F.sequence(*_lengths(n, least)), of))
 
@@ -117,7 +117,7 @@ def stretch_keys(text: Column, least: float) -> Column:
     m = F.length(text)
 
     def of(n: Column) -> Column:
-        d, _ = _places(n, m, least)
+        d = _edits(n, m, least)
         cut = lambda i: F.floor(i * n / (d + 1)).cast("int")
 
         def places(i: Column) -> Column:
@@ -127,7 +127,7 @@ def stretch_keys(text: Column, least: float) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), d), places))
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(*_lengths(m, least)), of)))
+    return F.flatten(F.transform(F.sequence(*_lengths(m, least)), of))
 
 
 def _lengths(n: Column, least: float) -> tuple[Column, Column]:
@@ -136,10 +136,11 @@ def _lengths(n: Column, least: float) -> tuple[Column, Column]:
 
 
 def meeting(x: DataFrame, y: DataFrame, least: float, score: str) -> DataFrame:
-    """a, b: pairs of the texts a of x and b of y that share a key, some more than once."""
+    """a, b: pairs of the texts a of x and b of y that share a key (by its hash), some more than once."""
     order = lambda c: F.col(c) if score == "ratio" else F.array_join(F.array_sort(F.array_distinct(F.split(c, " +"))), " ")
-    a = x.select("a", order("a").alias("t")).select("a", F.explode(piece_keys(F.col("t"), least)).alias("k"))
-    b = y.select("b", order("b").alias("t")).select("b", F.explode(stretch_keys(F.col("t"), least)).alias("k"))
+    hashed = lambda keys: F.transform(keys, lambda k: F.xxhash64(k["n"], k["m"], k["i"], k["piece"]))
+    a = x.select("a", order("a").alias("t")).select("a", F.explode(hashed(piece_keys(F.col("t"), least))).alias("k"))
+    b = y.select("b", order("b").alias("t")).select("b", F.explode(F.array_distinct(hashed(stretch_keys(F.col("t"), least)))).alias("k"))
     met = a.join(b, "k").select("a", "b")
     if score == "token_set":
         words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " +"))).alias("w"))

@@ -222,7 +222,7 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "part")
     costs = wording.word_costs(p.select(F.explode(F.split("p_name", " ")).alias("w")))
     joined = F.regexp_replace("p_name", " ", "")
-    run = F.when(F.col("p_partkey") % 11 == 0, "LINKinBIO now").when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("Get"), F.initcap(joined), F.lit("-20%off"))).otherwise(joined)
+    run = F.when(F.col("p_partkey") % 11 == 0, "LINKinBIO now").when(F.col("p_partkey") % 7 == 0, F.concat(F.initcap(joined), F.lit("-20%off"))).otherwise(joined)
     return wording.restored(spark, p.select("p_partkey", run.alias("run")), "p_partkey", "run", costs).withColumnRenamed("text", "run")
 
 

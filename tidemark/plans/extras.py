@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fuzzy, parsing, phrases
 from tidemark.operators import ranking as rk
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, UNITS, asks, load, timeline, units
+from tidemark.tables import TIMELINE, UNITS, asks, load, per_text, timeline, units
 
 
 @query("w13_ordinals", f"WITH {UNITS} SELECT video, id, q, row_number() OVER (PARTITION BY video ORDER BY id, q, polarity, dimension, flag) AS ordinal FROM un WHERE status <> 'NOT_APPLICABLE'")
@@ -52,7 +52,7 @@ HINTS = ["heal", "20% off", "clinically proven", "dermatologist recommended", "s
 @query("f17_hint_score")
 def f17(spark: SparkSession, d: str) -> DataFrame:
     """The best of a requirement's hints in a record, and which: a hint as words scores 100, one of several words or eight letters as far as it is like a part of the record."""
-    return asks(spark, d).select("id", "text", fuzzy.hint_score(HINTS, F.lower("text")).alias("best")).select("id", "text", "best.*")
+    return per_text(asks(spark, d), "text", lambda t: t.withColumn("best", fuzzy.hint_score(HINTS, F.lower("text")))).select("id", "text", "best.*")
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Milliseconds that one unit of an event's value lasts on the timeline.
@@ -13,6 +15,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str | Column) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has, however few bytes they are: for much work a row."""
+    # by a hash of the columns, as an exchange by the columns themselves may go for one that is there, which adaptive execution makes few tasks of
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by))
+
+
+def per_text(df: DataFrame, text: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that made(its distinct texts) adds to them: equal texts are worked on once, spread over all tasks."""
+    kinds = made(spread(df.select(text).distinct(), text)).withColumnRenamed(text, "_text")
+    return df.join(kinds, F.col(text).eqNullSafe(F.col("_text"))).drop("_text")
+
+
 #: Requirement texts, a part's name in place of {}.
 ASKS = [
     "Show the {} in the first three seconds.",

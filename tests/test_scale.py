@@ -30,7 +30,7 @@ def test_per_text(spark):
     assert seen.value == 5 and tasks == [4]
 
 
-@pytest.mark.parametrize("name", ["f17_hint_score"])
+@pytest.mark.parametrize("name", ["f17_hint_score", "f9_caption_similarity"])
 def test_once_a_text(spark, name):
     """Python works on distinct texts that are dealt over all tasks."""
     plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()

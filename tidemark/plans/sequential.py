@@ -15,7 +15,7 @@ from tidemark.operators import matching, selection, wording
 from tidemark.operators import sequential as sq
 from tidemark.plans.text import inferred
 from tidemark.registry import query
-from tidemark.tables import TIMELINE, asks, load, timeline
+from tidemark.tables import TIMELINE, asks, load, per_text, timeline
 
 
 @query("p5_compression_ratio")
@@ -51,8 +51,9 @@ def captioned(a: Column, b: Column) -> Column:
 @query("f9_caption_similarity")
 def f9(spark: SparkSession, d: str) -> DataFrame:
     """Asks against the plain form of the same part's ask: the best of four likenesses and which it is."""
-    a = asks(spark, d).filter("id % 5 < 3").withColumn("other", F.concat(F.lit("you see "), F.replace(tx.normalize_text(F.col("text")), F.lit("the "), F.lit("this "))))
-    return a.select("id", "text", "other", captioned(F.col("text"), F.col("other")).alias("s")).select("id", "text", "other", "s.*")
+    other = F.concat(F.lit("you see "), F.replace(tx.normalize_text(F.col("text")), F.lit("the "), F.lit("this ")))
+    a = per_text(asks(spark, d).filter("id % 5 < 3"), "text", lambda t: t.withColumn("other", other).withColumn("s", captioned(F.col("text"), F.col("other"))))
+    return a.select("id", "text", "other", "s.*")
 
 
 @query("j4_phrase_ocr")

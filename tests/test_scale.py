@@ -30,12 +30,12 @@ def test_per_text(spark):
     assert seen.value == 5 and tasks == [4]
 
 
-@pytest.mark.parametrize("name", ["f17_hint_score", "f9_caption_similarity"])
+@pytest.mark.parametrize("name", ["f17_hint_score", "f9_caption_similarity", "r4_fuzzy_phrases", "r22_claim_candidates"])
 def test_once_a_text(spark, name):
     """Python works on distinct texts that are dealt over all tasks."""
     plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     python, dealt = plan.index("ArrowEvalPython"), plan.index("REPARTITION_BY_NUM")
-    assert python < dealt < plan.index("HashAggregate", dealt)
+    assert python < dealt < plan.index("HashAggregate", dealt) and plan.count("ArrowEvalPython") == 1
 
 
 def test_partial_ratio_asks_few_windows(monkeypatch):
@@ -46,3 +46,16 @@ def test_partial_ratio_asks_few_windows(monkeypatch):
         a, b = ("".join(r.choice("abcd ") for _ in range(r.randint(1, n))) for n in (12, 60))
         s, t = sorted((a, b), key=len)
         assert fuzzy.partial_ratio(a, b) == max(ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)))
+
+
+def test_terms_held_are_sought_by_pieces(monkeypatch):
+    """A ratio is asked for only where a piece of the term stands; what holds a term is what brute force finds."""
+    asked, r = [], random.Random(5)
+    full = fuzzy.term_ratio
+    monkeypatch.setattr(fuzzy, "term_ratio", lambda t, h: asked.append(t) or full(t, h))
+    assert not fuzzy.holds_term("dermatologist recommended", "hold the white jar close up, then say its name aloud", 90) and not asked
+    assert fuzzy.holds_term("dermatologist recommended", "a dermatolgist recommended serum", 90) and asked
+    for _ in range(2000):
+        term, hay = ("".join(r.choice("abcd ") for _ in range(r.randint(1, n))) for n in (16, 50))
+        least = r.choice([70, 80, 90, 95])
+        assert fuzzy.holds_term(term, hay, least) == (full(term, hay) >= least)

@@ -81,7 +81,7 @@ def claim_candidate(text: Column) -> Column:
     said = [F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p, _ in lx.CLAIM_WORDINGS]
     hits = F.array_distinct(F.array_compact(F.array(*terms, *said)))
     klass = F.coalesce(*(F.when(low.rlike(p), k) for p, k in lx.CLAIM_WORDINGS))
-    return F.when(F.size(hits) > 0, F.struct(hits.alias("all_terms"), klass.alias("klass")))
+    return tx.bound(hits, lambda h: F.when(F.size(h) > 0, F.struct(h.alias("all_terms"), klass.alias("klass"))))
 
 
 def banned_wording(text: Column) -> Column:

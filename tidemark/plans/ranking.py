@@ -16,7 +16,7 @@ from tidemark.operators import ranking as rk
 from tidemark.operators import verdicts as vd
 from tidemark.plans.text import figures_sql
 from tidemark.registry import query
-from tidemark.tables import ASKS_SQL, TIMELINE, UNITS, asks, load, timeline, units
+from tidemark.tables import ASKS_SQL, TIMELINE, UNITS, asks, load, per_text, timeline, units
 
 
 @query("k1_rank_candidates", f"WITH {TIMELINE} SELECT video, event_id, row_number() OVER (PARTITION BY video ORDER BY k DESC, t0, event_id) AS rank FROM tl")
@@ -326,7 +326,7 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
 def r4_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """The best hint of each requirement in a record: 85 passes, else it goes on; a lone word goes on even so where it is one of a group's options."""
     hints = ["dermatologist recommended", "clinically proven", "score", "shop now"]
-    best = asks(spark, d).select("id", "text", fuzzy.hint_score(hints, F.lower("text")).alias("best"), (F.col("id") % 4 == 0).alias("grouped")).select("id", "text", "grouped", "best.*")
+    best = per_text(asks(spark, d), "text", lambda t: t.withColumn("best", fuzzy.hint_score(hints, F.lower("text")))).select("id", "text", (F.col("id") % 4 == 0).alias("grouped"), "best.*")
     lone = F.col("grouped") & ~F.contains("hint", F.lit(" "))
     return best.withColumn("status", F.when((F.col("score") >= 85) & ~lone, "PASS").otherwise("ESCALATE"))
 
@@ -412,15 +412,19 @@ def p19(spark: SparkSession, d: str) -> DataFrame:
 @query("r22_claim_candidates")
 def r22(spark: SparkSession, d: str) -> DataFrame:
     """Records that may make a claim: up to six of their terms and wordings, sorted, and the class of the first wording (long terms also where they are alike at 90)."""
-    low, long = F.lower(F.trim("text")), [t for t in lx.CLAIM_TERMS if len(t) >= fuzzy.SHORT_TERM or " " in t]
+    long = [t for t in lx.CLAIM_TERMS if len(t) >= fuzzy.SHORT_TERM or " " in t]
 
-    @F.pandas_udf("array<string>")
-    def near(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [t for t in long if fuzzy.term_ratio(t, x) >= 90])
+    @F.pandas_udf("string")
+    def terms(low: pd.Series, hits: pd.Series) -> pd.Series:
+        near = lambda x: [] if x is None else [t for t in long if fuzzy.holds_term(t, x, 90)]
+        return pd.Series([",".join(sorted({*near(x), *(() if h is None else h)})[:6]) for x, h in zip(low, hits, strict=True)], dtype=object)
 
-    a = asks(spark, d).withColumn("c", cues.claim_candidate(F.col("text"))).withColumn("near", near(low))
-    terms = F.slice(F.array_sort(F.array_union(F.coalesce("c.all_terms", F.array().cast("array<string>")), "near")), 1, 6)
-    return a.select("id", "text", F.array_join(terms, ",").alias("terms"), F.col("c.klass").alias("klass")).filter("terms <> ''")
+    def of(t: DataFrame) -> DataFrame:
+        c = t.select("text", cues.claim_candidate(F.col("text")).alias("c"))
+        # said to be nondeterministic, as else the filter is pushed below the exchanges, to each row in its small file
+        return c.select("text", terms.asNondeterministic()(F.lower(F.trim("text")), F.col("c.all_terms")).alias("terms"), F.col("c.klass").alias("klass"))
+
+    return per_text(asks(spark, d), "text", of).select("id", "text", "terms", "klass").filter("terms <> ''")
 
 
 @query("r22_claim_wordings", f"WITH {ASKS_SQL} SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for p, k in lx.CLAIM_WORDINGS) + " END AS klass FROM asks")

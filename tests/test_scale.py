@@ -59,3 +59,11 @@ def test_terms_held_are_sought_by_pieces(monkeypatch):
         term, hay = ("".join(r.choice("abcd ") for _ in range(r.randint(1, n))) for n in (16, 50))
         least = r.choice([70, 80, 90, 95])
         assert fuzzy.holds_term(term, hay, least) == (full(term, hay) >= least)
+
+
+@pytest.mark.parametrize("name", ["f29_infer_type"])
+def test_patterns_once_a_text(spark, name):
+    """Ladders of patterns are worked out above an exchange of distinct texts, not on the rows of a small file."""
+    plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line)
+    assert any("RLIKE" in line for line in plan[:at]) and not any("RLIKE" in line for line in plan[at:])

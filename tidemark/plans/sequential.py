@@ -206,7 +206,8 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
 def r33(spark: SparkSession, d: str) -> DataFrame:
     """Prohibitions of a brief that share 60 % of the smaller hint set, or are about figures of one claim class, merge."""
     t = F.col("text")
-    a = inferred(spark, d).filter("polarity = 'forbidden' or id % 3 = 0").select((F.col("id") % 4).alias("grp"), "id", "text", cues.match_hints(t).alias("hints"), cues.claim_classes(t).alias("classes"), F.exists(tx.figures(t), lambda f: f.unit != "").alias("figures"))
+    made = {"hints": cues.match_hints(t), "classes": cues.claim_classes(t), "figures": F.exists(tx.figures(t), lambda f: f.unit != "")}
+    a = inferred(spark, d, made).filter("polarity = 'forbidden' or id % 3 = 0").select((F.col("id") % 4).alias("grp"), "id", "text", *made)
     return sq.streamed(a.withColumn("size", -F.length("text")), ["grp"], ["size", "id"], sq.merge_rules, "grp long, id long, text string, hints string, merged long")
 
 
@@ -248,10 +249,10 @@ def x3(spark: SparkSession, d: str) -> DataFrame:
 def j15(spark: SparkSession, d: str) -> DataFrame:
     """Requirements of a brief that are alike at 88 or share 0.8 of their content tokens merge into the first that stays; alternatives of a choice don't."""
     t, at = F.col("text"), F.col("id")
-    a = inferred(spark, d).select(
+    a = inferred(spark, d, {"hints": cues.match_hints(t), "classes": cues.claim_classes(t)}).select(
         F.expr("id div 120").alias("brief"), "id", "kind", "text", F.when(at % 13 == 0, F.concat(F.lit("c"), (at % 39).cast("string"))).alias("choice"), "priority", F.coalesce("mode", F.lit("any")).alias("mode"),
         F.when(at % 5 == 0, at % 30 + 3).alias("deadline"), F.when(at % 7 == 3, F.concat(F.lit("0-"), (at % 9).cast("string"))).alias("window"),
-        cues.match_hints(t).alias("hints"), F.array(F.concat_ws(" ", F.lit("see"), F.col("kind"))).alias("criteria"), cues.claim_classes(t).alias("classes"),
+        "hints", F.array(F.concat_ws(" ", F.lit("see"), F.col("kind"))).alias("criteria"), "classes",
     )
     m = selection.merge_requirements(a)
     return m.select("brief", "id", "ordinal", "choice", "alone", "priority", "mode", "deadline", "window", *(F.array_join(c, ",").alias(c) for c in ("hints", "criteria", "classes", "merged")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_restatements import DATA
 from tidemark import plans, tables
-from tidemark.functions import fuzzy
+from tidemark.functions import fuzzy, phrases
 
 
 def test_per_text(spark):
@@ -67,3 +67,16 @@ def test_patterns_once_a_text(spark, name):
     plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line)
     assert any("RLIKE" in line for line in plan[:at]) and not any("RLIKE" in line for line in plan[at:])
+
+
+def test_equal_words_are_compared_once(monkeypatch):
+    """A run of events works on each text and each pair of words once."""
+    from tidemark.operators import sequential as sq
+
+    asked, full = [], phrases.content_tokens
+    sq._facts.cache_clear()
+    monkeypatch.setattr(phrases, "content_tokens", lambda t: asked.append(t) or full(t))
+    texts = ["she holds the jar", "she is holding a jar"] * 50
+    rows = [{"id": i, "start": i, "end": i, "kind": "k", "text": t} for i, t in enumerate(texts)]
+    assert [(r["id"], r["n"]) for r in sq.merge_events(rows, 1)] == [(0, 100)]
+    assert sorted(asked) == sorted(set(texts))

@@ -8,6 +8,7 @@ the frames of one video, the lines of one brief.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions import fuzzy, phrases
 from tidemark.functions import lexicon as lx
+from tidemark.tables import spread
 
 
 def per_key(df: DataFrame, keys: list[str], run: Callable[[list[dict]], Iterable[dict]], schema: T.StructType | str) -> DataFrame:
@@ -46,12 +48,17 @@ def streamed(df: DataFrame, keys: list[str], order: list[str | Column], run: Cal
                     out = []
         yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(go, schema)
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(go, schema)
+
+
+# what comes again, of texts and of pairs of words, is kept within bounds
+_facts = lru_cache(maxsize=4096)(lambda text: tuple(phrases.content_tokens(text)))
+_same_word = lru_cache(maxsize=65_536)(fuzzy.same_word)
 
 
 def no_new_fact(said: set[str], text: str, least: float = 80) -> bool:
     """Whether every content word of the text is among those that were said, goes on, or is another form of one."""
-    return all(t in lx.GOES_ON or any(fuzzy.same_word(t, s, least) for s in said) for t in phrases.content_tokens(text))
+    return all(t in said or t in lx.GOES_ON or any(_same_word(t, s, least) for s in said) for t in _facts(text))
 
 
 def merge_events(rows: Iterable[dict], gap: float) -> Iterator[dict]:
@@ -71,7 +78,7 @@ def merge_events(rows: Iterable[dict], gap: float) -> Iterator[dict]:
                 yield last
             last = {k: r[k] for k in ("id", "start", "end", "kind", "text")} | {"n": 1}
             said = set()
-        said |= set(phrases.content_tokens(r["text"]))
+        said.update(_facts(r["text"]))
     if last:
         yield last
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cues, expressions, parsing
 from tidemark.functions import text as tx
+from tidemark.tables import per_text
 
 # The words each field may have, where a type is sought if nothing says so, and phrases for the end of a video.
 TYPES = ["hook", "visual", "speech", "speech_or_text", "demonstration", "audience", "cta", "policy", "brand", "timing", "other"]
@@ -118,14 +119,15 @@ def repair_requirements(rows: DataFrame, documents: DataFrame, claims: DataFrame
     known = F.filter("said_classes", lambda x: F.lower(x).isin(CLAIMS))
     unknown = F.filter("said_classes", lambda x: ~F.lower(x).isin(CLAIMS))
     cue = cues.evidence_mode(t)
-    rows = rows.withColumns({"cue_mode": cue, "cue_polarity": cues.polarity(t), "rule": parsing.temporal_window(t), "cue_type": cues.requirement_type(t, cue), "classes": known})
+    said = {"cue_mode": cue, "cue_polarity": cues.polarity(t), "rule": parsing.temporal_window(t), "cue_type": cues.requirement_type(t, cue), "cue_classes": cues.claim_classes(t), "cue_hints": cues.match_hints(t), "at_the_end": cues.has(t, AT_THE_END), "said_numbers": F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)"), 1)}
+    rows = per_text(rows, "text", lambda texts: texts.withColumns(said)).withColumn("classes", known)
     rows = rows.withColumns({
         "rule_deadline": F.when(~F.col("rule.from_end") & (F.col("rule.lo") == 0), F.col("rule.hi").cast("double")),
         "rule_start": F.when(F.col("rule.from_end"), _said("duration - ", F.col("rule.hi"))),
         "start_ok": _valid("start_expr"), "end_ok": _valid("end_expr"),
     })
     numbers = F.array_distinct(F.regexp_extract_all("start_expr", F.lit(r"(\d+(?:\.\d+)?)"), 1))
-    unsaid = F.filter(numbers, lambda x: ~F.array_contains(F.regexp_extract_all("text", F.lit(r"(\d+(?:\.\d+)?)"), 1), x))
+    unsaid = F.filter(numbers, lambda x: ~F.array_contains("said_numbers", x))
     c = F.col
     fallback = F.coalesce(c("cue_mode"), F.try_element_at(F.create_map(*[F.lit(x) for kv in MODE_OF_TYPE.items() for x in kv]), c("type")), F.lit("any"))
     first = repaired(rows, [
@@ -151,11 +153,11 @@ def repair_requirements(rows: DataFrame, documents: DataFrame, claims: DataFrame
         Repair(c("rule_start") != c("start_expr"), _said("WINDOW_DISAGREES_WITH_BRIEF:model=", c("start_expr"), ";rules=", c("rule_start"))),
         Repair(c("rule_start").isNull() & c("start_expr").isNotNull() & (F.size(unsaid) > 0), _said("WINDOW_UNSUPPORTED_BY_BRIEF:", c("start_expr"), ";not_in_brief=", F.array_join(unsaid, ","))),
         Repair(c("rule_start").isNotNull() & c("start_expr").isNull() & c("window_start").isNull(), _said("WINDOW_MISSED_BY_MODEL:rules_found=", c("rule_start")), {"end_expr": F.lit("duration"), "start_expr": c("rule_start")}),
-        Repair(cues.has(t, AT_THE_END) & c("window_start").isNotNull() & c("start_expr").isNull(), _said("END_RELATIVE_HARDCODED:", c("window_start"), "->", end_window), {"end_expr": F.coalesce("end_expr", F.lit("duration")), "start_expr": end_window, "window_start": none, "window_end": none}),
+        Repair(c("at_the_end") & c("window_start").isNotNull() & c("start_expr").isNull(), _said("END_RELATIVE_HARDCODED:", c("window_start"), "->", end_window), {"end_expr": F.coalesce("end_expr", F.lit("duration")), "start_expr": end_window, "window_start": none, "window_end": none}),
         Repair(c("window_start") > c("window_end"), _said("WINDOW_INVERTED:", c("window_start"), ">", c("window_end")), {"window_start": c("window_end"), "window_end": c("window_start")}),
         Repair(F.size(unknown) > 0, _said("CLAIM_CLASS_OUT_OF_ENUM:", F.array_join(F.slice(unknown, 1, 3), ","))),
-        Repair((c("polarity") == "forbidden") & (F.size("classes") == 0), _said("CLAIM_CLASSES_MISSING->", F.array_join(cues.claim_classes(t), ",")), {"classes": cues.claim_classes(t)}),
-        Repair(F.size("hints") == 0, F.lit("MATCH_HINTS_MISSING:generated_from_rules"), {"hints": cues.match_hints(t)}),
+        Repair((c("polarity") == "forbidden") & (F.size("classes") == 0), _said("CLAIM_CLASSES_MISSING->", F.array_join("cue_classes", ",")), {"classes": c("cue_classes")}),
+        Repair(F.size("hints") == 0, F.lit("MATCH_HINTS_MISSING:generated_from_rules"), {"hints": c("cue_hints")}),
     ])
     given = second.withColumn("quoted", c("span"))
     given = repaired(given, [span_flag])

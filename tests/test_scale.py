@@ -80,3 +80,25 @@ def test_equal_words_are_compared_once(monkeypatch):
     rows = [{"id": i, "start": i, "end": i, "kind": "k", "text": t} for i, t in enumerate(texts)]
     assert [(r["id"], r["n"]) for r in sq.merge_events(rows, 1)] == [(0, 100)]
     assert sorted(asked) == sorted(set(texts))
+
+
+def test_options_of_one_text_are_compared_once():
+    """Claims are those of the loop over all options, and two texts are compared once however often they occur."""
+    from tidemark.operators import sequential as sq
+
+    def loop(requirements, options, same):
+        left, out = sorted(options, key=lambda o: o["pos"]), []
+        for r in sorted(requirements, key=lambda r: r["pos"]):
+            hit = next((o for o in left if same(r["text"], o["text"])), None)
+            if hit is not None:
+                left.remove(hit)
+            out.append({"text": r["text"], "option": hit["text"] if hit else None, "added": False})
+        return out + [{"text": o["text"], "option": o["text"], "added": True} for o in left]
+
+    r, asked = random.Random(6), []
+    close = lambda a, b: abs(ord(a) - ord(b)) <= 1
+    for _ in range(100):
+        want, have = ([{"pos": p, "text": r.choice("abcdefg")} for p in r.sample(range(99), r.randint(0, 40))] for _ in range(2))
+        asked.clear()
+        assert sq.claim_options(want, have, lambda a, b: asked.append((a, b)) or close(a, b)) == loop(want, have, close)
+        assert len(asked) == len(set(asked))

@@ -7,6 +7,7 @@ the frames of one video, the lines of one brief.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -196,14 +197,19 @@ def cover_shots(rows: list[dict], floor: int, total: int) -> list[dict]:
 
 def claim_options(requirements: list[dict], options: list[dict], same: Callable[[str, str], bool]) -> list[dict]:
     """Greedy one-to-one matching (J13): each requirement claims the first unclaimed like option; unclaimed ones are added."""
-    left = sorted(options, key=lambda o: o["pos"])
+    ordered = sorted(options, key=lambda o: o["pos"])
+    waiting: dict[str, deque[int]] = {}  # of each text the options that are unclaimed, in order
+    for i, o in enumerate(ordered):
+        waiting.setdefault(o["text"], deque()).append(i)
+    like: dict[str, list[deque[int]]] = {}  # two texts are compared once
     out = []
     for r in sorted(requirements, key=lambda r: r["pos"]):
-        hit = next((o for o in left if same(r["text"], o["text"])), None)
-        if hit is not None:
-            left.remove(hit)
-        out.append({"text": r["text"], "option": hit["text"] if hit else None, "added": False})
-    return out + [{"text": o["text"], "option": o["text"], "added": True} for o in left]
+        if r["text"] not in like:
+            like[r["text"]] = [left for text, left in waiting.items() if same(r["text"], text)]
+        first = min((left for left in like[r["text"]] if left), key=lambda left: left[0], default=None)
+        out.append({"text": r["text"], "option": ordered[first.popleft()]["text"] if first else None, "added": False})
+    added = sorted(i for left in waiting.values() for i in left)
+    return out + [{"text": ordered[i]["text"], "option": ordered[i]["text"], "added": True} for i in added]
 
 
 def merge_rules(rows: Iterable[dict], share: float = 0.6) -> Iterator[dict]:

@@ -102,3 +102,15 @@ def test_options_of_one_text_are_compared_once():
         asked.clear()
         assert sq.claim_options(want, have, lambda a, b: asked.append((a, b)) or close(a, b)) == loop(want, have, close)
         assert len(asked) == len(set(asked))
+
+
+def test_windows_are_normalised_by_tokens(monkeypatch):
+    """Windows of a row are made of tokens that are normalised once each, and are what normalize_text makes of them."""
+    words, r = ["the", "twenty", "five", "two", "hundred", "%", "$", "5", "20%", "well-known", "it's", "-", "Σας", "percent"], random.Random(7)
+    for _ in range(300):
+        tokens = [r.choice(words) for _ in range(r.randint(1, 12))]
+        for n in range(1, len(tokens) + 1):
+            want = [phrases.normalize_text(" ".join(tokens[i : i + n])) for i in range(len(tokens) - n + 1)]
+            assert phrases._windows([phrases._plain(t) for t in tokens], n) == want
+    monkeypatch.setattr(phrases, "normalize_text", None)
+    assert phrases.find_phrases("you save twenty five now".split(), {0: ["save 25 now"]})[0][:4] == (0, 1, 4, 100)

@@ -10,7 +10,7 @@ from tidemark.functions import lexicon as lx
 from tidemark.functions import text as tx
 from tidemark.operators import matching, ranking, wording
 from tidemark.registry import query
-from tidemark.tables import ASKS_SQL, BRIEF_LINES_SQL, asks, brief_lines, load, per_text
+from tidemark.tables import ASKS_SQL, BRIEF_LINES_SQL, asks, brief_lines, load, per_text, spread
 
 PUNCT = r"""[!"#''()*,./:;<=>?@\[\\\]^_`{|}~-]"""
 
@@ -313,7 +313,7 @@ BRIEF = ["please answer", "twenty-five % off", "what is the", "user question", "
 @query("j3_phrase_windows")
 def j3(spark: SparkSession, d: str) -> DataFrame:
     """Where the phrases of a brief stand in what is said, number spellings and small errors aside (J3). The phrases are a brief's: few."""
-    w = load(spark, d, "conversations").select("conv_id", "turn", F.filter(F.transform(F.split("text", " "), tx.normalize_token), lambda x: x != "").alias("w"))
+    w = spread(load(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", F.filter(F.transform(F.split("text", " "), tx.normalize_token), lambda x: x != "").alias("w"))
     hits = w.withColumn("hit", F.explode(phrases.phrase_hits(F.col("w"), {i: phrases.phrase_variants(p) for i, p in enumerate(BRIEF)})))
     return hits.select("conv_id", "turn", "hit.*")
 

@@ -35,8 +35,8 @@ def fold_numbers(tokens: Column) -> Column:
     single = lx.NUMBER_WORDS | {t + u: lx.TENS_WORDS[t] + lx.UNIT_WORDS[u] for t in tens for u in ones}
     value, ten, one = _numbers(single), _numbers(lx.TENS_WORDS), _numbers(lx.UNIT_WORDS)
 
-    def fold(x: Column, i: Column) -> Column:
-        before, twice, after = F.get(tokens, i - 1), F.get(tokens, i - 2), F.get(tokens, i + 1)
+    def fold(every: Column, x: Column, i: Column) -> Column:
+        before, twice, after = F.get(every, i - 1), F.get(every, i - 2), F.get(every, i + 1)
         to_ten = x.isin(ones) & F.coalesce(before.isin(tens), F.lit(False))
         to_one = (x == "hundred") & F.coalesce(before.isin(ones), F.lit(False)) & ~F.coalesce(twice.isin(tens), F.lit(False))
         return (
@@ -46,7 +46,8 @@ def fold_numbers(tokens: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(value, x).cast("string"), x))
         )
 
-    return F.array_compact(F.transform(tokens, fold))
+    # each token looks at its neighbours: the tokens are made once a text, not once a token
+    return bound(tokens, lambda every: F.array_compact(F.transform(every, lambda x, i: fold(every, x, i))))
 
 
 def normalize_text(c: Column, numbers: bool = True) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,24 +51,29 @@ def distinct_in_order(df: DataFrame, keys: list[str], value: str, pos: str) -> D
 
 
 #: Rows of a block of requirements and of candidates whose vectors are multiplied at once.
-BLOCK = 512
+BLOCK = 1024
 
 
 def _best(k: int):
     """Of each requirement of a block the k best candidates of the other block, and of equals the first."""
-    names = ["req", "cand", "at", "score"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for reqs, cands in zip(batch.column("reqs").to_pylist(), batch.column("cands").to_pylist(), strict=True):
-                x, y = (np.array([r["v"] for r in side], dtype=np.float64) for side in (reqs, cands))
-                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-                score = np.round(x @ y.T, 6) + 0.0
-                out: list[tuple] = []
-                for r, row in zip(reqs, score, strict=True):
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else range(len(row))  # ties of the last one stay
-                    out += sorted(((r["req"], cands[j]["cand"], cands[j]["at"], float(row[j])) for j in near), key=lambda o: (-o[3], o[2], o[1]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+
+    def unit(side: pa.Table) -> np.ndarray:
+        m = side["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def run(reqs: pa.Table, cands: pa.Table) -> pa.Table:
+        if not len(reqs) or not len(cands):
+            return pa.table({"req": reqs["req"][:0], "cand": cands["cand"][:0], "at": cands["at"][:0], "score": pa.array([], pa.float64())})
+        score = np.round(unit(reqs) @ unit(cands).T, 6) + 0.0
+        rank = np.empty(len(cands), np.int64)
+        rank[pa.compute.sort_indices(cands.select(["at", "cand"]), [("at", "ascending"), ("cand", "ascending")]).to_numpy()] = np.arange(len(cands))
+        rows, best = [], []
+        for i, row in enumerate(score):
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))  # ties of the last one stay
+            best.append(near[np.lexsort((rank[near], -row[near]))][:k])
+            rows.append(np.full(len(best[-1]), i))
+        at, of = np.concatenate(rows), np.concatenate(best)
+        return pa.table({"req": reqs["req"].take(pa.array(at)), "cand": cands["cand"].take(pa.array(of)), "at": cands["at"].take(pa.array(of)), "score": pa.array(score[at, of])})
 
     return run
 
@@ -89,17 +93,17 @@ def semantic_rank(requirements: DataFrame, candidates: DataFrame, hints: DataFra
     by_hint = hit.select("req", "cand", "at", F.col("score").cast("double").alias("score"), F.lit("hint").alias("by"))
     few = reqs.filter(~F.col("hit") & (F.col("n") <= k)).select("key", "req").join(candidates, "key").select("req", "cand", "at", F.lit(0.0).alias("score"), F.lit("all").alias("by"))
 
-    def blocks(df: DataFrame, name: str, number: Column) -> DataFrame:
-        block = F.pmod(F.xxhash64(name), F.greatest(F.lit(1), F.ceil(number / BLOCK)))
-        columns = [c for c in (name, "at", "v") if c in df.columns]
-        return df.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct(*columns)).alias(f"{name}s")).drop("block")
-
+    block = lambda name, number: F.pmod(F.xxhash64(name), F.greatest(F.lit(1), F.ceil(number / BLOCK)))
+    every = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(number / BLOCK)) - 1))
+    own = lambda c: F.col(c).alias(c)  # noqa: E731 - both sides may come from one table, whose columns cogroup can't tell apart
     open_ = reqs.filter(~F.col("hit") & (F.col("n") > k))
-    many = open_.join(open_.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", "req", F.col("v"), "m")
-    wanted = candidates.join(open_.select("key").distinct(), "key", "left_semi").join(n, "key")
-    pairs = blocks(many, "req", F.col("m")).join(blocks(wanted, "cand", F.col("n")), "key")
+    sizes = open_.groupBy("key", "n").agg(F.count("*").alias("m"))
+    # a pair of blocks is a group of its own: a task holds one at a time, and all pairs are dealt over all tasks
+    x = open_.join(sizes.select("key", "m"), "key").select(own("key"), block("req", F.col("m")).alias("left"), every(F.col("n")).alias("right"), own("req"), own("v"))
+    y = candidates.join(sizes, "key").select(own("key"), every(F.col("m")).alias("left"), block("cand", F.col("n")).alias("right"), own("cand"), own("at"), own("v"))
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema} | {"req": requirements.schema["req"].dataType.simpleString()}
-    found = pairs.select("reqs", "cands").mapInArrow(_best(k), f"req {kinds['req']}, cand {kinds['cand']}, at {kinds['at']}, score double").withColumn("by", F.lit("meaning"))
+    pair = ["key", "left", "right"]
+    found = x.groupBy(*pair).cogroup(y.groupBy(*pair)).applyInArrow(_best(k), f"req {kinds['req']}, cand {kinds['cand']}, at {kinds['at']}, score double").withColumn("by", F.lit("meaning"))
     order = Window.partitionBy("req").orderBy(F.desc("score"), "at", "cand")
     ranked = by_hint.unionByName(few).unionByName(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("req", "cand", "score", "by", "rank")

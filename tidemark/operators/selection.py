@@ -74,6 +74,7 @@ def merge_requirements(rows: DataFrame, least: float = 88, jaccard: float = 0.8)
     that asks for more (the first of equals), the earliest deadline, the first window, and all hints, criteria and classes in
     order; `merged` lists what it took in. A choice with one member is none: `alone`. ordinal counts a brief's rows.
     """
+    rows = rows.checkpoint()  # asked for once a use below: what makes them is not run again for each
     links = similar_requirements(rows, least, jaccard)
     # a copy of a row that went is like what that one was like
     lead = rows.filter("choice is null").groupBy("brief", "kind", "text").agg(F.min("id").alias("lead"))

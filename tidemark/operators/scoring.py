@@ -28,7 +28,7 @@ def resolve_groups(df: DataFrame, keys: list[str], ties: tuple[str, ...] = ("q",
     Order: status rank, higher alignment, ordinal (0 and null last), id, then the ties columns. Rows with a null group are their own.
     """
     ordinal = F.coalesce(F.when(F.col("ordinal") != 0, F.col("ordinal")), F.lit(NO_ORDINAL))
-    own = [*keys, F.coalesce(F.col("grp"), -F.col("id"))]
+    own = [*keys, "grp", F.when(F.col("grp").isNull(), F.col("id"))]  # grp as it is: rows that lie by it already stay where they are
     w = Window.partitionBy(*own).orderBy(mapped("status", STATUS_RANK), -alignment_rank(), ordinal, "id", *ties)
     out = df.withColumn("lost", F.row_number().over(w) > 1)
     return out.withColumn("status", F.when(F.col("lost"), "NOT_APPLICABLE").otherwise(F.col("status")))

@@ -659,6 +659,59 @@ def test_contexts_are_gathered_by_absolute_counts(spark, monkeypatch, heavy):
     assert got[101].score > got[101].base_score + 4
 
 
+def test_words_are_coded_once(monkeypatch):
+    """Distinct words are hashed, not tokens, and no tokens are sorted; words end at [ \\x09-\\x0D] alone, and A-Z alone are lowered."""
+    monkeypatch.setattr(np, "unique", None)
+    texts = [" a  B\t\x0b\x0c\r\nb\x1cC \x85É é ", "", "  ", "a A b b b", "É\u2028x\xa0"]
+    lengths, vocab, codes = suffix_tree._coded(texts)
+    want = [[*xxhash_of(t.encode().lower().split()), suffix_tree.END] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert vocab[codes].tolist() == [x for w in want for x in w]
+    assert len(vocab) == len({x for w in want for x in w})
+    assert (np.diff(np.bincount(codes)) <= 0).all()
+
+
+def xxhash_of(words: list[bytes]) -> list[int]:
+    import xxhash
+
+    return [xxhash.xxh3_64_intdigest(w) for w in words]
+
+
+@pytest.mark.parametrize("top", [9, 1 << 31, (1 << 63) - 1])
+def test_numbers_are_ordered_with_their_places(top):
+    r = random.Random(top)
+    x = [r.randrange(10) * (top // 9) for _ in range(500)] + [0, top]
+    order, found = suffix_tree._ordered(np.array(x, dtype=np.int64))
+    assert order.tolist() == sorted(range(len(x)), key=lambda i: x[i])
+    assert found.tolist() == sorted(x)
+    assert [len(a) for a in suffix_tree._ordered(np.zeros(0, dtype=np.uint64))] == [0, 0]
+
+
+def test_walk_sorts_no_hashes(monkeypatch):
+    """Every depth is walked again for each later one: its keys come from one sort of small numbers, in each block alike."""
+    monkeypatch.setattr(np, "unique", None)
+    monkeypatch.setattr(suffix_tree, "MIN_GAIN", 0.0)
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(30))) for _ in range(20)]
+    lengths, vocab, codes = suffix_tree._coded(texts)
+    row = {"ids": list(range(20)), "held": [False] * 20, "lengths": lengths.tolist(), "vocab": vocab.tobytes(), "codes": suffix_tree.packed(codes.astype("<u4")), "tokens": len(codes)}
+    b = suffix_tree.Block(row, suffix_tree.Model(len(codes), len(vocab), 3, 1 << 17, [np.zeros(0, np.uint64)] * 4, [], []))
+    docs = [[*t.split(), None] for t in texts]
+    grams = [[tuple(d[j - k : j + 1]) for d in docs for j in range(len(d)) if j >= k] for k in range(5)]
+    tried = set(grams[0])
+    for k in range(5):
+        if k:
+            b.deepen()
+        count = Counter(g for g in grams[k] if g in tried)
+        assert len(b.keys) == len(set(b.keys.tolist())) == len(count)
+        assert len(b.at) == sum(count.values())
+        assert sorted(np.bincount(b.which).tolist()) == sorted(count.values())
+        assert (np.diff(b.group) >= 0).all()
+        of = np.bincount(b.which)
+        b.take(of[b.order], np.full(len(b.keys), 5))  # all contexts are retained
+        tried = {g for g in (grams[k + 1] if k < 4 else []) if count[g[:-1]] >= 3}
+
+
 # --- op 9
 
 

@@ -25,10 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, blocks, eager, fold, mix, shared_dir, table, worker_cache
+from tidemark.llm.common import blocks, eager, fold, mix, shared_dir, table
 
 DEPTH = 4
 MIN_COUNT = 16
@@ -71,9 +72,26 @@ def lengthened(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-@worker_cache
-def _words() -> WordHashes:
-    return WordHashes()
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, hashes of the distinct ones (the most frequent first), and for each token which of them it is. Words are as in WordHashes.of."""
+    import xxhash
+
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    flat = words.flatten()
+    some = pc.binary_length(flat).to_numpy() > 0  # around outer white space the split leaves empty words
+    before = np.concatenate(([0], np.cumsum(some)))[words.offsets.to_numpy()]
+    found = flat.filter(pa.array(some)).dictionary_encode()
+    distinct = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    vocab = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct)), np.uint64(END))
+    lengths = np.diff(before) + 1
+    codes, ends = np.full(len(found) + len(texts), len(distinct)), np.cumsum(lengths) - 1
+    inner = np.ones(len(codes), dtype=bool)
+    inner[ends] = False
+    codes[inner] = found.indices.to_numpy()
+    rank = np.argsort(-np.bincount(codes), kind="stable")  # small codes for frequent words compress better
+    code = np.empty(len(vocab), dtype=np.int64)
+    code[rank] = np.arange(len(vocab))
+    return lengths, vocab[rank], code[codes]
 
 
 def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFrame:
@@ -83,15 +101,8 @@ def coded(docs: DataFrame, id_col: str, text_col: str, held_out: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        w, end = _words(), np.array([END], dtype=np.uint64)
         for i, (ids, held, texts) in enumerate(blocks(batches, 2, BYTES)):
-            docs = [np.concatenate((w.of(t), end)) for t in texts]
-            lengths = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-            vocab, codes, often = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
-            rank = np.argsort(-often, kind="stable")  # small codes for frequent words compress better
-            code = np.empty(len(vocab), dtype=np.int64)
-            code[rank] = np.arange(len(vocab))
-            vocab, codes = vocab[rank], code[codes]
+            lengths, vocab, codes = _coded(texts)
             train = int(lengths[~np.array(held, dtype=bool)].sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId() << 24 | i], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([packed(codes.astype("<u4"))], pa.binary()), pa.array([train], pa.int64()), pa.array([len(codes)], pa.int64())],
@@ -114,6 +125,20 @@ class Model:
     retained: list[np.ndarray]
 
 
+def _ordered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the numbers (none negative) in their order, equal ones as they stand, and the numbers so ordered.
+
+    Where a number and its place fit 63 bits they are sorted as one, which takes a fraction of the time.
+    """
+    bits = len(x).bit_length()
+    if int(x.max(initial=0)).bit_length() + bits <= 63:
+        both = x.astype(np.int64) << bits | np.arange(len(x))
+        both.sort()
+        return both & (1 << bits) - 1, both >> bits
+    order = np.argsort(x, kind="stable")
+    return order, x[order].astype(np.int64)
+
+
 class Block:
     """A block's tokens, walked depth by depth: deepen() finds the keys, take() gives them what the buckets replied."""
 
@@ -121,41 +146,46 @@ class Block:
         self.m, self.ids, self.held = m, row["ids"], np.array(row["held"], dtype=bool)
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.keys = np.frombuffer(row["vocab"], dtype="<u8")
+        self.words = self.keys = np.frombuffer(row["vocab"], dtype="<u8")
+        self.codes = unpacked(row["codes"], row["tokens"], "<u4")
         #: for the places of this depth, which of the distinct keys they have
-        self.which = unpacked(row["codes"], row["tokens"], "<u4").astype(np.int64)
-        self.at = np.arange(len(self.which))
-        self.word = self.hash = self.keys[self.which]
+        self.at, self.which = np.arange(len(self.codes)), self.codes
         self.train = np.repeat(~self.held, self.lengths)
-        self.inner = np.ones(len(self.which), dtype=bool)
+        self.inner = np.ones(len(self.codes), dtype=bool)
         self.inner[self.starts] = False
-        self.order = np.argsort(self.keys, kind="stable")
-        self.depth, self.group = 0, self.keys[self.order]
+        self.depth = 0
+        self._deal(self.keys)
+
+    def _deal(self, group: np.ndarray) -> None:
+        """Puts the keys in the order of the upper halves of their groups, by which buckets are dealt."""
+        self.order, self.group = _ordered(group >> np.uint64(32))
 
     def deepen(self) -> None:
         """On to contexts of one word more: those before a place that are to be tried."""
-        tried = (self.seen[:-1] >= self.m.least) & self.inner[1:]
-        if self.depth:
-            tried &= self.on[1:]
-        self.at = np.flatnonzero(tried) + 1
+        on = self.at if not self.depth else self.at[self.on]
+        often = np.zeros(len(self.codes), dtype=bool)
+        often[self.at] = (self.total >= self.m.least)[self.which]
+        own = np.empty(len(self.codes), dtype=np.uint32)
+        own[self.at] = self.which
+        self.at = on[often[on - 1] & self.inner[on]]
+        # a key is a context, by its number at the depth before, and a word
+        order, pairs = _ordered(own[self.at - 1].astype(np.int64) * len(self.words) + self.codes[self.at])
+        new = np.diff(pairs, prepend=-1) != 0
+        self.which = np.empty(len(self.at), dtype=np.uint32)
+        self.which[order] = np.cumsum(new) - 1
+        before, word = np.divmod(pairs[new], max(len(self.words), 1))
+        self.contexts, self.size = self.keys[before], self.total[before]
+        self.below = self.best[self.at[order[new]]]  # all places of a key have the same context and suffix
         with np.errstate(over="ignore"):
-            key = mix(self.hash[self.at - 1] * np.uint64(0x9E3779B97F4A7C15) ^ self.word[self.at])
-        self.keys, self.which = np.unique(key, return_inverse=True)
-        some = np.empty(len(self.keys), dtype=np.int64)  # a place of each key: all have the same context and suffix
-        some[self.which] = self.at
-        self.contexts, self.size, self.below = self.hash[some - 1], self.seen[some - 1], self.best[some]
+            self.keys = mix(self.contexts * np.uint64(0x9E3779B97F4A7C15) ^ self.words[word])
         self.spread = self.size > self.m.heavy
-        self.hash = np.zeros(len(self.word), dtype=np.uint64)
-        self.hash[self.at] = key
-        group = np.where(self.spread, self.keys, self.contexts)
-        self.order = np.argsort(group, kind="stable")
-        self.group = group[self.order]
+        self._deal(np.where(self.spread, self.keys, self.contexts))
         self.depth += 1
 
     def take(self, totals: np.ndarray, kinds: np.ndarray) -> None:
         """Totals of the keys, and twice the followers of their contexts plus one if retained, both in the order sent."""
-        m, total = self.m, np.empty(len(self.keys), dtype=np.int64)
-        total[self.order] = totals
+        m, self.total = self.m, np.empty(len(self.keys), dtype=np.int64)
+        self.total[self.order] = totals
         if self.depth:
             both = np.empty(len(self.keys), dtype=np.int64)
             both[self.order] = kinds
@@ -164,20 +194,18 @@ class Block:
                 n = np.searchsorted(own, self.contexts[self.spread])
                 both[self.spread] = m.kinds[self.depth - 1][n] * 2 + m.retained[self.depth - 1][n]
             k = (both >> 1).astype(float)
-            p = (total + k * self.below) / (self.size + k)
-            on = (both & 1).astype(bool)[self.which]
-            self.best[self.at[on]] = p[self.which[on]]
-            self.on = np.zeros(len(self.word), dtype=bool)
-            self.on[self.at[on]] = True
+            p = (self.total + k * self.below) / (self.size + k)
+            #: places of this depth whose context is retained
+            self.on = (both & 1).astype(bool)[self.which]
+            self.best[self.at[self.on]] = p[self.which[self.on]]
         else:
-            self.base = ((total + 1.0) / (m.tokens + m.words + 1))[self.which]
-            self.best, self.known = self.base.copy(), total[self.which] > 0
-        self.seen = np.zeros(len(self.word), dtype=np.int64)
-        self.seen[self.at] = total[self.which]
+            #: by word: probability at the root, and whether it is known
+            self.base, self.known = (self.total + 1.0) / (m.tokens + m.words + 1), self.total > 0
+            self.best = self.base[self.codes]
 
     def sent(self, block: int, buckets: int) -> pa.RecordBatch:
         """A row for each bucket that this depth's keys go to: equal ranges of the upper half of their groups."""
-        cuts = np.searchsorted((self.group >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        cuts = np.searchsorted(self.group.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
         on = np.flatnonzero(cuts[1:] > cuts[:-1])
         cut = lambda x, f: pa.array([f(x[cuts[i] : cuts[i + 1]]) for i in on.tolist()], pa.binary())
         counts = np.bincount(self.which[self.train[self.at]], minlength=len(self.keys)).astype("<u4")
@@ -337,7 +365,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     def scored(b: Block, _: int) -> pa.Table:
         add = lambda x: np.add.reduceat(x, b.starts)
         k = len(b.ids)
-        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": b.held, "n_tokens": b.lengths, "n_known": add(b.known.astype(np.int64)), "train_tokens": np.full(k, b.m.tokens), "base_score": add(np.log10(b.base)), "score": add(np.log10(b.best))})
+        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "held_out": b.held, "n_tokens": b.lengths, "n_known": add(b.known.astype(np.int64)[b.codes]), "train_tokens": np.full(k, b.m.tokens), "base_score": add(np.log10(b.base)[b.codes]), "score": add(np.log10(b.best))})
 
     return _with_replies(blocks_, replies, model, scored, SCORES)
 

@@ -68,7 +68,7 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_caption_speech")
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    """Each user turn as a caption against what the assistant says from 1.5 turns before it to 1.5 after: is it readable, long enough to compare, and derived from speech (J5)?"""
+    """Each user turn as a caption against every window of what the assistant says from 1.5 turns before it to 1.5 after: is it readable, long enough to compare, and derived from speech (J5)?"""
     c = spread(load(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "text", tx.normalize_text(F.col("text")).alias("t"), (F.col("turn") * 1.0).alias("at"))
     known = wording.word_costs(c.select(F.explode(tx.tokens(F.col("text"))).alias("w"))).filter("n >= 2").select("w")
     u = c.filter("role = 'user'").select("conv_id", "turn", "text", "t", "at", F.concat_ws(":", "conv_id", "turn").alias("id"))
@@ -84,7 +84,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 
     @F.pandas_udf("score int, method string, window string")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = iter(spoken.best_windows([(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None]))
+        found = iter(spoken.best_windows([(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None], begin=spoken.every_start))
         return pd.DataFrame([(None, None, None) if x is None or y is None else next(found) or (None, None, None) for x, y in zip(a, b, strict=True)], columns=["score", "method", "window"])
 
     scored = spread(rows.withColumn("state", state), "id").withColumn("x", run(F.when(F.col("state").isNull(), F.col("t")), F.col("speech")))
